@@ -163,3 +163,266 @@ def with_views(body: str, *names: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     return f"WITH {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------------------
+# Oracles of the registered queries
+# ---------------------------------------------------------------------------
+
+from stockfair.plans.driver_queries import PARAMS as P  # noqa: E402
+
+_ASCII_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_YEAR_LO = f"DATE '{P['year']}-01-01'"
+_YEAR_HI = f"DATE '{P['year'] + 1}-01-01'"
+
+_FIRST_INV = """(SELECT product_id, arg_min(quantity, id) AS quantity,
+                        arg_min(last_updated, id) AS last_updated
+                 FROM inventory GROUP BY product_id)"""
+_STOCKED = f"""(SELECT p.*, fi.quantity FROM products p
+               JOIN {_FIRST_INV} fi ON p.id = fi.product_id)"""
+
+_STOCK_SELECT = """p.id, p.sku, p.ean_upc, p.name, p.description, p.purchase_price,
+       p.selling_price, i.quantity, i.last_updated, s.name AS supplier_name
+FROM products p JOIN inventory i ON p.id = i.product_id
+LEFT JOIN suppliers s ON p.supplier_id = s.id"""
+
+_PERF = """
+assigned AS (
+  SELECT ep.event_id, p.id, p.sku, p.name, p.description, p.category, s.name AS supplier,
+         p.purchase_price, COALESCE(ep.event_sale_price, p.selling_price) AS sale_price,
+         ep.quantity_assigned
+  FROM event_products ep JOIN products p ON ep.product_id = p.id
+  JOIN suppliers s ON p.supplier_id = s.id),
+sold AS (
+  SELECT es.event_id, es.product_id, p.sku, CAST(sum(es.quantity) AS BIGINT) AS quantity_sold,
+         round(sum(es.quantity * es.sale_price), 2) AS total_revenue
+  FROM event_sales es JOIN products p ON es.product_id = p.id
+  GROUP BY es.event_id, es.product_id, p.sku),
+perf AS (
+  SELECT a.*, COALESCE(s.quantity_sold, 0) AS quantity_sold,
+         COALESCE(s.total_revenue, CAST(0 AS DOUBLE)) AS total_revenue,
+         a.quantity_assigned - COALESCE(s.quantity_sold, 0) AS remaining,
+         round(COALESCE(s.total_revenue, CAST(0 AS DOUBLE))
+               - COALESCE(s.quantity_sold, 0) * a.purchase_price, 2) AS profit
+  FROM assigned a LEFT JOIN sold s ON a.event_id = s.event_id AND a.id = s.product_id)"""
+
+_PERF_VIEWS = ("products", "suppliers", "event_products", "event_sales")
+
+
+def sql(body: str, views=(), extra: str = "") -> str:
+    """``WITH <views>, <extra ctes> <body>``."""
+    parts = [f"{n} AS ({VIEWS[n]})" for n in views]
+    if extra:
+        parts.append(extra.strip())
+    return (f"WITH {', '.join(parts)}\n{body}") if parts else body
+
+
+def _pct(num: str, den: str) -> str:
+    return (f"round(CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 100.0 "
+            f"ELSE CAST(0 AS DOUBLE) END, 2)")
+
+
+def _ratio(num: str, den: str) -> str:
+    return (f"round(CASE WHEN {den} > 0 THEN CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) "
+            f"ELSE CAST(0 AS DOUBLE) END, 2)")
+
+
+def _breakdown(key: str) -> str:
+    aggs = f"""count(*) AS products, CAST(sum(quantity_assigned) AS BIGINT) AS assigned,
+       CAST(sum(quantity_sold) AS BIGINT) AS sold, round(sum(total_revenue), 2) AS revenue,
+       round(COALESCE(sum(profit), 0), 2) AS profit,
+       {_pct('sum(quantity_sold)', 'sum(quantity_assigned)')} AS sell_through_pct"""
+    body = f"""
+SELECT event_id, {key}, FALSE AS is_total, {aggs}
+FROM perf WHERE {key} IS NOT NULL GROUP BY event_id, {key}
+UNION ALL
+SELECT event_id, 'TOTAL' AS {key}, TRUE AS is_total, {aggs}
+FROM perf WHERE {key} IS NOT NULL GROUP BY event_id"""
+    return sql(body, _PERF_VIEWS, _PERF)
+
+
+def _top_products(by: str) -> str:
+    body = f"""
+SELECT event_id, rank, sku, name, category, supplier, quantity_sold, total_revenue, profit
+FROM (SELECT *, row_number() OVER (PARTITION BY event_id
+                                   ORDER BY {by} DESC NULLS LAST, id) AS rank
+      FROM perf
+      WHERE event_id IN (SELECT event_id FROM perf GROUP BY event_id
+                         HAVING sum(quantity_sold) > 0)) t
+WHERE rank <= {P['top_k']}"""
+    return sql(body, _PERF_VIEWS, _PERF)
+
+
+_FAIRS_Y = f"(SELECT * FROM fairs WHERE start_date >= {_YEAR_LO} AND start_date < {_YEAR_HI})"
+_YEAR_PRODUCTS = f"""
+year_products AS (
+  SELECT p.id, p.sku, p.name, p.description, p.category, s.name AS supplier
+  FROM products p JOIN suppliers s ON p.supplier_id = s.id
+  WHERE p.id IN (SELECT ep.product_id FROM event_products ep
+                 WHERE ep.event_id IN (SELECT id FROM {_FAIRS_Y} fy)))"""
+_YEAR_SALES = f"""
+year_sales AS (
+  SELECT es.event_id, f.name AS event_name, es.product_id, p.sku,
+         CAST(sum(es.quantity) AS BIGINT) AS quantity_sold,
+         round(sum(es.quantity * es.sale_price), 2) AS total_revenue
+  FROM event_sales es JOIN {_FAIRS_Y} f ON es.event_id = f.id
+  JOIN products p ON es.product_id = p.id
+  GROUP BY es.event_id, f.name, es.product_id, p.sku)"""
+
+_YEAR_OF = "substr(data, 1, 4)"
+
+ORACLE: dict[str, str] = {
+    # catalogue reads
+    "product_by_barcode": sql(f"""
+SELECT k.barcode, sp.* FROM
+  (SELECT DISTINCT regexp_replace(barcode, '[^0-9]', '', 'g') AS barcode FROM scans) k
+JOIN {_STOCKED} sp ON k.barcode = sp.ean_upc""", ("products", "inventory", "scans")),
+    "product_by_sku": sql(f"""
+SELECT k.sku, sp.* FROM
+  (SELECT DISTINCT 'SKU' || lpad(CAST(product_id AS VARCHAR), 6, '0') AS sku FROM movements) k
+JOIN {_STOCKED} sp ON k.sku = sp.sku""", ("products", "inventory", "movements")),
+    "search_products": sql(f"""
+SELECT p.*, i.quantity FROM products p JOIN inventory i ON p.id = i.product_id
+WHERE translate(p.name, {_ASCII_FOLD}) LIKE '%{P['search_term'].lower()}%'
+   OR translate(p.description, {_ASCII_FOLD}) LIKE '%{P['search_term'].lower()}%'
+   OR translate(p.sku, {_ASCII_FOLD}) LIKE '%{P['search_term'].lower()}%'
+   OR translate(p.ean_upc, {_ASCII_FOLD}) LIKE '%{P['search_term'].lower()}%'""",
+                          ("products", "inventory")),
+    "inventory_status": sql(f"""
+SELECT {_STOCK_SELECT}
+ORDER BY p.name NULLS FIRST, p.id, i.id LIMIT {P['page_limit']} OFFSET {P['page_offset']}""",
+                            ("products", "inventory", "suppliers")),
+    "low_stock_items": sql(f"""
+SELECT {_STOCK_SELECT}
+WHERE i.quantity <= {P['low_stock']}""", ("products", "inventory", "suppliers")),
+    "transaction_history": sql(f"""
+SELECT t.*, p.name AS product_name, p.sku, p.ean_upc
+FROM inventory_transactions t JOIN products p ON t.product_id = p.id
+WHERE t.product_id = {P['history_product']}
+  AND t.transaction_date >= TIMESTAMP '{P['history_start']} 00:00:00'
+  AND t.transaction_date <= TIMESTAMP '{P['history_end']} 00:00:00'
+ORDER BY t.transaction_date DESC, t.id DESC LIMIT 100""", ("products", "inventory_transactions")),
+    "stock_log_query": sql(f"""
+SELECT * FROM stock_log
+WHERE event_type = '{P['log_type']}' AND event_date >= TIMESTAMP '{P['log_start']} 00:00:00'
+ORDER BY event_date DESC, id DESC LIMIT 100""", ("stock_log",)),
+    "available_products": sql(f"""
+SELECT p.id, p.sku, p.name, p.description, p.category, s.name AS supplier, p.purchase_price,
+       p.selling_price, i.quantity
+FROM products p JOIN inventory i ON p.id = i.product_id JOIN suppliers s ON p.supplier_id = s.id
+WHERE i.quantity >= {P['min_stock']}""", ("products", "inventory", "suppliers")),
+    "event_products": sql("""
+SELECT ep.event_id, p.id, p.sku, p.name, p.description, p.category, s.name AS supplier,
+       p.purchase_price, COALESCE(ep.event_sale_price, p.selling_price) AS sale_price,
+       ep.quantity_assigned, i.quantity AS available_stock
+FROM event_products ep JOIN products p ON ep.product_id = p.id
+JOIN suppliers s ON p.supplier_id = s.id JOIN inventory i ON p.id = i.product_id""",
+                          ("products", "suppliers", "inventory", "event_products")),
+    "event_by_name": sql("""
+SELECT a.* FROM annual_events a
+WHERE a.id = (SELECT min(b.id) FROM annual_events b WHERE b.nome IS NOT DISTINCT FROM a.nome)""",
+                         ("annual_events",)),
+    "event_details": sql(f"""
+SELECT id, name, start_date, end_date, location, description FROM fairs
+WHERE id = {P['event_id']}""", ("fairs",)),
+    "events_in_year": sql(f"""
+SELECT id, name, start_date, end_date, location, description FROM {_FAIRS_Y} f""", ("fairs",)),
+    "products_in_year": sql("SELECT * FROM year_products",
+                            ("products", "suppliers", "event_products", "fairs"), _YEAR_PRODUCTS),
+    # yearly statistics
+    "event_totals": sql("""
+SELECT round(sum(incassi), 2) AS total_incassi, round(sum(costi_reali), 2) AS total_costi
+FROM annual_events""", ("annual_events",)),
+    "events_per_region": sql("""
+SELECT regione, count(*) AS n_events FROM annual_events GROUP BY regione""", ("annual_events",)),
+    "income_by_year": sql(f"""
+SELECT COALESCE(round(sum(incassi), 2), CAST(0 AS DOUBLE)) AS total_incassi FROM annual_events
+WHERE {_YEAR_OF} = '{P['year']}'""", ("annual_events",)),
+    "cost_by_year": sql(f"""
+SELECT COALESCE(round(sum(costi_reali), 2), CAST(0 AS DOUBLE)) AS total_costi FROM annual_events
+WHERE {_YEAR_OF} = '{P['year']}'""", ("annual_events",)),
+    "region_counts_year": sql(f"""
+SELECT regione, count(*) AS n_events FROM annual_events WHERE {_YEAR_OF} = '{P['year']}'
+GROUP BY regione""", ("annual_events",)),
+    "top_events": sql(f"""
+SELECT id, nome, incassi FROM annual_events WHERE {_YEAR_OF} = '{P['year']}'
+ORDER BY incassi DESC NULLS LAST, id LIMIT {P['top_n']}""", ("annual_events",)),
+    "top_events_per_year": sql(f"""
+SELECT year, rank, id, nome, incassi FROM (
+  SELECT {_YEAR_OF} AS year, id, nome, incassi,
+         row_number() OVER (PARTITION BY {_YEAR_OF} ORDER BY incassi DESC NULLS LAST, id) AS rank
+  FROM annual_events) t
+WHERE rank <= {P['top_n']}""", ("annual_events",)),
+    "product_line_sales": sql(f"""
+SELECT COALESCE(sum(caschi), CAST(0 AS DOUBLE)) AS caschi,
+       COALESCE(sum(occhiali), CAST(0 AS DOUBLE)) AS occhiali,
+       COALESCE(sum(pneumatici), CAST(0 AS DOUBLE)) AS pneumatici
+FROM annual_events WHERE {_YEAR_OF} = '{P['year']}'""", ("annual_events",)),
+    "annual_summary": sql(f"""
+SELECT year, round(inc, 2) AS total_incassi, round(cost, 2) AS total_costi,
+       round(inc - cost, 2) AS net_profit, caschi, occhiali, pneumatici, n_events
+FROM (SELECT {_YEAR_OF} AS year,
+             COALESCE(sum(incassi), CAST(0 AS DOUBLE)) AS inc,
+             COALESCE(sum(costi_reali), CAST(0 AS DOUBLE)) AS cost,
+             COALESCE(sum(caschi), CAST(0 AS DOUBLE)) AS caschi,
+             COALESCE(sum(occhiali), CAST(0 AS DOUBLE)) AS occhiali,
+             COALESCE(sum(pneumatici), CAST(0 AS DOUBLE)) AS pneumatici,
+             count(*) AS n_events
+      FROM annual_events GROUP BY 1) t""", ("annual_events",)),
+    # fair reports
+    "event_product_sales": sql("""
+SELECT es.event_id, es.product_id, p.sku, CAST(sum(es.quantity) AS BIGINT) AS quantity_sold,
+       round(sum(es.quantity * es.sale_price), 2) AS total_revenue
+FROM event_sales es JOIN products p ON es.product_id = p.id
+GROUP BY es.event_id, es.product_id, p.sku""", ("products", "event_sales")),
+    "event_performance": sql("""
+SELECT event_id, id, sku, name, description, category, supplier, purchase_price, sale_price,
+       quantity_assigned, quantity_sold, total_revenue, remaining, profit FROM perf""",
+                             _PERF_VIEWS, _PERF),
+    "event_summary": sql(f"""
+SELECT g.event_id, total_products, total_assigned, total_sold,
+       {_pct('total_sold', 'total_assigned')} AS sell_through_pct,
+       round(rev, 2) AS total_revenue, round(profit, 2) AS total_profit,
+       {_ratio('rev', 'total_sold')} AS average_price,
+       {_pct('profit', 'rev')} AS profit_margin_pct,
+       f.name AS event_name, f.start_date AS event_date, f.location, f.description
+FROM (SELECT event_id, count(*) AS total_products,
+             CAST(sum(quantity_assigned) AS BIGINT) AS total_assigned,
+             CAST(sum(quantity_sold) AS BIGINT) AS total_sold,
+             sum(total_revenue) AS rev, COALESCE(sum(profit), 0) AS profit
+      FROM perf GROUP BY event_id) g
+LEFT JOIN fairs f ON g.event_id = f.id""", _PERF_VIEWS + ("fairs",), _PERF),
+    "category_breakdown": _breakdown("category"),
+    "supplier_breakdown": _breakdown("supplier"),
+    "top_products_qty": _top_products("quantity_sold"),
+    "top_products_revenue": _top_products("total_revenue"),
+    "year_event_product_sales": sql("SELECT * FROM year_sales",
+                                    ("products", "event_sales", "fairs"), _YEAR_SALES),
+    "programme_pivot": sql("""
+SELECT yp.*, CAST(COALESCE(COLUMNS(pv.* EXCLUDE (product_id)), 0) AS BIGINT),
+       CAST(COALESCE(tot.totali, 0) AS BIGINT) AS TOTALI
+FROM year_products yp
+LEFT JOIN (PIVOT (SELECT product_id, CAST(event_id AS VARCHAR) || '_' || event_name AS col,
+                         quantity_sold FROM year_sales)
+           ON col USING sum(quantity_sold) GROUP BY product_id) pv ON yp.id = pv.product_id
+LEFT JOIN (SELECT product_id, sum(quantity_sold) AS totali FROM year_sales GROUP BY product_id) tot
+       ON yp.id = tot.product_id""",
+                           ("products", "suppliers", "event_products", "fairs", "event_sales"),
+                           _YEAR_PRODUCTS + "," + _YEAR_SALES),
+    "event_list": sql(f"""
+SELECT monthname(start_date) AS periodo, start_date AS data_inizio, end_date AS data_fine,
+       name AS nome, location AS localita, description AS descrizione, id
+FROM {_FAIRS_Y} f""", ("fairs",)),
+    "offer_counts": sql(f"""
+SELECT CAST(count_if(category = '{P['offer_helmets']}') AS BIGINT) AS caschi,
+       CAST(count_if(category = '{P['offer_sunglasses']}') AS BIGINT) AS occhiali
+FROM year_products""",
+                        ("products", "suppliers", "event_products", "fairs"), _YEAR_PRODUCTS),
+    "prize_template": sql(f"""
+SELECT name AS nome, CAST(NULL AS VARCHAR) AS modello, CAST(NULL AS VARCHAR) AS modello_1,
+       CAST(NULL AS VARCHAR) AS prezzo, CAST(NULL AS VARCHAR) AS totale FROM {_FAIRS_Y} f""",
+                          ("fairs",)),
+    "safe_report_name": sql(r"""
+SELECT id, regexp_replace(name, '[^\p{L}\p{N}]', '_', 'g') || '_' || CAST(id AS VARCHAR) || '.xlsx'
+       AS report_name FROM fairs""", ("fairs",)),
+}

@@ -32,6 +32,13 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT", "array<string>": "VARCHAR[]",
+                 "array<bigint>": "BIGINT[]"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -68,6 +75,13 @@ def compare(spark, con, sf_dir, name, fn, sql):
     d_names = [d[0] for d in cur.description]
     d_rows = cur.fetchall()
     res["oracle_rows"] = len(d_rows)
+    d_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in df.schema.fields}
+    tdiff = {k: (s_types.get(k), d_types.get(k)) for k in s_types
+             if k in d_types and s_types[k] != d_types[k]}
+    if tdiff:
+        res["types"] = tdiff
     res["oracle_sec"] = round(time.time() - t1, 2)
     if sorted(s_names) != sorted(d_names):
         res["status"] = f"COLUMNS differ: spark={sorted(s_names)} oracle={sorted(d_names)}"
