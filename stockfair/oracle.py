@@ -209,12 +209,13 @@ perf AS (
 _PERF_VIEWS = ("products", "suppliers", "event_products", "event_sales")
 
 
-def sql(body: str, views=(), extra: str = "") -> str:
-    """``WITH <views>, <extra ctes> <body>``."""
+def sql(body: str, views=(), extra: str = "", recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] <views>, <extra ctes> <body>``."""
     parts = [f"{n} AS ({VIEWS[n]})" for n in views]
     if extra:
         parts.append(extra.strip())
-    return (f"WITH {', '.join(parts)}\n{body}") if parts else body
+    head = "WITH RECURSIVE" if recursive else "WITH"
+    return (f"{head} {', '.join(parts)}\n{body}") if parts else body
 
 
 def _pct(num: str, den: str) -> str:
@@ -426,3 +427,75 @@ SELECT name AS nome, CAST(NULL AS VARCHAR) AS modello, CAST(NULL AS VARCHAR) AS
 SELECT id, regexp_replace(name, '[^\p{L}\p{N}]', '_', 'g') || '_' || CAST(id AS VARCHAR) || '.xlsx'
        AS report_name FROM fairs""", ("fairs",)),
 }
+
+
+def _ledger_ctes(opening_sql: str | None) -> str:
+    """Recursive fold of the movements per product, one row per step."""
+    if opening_sql is None:
+        op = "(SELECT DISTINCT product_id, CAST(0 AS BIGINT) AS opening FROM movements)"
+    else:
+        op = opening_sql
+    return f"""
+op AS {op},
+m AS (
+  SELECT mv.*, op.opening, op.opening IS NOT NULL AS known,
+         row_number() OVER (PARTITION BY mv.product_id ORDER BY mv.seq) AS rn,
+         CASE WHEN mv.transaction_type IS NULL OR mv.transaction_type NOT IN ('in', 'out')
+                   THEN 'invalid_type'
+              WHEN mv.quantity IS NULL OR mv.quantity <= 0 THEN 'invalid_quantity'
+              WHEN op.opening IS NULL AND mv.transaction_type = 'out' THEN 'unknown_product'
+         END AS static_reason
+  FROM movements mv LEFT JOIN op ON mv.product_id = op.product_id),
+r AS (
+  SELECT product_id, rn,
+         CASE WHEN static_reason IS NOT NULL THEN static_reason
+              WHEN transaction_type = 'out' AND opening < quantity THEN 'insufficient_stock'
+         END AS reason,
+         CASE WHEN NOT known THEN NULL
+              WHEN static_reason IS NOT NULL THEN opening
+              WHEN transaction_type = 'in' THEN opening + quantity
+              WHEN opening >= quantity THEN opening - quantity ELSE opening END AS balance
+  FROM m WHERE rn = 1
+  UNION ALL
+  SELECT m.product_id, m.rn,
+         CASE WHEN m.static_reason IS NOT NULL THEN m.static_reason
+              WHEN m.transaction_type = 'out' AND r.balance < m.quantity
+                   THEN 'insufficient_stock' END,
+         CASE WHEN NOT m.known THEN NULL
+              WHEN m.static_reason IS NOT NULL THEN r.balance
+              WHEN m.transaction_type = 'in' THEN r.balance + m.quantity
+              WHEN r.balance >= m.quantity THEN r.balance - m.quantity ELSE r.balance END
+  FROM r JOIN m ON m.product_id = r.product_id AND m.rn = r.rn + 1),
+decisions AS (
+  SELECT m.seq, m.product_id, m.transaction_type, m.quantity, m.reference, m.notes, m."user",
+         m.ts, r.reason IS NULL AS accepted, r.reason, r.balance AS balance_after
+  FROM r JOIN m ON m.product_id = r.product_id AND m.rn = r.rn)"""
+
+
+_INV_OPENING = """(SELECT product_id, CAST(sum(quantity) AS BIGINT) AS opening
+                    FROM inventory GROUP BY product_id)"""
+
+ORACLE.update({
+    "apply_ledger": sql("SELECT * FROM decisions", ("movements", "inventory"),
+                        _ledger_ctes(_INV_OPENING), recursive=True),
+    "stock_on_hand": sql("""
+SELECT op.product_id, CAST(op.opening + COALESCE(d.net, 0) AS BIGINT) AS quantity
+FROM op LEFT JOIN (SELECT product_id,
+                          sum(CASE WHEN transaction_type = 'in' THEN quantity ELSE -quantity END)
+                              AS net
+                   FROM decisions WHERE accepted GROUP BY product_id) d
+       ON op.product_id = d.product_id""", ("movements", "inventory"),
+                         _ledger_ctes(_INV_OPENING), recursive=True),
+    "stock_log_rows": sql("""
+SELECT seq AS id, CASE WHEN transaction_type = 'in' THEN 'stock_in' ELSE 'stock_out' END
+           AS event_type,
+       CASE WHEN transaction_type = 'in' THEN 'Added ' || quantity || ' units to stock'
+            ELSE 'Removed ' || quantity || ' units from stock' END AS description,
+       seq AS related_id, ts AS event_date, "user"
+FROM decisions WHERE accepted""", ("movements", "inventory"), _ledger_ctes(_INV_OPENING),
+                          recursive=True),
+    "ledger_from_zero": sql("""
+SELECT transaction_type, accepted, reason, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS units
+FROM decisions GROUP BY transaction_type, accepted, reason""", ("movements",),
+                            _ledger_ctes(None), recursive=True),
+})

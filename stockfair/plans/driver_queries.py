@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockfair.functions import barcode
-from stockfair.operators import catalog, reports, stats
+from stockfair.operators import catalog, ledger, reports, stats
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -266,3 +266,35 @@ def q_prize_template(spark, sf_dir):
 @register("safe_report_name")
 def q_safe_report_name(spark, sf_dir):
     return reports.report_name(_t(spark, sf_dir).fairs())
+
+
+# -- stock ledger (M1-M4) --------------------------------------------------------
+
+def ledger_decisions(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return ledger.apply_ledger(t.movements(), ledger.opening_balances(t.inventory()))
+
+
+@register("apply_ledger")
+def q_apply_ledger(spark, sf_dir):
+    return ledger_decisions(spark, sf_dir)
+
+
+@register("stock_on_hand")
+def q_stock_on_hand(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return ledger.stock_on_hand(ledger_decisions(spark, sf_dir),
+                                ledger.opening_balances(t.inventory()))
+
+
+@register("stock_log_rows")
+def q_stock_log_rows(spark, sf_dir):
+    return ledger.stock_log_rows(ledger_decisions(spark, sf_dir))
+
+
+@register("ledger_from_zero")
+def q_ledger_from_zero(spark, sf_dir):
+    """Outcome counts of the fold with every product opening at 0."""
+    d = ledger.apply_ledger(_t(spark, sf_dir).movements())
+    return d.groupBy("transaction_type", "accepted", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("units"))
