@@ -23,26 +23,31 @@ def clean(c) -> Column:
     return F.regexp_replace(_col(c), "[^0-9]", "")
 
 
+def _weighted_sum(digits, first_weight: int) -> Column:
+    """Sum of the digits of ``digits`` weighted from the right end:
+    ``first_weight`` for the last digit, then alternating 3 and 1.  The
+    string is referenced once (reversed and split), which keeps the
+    expression small when callers nest it; a non-digit gives NULL."""
+    other = 1 if first_weight == 3 else 3
+    chars = F.split(F.reverse(_col(digits)), "")
+    weighted = F.transform(
+        chars, lambda x, i: x.try_cast("int")
+        * F.when(i % 2 == 0, F.lit(first_weight)).otherwise(F.lit(other)))
+    return F.aggregate(weighted, F.lit(0), lambda acc, x: acc + x)
+
+
 def check_digit(body) -> Column:
     """Expected check digit of a digit string ``body`` (the code without its
     last digit).  Weights run 3, 1, 3, ... from the right end of the body,
     which is the EAN/UPC rule for all of EAN-8, UPC-A and EAN-13.
     NULL for an empty or NULL body."""
-    b = _col(body)
-    n = F.length(b)
-    total = F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.lit(0),
-        lambda acc, i: acc + F.substring(b, i, 1).cast("int")
-        * F.when((n - i) % 2 == 0, F.lit(3)).otherwise(F.lit(1)),
-    )
-    return F.when(n > 0, (10 - total % 10) % 10)
+    return (10 - _weighted_sum(body, 3) % 10) % 10
 
 
 def has_valid_check_digit(code) -> Column:
-    c = _col(code)
-    n = F.length(c)
-    return F.substring(c, -1, 1).cast("int") == check_digit(F.substring(c, 1, n - 1))
+    """True when the last digit is the check digit of the others: the whole
+    code weighted 1, 3, 1, ... from the right sums to a multiple of 10."""
+    return _weighted_sum(code, 1) % 10 == 0
 
 
 def is_valid(code) -> Column:
@@ -50,11 +55,10 @@ def is_valid(code) -> Column:
     and a correct check digit for lengths 8, 12 and 13.  NULL -> false."""
     c = _col(code)
     n = F.length(c)
-    digits = c.rlike("^[0-9]+$")
     return F.coalesce(
-        F.when(~digits | ~n.isin(*VALID_LENGTHS), F.lit(False))
+        F.when(~c.rlike("^[0-9]+$"), F.lit(False))
         .when(n.isin(*CHECKED_LENGTHS), has_valid_check_digit(c))
-        .otherwise(F.lit(True)),
+        .otherwise(n == 14),
         F.lit(False),
     )
 

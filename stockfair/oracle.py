@@ -499,3 +499,76 @@ SELECT transaction_type, accepted, reason, count(*) AS n, CAST(sum(quantity) AS
 FROM decisions GROUP BY transaction_type, accepted, reason""", ("movements",),
                             _ledger_ctes(None), recursive=True),
 })
+
+
+_T_US = 1_800_000_000
+_CLEAN = "regexp_replace({c}, '[^0-9]', '', 'g')"
+_SCAN_CTES = f"""
+sc AS (SELECT scan_id, scanner_id, ts, barcode,
+              {_CLEAN.format(c='barcode')} AS code FROM scans),
+v AS (SELECT *, {sql_valid_barcode('code')} AS valid FROM sc),
+vv AS (SELECT *, row_number() OVER (PARTITION BY scanner_id ORDER BY ts, scan_id) AS rn
+       FROM v WHERE valid),
+r AS (
+  SELECT scanner_id, rn, FALSE AS duplicate, code AS a_code, epoch_us(ts) AS a_us
+  FROM vv WHERE rn = 1
+  UNION ALL
+  SELECT vv.scanner_id, vv.rn,
+         (vv.code = r.a_code AND epoch_us(vv.ts) - r.a_us < {_T_US}),
+         CASE WHEN vv.code = r.a_code AND epoch_us(vv.ts) - r.a_us < {_T_US}
+              THEN r.a_code ELSE vv.code END,
+         CASE WHEN vv.code = r.a_code AND epoch_us(vv.ts) - r.a_us < {_T_US}
+              THEN r.a_us ELSE epoch_us(vv.ts) END
+  FROM r JOIN vv ON vv.scanner_id = r.scanner_id AND vv.rn = r.rn + 1),
+dedupe AS (
+  SELECT vv.scanner_id, vv.ts, vv.barcode, vv.scan_id, vv.code, vv.valid, r.duplicate
+  FROM vv JOIN r ON vv.scanner_id = r.scanner_id AND vv.rn = r.rn
+  UNION ALL
+  SELECT scanner_id, ts, barcode, scan_id, code, valid, CAST(NULL AS BOOLEAN) FROM v
+  WHERE NOT valid)"""
+
+_VARIANTS = """
+variants AS (
+  SELECT id, 'ean13' AS variant, ean_upc AS raw FROM products WHERE ean_upc IS NOT NULL
+  UNION ALL SELECT id, 'upc12', substr(ean_upc, 2, 12) FROM products WHERE ean_upc IS NOT NULL
+  UNION ALL SELECT id, 'ean8', substr(ean_upc, 6, 8) FROM products WHERE ean_upc IS NOT NULL
+  UNION ALL SELECT id, 'gtin14', '1' || ean_upc FROM products WHERE ean_upc IS NOT NULL
+  UNION ALL SELECT id, 'short', substr(ean_upc, 8, 6) FROM products WHERE ean_upc IS NOT NULL)"""
+
+_BATCH = f"""
+sc AS (SELECT scanner_id, ts, barcode, scan_id, {_CLEAN.format(c='barcode')} AS code FROM scans),
+v AS (SELECT *, {sql_valid_barcode('code')} AS valid FROM sc),
+b AS (SELECT v.*, sp.id AS product_id, sp.sku, sp.name, sp.quantity
+      FROM v LEFT JOIN {_STOCKED} sp ON v.valid AND v.code = sp.ean_upc)"""
+
+ORACLE.update({
+    "barcode_clean": sql(f"SELECT scan_id, barcode, {_CLEAN.format(c='barcode')} AS code "
+                         "FROM scans", ("scans",)),
+    "barcode_valid": sql(f"""
+SELECT id, variant, raw, {sql_valid_barcode(_CLEAN.format(c='raw'))} AS valid FROM variants""",
+                         ("products",), _VARIANTS),
+    "barcode_check_digit": sql(f"""
+SELECT id, {sql_check_digit('substr(ean_upc, 1, 12)', 12)} AS cd_body12,
+       {sql_check_digit('substr(ean_upc, 2, 11)', 11)} AS cd_body11,
+       {sql_check_digit('substr(ean_upc, 6, 7)', 7)} AS cd_body7
+FROM products WHERE ean_upc IS NOT NULL""", ("products",)),
+    "scan_dedupe": sql("SELECT * FROM dedupe", ("scans",), _SCAN_CTES, recursive=True),
+    "scan_lookup": sql(f"""
+SELECT d.scanner_id, d.ts, d.barcode, d.scan_id, d.code,
+       CASE WHEN NOT d.valid THEN 'invalid' WHEN d.duplicate THEN 'duplicate'
+            WHEN sp.id IS NOT NULL THEN 'found' ELSE 'not_found' END AS status,
+       CASE WHEN d.valid THEN sp.id END AS product_id,
+       CASE WHEN d.valid THEN sp.sku END AS sku,
+       CASE WHEN d.valid THEN sp.name END AS name,
+       CASE WHEN d.valid THEN sp.quantity END AS quantity
+FROM dedupe d LEFT JOIN {_STOCKED} sp ON d.code = sp.ean_upc""",
+                       ("scans", "products", "inventory"), _SCAN_CTES, recursive=True),
+    "batch_scan_summary": sql("""
+SELECT scanner_id, count(*) AS total,
+       CAST(count_if(valid AND product_id IS NOT NULL) AS BIGINT) AS found,
+       CAST(count_if(valid AND product_id IS NULL) AS BIGINT) AS not_found,
+       CAST(count_if(NOT valid) AS BIGINT) AS invalid
+FROM b GROUP BY scanner_id""", ("scans", "products", "inventory"), _BATCH),
+    "batch_scan_products": sql("SELECT * FROM b WHERE product_id IS NOT NULL",
+                               ("scans", "products", "inventory"), _BATCH),
+})

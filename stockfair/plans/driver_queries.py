@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockfair.functions import barcode
-from stockfair.operators import catalog, ledger, reports, stats
+from stockfair.operators import catalog, ledger, reports, scans, stats
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -298,3 +298,69 @@ def q_ledger_from_zero(spark, sf_dir):
     d = ledger.apply_ledger(_t(spark, sf_dir).movements())
     return d.groupBy("transaction_type", "accepted", "reason").agg(
         F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("units"))
+
+
+# -- barcodes and scans (B1-B6) -------------------------------------------------
+
+SCAN_TIMEOUT_S = 1800.0
+
+
+def code_variants(products: DataFrame) -> DataFrame:
+    """Codes of several lengths cut from each product's EAN-13: 13, 12 (UPC-A
+    shape), 8 (EAN-8 shape), 14 (GTIN-14 shape) and 6 digits (too short)."""
+    e = products.where(F.col("ean_upc").isNotNull()).select("id", "ean_upc")
+    variants = [("ean13", F.col("ean_upc")), ("upc12", F.substring("ean_upc", 2, 12)),
+                ("ean8", F.substring("ean_upc", 6, 8)),
+                ("gtin14", F.concat(F.lit("1"), F.col("ean_upc"))),
+                ("short", F.substring("ean_upc", 8, 6))]
+    out = None
+    for name, c in variants:
+        part = e.select("id", F.lit(name).alias("variant"), c.alias("raw"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("barcode_clean")
+def q_barcode_clean(spark, sf_dir):
+    s = _t(spark, sf_dir).scans()
+    return s.select("scan_id", "barcode", barcode.clean("barcode").alias("code"))
+
+
+@register("barcode_valid")
+def q_barcode_valid(spark, sf_dir):
+    v = code_variants(_t(spark, sf_dir).products())
+    return v.select("id", "variant", "raw", barcode.is_valid(barcode.clean("raw")).alias("valid"))
+
+
+@register("barcode_check_digit")
+def q_barcode_check_digit(spark, sf_dir):
+    p = _t(spark, sf_dir).products().where(F.col("ean_upc").isNotNull())
+    return p.select(
+        "id",
+        barcode.check_digit(F.substring("ean_upc", 1, 12)).alias("cd_body12"),
+        barcode.check_digit(F.substring("ean_upc", 2, 11)).alias("cd_body11"),
+        barcode.check_digit(F.substring("ean_upc", 6, 7)).alias("cd_body7"),
+    )
+
+
+@register("scan_dedupe")
+def q_scan_dedupe(spark, sf_dir):
+    return scans.scan_dedupe(_t(spark, sf_dir).scans(), SCAN_TIMEOUT_S)
+
+
+@register("scan_lookup")
+def q_scan_lookup(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return scans.scan_lookup(t.scans(), t.products(), t.inventory(), SCAN_TIMEOUT_S)
+
+
+@register("batch_scan_summary")
+def q_batch_scan_summary(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return scans.batch_scan_summary(t.scans(), t.products(), t.inventory())
+
+
+@register("batch_scan_products")
+def q_batch_scan_products(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return scans.batch_scan_products(t.scans(), t.products(), t.inventory())
