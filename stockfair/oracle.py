@@ -56,6 +56,19 @@ _MOVEMENTS = """
     FROM events
 """
 
+_LINES = """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag,
+           l_shipdate, CAST(year(o_orderdate) * 100 + c_nationkey AS BIGINT) AS event_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+"""
+
+_REQUEST_LINES = f"""
+    SELECT l_orderkey, l_linenumber, l_partkey, event_id, sum(l_quantity) AS l_quantity,
+           sum(l_extendedprice) AS l_extendedprice,
+           (l_orderkey * 100 + l_linenumber) * 10000000 + l_partkey AS seq
+    FROM ({_LINES}) j GROUP BY l_orderkey, l_linenumber, l_partkey, event_id
+"""
+
 VIEWS: dict[str, str] = {
     "suppliers": "SELECT s_suppkey AS id, s_name AS name FROM supplier",
     "products": f"""
@@ -157,6 +170,38 @@ VIEWS: dict[str, str] = {
 }
 
 
+VIEWS["allocation_requests"] = f"""
+    SELECT l_orderkey AS batch_id, seq, event_id, l_partkey AS product_id,
+           CAST(ceil(l_quantity / 10) AS BIGINT) AS quantity,
+           CASE WHEN l_linenumber = 1 THEN
+                CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END
+           END AS sale_price
+    FROM ({_REQUEST_LINES}) j"""
+
+
+def allocation_sheet_sql(event_id: int) -> str:
+    return f"""
+    SELECT seq,
+           CASE WHEN l_linenumber = 5 THEN 'SKU-X' || CAST(l_partkey AS VARCHAR)
+                ELSE 'SKU' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') END AS "SKU",
+           CASE WHEN l_linenumber = 3 THEN 'abc' WHEN l_linenumber = 6 THEN '2.7'
+                ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS "Quantity",
+           CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR) AS "Sale Price"
+    FROM ({_REQUEST_LINES}) j WHERE event_id = {event_id}"""
+
+
+VIEWS["quantity_true_up"] = f"""
+    SELECT event_id * 10000000000 + product_id AS seq, event_id, product_id,
+           CAST(sum(quantity) AS BIGINT) AS new_quantity
+    FROM ({VIEWS['event_sales']}) s GROUP BY event_id, product_id"""
+
+VIEWS["returned_sales"] = f"""
+    SELECT event_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
+           CASE WHEN l_quantity = 0 THEN NULL ELSE l_extendedprice / l_quantity END AS sale_price,
+           CAST(l_shipdate AS DATE) AS sale_date
+    FROM ({_LINES}) j WHERE l_returnflag = 'R'"""
+
+
 def with_views(body: str, *names: str) -> str:
     """Prefix ``body`` with the CTEs of the named views."""
     if not names:
@@ -429,12 +474,16 @@ SELECT id, regexp_replace(name, '[^\p{L}\p{N}]', '_', 'g') || '_' || CAST(id AS
 }
 
 
-def _ledger_ctes(opening_sql: str | None) -> str:
-    """Recursive fold of the movements per product, one row per step."""
+def _ledger_ctes(opening_sql: str | None, source: str = "movements",
+                 carry: tuple[str, ...] = ("reference", "notes", '"user"', "ts")) -> str:
+    """Recursive fold of stock movements per product (``source`` has seq,
+    product_id, transaction_type, quantity), one row per step, ending in a
+    ``decisions`` CTE."""
     if opening_sql is None:
-        op = "(SELECT DISTINCT product_id, CAST(0 AS BIGINT) AS opening FROM movements)"
+        op = f"(SELECT DISTINCT product_id, CAST(0 AS BIGINT) AS opening FROM {source})"
     else:
         op = opening_sql
+    carried = "".join(f", m.{c}" for c in carry)
     return f"""
 op AS {op},
 m AS (
@@ -445,7 +494,7 @@ m AS (
               WHEN mv.quantity IS NULL OR mv.quantity <= 0 THEN 'invalid_quantity'
               WHEN op.opening IS NULL AND mv.transaction_type = 'out' THEN 'unknown_product'
          END AS static_reason
-  FROM movements mv LEFT JOIN op ON mv.product_id = op.product_id),
+  FROM {source} mv LEFT JOIN op ON mv.product_id = op.product_id),
 r AS (
   SELECT product_id, rn,
          CASE WHEN static_reason IS NOT NULL THEN static_reason
@@ -467,8 +516,8 @@ r AS (
               WHEN r.balance >= m.quantity THEN r.balance - m.quantity ELSE r.balance END
   FROM r JOIN m ON m.product_id = r.product_id AND m.rn = r.rn + 1),
 decisions AS (
-  SELECT m.seq, m.product_id, m.transaction_type, m.quantity, m.reference, m.notes, m."user",
-         m.ts, r.reason IS NULL AS accepted, r.reason, r.balance AS balance_after
+  SELECT m.seq, m.product_id, m.transaction_type, m.quantity{carried},
+         r.reason IS NULL AS accepted, r.reason, r.balance AS balance_after
   FROM r JOIN m ON m.product_id = r.product_id AND m.rn = r.rn)"""
 
 
@@ -572,3 +621,151 @@ FROM b GROUP BY scanner_id""", ("scans", "products", "inventory"), _BATCH),
     "batch_scan_products": sql("SELECT * FROM b WHERE product_id IS NOT NULL",
                                ("scans", "products", "inventory"), _BATCH),
 })
+
+
+_AVAIL = """avail AS (SELECT product_id,
+                          CAST(sum(quantity) - sum(COALESCE(reserved, 0)) AS BIGINT) AS available
+                   FROM inventory GROUP BY product_id)"""
+
+_BATCH_DECISIONS = _AVAIL + """,
+bd AS (
+  SELECT r.*, a.available,
+         CAST(sum(r.quantity) OVER (PARTITION BY r.batch_id, r.product_id ORDER BY r.seq
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+             AS cum_quantity
+  FROM allocation_requests r LEFT JOIN avail a ON r.product_id = a.product_id),
+bd2 AS (
+  SELECT *, CASE WHEN quantity IS NULL OR quantity <= 0 THEN 'invalid_quantity'
+                 WHEN available IS NULL THEN 'unknown_product'
+                 WHEN cum_quantity > available THEN 'insufficient_stock' END AS reason
+  FROM bd),
+batch_decisions AS (
+  SELECT *, bool_and(reason IS NULL) OVER (PARTITION BY batch_id) AS batch_accepted FROM bd2)"""
+
+_PARSE_Q = r"""CASE WHEN regexp_full_match(trim(raw_quantity), '[+-]?[0-9]+')
+                   THEN TRY_CAST(trim(raw_quantity) AS BIGINT)
+              WHEN regexp_full_match(trim(raw_quantity),
+                                     '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')
+                   THEN CAST(trunc(CAST(trim(raw_quantity) AS DOUBLE)) AS BIGINT) END"""
+
+_Q = "'"  # a quote inside SQL text literals
+_ROWS = _AVAIL + f""",
+sheet AS ({allocation_sheet_sql(P['event_id'])}),
+by_sku AS (SELECT sku, min(id) AS product_id FROM products WHERE sku IS NOT NULL GROUP BY sku),
+s0 AS (SELECT sh.seq, sh."SKU" AS sku, sh."Quantity" AS raw_quantity,
+              TRY_CAST(sh."Sale Price" AS DOUBLE) AS sale_price, b.product_id
+       FROM sheet sh LEFT JOIN by_sku b ON sh."SKU" = b.sku),
+s1 AS (SELECT *, {_PARSE_Q} AS quantity FROM s0),
+s2 AS (SELECT *, CASE WHEN quantity IS NULL THEN 'invalid_quantity'
+                      WHEN product_id IS NULL THEN 'unknown_sku'
+                      WHEN quantity <= 0 THEN 'not_positive' END AS static FROM s1),
+moves AS (SELECT seq, product_id, 'out' AS transaction_type, quantity FROM s2
+          WHERE static IS NULL),
+""" + _ledger_ctes("""(SELECT p.id AS product_id, CAST(COALESCE(a.available, 0) AS BIGINT) AS opening
+                       FROM products p LEFT JOIN avail a ON p.id = a.product_id)""",
+                   source="moves", carry=()) + f""",
+rows_out AS (
+  SELECT CAST({P['event_id']} AS BIGINT) AS event_id, s2.seq, sku, raw_quantity,
+         s2.quantity, sale_price, s2.product_id,
+         COALESCE(d.accepted, FALSE) AS accepted,
+         CASE WHEN static IS NOT NULL THEN static WHEN NOT d.accepted THEN 'insufficient_stock'
+         END AS reason,
+         CASE WHEN static = 'invalid_quantity'
+                   THEN 'Error importing SKU {_Q}{_Q}' || COALESCE(sku, 'nan')
+                        || '{_Q}{_Q}: invalid literal for int() with base 10: {_Q}{_Q}'
+                        || COALESCE(raw_quantity, 'nan') || '{_Q}{_Q}'
+              WHEN static = 'unknown_sku'
+                   THEN 'Product with SKU {_Q}{_Q}' || COALESCE(sku, 'nan') || '{_Q}{_Q} not found'
+              WHEN static = 'not_positive'
+                   THEN 'Error importing SKU {_Q}{_Q}' || COALESCE(sku, 'nan')
+                        || '{_Q}{_Q}: quantity must be positive'
+              WHEN NOT d.accepted
+                   THEN 'Error importing SKU {_Q}{_Q}' || COALESCE(sku, 'nan')
+                        || '{_Q}{_Q}: Not enough stock for product ID ' || s2.product_id
+                        || '. Available: ' || d.balance_after || ', Requested: ' || s2.quantity
+         END AS error
+  FROM s2 LEFT JOIN decisions d ON s2.seq = d.seq)"""
+
+_REASSIGN = _AVAIL + """,
+req AS (SELECT q.seq, q.event_id, q.product_id, ep.quantity_assigned AS current_quantity,
+               q.new_quantity, q.new_quantity - ep.quantity_assigned AS delta
+        FROM quantity_true_up q LEFT JOIN event_products ep
+          ON q.event_id = ep.event_id AND q.product_id = ep.product_id),
+moves AS (SELECT seq, product_id, CASE WHEN delta > 0 THEN 'out' ELSE 'in' END AS transaction_type,
+                 abs(delta) AS quantity
+          FROM req WHERE current_quantity IS NOT NULL AND delta <> 0),
+""" + _ledger_ctes("(SELECT product_id, available AS opening FROM avail)", source="moves",
+                   carry=())
+
+_UNASSIGN = f"""
+ureq AS (SELECT DISTINCT event_id, product_id FROM event_sales
+         WHERE event_id IN (SELECT id FROM {_FAIRS_Y} fy))"""
+
+ORACLE.update({
+    "allocate_batch": sql("SELECT * FROM batch_decisions", ("inventory", "allocation_requests"),
+                          _BATCH_DECISIONS),
+    "allocation_snapshot": sql("""
+SELECT COALESCE(a.id, COALESCE(a.event_id, d.event_id) * 10000000000
+                      + COALESCE(a.product_id, d.product_id)) AS id,
+       COALESCE(a.event_id, d.event_id) AS event_id,
+       COALESCE(a.product_id, d.product_id) AS product_id,
+       CAST(COALESCE(a.quantity_assigned, 0) + COALESCE(d.add_q, 0) AS BIGINT) AS quantity_assigned,
+       COALESCE(d.price, a.event_sale_price) AS event_sale_price
+FROM event_products a FULL OUTER JOIN
+     (SELECT event_id, product_id, sum(quantity) AS add_q,
+             arg_max(sale_price, seq) FILTER (WHERE sale_price IS NOT NULL) AS price
+      FROM batch_decisions WHERE batch_accepted GROUP BY event_id, product_id) d
+  ON a.event_id = d.event_id AND a.product_id = d.product_id""",
+                               ("inventory", "allocation_requests", "event_products"),
+                               _BATCH_DECISIONS),
+    "allocate_rows": sql("SELECT * FROM rows_out", ("products", "inventory"), _ROWS,
+                         recursive=True),
+    "allocate_rows_summary": sql("""
+SELECT CAST(count_if(accepted) AS BIGINT) AS imported,
+       CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM rows_out""",
+                                 ("products", "inventory"), _ROWS, recursive=True),
+    "reassign_quantity": sql("""
+SELECT req.seq, req.event_id, req.product_id, current_quantity, new_quantity, delta,
+       CASE WHEN current_quantity IS NULL THEN FALSE WHEN delta = 0 THEN TRUE
+            ELSE d.accepted END AS accepted,
+       CASE WHEN current_quantity IS NULL THEN 'not_assigned' WHEN delta = 0 THEN NULL
+            ELSE d.reason END AS reason,
+       d.balance_after AS available_after
+FROM req LEFT JOIN decisions d ON req.seq = d.seq""",
+                             ("inventory", "event_sales", "event_products", "quantity_true_up"),
+                             _REASSIGN, recursive=True),
+    "unassign_product": sql("""
+SELECT r.event_id, r.product_id, ep.quantity_assigned AS released,
+       ep.quantity_assigned IS NOT NULL AS accepted,
+       CASE WHEN ep.quantity_assigned IS NULL THEN 'not_assigned' END AS reason
+FROM ureq r LEFT JOIN event_products ep
+  ON r.event_id = ep.event_id AND r.product_id = ep.product_id""",
+                            ("event_sales", "event_products", "fairs"), _UNASSIGN),
+    "unassign_available": sql("""
+SELECT a.product_id, CAST(a.available + COALESCE(b.back, 0) AS BIGINT) AS available
+FROM avail a LEFT JOIN (SELECT ep.product_id, sum(ep.quantity_assigned) AS back
+                        FROM event_products ep JOIN ureq r
+                          ON r.event_id = ep.event_id AND r.product_id = ep.product_id
+                        GROUP BY ep.product_id) b ON a.product_id = b.product_id""",
+                              ("inventory", "event_sales", "event_products", "fairs"),
+                              _AVAIL + "," + _UNASSIGN),
+    "update_event": sql(f"""
+SELECT * REPLACE (CASE WHEN id = {P['edit_event_id']} THEN '{P['edit_value']}'
+                       ELSE {P['edit_column']} END AS {P['edit_column']})
+FROM annual_events""", ("annual_events",)),
+    "delete_event": sql(f"SELECT * FROM annual_events WHERE id <> {P['edit_event_id']}",
+                        ("annual_events",)),
+    "create_events": sql("""
+SELECT * FROM annual_events
+UNION ALL BY NAME
+SELECT (SELECT COALESCE(max(id), 0) FROM annual_events) + row_number() OVER (ORDER BY f.id) AS id,
+       f.name AS nome, strftime(f.start_date, '%Y-%m-%d') AS data, f.location AS localita
+FROM fairs f""", ("annual_events", "fairs")),
+    "record_sales": sql("""
+SELECT r.*, reason IS NULL AS accepted FROM (
+  SELECT r.*, CASE WHEN r.quantity IS NULL OR r.quantity <= 0 THEN 'invalid_quantity'
+                   WHEN k.event_id IS NULL THEN 'not_assigned' END AS reason
+  FROM returned_sales r LEFT JOIN (SELECT DISTINCT event_id, product_id FROM event_products) k
+    ON r.event_id = k.event_id AND r.product_id = k.product_id) r""",
+                        ("returned_sales", "event_products")),
+})

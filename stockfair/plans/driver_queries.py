@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockfair.functions import barcode
-from stockfair.operators import catalog, ledger, reports, scans, stats
+from stockfair.operators import allocation, catalog, fairs, ledger, reports, scans, stats
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -364,3 +364,92 @@ def q_batch_scan_summary(spark, sf_dir):
 def q_batch_scan_products(spark, sf_dir):
     t = _t(spark, sf_dir)
     return scans.batch_scan_products(t.scans(), t.products(), t.inventory())
+
+
+# -- allocation to fairs and fair edits (M5-M12) ------------------------------------
+
+PARAMS.update({"edit_event_id": 42, "edit_column": "regione", "edit_value": "Lazio"})
+
+
+def _available(t: DriverTables) -> DataFrame:
+    return allocation.available_stock(t.inventory())
+
+
+def batch_decisions(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return allocation.allocate_batch(t.allocation_requests(), _available(t))
+
+
+@register("allocate_batch")
+def q_allocate_batch(spark, sf_dir):
+    return batch_decisions(spark, sf_dir)
+
+
+@register("allocation_snapshot")
+def q_allocation_snapshot(spark, sf_dir):
+    return allocation.allocation_snapshot(batch_decisions(spark, sf_dir),
+                                          _t(spark, sf_dir).event_products())
+
+
+@register("allocate_rows")
+def q_allocate_rows(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return allocation.allocate_rows(t.allocation_sheet(PARAMS["event_id"]), t.products(),
+                                    _available(t), PARAMS["event_id"])
+
+
+@register("allocate_rows_summary")
+def q_allocate_rows_summary(spark, sf_dir):
+    return allocation.allocate_rows_summary(q_allocate_rows(spark, sf_dir))
+
+
+@register("reassign_quantity")
+def q_reassign_quantity(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return allocation.reassign_quantity(t.quantity_true_up(), t.event_products(), _available(t))
+
+
+def _unassign_requests(t: DriverTables) -> DataFrame:
+    fy = catalog.fairs_in_year(t.fairs(), PARAMS["year"]).select(F.col("id").alias("event_id"))
+    return (t.event_sales().join(fy, "event_id", "left_semi")
+            .select("event_id", "product_id").distinct())
+
+
+@register("unassign_product")
+def q_unassign_product(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return allocation.unassign_product(_unassign_requests(t), t.event_products())
+
+
+@register("unassign_available")
+def q_unassign_available(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, avail = allocation.unassign_snapshot(_unassign_requests(t), t.event_products(),
+                                            _available(t))
+    return avail
+
+
+@register("update_event")
+def q_update_event(spark, sf_dir):
+    return fairs.update_event(_t(spark, sf_dir).annual_events(), PARAMS["edit_event_id"],
+                              PARAMS["edit_column"], PARAMS["edit_value"])
+
+
+@register("delete_event")
+def q_delete_event(spark, sf_dir):
+    return fairs.delete_event(_t(spark, sf_dir).annual_events(), PARAMS["edit_event_id"])
+
+
+@register("create_events")
+def q_create_events(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rows = t.fairs().select(F.col("id").alias("seq"), F.col("name").alias("nome"),
+                            F.date_format("start_date", "yyyy-MM-dd").alias("data"),
+                            F.col("location").alias("localita"))
+    return fairs.create_events(t.annual_events(), rows)
+
+
+@register("record_sales")
+def q_record_sales(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return fairs.record_sales(t.returned_sales(), t.event_products())

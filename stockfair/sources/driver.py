@@ -212,6 +212,70 @@ class DriverTables:
             F.concat(F.lit("Fair in "), F.col("n_name")).alias("description"),
         )
 
+    # -- request tables for the allocation and edit jobs ----------------------
+    def _lines(self) -> DataFrame:
+        li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
+                                         "l_extendedprice", "l_returnflag", "l_shipdate")
+        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        c = self.raw("customer").select("c_custkey", "c_nationkey")
+        return (li.join(o, li.l_orderkey == o.o_orderkey)
+                .join(c, F.col("o_custkey") == F.col("c_custkey"))
+                .withColumn("event_id",
+                            (F.year("o_orderdate") * 100 + F.col("c_nationkey")).cast("long")))
+
+    def _request_lines(self) -> DataFrame:
+        """Order lines keyed by (order, line number, part) -- the generated
+        lineitem repeats that key a few times, so repeats are summed -- with a
+        unique request number ``seq``."""
+        g = self._lines().groupBy("l_orderkey", "l_linenumber", "l_partkey", "event_id").agg(
+            F.sum("l_quantity").alias("l_quantity"),
+            F.sum("l_extendedprice").alias("l_extendedprice"))
+        return g.withColumn("seq", (F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+                            * 10_000_000 + F.col("l_partkey"))
+
+    def allocation_requests(self) -> DataFrame:
+        """One batch per order: its lines request ceil(quantity / 10) units of
+        the part for the order's fair; line 1 carries a fair price."""
+        j = self._request_lines()
+        return j.select(
+            F.col("l_orderkey").alias("batch_id"), "seq", "event_id",
+            F.col("l_partkey").alias("product_id"),
+            F.ceil(F.col("l_quantity") / 10).cast("long").alias("quantity"),
+            F.when(F.col("l_linenumber") == 1,
+                   F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))).alias("sale_price"),
+        )
+
+    def allocation_sheet(self, event_id: int) -> DataFrame:
+        """Import sheet of one fair: its order lines as SKU / Quantity text
+        rows, with unknown skus (line 5), a non-number (line 3) and a decimal
+        quantity (line 6)."""
+        j = self._request_lines().where(F.col("event_id") == F.lit(event_id))
+        ln, k = F.col("l_linenumber"), F.col("l_partkey")
+        sku = F.when(ln == 5, F.concat(F.lit("SKU-X"), k.cast("string"))).otherwise(
+            F.concat(F.lit("SKU"), F.lpad(k.cast("string"), 6, "0")))
+        qty = (F.when(ln == 3, F.lit("abc")).when(ln == 6, F.lit("2.7"))
+               .otherwise(F.col("l_quantity").cast("long").cast("string")))
+        return j.select("seq", sku.alias("SKU"), qty.alias("Quantity"),
+                        F.col("l_extendedprice").cast("long").cast("string").alias("Sale Price"))
+
+    def quantity_true_up(self) -> DataFrame:
+        """Requests to set each (fair, product) assignment to the quantity
+        sold there."""
+        s = self.event_sales()
+        return s.groupBy("event_id", "product_id").agg(
+            F.sum("quantity").cast("long").alias("new_quantity")).select(
+            (F.col("event_id") * 10_000_000_000 + F.col("product_id")).alias("seq"),
+            "event_id", "product_id", "new_quantity")
+
+    def returned_sales(self) -> DataFrame:
+        """Returned order lines offered as new fair sales."""
+        j = self._lines().where(F.col("l_returnflag") == "R")
+        return j.select("event_id", F.col("l_partkey").alias("product_id"),
+                        F.col("l_quantity").cast("long").alias("quantity"),
+                        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))
+                        .alias("sale_price"),
+                        F.col("l_shipdate").cast("date").alias("sale_date"))
+
     @cached_property
     def all(self) -> dict[str, DataFrame]:
         names = ("suppliers", "products", "inventory", "movements", "inventory_transactions",
