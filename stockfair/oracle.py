@@ -769,3 +769,225 @@ SELECT r.*, reason IS NULL AS accepted FROM (
     ON r.event_id = k.event_id AND r.product_id = k.product_id) r""",
                         ("returned_sales", "event_products")),
 })
+
+
+# -- price-list import ---------------------------------------------------------
+
+from stockfair.operators import ingest as _ing  # noqa: E402
+from stockfair.sources.driver import PRICE_LIST_FILES as _FILES  # noqa: E402
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _price_list_lines_sql() -> str:
+    k, v = "p_partkey", "p_partkey % 10"
+    fid = "CAST(floor(p_partkey / 25) % 4 AS INTEGER)"
+    file = f"({_sql_list(_FILES)})[{fid} + 1]"
+    ks = f"CAST({k} AS VARCHAR)"
+    article = (f"CASE WHEN {v} IN (0, 8) THEN 'NEW' || {ks} "
+               f"WHEN {v} = 5 THEN 'NEW' || CAST({k} - 5 AS VARCHAR) WHEN {v} = 6 THEN '' "
+               f"ELSE 'SKU' || lpad({ks}, 6, '0') END")
+    ean = (f"CASE WHEN {v} IN (0, 8) THEN '81' || lpad({ks}, 11, '0') "
+           f"WHEN {v} IN (1, 3, 4, 7) AND {k} % 11 <> 0 THEN {sql_ean_for_part(k)} ELSE '' END")
+    price = "CAST(p_retailprice AS DECIMAL(18,2))"
+    dealer = (f"CASE WHEN {v} = 4 THEN 'n/a' ELSE CAST(CAST(round({price} * CAST(0.5 AS DECIMAL(2,1)), 2) "
+              f"AS DECIMAL(18,2)) AS VARCHAR) END")
+    status = f"CASE WHEN {k} % 3 = 0 THEN 'discontinued' ELSE 'active' END"
+    brand = f"CASE WHEN {fid} = 1 THEN 'BIS Srl' ELSE p_brand END"
+    descr = f"CASE WHEN {v} = 7 THEN '' ELSE p_brand || ' ' || p_type END"
+
+    def line(model, retail):
+        return (f"{article} || ',' || {ean} || ',' || {model} || "
+                f"CASE WHEN {fid} <> 3 THEN ',' || {descr} ELSE '' END || ',' || {dealer} "
+                f"|| ',' || {retail} || ',' || {status} || ',' || p_type || ',' || {brand} || "
+                f"CASE WHEN {fid} = 0 THEN ',' ELSE '' END")
+
+    model = f"CASE WHEN {v} = 3 THEN '' ELSE p_name END"
+    retail = f"CAST({price} AS VARCHAR)"
+    header = ("'Article #,EAN Code,Model Name' || CASE WHEN fid <> 3 THEN ',Description' ELSE '' END "
+              "|| ',Dealer Price,Suggested Retail,Status,Product Line,Brand' || "
+              "CASE WHEN fid = 0 THEN ',Notes' ELSE '' END")
+    return f"""
+    SELECT {file} AS file, CAST({k} * 2 + 10 AS BIGINT) AS line_no, {line(model, retail)} AS line
+    FROM part
+    UNION ALL
+    SELECT {file}, CAST({k} * 2 + 11 AS BIGINT), {line("p_name || ' v2'",
+                                                       f"CAST(CAST({price} + 1 AS DECIMAL(18,2)) AS VARCHAR)")}
+    FROM part WHERE {v} = 0
+    UNION ALL
+    SELECT file, CAST(x.line_no AS BIGINT), x.line FROM (
+      SELECT file, fid, unnest([{{'line_no': 0, 'line': 'Listino prezzi 2025'}},
+                                {{'line_no': 1, 'line': ''}},
+                                {{'line_no': 2, 'line': {header}}}]) AS x
+      FROM (SELECT DISTINCT {fid} AS fid, {file} AS file FROM part) f) h"""
+
+
+VIEWS["price_list_lines"] = _price_list_lines_sql()
+
+_KW = "|".join(_ing.HEADER_KEYWORDS)
+
+
+def _first_supplier(text: str) -> str:
+    whens = " ".join(f"WHEN contains({text}, '{p}') THEN '{n}'" for p, n in _ing.SUPPLIER_PATTERNS)
+    return f"CASE {whens} END"
+
+
+def _field_rank(field_patterns) -> str:
+    whens = " ".join(f"WHEN contains(lower(\"column\"), '{p}') THEN {i}"
+                     for i, p in enumerate(field_patterns))
+    return f"CASE {whens} END"
+
+
+_MAPPING_UNION = "\n  UNION ALL\n".join(
+    f"""  SELECT file, '{f}' AS field, arg_min("column", rk) AS "column", arg_min(col, rk) AS col
+  FROM (SELECT *, {_field_rank(ps)} * 1000000 + col AS rk FROM dcols) x
+  WHERE rk IS NOT NULL GROUP BY file""" for f, ps in _ing.FIELD_PATTERNS)
+
+_IMPORT = f"""
+cells AS (
+  SELECT file, line_no, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS col,
+         NULLIF(unnest(arr), '') AS cell
+  FROM (SELECT *, string_split(line, ',') AS arr FROM price_list_lines) l),
+ranked AS (SELECT file, line_no,
+                  row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS row
+           FROM price_list_lines),
+hits AS (
+  SELECT c.file, c.line_no, r.row,
+         count_if(regexp_matches(lower(COALESCE(c.cell, 'nan')), '{_KW}')) AS hits
+  FROM cells c JOIN ranked r ON c.file = r.file AND c.line_no = r.line_no
+  WHERE r.row < {_ing.HEADER_WINDOW} GROUP BY c.file, c.line_no, r.row),
+header AS (
+  SELECT d.file, CAST(COALESCE(h.hrow, 0) AS BIGINT) AS header_row,
+         COALESCE(h.hline, d.line_no) AS header_line
+  FROM (SELECT file, line_no FROM ranked WHERE row = 0) d
+  LEFT JOIN (SELECT file, min(row) AS hrow, arg_min(line_no, row) AS hline FROM hits
+             WHERE hits >= {_ing.HEADER_MIN_HITS} GROUP BY file) h ON d.file = h.file),
+head AS (SELECT c.file, c.col, c.cell FROM cells c JOIN header h
+         ON c.file = h.file AND c.line_no = h.header_line),
+data AS (SELECT c.* FROM cells c JOIN header h ON c.file = h.file AND c.line_no > h.header_line),
+filled AS (SELECT DISTINCT file, col FROM data WHERE cell IS NOT NULL),
+labels AS (SELECT file, col, COALESCE(cell, 'Unnamed: ' || CAST(col AS VARCHAR)) AS label
+           FROM head),
+dcols AS (
+  SELECT l.file, l.col, CASE WHEN rn = 0 THEN label ELSE label || '.' || CAST(rn AS VARCHAR) END
+             AS "column"
+  FROM (SELECT *, row_number() OVER (PARTITION BY file, label ORDER BY col) - 1 AS rn
+        FROM labels) l
+  WHERE EXISTS (SELECT 1 FROM filled f WHERE f.file = l.file AND f.col = l.col)),
+mapping AS (
+{_MAPPING_UNION}),
+content AS (
+  SELECT c.file, arg_min(s.sup, r.row * 1000000 + c.col) AS content
+  FROM cells c JOIN ranked r ON c.file = r.file AND c.line_no = r.line_no,
+       LATERAL (SELECT {_first_supplier("lower(COALESCE(c.cell, 'nan'))")} AS sup) s
+  WHERE r.row BETWEEN 1 AND {_ing.SUPPLIER_WINDOW} AND s.sup IS NOT NULL
+  GROUP BY c.file),
+guess AS (
+  SELECT f.file, COALESCE({_first_supplier("lower(f.file)")}, c.content,
+                          regexp_replace(lower(f.file), '^(.+)\\.[^.]*$', '\\1')) AS supplier
+  FROM (SELECT DISTINCT file FROM price_list_lines) f LEFT JOIN content c ON f.file = c.file),
+mapped AS (SELECT file, list_sort(list(field)) AS mapped FROM mapping GROUP BY file),
+dcells AS (SELECT d.file, d.line_no, m.field, d.cell FROM data d
+           JOIN mapping m ON d.file = m.file AND d.col = m.col),
+wide AS (
+  SELECT file, line_no,
+         {", ".join(f"max(CASE WHEN field = '{f}' THEN cell END) AS {f}" for f in _ing.FIELDS)}
+  FROM dcells GROUP BY file, line_no),
+clean AS (
+  SELECT w.file, w.line_no,
+         {", ".join(("CASE WHEN isnan(TRY_CAST(w.{0} AS DOUBLE)) THEN NULL "
+                     "ELSE TRY_CAST(w.{0} AS DOUBLE) END AS {0}").format(f)
+                    if f in _ing.PRICE_FIELDS else f"w.{f}" for f in _ing.FIELDS)},
+         m.mapped
+  FROM wide w JOIN mapped m ON w.file = m.file WHERE w.name IS NOT NULL),
+new_sup AS (SELECT DISTINCT supplier AS name FROM guess
+            WHERE supplier IS NOT NULL AND supplier NOT IN (SELECT name FROM suppliers)),
+all_suppliers AS (
+  SELECT id, name FROM suppliers
+  UNION ALL
+  SELECT (SELECT COALESCE(max(id), 0) FROM suppliers) + row_number() OVER (ORDER BY name), name
+  FROM new_sup),
+file_sup AS (SELECT g.file, s.id AS supplier_id FROM guess g JOIN all_suppliers s
+             ON g.supplier = s.name),
+matched AS (
+  SELECT c.*, COALESCE(e.pid_e, s.pid_s) AS pid,
+         dense_rank() OVER (ORDER BY c.file, c.line_no) AS pos
+  FROM (SELECT * REPLACE (CASE WHEN trim(ean_upc) = '' THEN NULL ELSE ean_upc END AS ean_upc,
+                          CASE WHEN trim(sku) = '' THEN NULL ELSE sku END AS sku) FROM clean) c
+  LEFT JOIN (SELECT ean_upc, min(id) AS pid_e FROM products WHERE ean_upc IS NOT NULL
+             GROUP BY ean_upc) e ON c.ean_upc = e.ean_upc
+  LEFT JOIN (SELECT sku, min(id) AS pid_s FROM products WHERE sku IS NOT NULL GROUP BY sku) s
+         ON c.sku = s.sku),
+newr AS (
+  SELECT n.*, CASE WHEN ef.e_first < n.pos THEN ef.e_first
+                   WHEN sf.s_first < n.pos THEN sf.s_first ELSE n.pos END AS parent
+  FROM (SELECT * FROM matched WHERE pid IS NULL) n
+  LEFT JOIN (SELECT ean_upc, min(pos) AS e_first FROM matched
+             WHERE pid IS NULL AND ean_upc IS NOT NULL GROUP BY ean_upc) ef
+         ON n.ean_upc = ef.ean_upc
+  LEFT JOIN (SELECT sku, min(pos) AS s_first FROM matched
+             WHERE pid IS NULL AND sku IS NOT NULL GROUP BY sku) sf ON n.sku = sf.sku),
+l0 AS (SELECT pos AS p, parent AS r FROM newr),
+l1 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l0 a LEFT JOIN l0 b ON a.r = b.p),
+l2 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l1 a LEFT JOIN l1 b ON a.r = b.p),
+l3 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l2 a LEFT JOIN l2 b ON a.r = b.p),
+resolved AS (
+  SELECT m.*, l3.r AS root FROM matched m LEFT JOIN l3 ON m.pos = l3.p),
+resolved_s AS (SELECT r.*, fs.supplier_id FROM resolved r LEFT JOIN file_sup fs
+               ON r.file = fs.file)"""
+
+_IMPORT_VIEWS = ("price_list_lines", "suppliers", "products")
+
+
+def _agg_last(f: str) -> str:
+    return (f"arg_max({{'v': {f}}}, pos) FILTER (WHERE list_contains(mapped, '{f}')) AS _{f}")
+
+
+_UPSERT = _IMPORT + f""",
+upd AS (
+  SELECT pid, {", ".join(_agg_last(f) for f in _ing.PRODUCT_FIELDS)},
+         arg_max(supplier_id, pos) FILTER (WHERE supplier_id IS NOT NULL) AS _supplier_id
+  FROM resolved_s WHERE pid IS NOT NULL GROUP BY pid),
+ins AS (
+  SELECT root, {", ".join(_agg_last(f) for f in _ing.PRODUCT_FIELDS)},
+         arg_max(supplier_id, pos) FILTER (WHERE supplier_id IS NOT NULL) AS _supplier_id
+  FROM resolved_s WHERE pid IS NULL GROUP BY root),
+base AS (SELECT *, CAST(NULL AS VARCHAR) AS status FROM products),
+new_products AS (
+  SELECT b.* FROM base b WHERE b.id NOT IN (SELECT pid FROM upd)
+  UNION ALL BY NAME
+  SELECT b.id, COALESCE(u._supplier_id, b.supplier_id) AS supplier_id,
+         {", ".join(f"CASE WHEN u._{f} IS NOT NULL THEN u._{f}.v ELSE b.{f} END AS {f}"
+                    for f in _ing.PRODUCT_FIELDS)}
+  FROM base b JOIN upd u ON b.id = u.pid
+  UNION ALL BY NAME
+  SELECT (SELECT COALESCE(max(id), 0) FROM products) + row_number() OVER (ORDER BY root) AS id,
+         _supplier_id AS supplier_id,
+         {", ".join(f"_{f}.v AS {f}" for f in _ing.PRODUCT_FIELDS)}
+  FROM ins)"""
+
+ORACLE.update({
+    "detect_header_row": sql("SELECT * FROM header", _IMPORT_VIEWS, _IMPORT),
+    "guess_supplier": sql("SELECT * FROM guess", _IMPORT_VIEWS, _IMPORT),
+    "detect_columns": sql("SELECT * FROM mapping", _IMPORT_VIEWS, _IMPORT),
+    "drop_empty": sql("""
+SELECT d.file, d.line_no, d.col, c."column", d.cell FROM data d
+JOIN dcols c ON d.file = c.file AND d.col = c.col
+WHERE EXISTS (SELECT 1 FROM data x WHERE x.file = d.file AND x.line_no = d.line_no
+              AND x.cell IS NOT NULL)""", _IMPORT_VIEWS, _IMPORT),
+    "clean_products": sql("SELECT * REPLACE (array_to_string(mapped, ',') AS mapped) FROM clean",
+                          _IMPORT_VIEWS, _IMPORT),
+    "get_or_create_supplier": sql("SELECT * FROM all_suppliers", _IMPORT_VIEWS, _IMPORT),
+    "match_products": sql("SELECT file, line_no, ean_upc, sku, name, pid FROM matched",
+                          _IMPORT_VIEWS, _IMPORT),
+    "upsert_products": sql("SELECT * FROM new_products", _IMPORT_VIEWS, _UPSERT),
+    "import_stats": sql("""
+SELECT file, CAST(count_if(pid IS NULL AND root = pos) AS BIGINT) AS products_added,
+       CAST(count_if(NOT (pid IS NULL AND root = pos)) AS BIGINT) AS products_updated
+FROM resolved GROUP BY file""", _IMPORT_VIEWS, _IMPORT),
+    "init_inventory": sql("""
+SELECT id AS product_id, CAST(0 AS BIGINT) AS quantity FROM new_products
+WHERE id NOT IN (SELECT id FROM products)""", _IMPORT_VIEWS, _UPSERT),
+})

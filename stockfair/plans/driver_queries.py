@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockfair.functions import barcode
-from stockfair.operators import allocation, catalog, fairs, ledger, reports, scans, stats
+from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, scans,
+                                 sheet_import, stats)
+from stockfair.plans import catalogue_import
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -453,3 +455,105 @@ def q_create_events(spark, sf_dir):
 def q_record_sales(spark, sf_dir):
     t = _t(spark, sf_dir)
     return fairs.record_sales(t.returned_sales(), t.event_products())
+
+
+# -- price-list import (S2, S3, S7, I1-I11) and event sheet import (I12-I18, K5) --------
+
+def _import(t: DriverTables):
+    return catalogue_import.plan_import(t.price_list_lines(), t.suppliers())
+
+
+@register("detect_header_row")
+def q_detect_header_row(spark, sf_dir):
+    return ingest.detect_header_row(_t(spark, sf_dir).price_list_lines())
+
+
+@register("guess_supplier")
+def q_guess_supplier(spark, sf_dir):
+    return ingest.guess_supplier(_t(spark, sf_dir).price_list_lines())
+
+
+@register("detect_columns")
+def q_detect_columns(spark, sf_dir):
+    return _import(_t(spark, sf_dir)).mapping
+
+
+@register("drop_empty")
+def q_drop_empty(spark, sf_dir):
+    lines = _t(spark, sf_dir).price_list_lines()
+    return ingest.drop_empty(lines, ingest.detect_header_row(lines))
+
+
+@register("clean_products")
+def q_clean_products(spark, sf_dir):
+    rows = _import(_t(spark, sf_dir)).rows
+    return rows.withColumn("mapped", F.array_join("mapped", ","))
+
+
+@register("get_or_create_supplier")
+def q_get_or_create_supplier(spark, sf_dir):
+    return _import(_t(spark, sf_dir)).suppliers
+
+
+@register("match_products")
+def q_match_products(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    m = ingest.match_products(t.products(), _import(t).rows)
+    return m.select("file", "line_no", "ean_upc", "sku", "name", "pid")
+
+
+@register("upsert_products")
+def q_upsert_products(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return _import(t).products(t.products())
+
+
+@register("import_stats")
+def q_import_stats(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return _import(t).stats(t.products())
+
+
+@register("init_inventory")
+def q_init_inventory(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return ingest.init_inventory(t.products(), _import(t).products(t.products()))
+
+
+@register("ingest_annual_events")
+def q_ingest_annual_events(spark, sf_dir):
+    return sheet_import.ingest_annual_events(_t(spark, sf_dir).event_sheet(), "_row")
+
+
+@register("ingest_rejects")
+def q_ingest_rejects(spark, sf_dir):
+    return sheet_import.ingest_rejects(_t(spark, sf_dir).event_sheet(), "_row")
+
+
+@register("normalise_event_date")
+def q_normalise_event_date(spark, sf_dir):
+    s = _t(spark, sf_dir).event_sheet()
+    return s.select(F.col("_row").alias("id"), F.col("Data").alias("raw"),
+                    sheet_import.normalise_event_date(F.col("Data")).alias("data"))
+
+
+@register("profile_table")
+def q_profile_table(spark, sf_dir):
+    return sheet_import.profile_table(_t(spark, sf_dir).event_sheet().drop("_row"))
+
+
+@register("profile_columns")
+def q_profile_columns(spark, sf_dir):
+    return sheet_import.profile_columns(_t(spark, sf_dir).event_sheet().drop("_row"))
+
+
+@register("scan_annual_events")
+def q_scan_annual_events(spark, sf_dir):
+    return _t(spark, sf_dir).annual_events()
+
+
+@register("constraint_report")
+def q_constraint_report(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return sheet_import.constraint_report(t.suppliers(), t.products(), t.inventory(),
+                                          t.inventory_transactions())

@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from stockfair import schemas
 from stockfair.functions import barcode
 
+# File names of the derived price lists.
+PRICE_LIST_FILES = ("ffwd_listino.csv", "listino_2025.csv", "catalogo_premium.csv", "prezzi.csv")
+
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -276,6 +279,80 @@ class DriverTables:
                         .alias("sale_price"),
                         F.col("l_shipdate").cast("date").alias("sale_date"))
 
+    # -- sheets for the import jobs ------------------------------------------
+    def price_list_lines(self) -> DataFrame:
+        """Supplier price lists as CSV text lines (file, line_no, line), four
+        files; see FIXTURES.md F5 for the row kinds (by part key % 10)."""
+        p = self.raw("part")
+        k, v = F.col("p_partkey"), F.col("p_partkey") % 10
+        fid = (F.floor(k / 25) % 4).cast("int")
+        file = F.element_at(F.array(*[F.lit(n) for n in PRICE_LIST_FILES]), fid + 1)
+        ks = k.cast("string")
+        article = (F.when(v.isin(0, 8), F.concat(F.lit("NEW"), ks))
+                   .when(v == 5, F.concat(F.lit("NEW"), (k - 5).cast("string")))
+                   .when(v == 6, F.lit("")).otherwise(F.concat(F.lit("SKU"), F.lpad(ks, 6, "0"))))
+        ean = (F.when(v.isin(0, 8), F.concat(F.lit("81"), F.lpad(ks, 11, "0")))
+               .when(v.isin(1, 3, 4, 7) & (k % 11 != 0), ean_for_part(k)).otherwise(F.lit("")))
+        model = F.when(v == 3, F.lit("")).otherwise(F.col("p_name"))
+        descr = F.when(v == 7, F.lit("")).otherwise(F.concat_ws(" ", "p_brand", "p_type"))
+        price = F.col("p_retailprice").cast("decimal(18,2)")
+        dealer = F.when(v == 4, F.lit("n/a")).otherwise(
+            F.round(price * F.lit(Decimal("0.5")), 2).cast("decimal(18,2)").cast("string"))
+        retail = price.cast("string")
+        status = F.when(k % 3 == 0, F.lit("discontinued")).otherwise(F.lit("active"))
+        brand = F.when(fid == 1, F.lit("BIS Srl")).otherwise(F.col("p_brand"))
+
+        def line(model_c, retail_c):
+            return F.concat(article, F.lit(","), ean, F.lit(","), model_c,
+                            F.when(fid != 3, F.concat(F.lit(","), descr)).otherwise(F.lit("")),
+                            F.lit(","), dealer, F.lit(","), retail_c, F.lit(","), status,
+                            F.lit(","), F.col("p_type"), F.lit(","), brand,
+                            F.when(fid == 0, F.lit(",")).otherwise(F.lit("")))
+
+        rows = p.select(file.alias("file"), (k * 2 + 10).alias("line_no"),
+                        line(model, retail).alias("line"))
+        dups = p.where(v == 0).select(
+            file.alias("file"), (k * 2 + 11).alias("line_no"),
+            line(F.concat(F.col("p_name"), F.lit(" v2")),
+                 (price + 1).cast("decimal(18,2)").cast("string")).alias("line"))
+        files = p.select(fid.alias("fid"), file.alias("file")).distinct()
+        header = F.concat(
+            F.lit("Article #,EAN Code,Model Name"),
+            F.when(F.col("fid") != 3, F.lit(",Description")).otherwise(F.lit("")),
+            F.lit(",Dealer Price,Suggested Retail,Status,Product Line,Brand"),
+            F.when(F.col("fid") == 0, F.lit(",Notes")).otherwise(F.lit("")))
+        heads = files.select("file", F.explode(F.array(
+            F.struct(F.lit(0).cast("long").alias("line_no"), F.lit("Listino prezzi 2025").alias("line")),
+            F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("").alias("line")),
+            F.struct(F.lit(2).cast("long").alias("line_no"), header.alias("line")))).alias("x"))
+        heads = heads.select("file", "x.line_no", "x.line")
+        return heads.unionByName(rows).unionByName(dups)
+
+    def event_sheet(self) -> DataFrame:
+        """The yearly event sheet as it arrives: raw headers, text cells,
+        with a row id ``_row``; some cells do not fit their column."""
+        o = self.raw("orders")
+        k = F.col("o_orderkey")
+        data = (F.when(k % 83 == 0, F.lit(None))
+                .when(k % 89 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+                .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")))
+        total = F.col("o_totalprice").cast("decimal(18,2)")
+        return o.select(
+            k.alias("_row"),
+            F.concat(F.lit("Q"), F.quarter("o_orderdate").cast("string")).alias("Periodo"),
+            F.when(k % 97 == 0, F.lit("uno")).otherwise(F.lit("1")).alias("N° Eventi"),
+            data.alias("Data"),
+            F.concat(F.lit("EV"), k.cast("string")).alias("Nome"),
+            F.when(k % 2 == 0, F.lit("FFWD")).alias("EXPO.1"),
+            F.col("o_orderpriority").alias("Località"),
+            total.cast("string").alias("Incassi"),
+            F.when(k % 71 == 0, F.lit("n/d"))
+            .otherwise(F.round(total * F.lit(Decimal("0.3")), 2).cast("decimal(18,2)")
+                       .cast("string")).alias("Costi Reali"),
+            F.when(k % 5 == 0, F.lit("12.5")).alias("Vitto & Alloggio"),
+            F.lit("x").alias("Colonna Extra"),
+        )
+
     @cached_property
     def all(self) -> dict[str, DataFrame]:
         names = ("suppliers", "products", "inventory", "movements", "inventory_transactions",
