@@ -991,3 +991,116 @@ FROM resolved GROUP BY file""", _IMPORT_VIEWS, _IMPORT),
 SELECT id AS product_id, CAST(0 AS BIGINT) AS quantity FROM new_products
 WHERE id NOT IN (SELECT id FROM products)""", _IMPORT_VIEWS, _UPSERT),
 })
+
+
+# -- event sheet import, profile, constraints -------------------------------------------
+
+def _event_sheet_sql() -> str:
+    k = "o_orderkey"
+    total = "CAST(o_totalprice AS DECIMAL(18,2))"
+    return f"""
+    SELECT {k} AS _row, 'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS "Periodo",
+           CASE WHEN {k} % 97 = 0 THEN 'uno' ELSE '1' END AS "N° Eventi",
+           CASE WHEN {k} % 83 = 0 THEN NULL
+                WHEN {k} % 89 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
+                ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS "Data",
+           'EV' || CAST({k} AS VARCHAR) AS "Nome",
+           CASE WHEN {k} % 2 = 0 THEN 'FFWD' END AS "EXPO.1",
+           o_orderpriority AS "Località",
+           CAST({total} AS VARCHAR) AS "Incassi",
+           CASE WHEN {k} % 71 = 0 THEN 'n/d'
+                ELSE CAST(CAST(round({total} * CAST(0.3 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2))
+                          AS VARCHAR) END AS "Costi Reali",
+           CASE WHEN {k} % 5 = 0 THEN '12.5' END AS "Vitto & Alloggio",
+           'x' AS "Colonna Extra"
+    FROM orders"""
+
+
+VIEWS["event_sheet"] = _event_sheet_sql()
+
+# Which raw header feeds which column, as the Spark job decides it.
+_EVENT_TYPED = """
+typed AS (
+  SELECT CAST(_row AS BIGINT) AS id,
+         "Periodo" AS periodo,
+         TRY_CAST(trim("N° Eventi") AS BIGINT) AS num_eventi,
+         COALESCE(strftime(TRY_CAST("Data" AS TIMESTAMP), '%Y-%m-%d'), "Data") AS data,
+         "Nome" AS nome, "EXPO.1" AS expo_brand, "Località" AS localita,
+         TRY_CAST(trim("Incassi") AS DOUBLE) AS incassi,
+         TRY_CAST(trim("Costi Reali") AS DOUBLE) AS costi_reali,
+         TRY_CAST(trim("Vitto & Alloggio") AS DOUBLE) AS vitto_alloggio,
+         list_filter([CASE WHEN "N° Eventi" IS NOT NULL
+                            AND TRY_CAST(trim("N° Eventi") AS BIGINT) IS NULL THEN 'num_eventi' END,
+                      CASE WHEN "Vitto & Alloggio" IS NOT NULL
+                            AND TRY_CAST(trim("Vitto & Alloggio") AS DOUBLE) IS NULL
+                           THEN 'vitto_alloggio' END,
+                      CASE WHEN "Costi Reali" IS NOT NULL
+                            AND TRY_CAST(trim("Costi Reali") AS DOUBLE) IS NULL
+                           THEN 'costi_reali' END,
+                      CASE WHEN "Incassi" IS NOT NULL AND TRY_CAST(trim("Incassi") AS DOUBLE) IS NULL
+                           THEN 'incassi' END], lambda x: x IS NOT NULL) AS bad_columns
+  FROM event_sheet)"""
+
+_AE_TEXT = {"periodo", "accordo", "data", "expo_periodo", "nome", "mezzo_trasporto", "disciplina",
+            "localita", "regione", "expo_brand", "addetto", "ffwd"}
+_AE_COLS = ["periodo", "accordo", "num_eventi", "data", "expo_periodo", "nome", "mezzo_trasporto",
+            "disciplina", "localita", "regione", "expo_brand", "addetto", "pernotto",
+            "vitto_alloggio", "treno", "spazio_varie", "incassi_2024", "caschi", "occhiali",
+            "pneumatici", "bdg_incassi", "bdg_costi", "km", "gasolio", "autostrada", "costi_reali",
+            "incassi", "pos", "cash", "extra", "vendita_privati_agenti", "ffwd"]
+_TYPED_HAS = {"periodo", "num_eventi", "data", "nome", "expo_brand", "localita", "incassi",
+              "costi_reali", "vitto_alloggio"}
+
+
+def _ae_col(c: str) -> str:
+    if c in _TYPED_HAS:
+        return c
+    t = "VARCHAR" if c in _AE_TEXT else ("BIGINT" if c == "num_eventi" else "DOUBLE")
+    return f"CAST(NULL AS {t}) AS {c}"
+
+
+ORACLE.update({
+    "ingest_annual_events": sql(f"""
+SELECT id, {", ".join(_ae_col(c) for c in _AE_COLS)} FROM typed WHERE len(bad_columns) = 0""",
+                                ("event_sheet",), _EVENT_TYPED),
+    "ingest_rejects": sql("""
+SELECT id, 'bad value in: ' || array_to_string(bad_columns, ', ') AS reason FROM typed
+WHERE len(bad_columns) > 0""", ("event_sheet",), _EVENT_TYPED),
+    "normalise_event_date": sql("""
+SELECT _row AS id, "Data" AS raw,
+       COALESCE(strftime(TRY_CAST(CASE WHEN trim("Data") = '' THEN NULL ELSE "Data" END
+                                  AS TIMESTAMP), '%Y-%m-%d'),
+                CASE WHEN trim("Data") = '' THEN NULL ELSE "Data" END) AS data
+FROM event_sheet""", ("event_sheet",)),
+    "profile_table": sql("""
+SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns,
+       CAST(count_if("Periodo" IS NULL) + count_if("N° Eventi" IS NULL) + count_if("Data" IS NULL)
+            + count_if("Nome" IS NULL) + count_if("EXPO.1" IS NULL) + count_if("Località" IS NULL)
+            + count_if("Incassi" IS NULL) + count_if("Costi Reali" IS NULL)
+            + count_if("Vitto & Alloggio" IS NULL) + count_if("Colonna Extra" IS NULL) AS BIGINT)
+           AS n_nulls
+FROM event_sheet""", ("event_sheet",)),
+    "scan_annual_events": sql("SELECT * FROM annual_events", ("annual_events",)),
+    "constraint_report": sql("""
+SELECT 'not_null' AS "check", 'suppliers' AS "table", 'name' AS "column",
+       CAST(count_if(name IS NULL) AS BIGINT) AS violations FROM suppliers
+UNION ALL SELECT 'not_null', 'products', 'name', CAST(count_if(name IS NULL) AS BIGINT) FROM products
+UNION ALL SELECT 'not_null', 'inventory', 'product_id',
+                 CAST(count_if(product_id IS NULL) AS BIGINT) FROM inventory
+UNION ALL SELECT 'not_null', 'inventory_transactions', 'product_id',
+                 CAST(count_if(product_id IS NULL) AS BIGINT) FROM inventory_transactions
+UNION ALL SELECT 'not_null', 'inventory_transactions', 'transaction_type',
+                 CAST(count_if(transaction_type IS NULL) AS BIGINT) FROM inventory_transactions
+UNION ALL SELECT 'not_null', 'inventory_transactions', 'quantity',
+                 CAST(count_if(quantity IS NULL) AS BIGINT) FROM inventory_transactions
+UNION ALL SELECT 'unique', 'products', 'ean_upc', count(*) FROM
+  (SELECT ean_upc FROM products WHERE ean_upc IS NOT NULL GROUP BY ean_upc HAVING count(*) > 1) d
+UNION ALL SELECT 'foreign_key', 'products', 'supplier_id', count(*) FROM products
+  WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM suppliers)
+UNION ALL SELECT 'foreign_key', 'inventory', 'product_id', count(*) FROM inventory
+  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'foreign_key', 'inventory_transactions', 'product_id', count(*)
+  FROM inventory_transactions
+  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)""",
+                             ("suppliers", "products", "inventory", "inventory_transactions")),
+})
