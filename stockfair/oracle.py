@@ -1104,3 +1104,7 @@ UNION ALL SELECT 'foreign_key', 'inventory_transactions', 'product_id', count(*)
   WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)""",
                              ("suppliers", "products", "inventory", "inventory_transactions")),
 })
+
+# The streams equal the batch jobs for in-order input, so they share their oracles.
+ORACLE["scan_stream"] = ORACLE["scan_lookup"]
+ORACLE["ledger_stream"] = ORACLE["apply_ledger"]

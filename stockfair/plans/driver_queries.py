@@ -18,6 +18,7 @@ from stockfair.functions import barcode
 from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, scans,
                                  sheet_import, stats)
 from stockfair.plans import catalogue_import
+from stockfair.streaming import jobs
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -557,3 +558,21 @@ def q_constraint_report(spark, sf_dir):
     t = _t(spark, sf_dir)
     return sheet_import.constraint_report(t.suppliers(), t.products(), t.inventory(),
                                           t.inventory_transactions())
+
+
+# -- streams (R1, R2): rows-only checks against the batch jobs ------------------------
+
+@register("scan_stream")
+def q_scan_stream(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    stream = jobs.scan_stream(t.scans(t.raw_stream("events")), t.products(), t.inventory(),
+                              SCAN_TIMEOUT_S)
+    return jobs.drain(stream, "scan_stream")
+
+
+@register("ledger_stream")
+def q_ledger_stream(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    stream = jobs.ledger_stream(t.movements(t.raw_stream("events")),
+                                ledger.opening_balances(t.inventory()))
+    return jobs.drain(stream, "ledger_stream")

@@ -52,6 +52,14 @@ class DriverTables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def raw_stream(self, name: str, max_files_per_trigger: int = 1) -> DataFrame:
+        """The same table as a file stream (schema taken from the batch read)."""
+        schema = self.raw(name).schema
+        # a glob that matches the one file: the stream source wants a folder
+        return (self.spark.readStream.schema(schema)
+                .option("maxFilesPerTrigger", max_files_per_trigger)
+                .parquet(f"{self.sf_dir}/[{name[0]}]{name[1:]}.parquet"))
+
     # -- catalogue -------------------------------------------------------
     def suppliers(self) -> DataFrame:
         s = self.raw("supplier")
@@ -85,8 +93,8 @@ class DriverTables:
         )
 
     # -- ledger ----------------------------------------------------------
-    def movements(self) -> DataFrame:
-        e = self.raw("events")
+    def movements(self, events: DataFrame | None = None) -> DataFrame:
+        e = self.raw("events") if events is None else events
         return e.select(
             F.col("event_id").alias("seq"),
             F.col("user_id").alias("product_id"),
@@ -120,8 +128,8 @@ class DriverTables:
             "user",
         )
 
-    def scans(self) -> DataFrame:
-        e = self.raw("events")
+    def scans(self, events: DataFrame | None = None) -> DataFrame:
+        e = self.raw("events") if events is None else events
         part = F.when(F.col("user_id") % 5 == 0, F.lit(29)).otherwise(F.col("user_id") % 4 + 4)
         code = ean_for_part(part)
         code = F.when(F.col("event_id") % 13 == 0,
