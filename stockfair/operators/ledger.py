@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockfair.operators import sequential
+from stockfair.session import cut_lineage
 
 # Rejection reasons.
 INVALID_TYPE = "invalid_type"
@@ -68,7 +69,8 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
     first_neg = (m.where(F.col("_bal") < 0).groupBy("product_id")
                  .agg(F.min("seq").alias("_first_neg"),
                       F.min_by(F.col("_bal") - F.col("_delta"), F.col("seq")).alias("_start")))
-    m = m.join(first_neg, "product_id", "left")
+    # read twice below (final rows, ordered walk): materialise once
+    m = cut_lineage(m.join(first_neg, "product_id", "left"))
 
     fast = m.where(F.col("_first_neg").isNull() | (F.col("seq") < F.col("_first_neg")))
     fast_out = fast.select(

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from stockfair.functions import barcode
 from stockfair.operators import catalog, sequential
+from stockfair.session import cut_lineage
 
 # Scan outcomes.
 INVALID, DUPLICATE, FOUND, NOT_FOUND = "invalid", "duplicate", "found", "not_found"
@@ -99,6 +100,8 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
     # The first valid scan of a scanner always starts an island, so every row
     # finds one.
     p = p.withColumn("_island", F.coalesce("_in_bucket", "_carry_start"))
+    # read twice below (settled rows, ordered walk): materialise once
+    p = cut_lineage(p.drop("_start", "_in_bucket", "_carry_start", "_b"))
     since_start = _micros(ts) - _micros("_island.t")
     is_first = (F.col(ts) == F.col("_island.t")) & (F.col(tie) == F.col("_island.i"))
     keep = list(valid_scans.columns)
