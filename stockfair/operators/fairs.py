@@ -41,13 +41,28 @@ def create_events(annual_events: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, order: str, out: str) -> DataFrame:
-    """1, 2, 3 ... in ``order`` without a single-partition window:
-    ``zipWithIndex`` counts the rows of each sorted partition first, then
-    numbers them in parallel."""
-    ordered = df.orderBy(order)
-    schema = ordered.schema.add(out, "long")
-    rdd = ordered.rdd.zipWithIndex().map(lambda p: (*p[0], p[1] + 1))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    """1, 2, 3 ... in ``order`` without a single-partition window and without
+    Python: range-partition and sort by ``order``, checkpoint (so partition
+    membership is fixed), count rows per partition (a table with one row per
+    partition), prefix-sum those counts, and add each row's position inside
+    its partition (from ``monotonically_increasing_id``).  Ties in ``order``
+    are numbered in an arbitrary but fixed way."""
+    from pyspark.sql import Window
+
+    from stockfair.session import cut_lineage
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, order).sortWithinPartitions(order)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mono", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # ``offsets`` has one row per partition: a proven size bound for broadcast
+    j = ranged.join(F.broadcast(offsets), "_pid", "inner")
+    within = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return j.withColumn(out, (F.col("_off") + within + 1).cast("long")).drop(
+        "_pid", "_mono", "_off")
 
 
 def record_sales(sales: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Price-list import: find the header row, map columns to product fields,
 guess the supplier, clean the rows and upsert them into the catalogue.
 
-All steps work on many files at once: a sheet is the (file, line_no, line)
-rows of ``sources.sheets``; per-file decisions are aggregates grouped by file,
-so nothing is collected to the driver.
+All steps work on many files at once: a sheet is the (file, line_no, col,
+cell) rows of ``sources.sheets.sheet_cells``; per-file decisions are
+aggregates grouped by file, so nothing is collected to the driver.
 
 Upsert semantics (rows run in file order, then line order):
 
@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockfair.session import cut_lineage
-from stockfair.sources.sheets import sheet_cells
 
 # Header keywords and window, field patterns (in priority
 # order), supplier patterns (in order) and the content window.
@@ -63,19 +62,21 @@ def _nan_text(c: Column) -> Column:
     return F.lower(F.coalesce(c, F.lit("nan")))
 
 
-def ranked_lines(lines: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` lines of each file with their 0-based row index.
-    ``row_number() <= n`` is planned with a per-partition group limit."""
+def ranked_lines(cells: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` lines of each file with their 0-based row index
+    (every line has a cell 0).  ``row_number() <= n`` is planned with a
+    per-partition group limit."""
     w = Window.partitionBy("file").orderBy("line_no")
-    return (lines.select("file", "line_no").withColumn("row", F.row_number().over(w) - 1)
-            .where(F.col("row") < limit))
+    lines = cells.where(F.col("col") == 0).select("file", "line_no")
+    return lines.withColumn("row", F.row_number().over(w) - 1).where(F.col("row") < limit)
 
 
-def detect_header_row(lines: DataFrame) -> DataFrame:
+def detect_header_row(cells: DataFrame) -> DataFrame:
     """I1.  (file, header_row, header_line): the first of the first 20 rows
-    where at least 3 cells contain a header keyword; row 0 otherwise."""
-    first = ranked_lines(lines, HEADER_WINDOW)
-    cells = sheet_cells(lines).join(first, ["file", "line_no"], "inner")
+    where at least 3 cells contain a header keyword; row 0 otherwise.
+    ``cells`` is ``sources.sheets.sheet_cells(lines)``."""
+    first = ranked_lines(cells, HEADER_WINDOW)
+    cells = cells.join(first, ["file", "line_no"], "inner")
     hits = cells.groupBy("file", "line_no", "row").agg(
         F.count_if(_nan_text(F.col("cell")).rlike(_kw_regex())).alias("hits"))
     found = hits.where(F.col("hits") >= HEADER_MIN_HITS).groupBy("file").agg(
@@ -87,18 +88,18 @@ def detect_header_row(lines: DataFrame) -> DataFrame:
                     F.coalesce(F.col("h.line_no"), F.col("_l0")).alias("header_line"))
 
 
-def _split(lines: DataFrame, header: DataFrame):
-    cells = sheet_cells(lines).join(header.select("file", "header_line"), "file", "inner")
+def _split(cells: DataFrame, header: DataFrame):
+    cells = cells.join(header.select("file", "header_line"), "file", "inner")
     head = cells.where(F.col("line_no") == F.col("header_line"))
     data = cells.where(F.col("line_no") > F.col("header_line"))
     return head, data
 
 
-def data_columns(lines: DataFrame, header: DataFrame) -> DataFrame:
+def data_columns(cells: DataFrame, header: DataFrame) -> DataFrame:
     """S7 + pandas header names: (file, col, column) for the columns that hold
     at least one value below the header.  An empty header cell is named
     'Unnamed: <col>'; repeated names get '.1', '.2' ... in column order."""
-    head, data = _split(lines, header)
+    head, data = _split(cells, header)
     filled = data.where(F.col("cell").isNotNull()).select("file", "col").distinct()
     label = F.coalesce(F.col("cell"), F.concat(F.lit("Unnamed: "), F.col("col").cast("string")))
     h = head.select("file", "col", label.alias("label"))
@@ -110,22 +111,22 @@ def data_columns(lines: DataFrame, header: DataFrame) -> DataFrame:
     return h.join(filled, ["file", "col"], "left_semi")
 
 
-def drop_empty(lines: DataFrame, header: DataFrame) -> DataFrame:
+def drop_empty(cells: DataFrame, header: DataFrame) -> DataFrame:
     """S7.  Data cells of the rows and columns that are not entirely empty:
     (file, line_no, col, column, cell)."""
-    cols = data_columns(lines, header)
-    _, data = _split(lines, header)
+    cols = data_columns(cells, header)
+    _, data = _split(cells, header)
     rows = data.where(F.col("cell").isNotNull()).select("file", "line_no").distinct()
     return (data.join(rows, ["file", "line_no"], "left_semi")
             .join(cols, ["file", "col"], "inner")
             .select("file", "line_no", "col", "column", "cell"))
 
 
-def detect_columns(lines: DataFrame, header: DataFrame) -> DataFrame:
+def detect_columns(cells: DataFrame, header: DataFrame) -> DataFrame:
     """I2.  (file, field, column, col): for each field, the first pattern (in
     order) found as a substring of a lower-cased column name, first such
     column in sheet order.  One column may feed several fields."""
-    cols = data_columns(lines, header)
+    cols = data_columns(cells, header)
     low = F.lower(F.col("column"))
     ranks = []
     for field, patterns in FIELD_PATTERNS:
@@ -146,7 +147,7 @@ def detect_columns(lines: DataFrame, header: DataFrame) -> DataFrame:
         F.col("x.m.col").alias("col"))
 
 
-def guess_supplier(lines: DataFrame) -> DataFrame:
+def guess_supplier(cells: DataFrame) -> DataFrame:
     """I6.  (file, supplier): a supplier pattern in the lower-cased file name;
     else the first cell (row-major, in the 10 rows under the first line)
     containing one; else the lower-cased file name without its extension."""
@@ -159,23 +160,23 @@ def guess_supplier(lines: DataFrame) -> DataFrame:
                    else out.when(text.contains(p), F.lit(name)))
         return out
 
-    rows = ranked_lines(lines, SUPPLIER_WINDOW + 1).where(F.col("row") >= 1)
-    cells = sheet_cells(lines).join(rows, ["file", "line_no"], "inner")
+    rows = ranked_lines(cells, SUPPLIER_WINDOW + 1).where(F.col("row") >= 1)
+    files = cells.where((F.col("col") == 0)).select("file").distinct()
+    cells = cells.join(rows, ["file", "line_no"], "inner")
     hit = cells.select("file", "row", "col",
                        first_pattern(_nan_text(F.col("cell"))).alias("supplier"))
     by_content = hit.where(F.col("supplier").isNotNull()).groupBy("file").agg(
         F.min_by("supplier", F.struct("row", "col")).alias("_content"))
-    files = lines.select("file").distinct()
     stem = F.regexp_replace(low_file, r"(?<=.)\.[^.]*$", "")
     return files.join(by_content, "file", "left").select(
         "file", F.coalesce(first_pattern(low_file), F.col("_content"), stem).alias("supplier"))
 
 
-def clean_products(lines: DataFrame, header: DataFrame, mapping: DataFrame) -> DataFrame:
+def clean_products(cells: DataFrame, header: DataFrame, mapping: DataFrame) -> DataFrame:
     """I3-I5.  One row per data row with the mapped fields (unmapped ones
     NULL and absent from ``mapped``), rows without a name dropped (all rows
     when no column maps to the name), prices as numbers (bad -> NULL)."""
-    _, data = _split(lines, header)
+    _, data = _split(cells, header)
     m = mapping.select("file", "col", "field")
     cells = data.join(m, ["file", "col"], "inner")
     wide = cells.groupBy("file", "line_no").pivot("field", FIELDS).agg(F.first("cell"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stockfair.operators import ingest
 from stockfair.session import cut_lineage
+from stockfair.sources import sheets
 
 
 @dataclass
@@ -36,12 +37,14 @@ def with_status(products: DataFrame) -> DataFrame:
 
 
 def plan_import(lines: DataFrame, suppliers: DataFrame) -> CatalogueImport:
-    header = ingest.detect_header_row(lines)
-    mapping = ingest.detect_columns(lines, header)
-    guessed = ingest.guess_supplier(lines)
+    # every step reads the cells: parse the lines once
+    cells = cut_lineage(sheets.sheet_cells(lines))
+    header = ingest.detect_header_row(cells)
+    mapping = ingest.detect_columns(cells, header)
+    guessed = ingest.guess_supplier(cells)
     # the cleaned rows feed the upsert, the counters and the inventory rows:
     # materialise them once in the shared checkpoint folder
-    rows = cut_lineage(ingest.clean_products(lines, header, mapping))
+    rows = cut_lineage(ingest.clean_products(cells, header, mapping))
     all_suppliers = ingest.get_or_create_suppliers(suppliers, guessed)
     file_suppliers = guessed.join(all_suppliers.select(F.col("name").alias("supplier"),
                                                        F.col("id").alias("supplier_id")),

@@ -19,6 +19,7 @@ from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, rep
                                  sheet_import, stats)
 from stockfair.plans import catalogue_import
 from stockfair.streaming import jobs
+from stockfair.sources import sheets
 from stockfair.sources.driver import DriverTables
 
 # Fixed query parameters shared with the SQL oracles.
@@ -464,14 +465,18 @@ def _import(t: DriverTables):
     return catalogue_import.plan_import(t.price_list_lines(), t.suppliers())
 
 
+def _cells(t: DriverTables) -> DataFrame:
+    return sheets.sheet_cells(t.price_list_lines())
+
+
 @register("detect_header_row")
 def q_detect_header_row(spark, sf_dir):
-    return ingest.detect_header_row(_t(spark, sf_dir).price_list_lines())
+    return ingest.detect_header_row(_cells(_t(spark, sf_dir)))
 
 
 @register("guess_supplier")
 def q_guess_supplier(spark, sf_dir):
-    return ingest.guess_supplier(_t(spark, sf_dir).price_list_lines())
+    return ingest.guess_supplier(_cells(_t(spark, sf_dir)))
 
 
 @register("detect_columns")
@@ -481,8 +486,8 @@ def q_detect_columns(spark, sf_dir):
 
 @register("drop_empty")
 def q_drop_empty(spark, sf_dir):
-    lines = _t(spark, sf_dir).price_list_lines()
-    return ingest.drop_empty(lines, ingest.detect_header_row(lines))
+    cells = _cells(_t(spark, sf_dir))
+    return ingest.drop_empty(cells, ingest.detect_header_row(cells))
 
 
 @register("clean_products")

@@ -35,9 +35,12 @@ def unquote(c) -> F.Column:
 def sheet_cells(lines: DataFrame) -> DataFrame:
     """(file, line_no, col, cell): one row per cell, ``col`` from 0; an empty
     cell is NULL (an empty spreadsheet cell)."""
-    exploded = lines.select("file", "line_no",
-                            F.posexplode(F.split("line", CSV_SPLIT)).alias("col", "raw"))
-    cell = unquote(F.col("raw"))
+    # the quote-aware split is only needed when a line has a quote
+    parts = F.when(F.col("line").contains('"'), F.split("line", CSV_SPLIT)).otherwise(
+        F.split("line", ","))
+    exploded = lines.select("file", "line_no", F.posexplode(parts).alias("col", "raw"))
+    raw = F.col("raw")
+    cell = F.when(raw.contains('"'), unquote(raw)).otherwise(raw)
     return exploded.select("file", "line_no", F.col("col").cast("long"),
                            F.when(cell == "", F.lit(None)).otherwise(cell).alias("cell"))
 
