@@ -68,7 +68,9 @@ def ranked_lines(cells: DataFrame, limit: int) -> DataFrame:
     per-partition group limit."""
     w = Window.partitionBy("file").orderBy("line_no")
     lines = cells.where(F.col("col") == 0).select("file", "line_no")
-    return lines.withColumn("row", F.row_number().over(w) - 1).where(F.col("row") < limit)
+    # filter on row_number() itself so Spark plans a per-partition group limit
+    ranked = lines.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
+    return ranked.withColumn("row", F.col("_rn") - 1).drop("_rn")
 
 
 def detect_header_row(cells: DataFrame) -> DataFrame:
