@@ -45,8 +45,29 @@ def sheet_cells(lines: DataFrame) -> DataFrame:
                            F.when(cell == "", F.lit(None)).otherwise(cell).alias("cell"))
 
 
+def spreadsheet_names(headers: list[str]) -> list[str]:
+    """Column names as a spreadsheet reader gives them: an empty header is
+    'Unnamed: <i>', a repeated one gets '.1', '.2' ... ('EXPO', 'EXPO.1')."""
+    out, seen = [], {}
+    for i, h in enumerate(headers):
+        name = h if h not in (None, "") else f"Unnamed: {i}"
+        n = seen.get(name, 0)
+        seen[name] = n + 1
+        out.append(name if n == 0 else f"{name}.{n}")
+    return out
+
+
 def read_event_sheet(spark: SparkSession, path: str) -> DataFrame:
     """S5.  An event sheet with its header row, every cell as text (types are
-    assigned by the import, with failures reported rather than guessed)."""
-    return (spark.read.option("header", True).option("inferSchema", False)
-            .option("mode", "PERMISSIVE").csv(path))
+    assigned by the import, with failures reported rather than guessed).
+    Only the header line is read on the driver, to name the columns."""
+    import csv
+
+    from pyspark.sql import types as T
+
+    first = spark.read.text(path).limit(1).collect()
+    headers = next(csv.reader([first[0].value])) if first else []
+    names = spreadsheet_names([h.strip() for h in headers])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return (spark.read.option("header", True).option("enforceSchema", True)
+            .option("mode", "PERMISSIVE").schema(schema).csv(path))

@@ -103,3 +103,21 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, None), (None, "a")], "a long, b string")
     p = sheet_import.profile_table(df).collect()[0]
     assert (p.n_rows, p.n_columns, p.n_nulls) == (2, 2, 2)
+
+
+def test_read_event_sheet_f4(spark, scratch):
+    _write(scratch, "eventi.csv", [
+        "Periodo,Accordi,N° Eventi,Data,EXPO,Nome,EXPO,Località,Vitto & Alloggio,Spazio/Varie,"
+        "Vendita Privati / Agenti,Incassi",
+        "Q1,si,1,2024-03-01 00:00:00,Bologna,Fiera A,FFWD,Roma,10.5,2,3,1000",
+        "Q2,,2,15/04/2024,,Fiera B,,Milano,,,,",
+    ])
+    sheet = sheets.read_event_sheet(spark, os.path.join(scratch, "eventi.csv"))
+    assert "EXPO.1" in sheet.columns
+    rows = {r.nome: r for r in sheet_import.ingest_annual_events(sheet).collect()}
+    a = rows["Fiera A"]
+    assert (a.accordo, a.num_eventi, a.data, a.expo_periodo, a.expo_brand, a.localita) == \
+        ("si", 1, "2024-03-01", "Bologna", "FFWD", "Roma")
+    assert (a.vitto_alloggio, a.spazio_varie, a.vendita_privati_agenti, a.incassi) == \
+        (10.5, 2.0, 3.0, 1000.0)
+    assert rows["Fiera B"].data == "15/04/2024" and rows["Fiera B"].incassi is None

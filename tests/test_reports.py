@@ -91,3 +91,12 @@ def test_programme_pivot_and_lists(spark):
 def test_report_name(spark):
     fairs = spark.createDataFrame([(7, "Bike Expo 2025/Milano")], "id long, name string")
     assert reports.report_name(fairs).collect()[0].report_name == "Bike_Expo_2025_Milano_7.xlsx"
+
+
+def test_programme_without_sales_has_every_fair(spark):
+    suppliers, products, fairs, assignments, sales = _f1(spark)
+    no_sales = sales.where("false")
+    piv = reports.programme_pivot(products, assignments, fairs, suppliers, no_sales, 2025)
+    cols = [c for c in piv.columns if c[0].isdigit()]
+    assert cols == ["1_Bike Expo 2025", "2_Summer Sports Fair", "3_Mountain Bike Festival"]
+    assert all(r.TOTALI == 0 for r in piv.collect())
