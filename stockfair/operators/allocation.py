@@ -20,10 +20,10 @@ new assignment / stock tables from the accepted requests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockfair.operators import ledger
+from stockfair.operators import ledger, sequential
 
 # Decision reasons and the error texts of the sheet import.
 NOT_ASSIGNED = "not_assigned"
@@ -53,9 +53,9 @@ def allocate_batch(requests: DataFrame, available: DataFrame) -> DataFrame:
     """Decide every request row and its batch.  ``requests`` has batch_id,
     seq, event_id, product_id, quantity (and optionally sale_price)."""
     r = requests.join(available, "product_id", "left")
-    w = (Window.partitionBy("batch_id", "product_id").orderBy("seq")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = r.withColumn("cum_quantity", F.sum("quantity").over(w))
+    # cumulative request per (batch, product) in seq order, spread over seq
+    # buckets so one huge batch on one product is not a single window task
+    r = sequential.running_sum(r, ["batch_id", "product_id"], "seq", "quantity", "cum_quantity")
     reason = (F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), F.lit(INVALID_QUANTITY))
               .when(F.col("available").isNull(), F.lit(UNKNOWN_PRODUCT))
               .when(F.col("cum_quantity") > F.col("available"), F.lit(INSUFFICIENT)))
@@ -194,9 +194,11 @@ def reassign_quantity(requests: DataFrame, assignments: DataFrame,
     per assignment counts).  Unknown assignment -> ``not_assigned``; an
     increase needs that much available stock (requests on one product are
     applied in seq order); a decrease releases stock."""
-    last = Window.partitionBy("event_id", "product_id").orderBy(F.col("seq").desc())
-    r = (requests.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") == 1)
-         .drop("_rn"))
+    # last request per assignment: a partial (map-side) aggregate
+    r = (requests.groupBy("event_id", "product_id")
+         .agg(F.max_by(F.struct(*[c for c in requests.columns
+                                  if c not in ("event_id", "product_id")]), "seq").alias("_r"))
+         .select("event_id", "product_id", "_r.*"))
     a = assignments.select("event_id", "product_id",
                            F.col("quantity_assigned").alias("current_quantity"))
     r = r.join(a, ["event_id", "product_id"], "left")
