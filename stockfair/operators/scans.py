@@ -37,7 +37,10 @@ BUCKET_SECONDS = 3600
 
 
 def _micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Microseconds since 1970-01-01 of a wall-clock timestamp, without any
+    time zone (the session time zone and its DST changes play no part)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, F.col(c).cast("timestamp_ntz"))
 
 
 def with_code(scans: DataFrame, col: str = "barcode") -> DataFrame:

@@ -42,19 +42,21 @@ def _dedupe_fn(timeout_us: int):
             return
         code, anchor = (state.get if state.exists else (None, None))
         pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["ts", "scan_id"], kind="stable")
-        us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        pdf = pdf.sort_values(["_us", "scan_id"], kind="stable")
         flags = []
-        for c, t in zip(pdf["code"].tolist(), us.tolist()):
+        anchor_ms = None
+        for c, t, ms in zip(pdf["code"].tolist(), pdf["_us"].tolist(), pdf["_ms"].tolist()):
             dup = code is not None and c == code and t - anchor < timeout_us
             if not dup:
-                code, anchor = c, t
+                code, anchor, anchor_ms = c, t, ms
             flags.append(dup)
         state.update((code, int(anchor)))
-        # no later scan can duplicate the anchor once the watermark passes it
-        expire = int(anchor // 1000) + timeout_us // 1000 + 1
-        state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(duplicate=flags)
+        # no later scan can duplicate the anchor once the watermark (event-time
+        # instants) passes it
+        if anchor_ms is not None:
+            expire = int(anchor_ms) + timeout_us // 1000 + 1
+            state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
+        yield pdf.drop(columns=["_us", "_ms"]).assign(duplicate=flags)
     return fn
 
 
@@ -63,16 +65,21 @@ def scan_stream(scans: DataFrame, products: DataFrame, inventory: DataFrame,
     """R1.  ``scans`` is a streaming DataFrame (scanner_id, ts, barcode,
     scan_id); returns the streaming outcome rows (append mode)."""
     t_us = int(round(timeout_s * 1_000_000))
-    s = (scans.withColumn("ts", F.col("ts").cast("timestamp"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    s = (scans.withColumn("_us", F.timestamp_diff("MICROSECOND", epoch,
+                                                  F.col("ts").cast("timestamp_ntz")))
+         .withColumn("ts", F.col("ts").cast("timestamp"))
+         .withColumn("_ms", F.unix_millis("ts"))
          .withWatermark("ts", watermark)
          .withColumn("code", barcode.clean("barcode"))
          .withColumn("valid", barcode.is_valid(F.col("code"))))
     valid = s.where(F.col("valid"))
-    out_schema = T.StructType(list(valid.schema.fields)
+    out_schema = T.StructType([f for f in valid.schema.fields if f.name not in ("_us", "_ms")]
                               + [T.StructField("duplicate", T.BooleanType())])
     flagged = valid.groupBy("scanner_id").applyInPandasWithState(
         _dedupe_fn(t_us), out_schema, SCAN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    invalid = s.where(~F.col("valid")).withColumn("duplicate", F.lit(None).cast("boolean"))
+    invalid = (s.where(~F.col("valid")).drop("_us", "_ms")
+               .withColumn("duplicate", F.lit(None).cast("boolean")))
     sp = catalog.stocked_products(products, inventory).select(
         F.col("ean_upc").alias("_ean"), F.col("id").alias("product_id"), "sku", "name", "quantity")
     both = flagged.unionByName(invalid)
