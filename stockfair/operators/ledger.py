@@ -103,7 +103,8 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
             return state, {"accepted": False, "reason": INSUFFICIENT_STOCK, "balance_after": b}
         return {"b": b}, {"accepted": True, "reason": None, "balance_after": b}
 
-    slow_out = sequential.sorted_fold(slow, ["product_id"], ["seq"], init, step, out_schema)
+    slow_out = sequential.sorted_fold(slow, ["product_id"], ["seq"], init, step, out_schema,
+                                         skip_if_empty=True)
     return fast_out.unionByName(slow_out)
 
 

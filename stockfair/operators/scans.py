@@ -126,7 +126,7 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
         return {"anchor": row["_us"]}, {"duplicate": False}
 
     slow_out = sequential.sorted_fold(slow, [key, "_island_t", "_island_i"], [ts, tie], init, step,
-                                      out_schema)
+                                      out_schema, skip_if_empty=True)
     return fast.unionByName(slow_out)
 
 

@@ -50,13 +50,20 @@ StepFn = Callable[[dict, dict], tuple[dict, dict]]
 
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[dict], dict],
-                step: StepFn, out_schema: T.StructType, num_partitions: int | None = None) -> DataFrame:
+                step: StepFn, out_schema: T.StructType, num_partitions: int | None = None,
+                skip_if_empty: bool = False) -> DataFrame:
     """Fold ``step`` over the rows of each key in ``order``.
 
     ``init(row)`` gives the state for the first row of a key; ``step(state,
     row)`` returns ``(new_state, output_fields)``.  Output rows carry the input
-    columns named in ``out_schema`` plus the step's fields."""
+    columns named in ``out_schema`` plus the step's fields.  With
+    ``skip_if_empty`` (for inputs that are already materialised) an empty
+    input returns an empty result without starting Python workers."""
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if skip_if_empty and df.limit(1).count() == 0:
+        # nothing to walk: no Python stage at all
+        spark = df.sparkSession
+        return spark.createDataFrame(spark.sparkContext.emptyRDD(), out_schema)
     ordered = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
     names = [f.name for f in out_schema.fields]
 
