@@ -113,17 +113,20 @@ def parse_quantity(c) -> F.Column:
 
 
 def allocate_rows(sheet: DataFrame, products: DataFrame, available: DataFrame,
-                  event_id) -> DataFrame:
-    """Sheet import into one fair, row by row: ``sheet`` has seq, SKU,
-    Quantity (text) and optionally 'Sale Price'.  A row is rejected for a bad
-    quantity, an unknown sku (several products with one sku: the smallest id
-    is used) or a shortage; accepted rows consume stock for later rows."""
+                  event_id=None) -> DataFrame:
+    """Sheet import into fairs, row by row: ``sheet`` has seq, SKU, Quantity
+    (text), optionally 'Sale Price', and either an ``event_id`` column (the
+    sheets of many fairs, applied in seq order) or the ``event_id``
+    parameter.  A row is rejected for a bad quantity, an unknown sku (several
+    products with one sku: the smallest id is used) or a shortage; accepted
+    rows consume stock for later rows."""
     by_sku = products.where(F.col("sku").isNotNull()).groupBy("sku").agg(
         F.min("id").alias("product_id"))
     price = (F.col("`Sale Price`").try_cast("double") if "Sale Price" in sheet.columns
              else F.lit(None).cast("double"))
-    s = sheet.select("seq", F.col("SKU").alias("sku"), F.col("Quantity").alias("raw_quantity"),
-                     price.alias("sale_price"))
+    fair = (F.col("event_id") if "event_id" in sheet.columns else F.lit(event_id)).cast("long")
+    s = sheet.select(fair.alias("event_id"), "seq", F.col("SKU").alias("sku"),
+                     F.col("Quantity").alias("raw_quantity"), price.alias("sale_price"))
     s = s.withColumn("quantity", parse_quantity(F.col("raw_quantity")))
     s = s.join(by_sku, "sku", "left")
     static = (F.when(F.col("quantity").isNull(), F.lit(INVALID_QUANTITY))
@@ -154,7 +157,7 @@ def allocate_rows(sheet: DataFrame, products: DataFrame, available: DataFrame,
                  F.format_string(_fmt(MSG_SHORTAGE), sku_txt, F.col("product_id").cast("string"),
                                  avail_before.cast("string"), F.col("quantity").cast("string"))))
     return j.select(
-        F.lit(event_id).cast("long").alias("event_id"), "seq", "sku", "raw_quantity", "quantity",
+        "event_id", "seq", "sku", "raw_quantity", "quantity",
         "sale_price", "product_id",
         F.coalesce(F.col("accepted"), F.lit(False)).alias("accepted"),
         F.when(F.col("_static").isNotNull(), F.col("_static"))

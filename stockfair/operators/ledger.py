@@ -87,24 +87,25 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
         + [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
            T.StructField("balance_after", T.LongType())])
 
-    def init(row):
-        return {"b": int(row["_start"])}
-
-    def step(state, row):
-        b = state["b"]
-        if row["_static"] is not None:
-            return state, {"accepted": False, "reason": row["_static"], "balance_after": b}
-        qty = int(row["quantity"])
-        if row["transaction_type"] == "in":
-            b += qty
+    def init(v):
+        return int(v[3])                       # balance just before the first rejection
+
+    def step(b, v):
+        typ, qty, static = v[0], v[1], v[2]
+        if static is not None:
+            return b, (False, static, b)
+        if typ == "in":
+            b += int(qty)
         elif b >= qty:
-            b -= qty
+            b -= int(qty)
         else:
-            return state, {"accepted": False, "reason": INSUFFICIENT_STOCK, "balance_after": b}
-        return {"b": b}, {"accepted": True, "reason": None, "balance_after": b}
+            return b, (False, INSUFFICIENT_STOCK, b)
+        return b, (True, None, b)
 
-    slow_out = sequential.sorted_fold(slow, ["product_id"], ["seq"], init, step, out_schema,
-                                         skip_if_empty=True)
+    slow_out = sequential.sorted_fold(
+        slow, ["product_id"], ["seq"], init, step, out_schema,
+        inputs=["transaction_type", "quantity", "_static", "_start"],
+        outputs=["accepted", "reason", "balance_after"], skip_if_empty=True)
     return fast_out.unionByName(slow_out)
 
 

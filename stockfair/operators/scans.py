@@ -116,17 +116,17 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
     out_schema = T.StructType(list(valid_scans.schema.fields)
                               + [T.StructField("duplicate", T.BooleanType())])
 
-    def init(row):
-        return {"anchor": None}
+    def init(v):
+        return None                            # no anchor yet
 
-    def step(state, row):
-        a = state["anchor"]
-        if a is not None and row["_us"] - a < t_us:
-            return state, {"duplicate": True}
-        return {"anchor": row["_us"]}, {"duplicate": False}
+    def step(anchor, v):
+        if anchor is not None and v[0] - anchor < t_us:
+            return anchor, (True,)
+        return v[0], (False,)
 
-    slow_out = sequential.sorted_fold(slow, [key, "_island_t", "_island_i"], [ts, tie], init, step,
-                                      out_schema, skip_if_empty=True)
+    slow_out = sequential.sorted_fold(
+        slow, [key, "_island_t", "_island_i"], [ts, tie], init, step, out_schema,
+        inputs=["_us"], outputs=["duplicate"], skip_if_empty=True)
     return fast.unionByName(slow_out)
 
 

@@ -46,19 +46,22 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
             .drop("_bucket", "_inner", "_offset"))
 
 
-StepFn = Callable[[dict, dict], tuple[dict, dict]]
+StepFn = Callable[[object, tuple], tuple[object, tuple]]
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[dict], dict],
-                step: StepFn, out_schema: T.StructType, num_partitions: int | None = None,
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable[[tuple], object],
+                step: StepFn, out_schema: T.StructType, inputs: list[str],
+                outputs: list[str], num_partitions: int | None = None,
                 skip_if_empty: bool = False) -> DataFrame:
     """Fold ``step`` over the rows of each key in ``order``.
 
-    ``init(row)`` gives the state for the first row of a key; ``step(state,
-    row)`` returns ``(new_state, output_fields)``.  Output rows carry the input
-    columns named in ``out_schema`` plus the step's fields.  With
-    ``skip_if_empty`` (for inputs that are already materialised) an empty
-    input returns an empty result without starting Python workers."""
+    ``init(values)`` gives the state for the first row of a key and
+    ``step(state, values)`` returns ``(new_state, out_values)``; ``values``
+    holds the row's ``inputs`` columns in order, ``out_values`` the
+    ``outputs`` columns.  Output rows carry the input columns named in
+    ``out_schema`` plus the outputs.  With ``skip_if_empty`` (for inputs that
+    are already materialised) an empty input returns an empty result without
+    starting Python workers."""
     parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if skip_if_empty and df.limit(1).count() == 0:
         # nothing to walk: no Python stage at all
@@ -66,19 +69,25 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], init: Callable
         return spark.createDataFrame(spark.sparkContext.emptyRDD(), out_schema)
     ordered = df.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
     names = [f.name for f in out_schema.fields]
+    carried = [n for n in names if n not in outputs]
+    n_keys = len(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cur_key, state = None, None
         for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                k = tuple(row[c] for c in keys)
+            cols = [pdf[c].tolist() for c in keys + inputs]
+            outs: list[list] = [[] for _ in outputs]
+            for vals in zip(*cols):
+                k = vals[:n_keys]
+                args = vals[n_keys:]
                 if k != cur_key:
-                    cur_key, state = k, init(row)
-                state, fields = step(state, row)
-                rec = {n: row.get(n) for n in names}
-                rec.update(fields)
-                rows.append(rec)
-            yield pd.DataFrame(rows, columns=names)
+                    cur_key, state = k, init(args)
+                state, res = step(state, args)
+                for lst, v in zip(outs, res):
+                    lst.append(v)
+            frame = pdf[carried].copy()
+            for name, lst in zip(outputs, outs):
+                frame[name] = pd.Series(lst, index=pdf.index, dtype="object")
+            yield frame[names]
 
     return ordered.mapInPandas(run, out_schema)

@@ -179,15 +179,16 @@ VIEWS["allocation_requests"] = f"""
     FROM ({_REQUEST_LINES}) j"""
 
 
-def allocation_sheet_sql(event_id: int) -> str:
+def allocation_sheet_sql(event_id: int | None = None) -> str:
+    where = "" if event_id is None else f"WHERE event_id = {event_id}"
     return f"""
-    SELECT seq,
+    SELECT event_id, seq,
            CASE WHEN l_linenumber = 5 THEN 'SKU-X' || CAST(l_partkey AS VARCHAR)
                 ELSE 'SKU' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') END AS "SKU",
            CASE WHEN l_linenumber = 3 THEN 'abc' WHEN l_linenumber = 6 THEN '2.7'
                 ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS "Quantity",
            CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR) AS "Sale Price"
-    FROM ({_REQUEST_LINES}) j WHERE event_id = {event_id}"""
+    FROM ({_REQUEST_LINES}) j {where}"""
 
 
 VIEWS["quantity_true_up"] = f"""
@@ -650,9 +651,9 @@ _PARSE_Q = r"""CASE WHEN regexp_full_match(trim(raw_quantity), '[+-]?[0-9]+')
 
 _Q = "'"  # a quote inside SQL text literals
 _ROWS = _AVAIL + f""",
-sheet AS ({allocation_sheet_sql(P['event_id'])}),
+sheet AS ({allocation_sheet_sql()}),
 by_sku AS (SELECT sku, min(id) AS product_id FROM products WHERE sku IS NOT NULL GROUP BY sku),
-s0 AS (SELECT sh.seq, sh."SKU" AS sku, sh."Quantity" AS raw_quantity,
+s0 AS (SELECT sh.event_id, sh.seq, sh."SKU" AS sku, sh."Quantity" AS raw_quantity,
               TRY_CAST(sh."Sale Price" AS DOUBLE) AS sale_price, b.product_id
        FROM sheet sh LEFT JOIN by_sku b ON sh."SKU" = b.sku),
 s1 AS (SELECT *, {_PARSE_Q} AS quantity FROM s0),
@@ -665,7 +666,7 @@ moves AS (SELECT seq, product_id, 'out' AS transaction_type, quantity FROM s2
                        FROM products p LEFT JOIN avail a ON p.id = a.product_id)""",
                    source="moves", carry=()) + f""",
 rows_out AS (
-  SELECT CAST({P['event_id']} AS BIGINT) AS event_id, s2.seq, sku, raw_quantity,
+  SELECT s2.event_id, s2.seq, sku, raw_quantity,
          s2.quantity, sale_price, s2.product_id,
          COALESCE(d.accepted, FALSE) AS accepted,
          CASE WHEN static IS NOT NULL THEN static WHEN NOT d.accepted THEN 'insufficient_stock'

@@ -398,8 +398,7 @@ def q_allocation_snapshot(spark, sf_dir):
 @register("allocate_rows")
 def q_allocate_rows(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return allocation.allocate_rows(t.allocation_sheet(PARAMS["event_id"]), t.products(),
-                                    _available(t), PARAMS["event_id"])
+    return allocation.allocate_rows(t.allocation_sheet(), t.products(), _available(t))
 
 
 @register("allocate_rows_summary")

@@ -256,17 +256,19 @@ class DriverTables:
                    F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))).alias("sale_price"),
         )
 
-    def allocation_sheet(self, event_id: int) -> DataFrame:
-        """Import sheet of one fair: its order lines as SKU / Quantity text
-        rows, with unknown skus (line 5), a non-number (line 3) and a decimal
-        quantity (line 6)."""
-        j = self._request_lines().where(F.col("event_id") == F.lit(event_id))
+    def allocation_sheet(self, event_id: int | None = None) -> DataFrame:
+        """Import sheets of the fairs (one fair when ``event_id`` is given):
+        their order lines as SKU / Quantity text rows, with unknown skus
+        (line 5), a non-number (line 3) and a decimal quantity (line 6)."""
+        j = self._request_lines()
+        if event_id is not None:
+            j = j.where(F.col("event_id") == F.lit(event_id))
         ln, k = F.col("l_linenumber"), F.col("l_partkey")
         sku = F.when(ln == 5, F.concat(F.lit("SKU-X"), k.cast("string"))).otherwise(
             F.concat(F.lit("SKU"), F.lpad(k.cast("string"), 6, "0")))
         qty = (F.when(ln == 3, F.lit("abc")).when(ln == 6, F.lit("2.7"))
                .otherwise(F.col("l_quantity").cast("long").cast("string")))
-        return j.select("seq", sku.alias("SKU"), qty.alias("Quantity"),
+        return j.select("event_id", "seq", sku.alias("SKU"), qty.alias("Quantity"),
                         F.col("l_extendedprice").cast("long").cast("string").alias("Sale Price"))
 
     def quantity_true_up(self) -> DataFrame:
