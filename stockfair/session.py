@@ -35,9 +35,38 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``stockfair`` importable in the Python workers, whatever their
+    working directory: zip the package once per application and hand it to
+    ``SparkContext.addPyFile`` (what ``--py-files`` does at submit time)."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import stockfair
+
+    pkg = os.path.dirname(os.path.abspath(stockfair.__file__))
+    root = os.path.dirname(pkg)
+    folder = tempfile.mkdtemp(prefix="stockfair-pyfiles-")
+    archive = os.path.join(folder, "stockfair.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a scratch one only when unset.
 
