@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockfair.llm import bpe, sharding, simhash
+from stockfair.llm import bpe, chat, decontam, licenses, oracle, quality, secret_scan, sharding, simhash, substring, toxicity
 from stockfair.llm.common import prepared, table
 
 
@@ -15,17 +15,80 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@prepared
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("char_js", "word_js")
+
+
+@prepared
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain)
+
+
+#: Conversation -7: both turns say what the template itself writes.
+PROBE = r"\### Assistant: </turn> ok"
+
+
+@prepared
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chat.digests(chat.format_conversations(chat.log_of(rows.union(probe))))
+
+
+@prepared
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@prepared
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 @prepared
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")) \
         .select("doc_id", "fingerprint", "component_id")
 
 
+@prepared
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@prepared
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan.scan(table(spark, sf_dir, "documents"))
+
+    def named(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = [r.kind for r in secret_scan.RULES if r.base]
+    return findings.select(
+        "doc_id",
+        *[F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 @prepared
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("lot")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op7_simhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_quality, op3_toxicity, op4_chat, op5_substring, op6_licenses, op7_simhash, op8_decontamination, op9_secrets,
+                                   op10_sharding)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL

@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version on the odd tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from odd import docs, texts, words
+from stockfair.llm import bpe, chat, decontam, licenses, quality, secret_scan, sharding, simhash, substring, toxicity
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_codec_equals_the_library(library):
+    rng = random.Random(3)
+    alphabet = ["a", "b", "the", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "é", "日本", "😀", "1", "²", "!",
+                "'s", "'ll", "<|endoftext|>", "<|end", "_", "\u0301", "\x00", "\ufeff"]
+    codec = bpe.Codec(bpe.default_path())
+    some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    some += ["a" * 3000, " " * 900, "abcde" * 300, "the" * 500 + "é" * 500, *[t or "" for t in texts()]]
+    for s, pieces in zip(some, codec.pieces(some)):
+        want = library.encode(s, add_special_tokens=False).ids
+        assert [i for _, p in pieces for i in p] == want, s
+        assert codec.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_on_odd_documents(spark, library):
+    t = texts() + ["<|endoftext|> a", "b<|endoftext|>"]
+    df = docs(spark, t)
+    got = by_id(bpe.round_trip(df))
+    assert len(got) == len(t)
+    encoded = bpe.encode(df)
+    ids, back = by_id(encoded), by_id(bpe.decode(encoded))
+    for i, s in enumerate(t):
+        want = library.encode(s or "", add_special_tokens=False).ids
+        assert got[i]["n_tokens"] == len(want) and ids[i]["ids"] == want
+        assert got[i]["ids_sha256"] == sha(",".join(map(str, want)))
+        text = library.decode(want, skip_special_tokens=False)
+        assert got[i]["decoded_sha256"] == sha(text) and back[i]["text"] == text == (s or "")
+    assert bpe.round_trip(df.limit(0)).count() == 0
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = SPACE.findall(t)
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints, bits=3):
+    ids = sorted(prints)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= bits:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_on_odd_documents(spark):
+    t = texts()
+    got = by_id(simhash.near_duplicates(docs(spark, t)))
+    prints = {i: brute_fingerprint(s) for i, s in enumerate(t)}
+    assert {i: int(r["fingerprint"], 16) for i, r in got.items()} == prints
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(prints)
+    kept = {r["doc_id"] for r in simhash.deduplicated(docs(spark, t)).collect()}
+    assert kept == set(brute_components(prints).values())
+    assert simhash.near_duplicates(docs(spark, t).limit(0)).count() == 0
+    twice = simhash.near_duplicates(docs(spark, ["a", "a", "b"], [5, 5, None])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in twice if r["doc_id"]) == [(5, 5), (5, 5)]
+    assert len(twice) == 3
+
+
+@pytest.mark.parametrize("bits", [1, 2, 3, 4, 5])
+def test_simhash_links_lose_none(spark, bits):
+    rng = random.Random(bits)
+    values = set()
+    for _ in range(60):
+        v = rng.getrandbits(64)
+        values.add(v)
+        for _ in range(4):
+            values.add(v ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, bits + 1))))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    df = spark.createDataFrame([(v,) for v in signed], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.links(df, bits).collect()}
+    want = {(min(a, b), max(a, b)) for a in signed for b in signed if a != b
+            and bin((a ^ b) & (2**64 - 1)).count("1") <= bits}
+    assert got == want and want
+
+
+def test_components_of_chains_and_stars(spark):
+    from stockfair.llm.common import connected_components
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(300, 299), (299, 298), (7, 7)]
+    got = {r["node"]: r["root"] for r in connected_components(
+        spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[100 + k] == 100 for k in range(30))
+    assert got[300] == got[299] == got[298] == 298
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_kept(all_texts, window):
+    split = [SPACE.findall(t or "") for t in all_texts]
+    count = {}
+    for w in split:
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i:i + window])
+            count[k] = count.get(k, 0) + 1
+    out = []
+    for w in split:
+        gone = {j for i in range(len(w) - window + 1) if count[tuple(w[i:i + window])] > 1
+                for j in range(i, i + window)}
+        out.append((len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("window,vocabulary", [(5, 3), (8, 2), (35, 4000), (3, 40)])
+def test_substring_on_odd_documents(spark, monkeypatch, window, vocabulary):
+    monkeypatch.setattr(substring, "BATCH_BYTES", 3000)   # many batches and ranges
+    monkeypatch.setattr(substring, "RANGE_EDGES", 100)
+    rng = random.Random(window)
+    some = words(rng, 60, 5000)
+    t = texts() + [" ".join(words(rng, rng.randint(0, 80), vocabulary)) for _ in range(30)]
+    t += [" ".join(words(rng, 30, 9000) + some + words(rng, 20, 9000)) for _ in range(5)]
+    t += [" ".join(some[:50]), "a " * 200, "a b c " * 60]
+    got = by_id(substring.without_repeats(docs(spark, t), window))
+    assert {i: (r["n_words"], r["n_removed"], r["text"]) for i, r in got.items()} \
+        == dict(enumerate(brute_kept(t, window)))
+
+
+def test_substring_repeated_rows_and_empty(spark):
+    t = " ".join(words(random.Random(2), 50, 999))
+    rows = substring.without_repeats(docs(spark, [t, t, None, "x y"], [1, 1, None, None])).collect()
+    assert sorted((r["n_words"], r["n_removed"]) for r in rows) == [(0, 0), (2, 0), (50, 50), (50, 50)]
+    assert substring.without_repeats(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def brute_hits(all_texts, items, window=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def cut(t):
+        return word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+    wins = {}
+    for i, t in items:
+        w = cut(t)
+        n = min(len(w), window)
+        for k in range(len(w) - n + 1 if w else 0):
+            wins.setdefault(tuple(w[k:k + n]), set()).add(str(i))
+    sizes = {len(k) for k in wins}
+    out = []
+    for t in all_texts:
+        w, hit, found = cut(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (own := wins.get(tuple(w[k:k + n]))) is not None:
+                    hit.update(range(k, k + n))
+                    found |= own
+        out.append((len(w), len(hit), sorted(found), bool(hit)))
+    return out
+
+
+def test_decontamination_on_odd_documents(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(words(rng, rng.randint(8, 30), 3000))) for i in range(12)]
+    items += [(90, items[0][1]), (91, "Lone"), (92, "two Words"), (93, ""), (94, None), (95, "É É É"),
+              (96, "a a a a a a a a a a a a"), (None, "w1 w2 w3 w4")]
+    t = texts() + [f"x {s} y" for _, s in items if s] + ["a, " * 25, "LONE two-words", "é é é É É É",
+                                                         " ".join(items[3][1].split()[2:13])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(decontam.contamination(docs(spark, t), bench))
+    want = brute_hits(t, [(i, s) for i, s in items if i is not None])
+    # a null item id names nothing in the list, its windows still hit
+    null = brute_hits(t, [(0, "w1 w2 w3 w4")])
+    for i, (n, hit, found, bad) in enumerate(want):
+        r = got[i]
+        assert (r["n_words"], list(r["items"])) == (n, found)
+        if not null[i][3]:
+            assert (r["n_hit"], r["contaminated"], r["n_items"]) == (hit, bad, len(found))
+    kept = {r["doc_id"] for r in decontam.clean(docs(spark, t), bench).collect()}
+    assert kept == {i for i, r in got.items() if not r["contaminated"]}
+    empty = decontam.contamination(docs(spark, t), bench.limit(0)).collect()
+    assert len(empty) == len(t) and not any(r["contaminated"] for r in empty)
+    assert decontam.contamination(docs(spark, t).limit(0), bench).count() == 0
+    same = decontam.contamination(docs(spark, [items[0][1]] * 2 + [None], [None, None, None]), bench).collect()
+    assert sorted(r["contaminated"] for r in same) == [False, True, True]
+
+
+PYTHON_RULES = [
+    ("assign", r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1)]
+
+
+def brute_secrets(text):
+    return sorted((m.start(), k, kind, m.end()) for k, (kind, p, g, least) in enumerate(PYTHON_RULES)
+                  for m in re.finditer(p, text or "") if len(m[g]) >= least)
+
+
+def secret_texts():
+    rng = random.Random(8)
+    part = ["password", "Token", "API_KEY", "apikey", ": ", "=", " = ", "'", '"', "abcdef", "ab", "x-y_z/1+2=", "é",
+            "😀", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", " ", "\n", "secret", "ſecret", "passwd",
+            "toKen", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOi12", ".", "eyJzdWIiOi12", "sig_-"]
+    return texts() + ["".join(rng.choice(part) for _ in range(rng.randint(1, 40))) for _ in range(150)] \
+        + ["token: token: abcdefgh", "password=secret=abcdefgh", "token=ab token=abcdef", "a" * 23, "a" * 24]
+
+
+def test_secrets_on_odd_documents(spark):
+    t = secret_texts()
+    df = docs(spark, t)
+    findings, new = secret_scan.scan(df)
+    got = by_id(findings)
+    for i, s in enumerate(t):
+        assert [(x["start"], x["order"], x["kind"], x["end"]) for x in got[i]["spans"]] == brute_secrets(s), s
+    blobs = len(set(s or "" for s in t))
+    assert new.count() == blobs * len(secret_scan.RULES)
+    # the ledger: nothing left to scan, same findings; a new version is scanned alone
+    again, none = secret_scan.scan(df, new)
+    assert none.count() == 0
+    assert {r["doc_id"]: r["spans"] for r in again.collect()} == {i: r["spans"] for i, r in got.items()}
+    from dataclasses import replace
+
+    rules = (*secret_scan.RULES[:-1], replace(secret_scan.RULES[-1], version=2))
+    _, more = secret_scan.scan(docs(spark, t + ["fresh text"]), new, rules)
+    assert more.groupBy("rule").count().collect() and {
+        (r["rule"], r["count"]) for r in more.groupBy("rule").count().collect()} \
+        == {(x.name, 1) for x in rules[:-1]} | {(rules[-1].name, blobs + 1)}
+
+
+def test_secrets_redacted(spark):
+    t = secret_texts()
+    df = docs(spark, t)
+    rows = secret_scan.redacted(df)
+    assert rows.columns == df.columns
+    for r in rows.collect():
+        s = t[r["doc_id"]]
+        spans, out, end = brute_secrets(s), "", 0
+        for a, _, _, z in spans:
+            if a >= end:
+                out += s[end:a] + "[SECRET]"
+            end = max(end, z)
+        if spans:
+            assert r["text"] == out + s[end:] and r["n_chars"] == len(r["text"])
+        else:
+            assert r["text"] == s and r["blob"] == "b"
+    assert secret_scan.redacted(df.limit(0)).count() == 0
+    f, _ = secret_scan.scan(docs(spark, ["token=abcdef", "token=abcdef", None], [None, 1, None]))
+    assert sorted(len(r["spans"]) for r in f.collect()) == [0, 1, 1]
+
+
+def test_sharding_laws(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT_ROWS", 50)
+    rng = random.Random(4)
+    t = texts(n=60) + ["hot copy of a text"] * 200 + [" ".join(words(rng, rng.randint(1, 60))) for _ in range(400)]
+    ids = [*range(len(t) - 2), None, None]
+    rows = sharding.shard(docs(spark, t, ids)).collect()
+    assert len(rows) == len(t)
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["shard"], []).append(r)
+        if r["doc_id"] is not None:
+            raw = (t[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+    assert set(shards) == set(range(8))
+    for rs in shards.values():
+        assert sorted(r["slot"] for r in rs) == list(range(len(rs)))
+    small = [t for t in texts(n=60) if t is None or len(t) < 9000]
+    again = sharding.shard(docs(spark, (small * 40))).collect()
+    load = [sum(r["size"] for r in again if r["shard"] == s) for s in range(8)]
+    assert max(load) <= 1.1 * sum(load) / 8
+    assert sharding.shard(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+def brute_base(text):
+    w = SPACE.findall(text or "")
+    grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+    count = {}
+    for g in grams:
+        count[g] = count.get(g, 0) + 1
+    rep = {j for i, g in enumerate(grams) if count[g] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in (text or "").split("\n") if SPACE.search(x)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(rep))
+
+
+def test_quality_on_odd_documents(spark):
+    t = texts() + ["a b c d " * 30, "x\nx\n\nx \n", "#$% | <b>", "the of and to in is " * 40, "ABC!! DEF!! " * 60]
+    got = by_id(quality.judge(docs(spark, t)))
+    for i, s in enumerate(t):
+        r, (n, chars, symbols, dup, rep) = got[i], brute_base(s)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) \
+            == (n, chars, symbols, dup, rep)
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n) and (not r["kept"] or not r["base_failed"])
+        assert (r["char_js"] is None) == (len(s or "") < quality.MIN_CHARS_JS)
+        assert (r["word_js"] is None) == (n < quality.MIN_WORDS_JS)
+    assert quality.judge(docs(spark, t).limit(0)).count() == 0
+    from pyspark.sql import functions as F
+
+    odd = quality.judge(docs(spark, t).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx"))).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in odd)
+
+
+def test_chat_folds_events(spark):
+    rows = [("c", "m1", 1, "start", "user", None), ("c", "m1", 2, "delta", None, "Hel"),
+            ("c", "m1", 3, "delta", None, "lo"), ("c", "m2", 4, "start", "assistant", None),
+            ("c", "m2", 5, "delta", None, "first"), ("c", "m2", 6, "regenerate", None, None),
+            ("c", "m2", 7, "delta", None, "second"), ("c", "m2", 9, "delta", None, " try"),
+            ("c", "m1", 8, "edit", None, "Bye </turn> \\"), ("c", "m1", 10, "delta", None, "!"),
+            ("c", "m3", 11, "delta", None, "no start"), (None, "m", 1, "start", "a:b\n###", "x")]
+    log = spark.createDataFrame(rows, "conv string, message string, seq long, kind string, role string, body string")
+    out = chat.format_conversations(log)
+    turns = {(r["conv"], r["message"]): chat.parse_turn(r["piece"]) for r in out.collect()}
+    assert turns == {("c", "m1"): ("user", "Bye </turn> \\!"), ("c", "m2"): ("assistant", "second try"),
+                     ("c", "m3"): ("", "no start"), (None, "m"): ("a:b\n###", "")}
+    for r in out.collect():
+        assert r["piece"].count("### ") == 1 and r["piece"].count("</turn>") == 1
+        if r["loss_start"] is not None:
+            assert r["piece"][r["loss_start"]:r["loss_end"]] == "second try"
+    d = {r["conv_id"]: r for r in chat.digests(out).collect()}
+    assert d["c"]["turns_sha256"] == sha("user\nBye </turn> \\!\nassistant\nsecond try\n\nno start\n")
+    assert (d["c"]["loss_chars"], d["c"]["loss_sha256"]) == (10, sha("second try"))
+    assert chat.digests(chat.format_conversations(log.limit(0))).count() == 0
+
+
+def test_chat_odd_rows(spark):
+    rng = random.Random(6)
+    part = ["\\", "#", "###", "</turn>", "<", "/", ":", "\n", "a", "é😀", "### user: "]
+    rows = [(c, t, rng.choice(["user", "assistant", None, "x:y"]),
+             rng.choice([None, "", "".join(rng.choice(part) for _ in range(rng.randint(1, 30)))]))
+            for c in [None, 1, 2, 3] for t in [None, 0, 0, 1, 2, 2, 2]]
+    rows += [(9, 0, "user", "same"), (9, 0, "user", "same"), (10, 1, "assistant", "\\é" * 2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(chat.log_of(df, 7))).collect()}
+    for c in {r[0] for r in rows}:
+        own = sorted(((t is not None, t or 0, r or "", x or "") for k, t, r, x in rows if k == c))
+        assert got[c]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for _, _, r, x in own)), c
+        loss = "".join(x for _, _, r, x in own if r == "assistant")
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), len(loss), sha(loss))
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.train(d, labels.where("doc_id % 3 <> 0"))
+    got = toxicity.score(d, chain).join(labels.where("doc_id % 3 = 0").drop("quality")
+                                        .withColumnRenamed("toxic", "y"), "doc_id").collect()
+    taken, real = [r for r in got if r["toxic"]], [r for r in got if r["y"]]
+    good = sum(r["y"] for r in taken)
+    assert good >= 0.9 * len(taken) and good >= 0.6 * len(real)
+
+
+def test_toxicity_odd(spark):
+    t = texts() + [f"you {w} idiot moron {' '.join(words(random.Random(i), 30))}" for i, w in enumerate("abcdefghijklmnop")]
+    df = docs(spark, t)
+    y = spark.createDataFrame([(i, int("idiot" in (s or ""))) for i, s in enumerate(t)]
+                              + [(None, 1), (2, None), (9999, 1), (3, 1), (3, 0)], "doc_id long, toxic int")
+    chain = toxicity.train(df, y)
+    assert {r["doc_id"] for r in toxicity.score(df, chain).where("toxic").collect()} \
+        == {i for i, s in enumerate(t) if "idiot" in (s or "")}
+    kept = toxicity.without_toxic(df, chain)
+    assert kept.columns == df.columns and kept.count() == sum("idiot" not in (s or "") for s in t)
+    nothing = toxicity.train(df, y.limit(0))
+    assert toxicity.score(df, nothing).where("toxic").count() == 0
+    assert toxicity.without_toxic(df, nothing).count() == len(t)
+    assert toxicity.score(df.limit(0), chain).count() == 0
+
+
+def test_licenses_odd(spark):
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+               "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+               "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "CC-BY-4.0": "Licensed under CC BY 4.0."}
+    t = texts() + [f"{' '.join(words(random.Random(k), 20))}\n{s}\nmore" for k, s in enumerate(notices.values())]
+    t += ["A driving licence is required here.", "under the tree in the version of the day"]
+    df = docs(spark, t)
+    model = licenses.train(df)
+    got = licenses.scan(df, model).where("confirmed").collect()
+    first = len(texts())
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in got} \
+        == {(first + k, 1, f) for k, f in enumerate(notices)}
+    assert licenses.scan(df.limit(0), model).count() == 0
+    assert licenses.scan(docs(spark, [None, "Released under the MIT License."], [None, None]), model).count() == 1
