@@ -10,9 +10,10 @@ above the probability that keeps held-out other paragraphs out.  A prediction
 is confirmed if the paragraph and one template of the family share most of the
 shorter one's n-grams.
 
-Main path (scoring): DataFrame functions only.  A paragraph's n-grams are
-filtered in the row to those of the templates (a fixed set), so only paragraphs
-that share some are exploded; nothing else is shuffled.
+Main path (scoring): DataFrame functions only.  N-grams of function words alone
+are no features, so a paragraph without any of the templates' other words has
+none; the rest is intersected in the row with the templates' n-grams (a fixed
+set), and only paragraphs that share some are exploded.
 
 Defined cases: null or empty texts have no paragraphs; a paragraph without any
 template n-gram is of no family; equal paragraphs each count; repeated rows of
@@ -102,6 +103,10 @@ OTHERS = (
     "All terms and conditions of the sale are subject to change.",
     "You may obtain a copy of the report at the office.",
 )
+#: fixed values: function words
+FUNCTION_WORDS = frozenset(
+    "a all an and any are as at be by for from if in is it may not of on or other out such that the this to "
+    "under was will with without you".split())
 OTHER = "other"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,13 +117,18 @@ def _grams(text: str) -> set[str]:
     return {" ".join(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
 
 
-def _gram_column(text: Column) -> tuple[Column, Column]:
-    words = F.filter(F.split(ascii_lower(text), _SEPARATORS), lambda w: w != "")
+def _constant(values) -> Column:
+    """An array of strings without bars, as one literal."""
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
+def _gram_column() -> Column:
+    """Bigrams and trigrams of the words in column ``w``."""
     pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))),
                         lambda w, i: F.concat_ws(" ", w, F.get("w", i + 1)))
     triples = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))),
                           lambda w, i: F.concat_ws(" ", w, F.get("w", i + 1), F.get("w", i + 2)))
-    return words, F.concat(pairs, triples)
+    return F.concat(pairs, triples)
 
 
 @dataclass
@@ -159,7 +169,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
            .orderBy(F.xxhash64("line"), "line").limit(MAX_OTHER).collect()]
     families = [*TEMPLATES, OTHER]
     known = [(k, t) for k, ts in TEMPLATES.items() for t in ts]
-    grams = sorted({g for _, t in known for g in _grams(t)})
+    grams = sorted(g for g in {g for _, t in known for g in _grams(t)}
+                   if not FUNCTION_WORDS.issuperset(g.split(" ")))
     column = {g: i for i, g in enumerate(grams)}
     rng = random.Random(1)
     noise = [w for line in own[:200] for w in line.split()] or ["text"]
@@ -206,17 +217,20 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
                         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("paragraph", "line"))
-    words, grams = _gram_column(F.col("line"))
-    rows = lines.select("id", "text_key", "paragraph", words.alias("w")).where(F.size("w") >= 2)
-    rows = rows.select("id", "text_key", "paragraph", F.array_distinct(grams).alias("g"))
+    words = F.filter(F.split(ascii_lower(F.col("line")), _SEPARATORS), lambda w: w != "")
+    marks = sorted({w for g in model.grams for w in g.split(" ")} - FUNCTION_WORDS)
+    rows = lines.select("id", "text_key", "paragraph", words.alias("w")) \
+        .where((F.size("w") >= 2) & F.arrays_overlap("w", _constant(marks)))
+    rows = rows.select("id", "text_key", "paragraph", F.array_distinct(_gram_column()).alias("g"))
     rows = rows.select("id", "text_key", "paragraph", F.size("g").alias("n"),
-                       F.filter("g", lambda g: g.isin(model.grams)).alias("hits")).where(F.size("hits") > 0)
+                       F.array_intersect("g", _constant(model.grams)).alias("hits")).where(F.size("hits") > 0)
     # fixed tables: the templates' n-grams
     weights = spark.createDataFrame(
         [(g, [float(v) for v in model.weights[i]]) for i, g in enumerate(model.grams)],
         "gram string, weight array<double>")
-    own = [(g, f, f"{f}/{k}", len(_grams(t))) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)
-           for g in sorted(_grams(t))]
+    kept = set(model.grams)
+    own = [(g, f, f"{f}/{k}", len(_grams(t) & kept)) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)
+           for g in sorted(_grams(t) & kept)]
     templates = spark.createDataFrame(own, "gram string, family string, template string, size int")
     key = ["id", "text_key", "paragraph"]
     hits = rows.select(*key, "n", F.explode("hits").alias("gram"))
