@@ -8,8 +8,9 @@ new assignment / stock tables from the accepted requests.
 * ``allocate_batch`` (all or nothing per batch): every request row of a batch
   must fit in what is left of its product after the earlier rows of the same
   batch; one failing row rejects the whole batch.  Each batch is decided
-  against the given snapshot (one batch per call in the original, so batches
-  that share products must be applied one after the other by the caller).
+  against the given snapshot, as one call decides one batch.
+* ``allocate_in_turn``: the same rule over many batches, one after the other:
+  what an accepted batch takes is gone for the batches after it.
 * ``allocate_rows`` (best effort per row, sheet import): rows run in order,
   an accepted row consumes stock seen by later rows -- the same greedy rule
   as a stock 'out' movement, so it runs on ``ledger.apply_ledger``.
@@ -20,10 +21,13 @@ new assignment / stock tables from the accepted requests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockfair.operators import ledger, sequential
+from stockfair.operators.fairs import dense_ids
+from stockfair.session import cut_lineage
 
 # Decision reasons and the error texts of the sheet import.
 NOT_ASSIGNED = "not_assigned"
@@ -61,12 +65,71 @@ def allocate_batch(requests: DataFrame, available: DataFrame) -> DataFrame:
               .when(F.col("cum_quantity") > F.col("available"), F.lit(INSUFFICIENT)))
     r = r.withColumn("reason", reason)
     ok = r.groupBy("batch_id").agg(F.bool_and(F.col("reason").isNull()).alias("batch_accepted"))
-    return r.join(ok, "batch_id", "inner")
+    return sequential.null_safe_join(r, ok, ["batch_id"], "inner")
+
+
+def allocate_in_turn(requests: DataFrame, available: DataFrame) -> DataFrame:
+    """Decide the batches in the order of their first ``seq`` (then batch_id),
+    each against what the accepted ones before it leave.
+
+    Set-based rounds instead of a walk: a batch is accepted if all its rows
+    fit even when every undecided earlier batch is counted as accepted, and
+    rejected if one fails counting accepted earlier batches alone.  The first
+    undecided batch is always decided, and so is every batch that shares no
+    product with an undecided earlier one.  Each round is a running sum per
+    product over blocks of rows, written to the checkpoint folder; batches
+    decided in a round leave it, accepted rows stay as what they took.
+
+    Returns the request columns, ``available`` (of the snapshot), ``reason`` of
+    the row (NULL when it fits in turn) and ``batch_accepted``.  Every request
+    row is returned, also those with a NULL product or batch."""
+    first = requests.groupBy("batch_id").agg(F.min("seq").alias("_first"))
+    r = sequential.null_safe_join(requests, first, ["batch_id"], "inner")
+    r = r.join(available, "product_id", "left")
+    static = (F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), F.lit(INVALID_QUANTITY))
+              .when(F.col("available").isNull(), F.lit(UNKNOWN_PRODUCT)))
+    r = r.withColumn("reason", static)
+    bad = r.groupBy("batch_id").agg(F.max(F.col("reason").isNotNull()).alias("_bad"))
+    r = sequential.null_safe_join(r, bad, ["batch_id"], "inner")
+    # one dense order over all rows: (first seq, batch, seq), numbered without one big window
+    r = cut_lineage(dense_ids(r.withColumn("_o", F.struct("_first", "batch_id", "seq", "product_id")),
+                              "_o", "_n").drop("_o"))
+    rejected = r.where("_bad")
+    cur = r.where(~F.col("_bad")).withColumn("_state", F.lit(0))  # 0 open, 1 accepted
+    done = []
+    while True:
+        own = ["batch_id", "product_id"]
+        both = cur.withColumn("_taken", F.when(F.col("_state") == 1, F.col("quantity")).otherwise(0))
+        both = sequential.running_sum(both, ["product_id"], "_n", "quantity", "_upper")
+        both = sequential.running_sum(both, ["product_id"], "_n", "_taken", "_lower")
+        both = sequential.running_sum(both, own, "_n", "quantity", "_own")
+        # an open row's own batch adds nothing to _lower: its rows are open too
+        open_row = F.col("_state") == 0
+        both = both.withColumn("_fits", F.col("_upper") <= F.col("available")) \
+            .withColumn("_fails", F.col("_lower") + F.col("_own") > F.col("available"))
+        verdict = both.where(open_row).groupBy("batch_id").agg(
+            F.bool_and("_fits").alias("_yes"), F.max("_fails").alias("_no"))
+        both = sequential.null_safe_join(both, verdict, ["batch_id"], "left")
+        both = both.withColumn("reason", F.when(open_row & F.col("_no") & F.col("_fails"), F.lit(INSUFFICIENT)))
+        both = both.withColumn("_state", F.when(open_row & F.col("_no"), F.lit(2))
+                               .when(open_row & F.col("_yes"), F.lit(1)).otherwise(F.col("_state")))
+        both = cut_lineage(both.drop("_taken", "_upper", "_lower", "_own", "_fits", "_fails", "_yes", "_no"))
+        done.append(both.where("_state = 2"))
+        cur = both.where("_state < 2")
+        if both.where("_state = 0").limit(1).count() == 0:
+            break
+    out = [*requests.columns, "available", "reason"]
+    parts = [d.select(*out, F.lit(False).alias("batch_accepted")) for d in (rejected, *done)]
+    result = cur.select(*out, F.lit(True).alias("batch_accepted"))
+    for p in parts:
+        result = result.unionByName(p)
+    return result
 
 
 def allocation_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFrame:
     """New assignments after the accepted batches: quantities added to an
-    existing (event, product) row, new rows otherwise; a supplied fair price
+    existing (event, product) row, new rows otherwise (ids after the largest
+    one, in (event, product) order); a supplied fair price
     overrides (the last non-NULL one in request order wins)."""
     acc = decisions.where(F.col("batch_accepted"))
     price = (F.max_by(F.col("sale_price"), F.when(F.col("sale_price").isNotNull(), F.col("seq")))
@@ -75,10 +138,14 @@ def allocation_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFra
         F.sum("quantity").alias("_add"), price.alias("_price"))
     a = assignments.select("id", "event_id", "product_id", "quantity_assigned", "event_sale_price")
     j = a.join(add, ["event_id", "product_id"], "full_outer")
-    return j.select(
-        F.coalesce(F.col("id"), F.col("event_id") * 10_000_000_000 + F.col("product_id"))
-        .alias("id"),
-        "event_id", "product_id",
+    j = cut_lineage(j)
+    start = assignments.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = dense_ids(j.where(F.col("id").isNull()).drop("id")
+                    .withColumn("_o", F.struct("event_id", "product_id")), "_o", "_n") \
+        .withColumn("id", F.lit(start) + F.col("_n"))
+    both = j.where(F.col("id").isNotNull()).unionByName(new.select(*j.columns))
+    return both.select(
+        "id", "event_id", "product_id",
         (F.coalesce(F.col("quantity_assigned"), F.lit(0)) + F.coalesce(F.col("_add"), F.lit(0)))
         .cast("long").alias("quantity_assigned"),
         F.coalesce(F.col("_price"), F.col("event_sale_price")).alias("event_sale_price"),
@@ -193,35 +260,79 @@ def allocate_rows_summary(decisions: DataFrame) -> DataFrame:
 
 def reassign_quantity(requests: DataFrame, assignments: DataFrame,
                       available: DataFrame) -> DataFrame:
-    """``requests``: seq, event_id, product_id, new_quantity (the last request
-    per assignment counts).  Unknown assignment -> ``not_assigned``; an
-    increase needs that much available stock (requests on one product are
-    applied in seq order); a decrease releases stock."""
-    # last request per assignment: a partial (map-side) aggregate
-    r = (requests.groupBy("event_id", "product_id")
-         .agg(F.max_by(F.struct(*[c for c in requests.columns
-                                  if c not in ("event_id", "product_id")]), "seq").alias("_r"))
-         .select("event_id", "product_id", "_r.*"))
+    """``requests``: seq, event_id, product_id, new_quantity.  Every request is
+    decided, those on one product in seq order: unknown assignment ->
+    ``not_assigned``; an increase over the assignment's quantity at that time
+    needs that much available stock; a decrease releases stock.
+
+    As long as nothing of a product is rejected, a request's change is measured
+    from the request before it, so a running sum settles those rows; only rows
+    from a product's first rejection on are walked in order."""
     a = assignments.select("event_id", "product_id",
-                           F.col("quantity_assigned").alias("current_quantity"))
-    r = r.join(a, ["event_id", "product_id"], "left")
-    r = r.withColumn("delta", F.col("new_quantity") - F.col("current_quantity"))
-    moves = r.where(F.col("current_quantity").isNotNull() & (F.col("delta") != 0)).select(
-        "seq", "product_id",
-        F.when(F.col("delta") > 0, "out").otherwise("in").alias("transaction_type"),
-        F.abs("delta").alias("quantity"))
-    opening = available.select("product_id", F.col("available").alias("opening"))
-    d = ledger.apply_ledger(moves, opening).select("seq", "accepted", "reason",
-                                                   F.col("balance_after").alias("available_after"))
-    j = r.join(d, "seq", "left")
-    return j.select(
-        "seq", "event_id", "product_id", "current_quantity", "new_quantity", "delta",
-        F.when(F.col("current_quantity").isNull(), F.lit(False))
-        .when(F.col("delta") == 0, F.lit(True)).otherwise(F.col("accepted")).alias("accepted"),
-        F.when(F.col("current_quantity").isNull(), F.lit(NOT_ASSIGNED))
-        .when(F.col("delta") == 0, F.lit(None)).otherwise(F.col("reason")).alias("reason"),
-        "available_after",
-    )
+                           F.col("quantity_assigned").alias("_assigned"))
+    r = requests.join(a, ["event_id", "product_id"], "left").join(available, "product_id", "left")
+    open_row = F.col("_assigned").isNotNull() & F.col("new_quantity").isNotNull()
+    closed = r.where(~open_row)
+    r = r.where(open_row)
+    own = Window.partitionBy("event_id", "product_id").orderBy("seq")
+    r = r.withColumn("current_quantity",
+                     F.coalesce(F.lag("new_quantity").over(own), F.col("_assigned")).cast("long"))
+    r = r.withColumn("delta", (F.col("new_quantity") - F.col("current_quantity")).cast("long"))
+    r = sequential.running_sum(r, ["product_id"], "seq", "delta", "_cum")
+    r = r.withColumn("_left", F.col("available") - F.col("_cum"))
+    fails = F.when(F.col("available").isNull(), F.col("delta") > 0).otherwise(F.col("_left") < 0)
+    first = (r.where(fails & (F.col("delta") > 0)).groupBy("product_id")
+             .agg(F.min("seq").alias("_first"),
+                  F.min_by(F.col("_left") + F.col("delta"), F.col("seq")).alias("_start")))
+    r = cut_lineage(r.join(first, "product_id", "left"))
+    cols = ["seq", "event_id", "product_id", "current_quantity", "new_quantity", "delta"]
+    fast = r.where(F.col("_first").isNull() | F.col("seq").isNull() | (F.col("seq") < F.col("_first"))).select(
+        *cols, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
+        F.when(F.col("delta") != 0, F.col("_left")).cast("long").alias("available_after"))
+    types = {f.name: f.dataType for f in requests.schema.fields}
+    schema = T.StructType(
+        [T.StructField(c, types[c]) for c in ("seq", "event_id", "product_id")]
+        + [T.StructField("current_quantity", T.LongType()), T.StructField("new_quantity", types["new_quantity"]),
+           T.StructField("delta", T.LongType()), T.StructField("accepted", T.BooleanType()),
+           T.StructField("reason", T.StringType()), T.StructField("available_after", T.LongType())])
+
+    def init(v):
+        return (None if v[3] is None or v[3] != v[3] else int(v[3])), {}
+
+    def step(state, v):
+        left, held = state
+        event, before, new = v[0], int(v[1]), int(v[2])
+        now = held.get(event, before)          # the last accepted quantity of the fair
+        change = new - now
+        if change > 0 and left is None:
+            return state, (now, change, False, UNKNOWN_PRODUCT, None)
+        if change > 0 and change > left:
+            held[event] = now                  # later rows measure from here
+            return state, (now, change, False, INSUFFICIENT, left)
+        held[event] = new
+        left = None if left is None else left - change
+        return (left, held), (now, change, True, None, left if change else None)
+
+    slow = r.where(F.col("seq") >= F.col("_first")).withColumnRenamed("current_quantity", "_before")
+    slow_out = sequential.sorted_fold(
+        slow.withColumns({"current_quantity": F.col("_before"), "_event": F.col("event_id")}),
+        ["product_id"], ["seq"], init, step, schema, inputs=["_event", "_before", "new_quantity", "_start"],
+        outputs=["current_quantity", "delta", "accepted", "reason", "available_after"], skip_if_empty=True)
+    rest = closed.select(
+        "seq", "event_id", "product_id", F.col("_assigned").cast("long").alias("current_quantity"),
+        "new_quantity", F.lit(None).cast("long").alias("delta"), F.lit(False).alias("accepted"),
+        F.when(F.col("_assigned").isNull(), F.lit(NOT_ASSIGNED)).otherwise(F.lit(INVALID_QUANTITY)).alias("reason"),
+        F.lit(None).cast("long").alias("available_after"))
+    return fast.unionByName(slow_out.select(*fast.columns)).unionByName(rest)
+
+
+def reassigned(decisions: DataFrame, assignments: DataFrame) -> DataFrame:
+    """The assignments with each one's last accepted quantity."""
+    last = (decisions.where("accepted").groupBy("event_id", "product_id")
+            .agg(F.max_by("new_quantity", "seq").alias("_new")))
+    return assignments.join(last, ["event_id", "product_id"], "left").select(
+        *[F.coalesce(F.col("_new"), F.col(c)).cast("long").alias(c) if c == "quantity_assigned" else F.col(c)
+          for c in assignments.columns])
 
 
 # -- M9 ------------------------------------------------------------------------
@@ -229,13 +340,16 @@ def reassign_quantity(requests: DataFrame, assignments: DataFrame,
 def unassign_product(requests: DataFrame, assignments: DataFrame) -> DataFrame:
     """``requests``: event_id, product_id.  Returns each request with the
     quantity it releases (NULL and ``not_assigned`` when there is no such
-    assignment)."""
+    assignment, or an earlier request by ``seq`` has released it)."""
     a = assignments.select("event_id", "product_id", "quantity_assigned")
-    j = requests.join(a, ["event_id", "product_id"], "left")
+    order = ["seq"] if "seq" in requests.columns else list(requests.columns)
+    turn = F.row_number().over(Window.partitionBy("event_id", "product_id").orderBy(*order))
+    j = requests.withColumn("_turn", turn).join(a, ["event_id", "product_id"], "left")
+    ok = F.col("quantity_assigned").isNotNull() & (F.col("_turn") == 1)
     return j.select(*requests.columns,
-                    F.col("quantity_assigned").alias("released"),
-                    F.col("quantity_assigned").isNotNull().alias("accepted"),
-                    F.when(F.col("quantity_assigned").isNull(), F.lit(NOT_ASSIGNED)).alias("reason"))
+                    F.when(ok, F.col("quantity_assigned")).alias("released"),
+                    ok.alias("accepted"),
+                    F.when(~ok, F.lit(NOT_ASSIGNED)).alias("reason"))
 
 
 def unassign_snapshot(requests: DataFrame, assignments: DataFrame,

@@ -50,7 +50,8 @@ def lookup_products(products: DataFrame, inventory: DataFrame, keys: DataFrame,
     sp = stocked_products(products, inventory).alias("sp")
     k = keys.alias("k")
     return k.join(sp, F.col(f"k.{key_col}") == F.col(f"sp.{by}"), "inner").select(
-        F.col(f"k.{key_col}"), *[F.col(f"sp.{c}") for c in sp.columns])
+        F.col(f"k.{key_col}"), *[F.col(f"sp.{c}") for c in sp.columns
+                                 if c != key_col or key_col != by])
 
 
 def product_by_barcode(products: DataFrame, inventory: DataFrame, barcode) -> DataFrame:

@@ -25,8 +25,9 @@ def update_event(annual_events: DataFrame, event_id, column: str, value) -> Data
 
 
 def delete_event(annual_events: DataFrame, event_id) -> DataFrame:
-    """M11.  Drop the event (dependent rows elsewhere are not touched)."""
-    return annual_events.where(F.col("id") != F.lit(event_id))
+    """M11.  Drop the event (dependent rows elsewhere are not touched); rows
+    without an id stay, whatever ``event_id`` is."""
+    return annual_events.where(~F.col("id").eqNullSafe(F.lit(event_id)) | F.col("id").isNull())
 
 
 def create_events(annual_events: DataFrame, new_rows: DataFrame) -> DataFrame:

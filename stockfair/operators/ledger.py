@@ -72,7 +72,9 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
     # read twice below (final rows, ordered walk): materialise once
     m = cut_lineage(m.join(first_neg, "product_id", "left"))
 
-    fast = m.where(F.col("_first_neg").isNull() | (F.col("seq") < F.col("_first_neg")))
+    # rows without a seq come first in order, so they are settled too
+    fast = m.where(F.col("_first_neg").isNull() | F.col("seq").isNull()
+                   | (F.col("seq") < F.col("_first_neg")))
     fast_out = fast.select(
         *in_cols,
         F.col("_static").isNull().alias("accepted"),

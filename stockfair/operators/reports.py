@@ -19,7 +19,12 @@ def _ratio(num: Column, den: Column, scale: float = 1.0) -> Column:
     return F.when(den > 0, num / den * scale).otherwise(F.lit(0.0))
 
 
-def event_product_sales(sales: DataFrame, products: DataFrame, event_id=None) -> DataFrame:
+def _cents(c: Column, exact: bool) -> Column:
+    return c if exact else F.round(c, 2)
+
+
+def event_product_sales(sales: DataFrame, products: DataFrame, event_id=None,
+                        exact: bool = False) -> DataFrame:
     """A8.  Quantity and revenue per (fair, product); sales of unknown
     products drop out.  A partial (map-side) aggregate before the shuffle."""
     s = sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id))
@@ -30,15 +35,17 @@ def event_product_sales(sales: DataFrame, products: DataFrame, event_id=None) ->
     p = products.select(F.col("id").alias("pid"), "sku")
     return g.join(p, g.product_id == p.pid, "inner").select(
         "event_id", "product_id", "sku", "quantity_sold",
-        F.round("_revenue", 2).alias("total_revenue"))
+        _cents(F.col("_revenue"), exact).alias("total_revenue"))
 
 
 def event_performance(assignments: DataFrame, products: DataFrame, suppliers: DataFrame,
-                      sales: DataFrame, event_id=None) -> DataFrame:
+                      sales: DataFrame, event_id=None, exact: bool = False) -> DataFrame:
     """A9.  Assigned products of each fair with what was sold: sold and
     revenue default to 0, remaining = assigned - sold, profit = revenue -
     sold * purchase price (NULL when the purchase price is unknown).  Sales
-    of products never assigned to the fair are left out."""
+    of products never assigned to the fair are left out.  Amounts are rounded
+    for printing; with ``exact`` they are not, which is what the summary and
+    the breakdowns sum."""
     ep = assignments if event_id is None else assignments.where(F.col("event_id") == F.lit(event_id))
     ep, p, s = ep.alias("ep"), products.alias("p"), suppliers.alias("s")
     assigned = (ep.join(p, F.col("ep.product_id") == F.col("p.id"))
@@ -52,7 +59,7 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
                     F.col("ep.quantity_assigned")))
     sold = event_product_sales(
         sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id)),
-        products).select(F.col("event_id").alias("s_event_id"),
+        products, exact=True).select(F.col("event_id").alias("s_event_id"),
                          F.col("product_id").alias("s_product_id"),
                          "quantity_sold", "total_revenue")
     j = assigned.join(sold, (assigned.event_id == sold.s_event_id)
@@ -62,9 +69,9 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
     return j.select(
         "event_id", "id", "sku", "name", "description", "category", "supplier",
         "purchase_price", "sale_price", "quantity_assigned",
-        q_sold.alias("quantity_sold"), revenue.alias("total_revenue"),
+        q_sold.alias("quantity_sold"), _cents(revenue, exact).alias("total_revenue"),
         (F.col("quantity_assigned") - q_sold).alias("remaining"),
-        F.round(revenue - q_sold * F.col("purchase_price"), 2).alias("profit"),
+        _cents(revenue - q_sold * F.col("purchase_price"), exact).alias("profit"),
     )
 
 
@@ -135,7 +142,8 @@ def top_products(performance: DataFrame, by: str = "quantity_sold", k: int = 10)
     """A13 / A14.  Top ``k`` products of each fair by ``by`` (ties by product
     id), only for fairs that sold something.  ``row_number() <= k`` is planned
     with a per-partition group limit before the shuffle, so a fair holding
-    most rows still moves at most k rows per map task."""
+    most rows still moves at most k rows per map task.  ``performance`` is read
+    twice: callers materialise it once."""
     sold_any = (performance.groupBy("event_id").agg(F.sum("quantity_sold").alias("_s"))
                 .where(F.col("_s") > 0).select("event_id"))
     w = Window.partitionBy("event_id").orderBy(F.col(by).desc_nulls_last(), F.col("id"))
@@ -161,37 +169,64 @@ def year_event_product_sales(sales: DataFrame, products: DataFrame, fairs: DataF
         F.round("_rev", 2).alias("total_revenue"))
 
 
+def programme_cells(products: DataFrame, assignments: DataFrame, fairs: DataFrame,
+                    suppliers: DataFrame, sales: DataFrame, year: int) -> DataFrame:
+    """A16, long form: one row per product of ``year`` and fair that sold it,
+    (id, event_id, event_name, quantity_sold, total), and one row with a NULL
+    fair for each product that sold nothing.  Nothing is collected and no
+    column depends on the data, so it is the form for many fairs."""
+    rows = catalog.year_products(products, assignments, fairs, suppliers, year)
+    ys = year_event_product_sales(sales, products, fairs, year).select(
+        F.col("product_id").alias("pid"), "event_id", "event_name", "quantity_sold")
+    total = F.coalesce(F.sum("quantity_sold").over(Window.partitionBy("id")), F.lit(0)).cast("long")
+    return (rows.select("id").join(ys, F.col("id") == F.col("pid"), "left")
+            .withColumn("totali", total)
+            .select("id", "event_id", "event_name",
+                    F.coalesce("quantity_sold", F.lit(0)).cast("long").alias("quantity_sold"),
+                    "totali"))
+
+
+def quoted(name: str) -> str:
+    """A column name as an identifier, whatever it contains."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def pivot_column_name(event_id: Column, name: Column) -> Column:
     return F.concat_ws("_", event_id.cast("string"), name)
 
 
 def programme_pivot(products: DataFrame, assignments: DataFrame, fairs: DataFrame,
-                    suppliers: DataFrame, sales: DataFrame, year: int) -> DataFrame:
+                    suppliers: DataFrame, sales: DataFrame, year: int,
+                    max_columns: int = 1000) -> DataFrame:
     """A16 / A17.  Products assigned in ``year`` x fairs of ``year``: quantity
     sold per cell (0 when none), plus a ``TOTALI`` column.  Only fairs with
     sales become columns; when the year has no sales at all every fair of the
     year becomes a 0 column.
 
-    The column list is the one value list this library collects: the fairs of
-    one year (tens of rows, bounded by the calendar), so the pivot is given
-    explicit values and runs as a single aggregate.
+    A wide table needs its columns known: the fairs of one year are collected,
+    at most ``max_columns`` (``programme_cells`` is the form without a bound;
+    beyond the bound this one raises instead of planning ever more columns).
     """
     rows = catalog.year_products(products, assignments, fairs, suppliers, year)
     fy = catalog.fairs_in_year(fairs, year).select(F.col("id").alias("f_id"), "name", "start_date")
     ys = year_event_product_sales(sales, products, fairs, year)
     with_sales = fy.join(ys.select(F.col("event_id").alias("f_id")), "f_id", "left_semi")
-    cols = [(r.f_id, r.name) for r in with_sales.orderBy("start_date", "f_id").collect()]
-    if not cols:
-        cols = [(r.f_id, r.name) for r in fy.orderBy("start_date", "f_id").collect()]
-    names = [f"{i}_{n}" for i, n in cols]
+    def first(f: DataFrame):
+        return f.orderBy("start_date", "f_id").limit(max_columns + 1).collect()
+
+    cols = first(with_sales) or first(fy)
+    if len(cols) > max_columns:
+        raise ValueError(f"more than {max_columns} fairs in {year}: use programme_cells")
+    names = [f"{r.f_id}_{r.name}" if r.name is not None else str(r.f_id) for r in cols]
     cells = ys.withColumn("col", pivot_column_name(F.col("event_id"), F.col("event_name")))
     piv = cells.groupBy(F.col("product_id").alias("pid")).pivot("col", names).agg(
         F.sum("quantity_sold"))
-    out = rows.join(piv, rows.id == piv.pid, "left").drop("pid").na.fill(0, subset=names)
-    total = sum((F.col(f"`{n}`") for n in names), F.lit(0).cast("long"))
-    return out.withColumn("TOTALI", total).select(
-        "id", "sku", "name", "description", "category", "supplier", *[f"`{n}`" for n in names],
-        "TOTALI")
+    out = rows.join(piv, rows.id == piv.pid, "left")
+    filled = [F.coalesce(F.col(quoted(n)), F.lit(0)).cast("long") for n in names]
+    return out.select(
+        "id", "sku", "name", "description", "category", "supplier",
+        *[c.alias(n) for c, n in zip(filled, names)],
+        sum(filled, F.lit(0).cast("long")).alias("TOTALI"))
 
 
 def event_list(fairs: DataFrame, year: int) -> DataFrame:

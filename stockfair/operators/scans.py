@@ -65,7 +65,7 @@ def previous_in_order(df: DataFrame, key: str, ts: str, tie: str, cols: list[str
         .alias("_last"))
     wb = Window.partitionBy(key).orderBy("_b")
     carried = last.select(key, "_b", F.lag("_last").over(wb).alias("_carry"))
-    j = b.join(carried, [key, "_b"], "left")
+    j = sequential.null_safe_join(b, carried, [key, "_b"], "left")
     for c in cols:
         j = j.withColumn(f"prev_{c}", F.when(F.col("_rn") == 1, F.col(f"_carry.{c}"))
                          .otherwise(F.col(f"_lag_{c}")))
@@ -99,7 +99,7 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
     wb = (Window.partitionBy(key).orderBy("_b")
           .rowsBetween(Window.unboundedPreceding, -1))
     carried = starts.select(key, "_b", F.max("_last_start").over(wb).alias("_carry_start"))
-    p = p.join(carried, [key, "_b"], "left")
+    p = sequential.null_safe_join(p, carried, [key, "_b"], "left")
     # The first valid scan of a scanner always starts an island, so every row
     # finds one.
     p = p.withColumn("_island", F.coalesce("_in_bucket", "_carry_start"))
@@ -133,11 +133,13 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
 def scan_dedupe(scans: DataFrame, timeout_s: float = 2.0, key: str = "scanner_id",
                 ts: str = "ts", tie: str = "scan_id") -> DataFrame:
     """B4 on raw scans: every scan with ``code``, ``valid`` and ``duplicate``
-    (NULL for invalid scans, which do not touch the anchor)."""
+    (NULL for invalid scans, which do not touch the anchor; a valid scan
+    without a time is no duplicate and no anchor)."""
     s = with_code(scans)
-    dup = duplicate_flags(s.where(F.col("valid")), timeout_s, key, ts, tie)
-    inv = s.where(~F.col("valid")).withColumn("duplicate", F.lit(None).cast("boolean"))
-    return dup.unionByName(inv)
+    ordered = F.coalesce(F.col("valid"), F.lit(False)) & F.col(ts).isNotNull()
+    dup = duplicate_flags(s.where(ordered), timeout_s, key, ts, tie)
+    rest = s.where(~ordered).withColumn("duplicate", F.when(F.col("valid"), F.lit(False)))
+    return dup.unionByName(rest)
 
 
 def scan_lookup(scans: DataFrame, products: DataFrame, inventory: DataFrame,

@@ -26,6 +26,17 @@ from pyspark.sql import types as T
 DEFAULT_BUCKET = 1 << 16
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys],
+                           *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+        cond = same if cond is None else cond & same
+    return left.join(renamed, cond, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
                 bucket_width: int = DEFAULT_BUCKET, tie: str | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` with
@@ -41,7 +52,8 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
     wr = (Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inner = b.withColumn("_inner", F.sum(value).over(wr))
-    return (inner.join(offsets, [*keys, "_bucket"], "inner")
+    # NULL keys are a key of their own: no row is lost
+    return (null_safe_join(inner, offsets, [*keys, "_bucket"], "inner")
             .withColumn(out, F.col("_inner") + F.col("_offset"))
             .drop("_bucket", "_inner", "_offset"))
 

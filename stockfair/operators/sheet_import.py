@@ -62,11 +62,12 @@ def header_mapping(columns: list[str]) -> dict[str, str]:
 
 
 def normalise_event_date(c) -> F.Column:
-    """I17: a date/time cell becomes 'yyyy-MM-dd'; other text is kept; empty
-    is NULL."""
+    """I17: a full date, or date and time, becomes 'yyyy-MM-dd'; other text (a
+    year, a month, a time of day) is kept; empty is NULL."""
     txt = F.when(F.trim(c) == "", F.lit(None)).otherwise(c)
-    ts = F.try_to_timestamp(txt)
-    return F.coalesce(F.date_format(ts, "yyyy-MM-dd"), txt)
+    full = F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$")
+    stamp = F.when(full, F.trim(c)).try_cast("timestamp_ntz")
+    return F.coalesce(F.date_format(stamp, "yyyy-MM-dd"), txt)
 
 
 def typed_event_rows(sheet: DataFrame, id_col: str | None = None) -> DataFrame:
@@ -136,14 +137,17 @@ def sample_rows(df: DataFrame, group: str, order: str, n: int = 3) -> DataFrame:
 
 
 def constraint_report(suppliers: DataFrame, products: DataFrame, inventory: DataFrame,
-                      transactions: DataFrame) -> DataFrame:
+                      transactions: DataFrame, stock_log: DataFrame | None = None) -> DataFrame:
     """K5.  Violations of the declared constraints: NOT NULL columns,
     UNIQUE(products.ean_upc) (NULLs allowed), and the foreign keys products ->
-    suppliers, inventory -> products, transactions -> products."""
-    def not_null(df, table, col):
-        return df.agg(F.count_if(F.col(col).isNull()).alias("violations")).select(
-            F.lit("not_null").alias("check"), F.lit(table).alias("table"),
-            F.lit(col).alias("column"), "violations")
+    suppliers, inventory -> products, transactions -> products.  One aggregate
+    per table for the NOT NULL columns."""
+    def not_null(df, table, *cols):
+        counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+        return counts.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("violations")) for c in cols]))
+            .alias("x")).select(F.lit("not_null").alias("check"), F.lit(table).alias("table"),
+                                "x.column", "x.violations")
 
     def fk(child, table, col, parent):
         keys = parent.select(F.col("id").alias("_k"))
@@ -161,14 +165,15 @@ def constraint_report(suppliers: DataFrame, products: DataFrame, inventory: Data
         not_null(suppliers, "suppliers", "name"),
         not_null(products, "products", "name"),
         not_null(inventory, "inventory", "product_id"),
-        not_null(transactions, "inventory_transactions", "product_id"),
-        not_null(transactions, "inventory_transactions", "transaction_type"),
-        not_null(transactions, "inventory_transactions", "quantity"),
+        not_null(transactions, "inventory_transactions", "product_id", "transaction_type",
+                 "quantity"),
         dup,
         fk(products, "products", "supplier_id", suppliers),
         fk(inventory, "inventory", "product_id", products),
         fk(transactions, "inventory_transactions", "product_id", products),
     ]
+    if stock_log is not None:
+        parts.append(not_null(stock_log, "stock_log", "event_type"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

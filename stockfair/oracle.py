@@ -19,6 +19,12 @@ def sql_check_digit(body: str, n: int) -> str:
     return f"((10 - ({terms}) % 10) % 10)"
 
 
+def sql_padded(k: str, n: int) -> str:
+    """Key as text, padded with zeros to ``n`` places and never cut."""
+    t = f"CAST({k} AS VARCHAR)"
+    return f"lpad({t}, CAST(greatest(length({t}), {n}) AS INTEGER), '0')"
+
+
 def sql_ean_for_part(k: str) -> str:
     body = f"('80' || lpad(CAST({k} AS VARCHAR), 10, '0'))"
     digit = f"(({sql_check_digit(body, 12)} + CASE WHEN ({k}) % 7 = 0 THEN 1 ELSE 0 END) % 10)"
@@ -74,7 +80,7 @@ VIEWS: dict[str, str] = {
     "products": f"""
         SELECT p_partkey AS id,
                CASE WHEN p_partkey % 53 = 0 THEN NULL ELSE p_partkey % 10 END AS supplier_id,
-               'SKU' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS sku,
+               'SKU' || {sql_padded('p_partkey', 6)} AS sku,
                CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE {sql_ean_for_part('p_partkey')} END
                    AS ean_upc,
                p_name AS name,
@@ -184,7 +190,7 @@ def allocation_sheet_sql(event_id: int | None = None) -> str:
     return f"""
     SELECT event_id, seq,
            CASE WHEN l_linenumber = 5 THEN 'SKU-X' || CAST(l_partkey AS VARCHAR)
-                ELSE 'SKU' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') END AS "SKU",
+                ELSE 'SKU' || {sql_padded('l_partkey', 6)} END AS "SKU",
            CASE WHEN l_linenumber = 3 THEN 'abc' WHEN l_linenumber = 6 THEN '2.7'
                 ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS "Quantity",
            CAST(CAST(trunc(l_extendedprice) AS BIGINT) AS VARCHAR) AS "Sale Price"
@@ -241,16 +247,18 @@ assigned AS (
   JOIN suppliers s ON p.supplier_id = s.id),
 sold AS (
   SELECT es.event_id, es.product_id, p.sku, CAST(sum(es.quantity) AS BIGINT) AS quantity_sold,
-         round(sum(es.quantity * es.sale_price), 2) AS total_revenue
+         sum(es.quantity * es.sale_price) AS total_revenue
   FROM event_sales es JOIN products p ON es.product_id = p.id
   GROUP BY es.event_id, es.product_id, p.sku),
-perf AS (
+exact AS (
   SELECT a.*, COALESCE(s.quantity_sold, 0) AS quantity_sold,
          COALESCE(s.total_revenue, CAST(0 AS DOUBLE)) AS total_revenue,
          a.quantity_assigned - COALESCE(s.quantity_sold, 0) AS remaining,
-         round(COALESCE(s.total_revenue, CAST(0 AS DOUBLE))
-               - COALESCE(s.quantity_sold, 0) * a.purchase_price, 2) AS profit
-  FROM assigned a LEFT JOIN sold s ON a.event_id = s.event_id AND a.id = s.product_id)"""
+         COALESCE(s.total_revenue, CAST(0 AS DOUBLE))
+               - COALESCE(s.quantity_sold, 0) * a.purchase_price AS profit
+  FROM assigned a LEFT JOIN sold s ON a.event_id = s.event_id AND a.id = s.product_id),
+perf AS (SELECT * REPLACE (round(total_revenue, 2) AS total_revenue, round(profit, 2) AS profit)
+         FROM exact)"""
 
 _PERF_VIEWS = ("products", "suppliers", "event_products", "event_sales")
 
@@ -281,10 +289,10 @@ def _breakdown(key: str) -> str:
        {_pct('sum(quantity_sold)', 'sum(quantity_assigned)')} AS sell_through_pct"""
     body = f"""
 SELECT event_id, {key}, FALSE AS is_total, {aggs}
-FROM perf WHERE {key} IS NOT NULL GROUP BY event_id, {key}
+FROM exact WHERE {key} IS NOT NULL GROUP BY event_id, {key}
 UNION ALL
 SELECT event_id, 'TOTAL' AS {key}, TRUE AS is_total, {aggs}
-FROM perf WHERE {key} IS NOT NULL GROUP BY event_id"""
+FROM exact WHERE {key} IS NOT NULL GROUP BY event_id"""
     return sql(body, _PERF_VIEWS, _PERF)
 
 
@@ -317,6 +325,11 @@ year_sales AS (
   GROUP BY es.event_id, f.name, es.product_id, p.sku)"""
 
 _YEAR_OF = "substr(data, 1, 4)"
+# fixed values: the nations of the driver's tables, by key; a fair is (year, nation)
+_NATIONS = ("ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ "
+            "JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA SAUDI_ARABIA VIETNAM RUSSIA "
+            "UNITED_KINGDOM UNITED_STATES").replace("_", " ").split(" ")
+_FAIR_COLUMNS: list[tuple[int, str]] = []
 
 ORACLE: dict[str, str] = {
     # catalogue reads
@@ -326,7 +339,7 @@ SELECT k.barcode, sp.* FROM
 JOIN {_STOCKED} sp ON k.barcode = sp.ean_upc""", ("products", "inventory", "scans")),
     "product_by_sku": sql(f"""
 SELECT k.sku, sp.* FROM
-  (SELECT DISTINCT 'SKU' || lpad(CAST(product_id AS VARCHAR), 6, '0') AS sku FROM movements) k
+  (SELECT DISTINCT 'SKU' || {sql_padded('product_id', 6)} AS sku FROM movements) k
 JOIN {_STOCKED} sp ON k.sku = sp.sku""", ("products", "inventory", "movements")),
     "search_products": sql(f"""
 SELECT p.*, i.quantity FROM products p JOIN inventory i ON p.id = i.product_id
@@ -437,7 +450,7 @@ FROM (SELECT event_id, count(*) AS total_products,
              CAST(sum(quantity_assigned) AS BIGINT) AS total_assigned,
              CAST(sum(quantity_sold) AS BIGINT) AS total_sold,
              sum(total_revenue) AS rev, COALESCE(sum(profit), 0) AS profit
-      FROM perf GROUP BY event_id) g
+      FROM exact GROUP BY event_id) g
 LEFT JOIN fairs f ON g.event_id = f.id""", _PERF_VIEWS + ("fairs",), _PERF),
     "category_breakdown": _breakdown("category"),
     "supplier_breakdown": _breakdown("supplier"),
@@ -445,15 +458,20 @@ LEFT JOIN fairs f ON g.event_id = f.id""", _PERF_VIEWS + ("fairs",), _PERF),
     "top_products_revenue": _top_products("total_revenue"),
     "year_event_product_sales": sql("SELECT * FROM year_sales",
                                     ("products", "event_sales", "fairs"), _YEAR_SALES),
-    "programme_pivot": sql("""
-SELECT yp.*, CAST(COALESCE(COLUMNS(pv.* EXCLUDE (product_id)), 0) AS BIGINT),
-       CAST(COALESCE(tot.totali, 0) AS BIGINT) AS TOTALI
+    "programme_pivot": sql(f"""
+SELECT yp.*, {", ".join(f'CAST(COALESCE(c{i}, 0) AS BIGINT) AS "{n}"' for i, n in _FAIR_COLUMNS)},
+       CAST(COALESCE(totali, 0) AS BIGINT) AS TOTALI
 FROM year_products yp
-LEFT JOIN (PIVOT (SELECT product_id, CAST(event_id AS VARCHAR) || '_' || event_name AS col,
-                         quantity_sold FROM year_sales)
-           ON col USING sum(quantity_sold) GROUP BY product_id) pv ON yp.id = pv.product_id
-LEFT JOIN (SELECT product_id, sum(quantity_sold) AS totali FROM year_sales GROUP BY product_id) tot
-       ON yp.id = tot.product_id""",
+LEFT JOIN (SELECT product_id, sum(quantity_sold) AS totali,
+                  {", ".join(f"sum(quantity_sold) FILTER (event_id = {i}) AS c{i}"
+                             for i, _ in _FAIR_COLUMNS)}
+           FROM year_sales GROUP BY product_id) pv ON yp.id = pv.product_id""",
+                           ("products", "suppliers", "event_products", "fairs", "event_sales"),
+                           _YEAR_PRODUCTS + "," + _YEAR_SALES),
+    "programme_cells": sql("""
+SELECT yp.id, ys.event_id, ys.event_name, COALESCE(ys.quantity_sold, 0) AS quantity_sold,
+       CAST(COALESCE(sum(ys.quantity_sold) OVER (PARTITION BY yp.id), 0) AS BIGINT) AS totali
+FROM year_products yp LEFT JOIN year_sales ys ON yp.id = ys.product_id""",
                            ("products", "suppliers", "event_products", "fairs", "event_sales"),
                            _YEAR_PRODUCTS + "," + _YEAR_SALES),
     "event_list": sql(f"""
@@ -698,16 +716,17 @@ moves AS (SELECT seq, product_id, CASE WHEN delta > 0 THEN 'out' ELSE 'in' END A
 """ + _ledger_ctes("(SELECT product_id, available AS opening FROM avail)", source="moves",
                    carry=())
 
-_UNASSIGN = f"""
-ureq AS (SELECT DISTINCT event_id, product_id FROM event_sales
-         WHERE event_id IN (SELECT id FROM {_FAIRS_Y} fy))"""
+_UNASSIGN = """
+ureq AS (SELECT DISTINCT event_id, product_id FROM event_sales)"""
 
 ORACLE.update({
     "allocate_batch": sql("SELECT * FROM batch_decisions", ("inventory", "allocation_requests"),
                           _BATCH_DECISIONS),
     "allocation_snapshot": sql("""
-SELECT COALESCE(a.id, COALESCE(a.event_id, d.event_id) * 10000000000
-                      + COALESCE(a.product_id, d.product_id)) AS id,
+SELECT COALESCE(a.id, (SELECT COALESCE(max(id), 0) FROM event_products)
+                      + sum(CASE WHEN a.id IS NULL THEN 1 END) OVER (
+                            ORDER BY d.event_id, d.product_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS id,
        COALESCE(a.event_id, d.event_id) AS event_id,
        COALESCE(a.product_id, d.product_id) AS product_id,
        CAST(COALESCE(a.quantity_assigned, 0) + COALESCE(d.add_q, 0) AS BIGINT) AS quantity_assigned,
@@ -741,20 +760,21 @@ SELECT r.event_id, r.product_id, ep.quantity_assigned AS released,
        CASE WHEN ep.quantity_assigned IS NULL THEN 'not_assigned' END AS reason
 FROM ureq r LEFT JOIN event_products ep
   ON r.event_id = ep.event_id AND r.product_id = ep.product_id""",
-                            ("event_sales", "event_products", "fairs"), _UNASSIGN),
+                            ("event_sales", "event_products"), _UNASSIGN),
     "unassign_available": sql("""
 SELECT a.product_id, CAST(a.available + COALESCE(b.back, 0) AS BIGINT) AS available
 FROM avail a LEFT JOIN (SELECT ep.product_id, sum(ep.quantity_assigned) AS back
                         FROM event_products ep JOIN ureq r
                           ON r.event_id = ep.event_id AND r.product_id = ep.product_id
                         GROUP BY ep.product_id) b ON a.product_id = b.product_id""",
-                              ("inventory", "event_sales", "event_products", "fairs"),
+                              ("inventory", "event_sales", "event_products"),
                               _AVAIL + "," + _UNASSIGN),
     "update_event": sql(f"""
 SELECT * REPLACE (CASE WHEN id = {P['edit_event_id']} THEN '{P['edit_value']}'
                        ELSE {P['edit_column']} END AS {P['edit_column']})
 FROM annual_events""", ("annual_events",)),
-    "delete_event": sql(f"SELECT * FROM annual_events WHERE id <> {P['edit_event_id']}",
+    "delete_event": sql(f"SELECT * FROM annual_events WHERE id IS DISTINCT FROM "
+                        f"{P['edit_event_id']}",
                         ("annual_events",)),
     "create_events": sql("""
 SELECT * FROM annual_events
@@ -789,7 +809,7 @@ def _price_list_lines_sql() -> str:
     ks = f"CAST({k} AS VARCHAR)"
     article = (f"CASE WHEN {v} IN (0, 8) THEN 'NEW' || {ks} "
                f"WHEN {v} = 5 THEN 'NEW' || CAST({k} - 5 AS VARCHAR) WHEN {v} = 6 THEN '' "
-               f"ELSE 'SKU' || lpad({ks}, 6, '0') END")
+               f"ELSE 'SKU' || {sql_padded('p_partkey', 6)} END")
     ean = (f"CASE WHEN {v} IN (0, 8) THEN '81' || lpad({ks}, 11, '0') "
            f"WHEN {v} IN (1, 3, 4, 7) AND {k} % 11 <> 0 THEN {sql_ean_for_part(k)} ELSE '' END")
     price = "CAST(p_retailprice AS DECIMAL(18,2))"
@@ -924,18 +944,19 @@ matched AS (
 newr AS (
   SELECT n.*, CASE WHEN ef.e_first < n.pos THEN ef.e_first
                    WHEN sf.s_first < n.pos THEN sf.s_first ELSE n.pos END AS parent
-  FROM (SELECT * FROM matched WHERE pid IS NULL) n
+  FROM matched n
   LEFT JOIN (SELECT ean_upc, min(pos) AS e_first FROM matched
-             WHERE pid IS NULL AND ean_upc IS NOT NULL GROUP BY ean_upc) ef
-         ON n.ean_upc = ef.ean_upc
+             WHERE ean_upc IS NOT NULL GROUP BY ean_upc) ef ON n.ean_upc = ef.ean_upc
   LEFT JOIN (SELECT sku, min(pos) AS s_first FROM matched
-             WHERE pid IS NULL AND sku IS NOT NULL GROUP BY sku) sf ON n.sku = sf.sku),
-l0 AS (SELECT pos AS p, parent AS r FROM newr),
-l1 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l0 a LEFT JOIN l0 b ON a.r = b.p),
-l2 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l1 a LEFT JOIN l1 b ON a.r = b.p),
-l3 AS (SELECT a.p, COALESCE(b.r, a.r) AS r FROM l2 a LEFT JOIN l2 b ON a.r = b.p),
+             WHERE sku IS NOT NULL GROUP BY sku) sf ON n.sku = sf.sku),
+chain AS (
+  SELECT pos AS p, pos AS r, pid AS o FROM newr WHERE pid IS NOT NULL OR parent = pos
+  UNION ALL
+  SELECT n.pos, c.r, c.o FROM newr n JOIN chain c ON n.parent = c.p
+  WHERE n.pid IS NULL AND n.parent <> n.pos),
 resolved AS (
-  SELECT m.*, l3.r AS root FROM matched m LEFT JOIN l3 ON m.pos = l3.p),
+  SELECT m.* REPLACE (c.o AS pid), CASE WHEN c.o IS NULL THEN c.r END AS root
+  FROM matched m JOIN chain c ON m.pos = c.p),
 resolved_s AS (SELECT r.*, fs.supplier_id FROM resolved r LEFT JOIN file_sup fs
                ON r.file = fs.file)"""
 
@@ -970,27 +991,27 @@ new_products AS (
   FROM ins)"""
 
 ORACLE.update({
-    "detect_header_row": sql("SELECT * FROM header", _IMPORT_VIEWS, _IMPORT),
-    "guess_supplier": sql("SELECT * FROM guess", _IMPORT_VIEWS, _IMPORT),
-    "detect_columns": sql("SELECT * FROM mapping", _IMPORT_VIEWS, _IMPORT),
+    "detect_header_row": sql("SELECT * FROM header", _IMPORT_VIEWS, _IMPORT, recursive=True),
+    "guess_supplier": sql("SELECT * FROM guess", _IMPORT_VIEWS, _IMPORT, recursive=True),
+    "detect_columns": sql("SELECT * FROM mapping", _IMPORT_VIEWS, _IMPORT, recursive=True),
     "drop_empty": sql("""
 SELECT d.file, d.line_no, d.col, c."column", d.cell FROM data d
 JOIN dcols c ON d.file = c.file AND d.col = c.col
 WHERE EXISTS (SELECT 1 FROM data x WHERE x.file = d.file AND x.line_no = d.line_no
-              AND x.cell IS NOT NULL)""", _IMPORT_VIEWS, _IMPORT),
+              AND x.cell IS NOT NULL)""", _IMPORT_VIEWS, _IMPORT, recursive=True),
     "clean_products": sql("SELECT * REPLACE (array_to_string(mapped, ',') AS mapped) FROM clean",
-                          _IMPORT_VIEWS, _IMPORT),
-    "get_or_create_supplier": sql("SELECT * FROM all_suppliers", _IMPORT_VIEWS, _IMPORT),
+                          _IMPORT_VIEWS, _IMPORT, recursive=True),
+    "get_or_create_supplier": sql("SELECT * FROM all_suppliers", _IMPORT_VIEWS, _IMPORT, recursive=True),
     "match_products": sql("SELECT file, line_no, ean_upc, sku, name, pid FROM matched",
-                          _IMPORT_VIEWS, _IMPORT),
-    "upsert_products": sql("SELECT * FROM new_products", _IMPORT_VIEWS, _UPSERT),
+                          _IMPORT_VIEWS, _IMPORT, recursive=True),
+    "upsert_products": sql("SELECT * FROM new_products", _IMPORT_VIEWS, _UPSERT, recursive=True),
     "import_stats": sql("""
 SELECT file, CAST(count_if(pid IS NULL AND root = pos) AS BIGINT) AS products_added,
        CAST(count_if(NOT (pid IS NULL AND root = pos)) AS BIGINT) AS products_updated
-FROM resolved GROUP BY file""", _IMPORT_VIEWS, _IMPORT),
+FROM resolved GROUP BY file""", _IMPORT_VIEWS, _IMPORT, recursive=True),
     "init_inventory": sql("""
 SELECT id AS product_id, CAST(0 AS BIGINT) AS quantity FROM new_products
-WHERE id NOT IN (SELECT id FROM products)""", _IMPORT_VIEWS, _UPSERT),
+WHERE id NOT IN (SELECT id FROM products)""", _IMPORT_VIEWS, _UPSERT, recursive=True),
 })
 
 
@@ -1069,10 +1090,17 @@ SELECT id, 'bad value in: ' || array_to_string(bad_columns, ', ') AS reason FROM
 WHERE len(bad_columns) > 0""", ("event_sheet",), _EVENT_TYPED),
     "normalise_event_date": sql("""
 SELECT _row AS id, "Data" AS raw,
-       COALESCE(strftime(TRY_CAST(CASE WHEN trim("Data") = '' THEN NULL ELSE "Data" END
-                                  AS TIMESTAMP), '%Y-%m-%d'),
+       COALESCE(strftime(TRY_CAST(regexp_extract("Data", '^[0-9]{4}-[0-9]{2}-[0-9]{2}') AS DATE),
+                         '%Y-%m-%d'),
                 CASE WHEN trim("Data") = '' THEN NULL ELSE "Data" END) AS data
 FROM event_sheet""", ("event_sheet",)),
+    "sample_rows": sql("""
+SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY "Periodo" ORDER BY _row) AS n
+                           FROM event_sheet) s WHERE n <= 3""", ("event_sheet",)),
+    "profile_columns": sql("\nUNION ALL ".join(
+        f"""SELECT '{c}' AS "column", 'string' AS type, CAST(count_if("{c}" IS NULL) AS BIGINT) AS nulls
+FROM event_sheet""" for c in ("Periodo", "N° Eventi", "Data", "Nome", "EXPO.1", "Località", "Incassi",
+                              "Costi Reali", "Vitto & Alloggio", "Colonna Extra")), ("event_sheet",)),
     "profile_table": sql("""
 SELECT count(*) AS n_rows, CAST(10 AS BIGINT) AS n_columns,
        CAST(count_if("Periodo" IS NULL) + count_if("N° Eventi" IS NULL) + count_if("Data" IS NULL)
@@ -1102,8 +1130,11 @@ UNION ALL SELECT 'foreign_key', 'inventory', 'product_id', count(*) FROM invento
   WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)
 UNION ALL SELECT 'foreign_key', 'inventory_transactions', 'product_id', count(*)
   FROM inventory_transactions
-  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)""",
-                             ("suppliers", "products", "inventory", "inventory_transactions")),
+  WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)
+UNION ALL SELECT 'not_null', 'stock_log', 'event_type',
+                 CAST(count_if(event_type IS NULL) AS BIGINT) FROM stock_log""",
+                             ("suppliers", "products", "inventory", "inventory_transactions",
+                              "stock_log")),
 })
 
 # The streams equal the batch jobs for in-order input, so they share their oracles.

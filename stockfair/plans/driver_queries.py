@@ -20,7 +20,8 @@ from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, rep
 from stockfair.plans import catalogue_import
 from stockfair.streaming import jobs
 from stockfair.sources import sheets
-from stockfair.sources.driver import DriverTables
+from stockfair.session import cut_lineage
+from stockfair.sources.driver import DriverTables, padded
 
 # Fixed query parameters shared with the SQL oracles.
 PARAMS = {
@@ -70,7 +71,7 @@ def q_product_by_barcode(spark, sf_dir):
 def q_product_by_sku(spark, sf_dir):
     t = _t(spark, sf_dir)
     keys = t.movements().select(
-        F.concat(F.lit("SKU"), F.lpad(F.col("product_id").cast("string"), 6, "0")).alias("sku")
+        F.concat(F.lit("SKU"), padded(F.col("product_id"), 6)).alias("sku")
     ).distinct()
     return catalog.product_by_sku(t.products(), t.inventory(), keys)
 
@@ -193,10 +194,10 @@ def q_annual_summary(spark, sf_dir):
 
 # -- fair reports (A8-A20, K3) -------------------------------------------------
 
-def performance(spark, sf_dir) -> DataFrame:
+def performance(spark, sf_dir, exact: bool = False) -> DataFrame:
     t = _t(spark, sf_dir)
     return reports.event_performance(t.event_products(), t.products(), t.suppliers(),
-                                      t.event_sales())
+                                      t.event_sales(), exact=exact)
 
 
 @register("event_product_sales")
@@ -212,27 +213,29 @@ def q_event_performance(spark, sf_dir):
 
 @register("event_summary")
 def q_event_summary(spark, sf_dir):
-    return reports.event_summary(performance(spark, sf_dir), _t(spark, sf_dir).fairs())
+    return reports.event_summary(performance(spark, sf_dir, exact=True), _t(spark, sf_dir).fairs())
 
 
 @register("category_breakdown")
 def q_category_breakdown(spark, sf_dir):
-    return reports.category_breakdown(performance(spark, sf_dir))
+    return reports.category_breakdown(performance(spark, sf_dir, exact=True))
 
 
 @register("supplier_breakdown")
 def q_supplier_breakdown(spark, sf_dir):
-    return reports.supplier_breakdown(performance(spark, sf_dir))
+    return reports.supplier_breakdown(performance(spark, sf_dir, exact=True))
 
 
 @register("top_products_qty")
 def q_top_products_qty(spark, sf_dir):
-    return reports.top_products(performance(spark, sf_dir), "quantity_sold", PARAMS["top_k"])
+    return reports.top_products(cut_lineage(performance(spark, sf_dir)), "quantity_sold",
+                                PARAMS["top_k"])
 
 
 @register("top_products_revenue")
 def q_top_products_revenue(spark, sf_dir):
-    return reports.top_products(performance(spark, sf_dir), "total_revenue", PARAMS["top_k"])
+    return reports.top_products(cut_lineage(performance(spark, sf_dir)), "total_revenue",
+                                PARAMS["top_k"])
 
 
 @register("year_event_product_sales")
@@ -249,6 +252,13 @@ def q_programme_pivot(spark, sf_dir):
                                    t.event_sales(), PARAMS["year"])
 
 
+@register("programme_cells")
+def q_programme_cells(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return reports.programme_cells(t.products(), t.event_products(), t.fairs(), t.suppliers(),
+                                   t.event_sales(), PARAMS["year"])
+
+
 @register("event_list")
 def q_event_list(spark, sf_dir):
     return reports.event_list(_t(spark, sf_dir).fairs(), PARAMS["year"])
@@ -389,6 +399,12 @@ def q_allocate_batch(spark, sf_dir):
     return batch_decisions(spark, sf_dir)
 
 
+@register("allocate_batches")
+def q_allocate_batches(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return allocation.allocate_in_turn(t.allocation_requests(), _available(t))
+
+
 @register("allocation_snapshot")
 def q_allocation_snapshot(spark, sf_dir):
     return allocation.allocation_snapshot(batch_decisions(spark, sf_dir),
@@ -413,9 +429,7 @@ def q_reassign_quantity(spark, sf_dir):
 
 
 def _unassign_requests(t: DriverTables) -> DataFrame:
-    fy = catalog.fairs_in_year(t.fairs(), PARAMS["year"]).select(F.col("id").alias("event_id"))
-    return (t.event_sales().join(fy, "event_id", "left_semi")
-            .select("event_id", "product_id").distinct())
+    return t.event_sales().select("event_id", "product_id").distinct()
 
 
 @register("unassign_product")
@@ -552,6 +566,11 @@ def q_profile_columns(spark, sf_dir):
     return sheet_import.profile_columns(_t(spark, sf_dir).event_sheet().drop("_row"))
 
 
+@register("sample_rows")
+def q_sample_rows(spark, sf_dir):
+    return sheet_import.sample_rows(_t(spark, sf_dir).event_sheet(), "Periodo", "_row")
+
+
 @register("scan_annual_events")
 def q_scan_annual_events(spark, sf_dir):
     return _t(spark, sf_dir).annual_events()
@@ -561,7 +580,7 @@ def q_scan_annual_events(spark, sf_dir):
 def q_constraint_report(spark, sf_dir):
     t = _t(spark, sf_dir)
     return sheet_import.constraint_report(t.suppliers(), t.products(), t.inventory(),
-                                          t.inventory_transactions())
+                                          t.inventory_transactions(), t.stock_log())
 
 
 # -- streams (R1, R2): rows-only checks against the batch jobs ------------------------

@@ -17,13 +17,14 @@ def event_report(assignments: DataFrame, products: DataFrame, suppliers: DataFra
     """Sections of the per-fair report (all fairs when ``event_id`` is None):
     products & sales, summary, category and supplier breakdowns, top products
     by quantity and by revenue."""
-    perf = cut_lineage(reports.event_performance(assignments, products, suppliers, sales,
-                                                 event_id))
+    exact = cut_lineage(reports.event_performance(assignments, products, suppliers, sales,
+                                                  event_id, exact=True))
+    perf = exact.withColumns({c: F.round(c, 2) for c in ("total_revenue", "profit")})
     return {
         "products_sales": perf,
-        "summary": reports.event_summary(perf, fairs),
-        "category_breakdown": reports.category_breakdown(perf),
-        "supplier_breakdown": reports.supplier_breakdown(perf),
+        "summary": reports.event_summary(exact, fairs),
+        "category_breakdown": reports.category_breakdown(exact),
+        "supplier_breakdown": reports.supplier_breakdown(exact),
         "top_products": reports.top_products(perf, "quantity_sold", top_k),
         "top_products_revenue": reports.top_products(perf, "total_revenue", top_k),
     }

@@ -34,6 +34,12 @@ def money(c: Column, factor: str) -> Column:
     return F.round(c.cast("decimal(18,2)") * F.lit(Decimal(factor)), 2).cast("double")
 
 
+def padded(k: Column, n: int) -> Column:
+    """Key as text, padded with zeros to ``n`` places and never cut."""
+    t = k.cast("string")
+    return F.when(F.length(t) < n, F.lpad(t, n, "0")).otherwise(t)
+
+
 def ean_for_part(k: Column) -> Column:
     """EAN-13 of part ``k``: '80' + key padded to 10 + check digit.  The check
     digit is shifted by one when k % 7 = 0 (a deliberately bad code)."""
@@ -71,7 +77,7 @@ class DriverTables:
         return p.select(
             k.alias("id"),
             F.when(k % 53 == 0, F.lit(None)).otherwise(k % 10).cast("long").alias("supplier_id"),
-            F.concat(F.lit("SKU"), F.lpad(k.cast("string"), 6, "0")).alias("sku"),
+            F.concat(F.lit("SKU"), padded(k, 6)).alias("sku"),
             F.when(k % 11 == 0, F.lit(None)).otherwise(ean_for_part(k)).alias("ean_upc"),
             F.col("p_name").alias("name"),
             F.concat_ws(" ", "p_brand", "p_type").alias("description"),
@@ -265,7 +271,7 @@ class DriverTables:
             j = j.where(F.col("event_id") == F.lit(event_id))
         ln, k = F.col("l_linenumber"), F.col("l_partkey")
         sku = F.when(ln == 5, F.concat(F.lit("SKU-X"), k.cast("string"))).otherwise(
-            F.concat(F.lit("SKU"), F.lpad(k.cast("string"), 6, "0")))
+            F.concat(F.lit("SKU"), padded(k, 6)))
         qty = (F.when(ln == 3, F.lit("abc")).when(ln == 6, F.lit("2.7"))
                .otherwise(F.col("l_quantity").cast("long").cast("string")))
         return j.select("event_id", "seq", sku.alias("SKU"), qty.alias("Quantity"),
@@ -300,7 +306,7 @@ class DriverTables:
         ks = k.cast("string")
         article = (F.when(v.isin(0, 8), F.concat(F.lit("NEW"), ks))
                    .when(v == 5, F.concat(F.lit("NEW"), (k - 5).cast("string")))
-                   .when(v == 6, F.lit("")).otherwise(F.concat(F.lit("SKU"), F.lpad(ks, 6, "0"))))
+                   .when(v == 6, F.lit("")).otherwise(F.concat(F.lit("SKU"), padded(k, 6))))
         ean = (F.when(v.isin(0, 8), F.concat(F.lit("81"), F.lpad(ks, 11, "0")))
                .when(v.isin(1, 3, 4, 7) & (k % 11 != 0), ean_for_part(k)).otherwise(F.lit("")))
         model = F.when(v == 3, F.lit("")).otherwise(F.col("p_name"))

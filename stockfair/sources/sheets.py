@@ -57,17 +57,37 @@ def spreadsheet_names(headers: list[str]) -> list[str]:
     return out
 
 
-def read_event_sheet(spark: SparkSession, path: str) -> DataFrame:
-    """S5.  An event sheet with its header row, every cell as text (types are
-    assigned by the import, with failures reported rather than guessed).
-    Only the header line is read on the driver, to name the columns."""
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, header): the first line of every file under ``path``.  Lines of a
+    file's first split are in order, so nothing is sorted and no file is read
+    as a whole."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+        F.monotonically_increasing_id().alias("k"), "value")
+    return lines.where("at = 0").groupBy("path").agg(
+        F.regexp_replace(F.min_by("value", "k"), "\r$", "").alias("header"))
+
+
+def read_event_sheet(spark: SparkSession, path: str, max_layouts: int = 200) -> DataFrame:
+    """S4 / S5.  Event sheets under ``path``, every cell as text (types are
+    assigned by the import, with failures reported rather than guessed).  Each
+    file has its own header: files of one layout are read together, and layouts
+    are put together by column name, missing columns NULL.  The driver sees one
+    row per layout, at most ``max_layouts``, with the names of its files."""
     import csv
 
     from pyspark.sql import types as T
 
-    first = spark.read.text(path).limit(1).collect()
-    headers = next(csv.reader([first[0].value])) if first else []
-    names = spreadsheet_names([h.strip() for h in headers])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (spark.read.option("header", True).option("enforceSchema", True)
-            .option("mode", "PERMISSIVE").schema(schema).csv(path))
+    layouts = (header_lines(spark, path).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files"))
+               .orderBy("header").limit(max_layouts + 1).collect())
+    if len(layouts) > max_layouts:
+        raise ValueError(f"more than {max_layouts} different headers under {path}")
+    out = None
+    for layout in layouts:
+        headers = next(csv.reader([layout.header]), [])
+        names = spreadsheet_names([h.strip() for h in headers])
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = (spark.read.option("header", True).option("enforceSchema", True)
+                .option("mode", "PERMISSIVE").schema(schema).csv(layout.files))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], T.StructType([])) if out is None else out

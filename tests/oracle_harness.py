@@ -65,6 +65,8 @@ def compare(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
     df = fn(spark, sf_dir)
     s_names = df.columns
+    if len(set(n.lower() for n in s_names)) < len(s_names):
+        return {"name": name, "status": f"COLUMNS repeat: {s_names}"}
     s_rows = [tuple(r) for r in df.collect()]
     t1 = time.time()
     res = {"name": name, "spark_rows": len(s_rows), "spark_sec": round(t1 - t0, 2)}

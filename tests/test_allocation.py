@@ -71,3 +71,69 @@ def test_reassign(spark):
          allocation.reassign_quantity(req, assign, _available(spark)).collect()}
     # +3 of 4 available fits, then +2 of the remaining 1 does not
     assert d == {1: (True, None), 2: (False, "insufficient_stock"), 3: (False, "not_assigned")}
+
+
+REQ = "batch_id long, seq long, event_id long, product_id long, quantity long"
+
+
+def test_batches_in_turn(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(b, 10 * b + k, 1, rng.choice([1, 2, 3, None] if b % 7 == 0 else [1, 2, 3]), rng.randint(0 if b % 11 == 0 else 1, 4))
+            for b in range(1, 60) for k in range(rng.randint(1, 3))]
+    rows += [(1000, 9000, 1, 1, None), (None, 9001, 1, 2, 1)]
+    stock = {1: 30, 2: 25, 3: 9}
+    avail = spark.createDataFrame(list(stock.items()), "product_id long, available long")
+    got = allocation.allocate_in_turn(spark.createDataFrame(rows, REQ), avail).collect()
+    assert len(got) == len(rows)
+    left, want = dict(stock), {}
+    for b in sorted({r[0] for r in rows}, key=lambda b: min(r[1] for r in rows if r[0] == b)):
+        own, ok = dict(left), True
+        for r in sorted((r for r in rows if r[0] == b), key=lambda r: r[1]):
+            if not r[4] or r[4] <= 0 or r[3] not in own or own[r[3]] < r[4]:
+                ok = False
+                break
+            own[r[3]] -= r[4]
+        want[b] = ok
+        left = own if ok else left
+    assert {r.batch_id: r.batch_accepted for r in got} == want
+    assert any(want.values()) and not all(want.values())
+
+
+def test_two_batches_do_not_oversell(spark):
+    req = spark.createDataFrame([(1, 1, 9, 1, 4), (2, 2, 9, 1, 4)], REQ)
+    avail = spark.createDataFrame([(1, 5)], "product_id long, available long")
+    d = allocation.allocate_in_turn(req, avail)
+    assert {r.batch_id: r.batch_accepted for r in d.collect()} == {1: True, 2: False}
+    assert allocation.reserve(avail, d).collect()[0].available == 1
+
+
+def test_rows_without_product_reject_their_batch(spark):
+    req = spark.createDataFrame([(1, 1, 9, None, 1), (1, 2, 9, 1, 1)], REQ)
+    d = allocation.allocate_batch(req, _available(spark)).collect()
+    assert len(d) == 2 and not any(r.batch_accepted for r in d)
+
+
+def test_every_reassignment_is_decided(spark):
+    assign = spark.createDataFrame([(5, 9, 1, 2), (6, 8, 1, 1)],
+                                   "id long, event_id long, product_id long, quantity_assigned long")
+    avail = spark.createDataFrame([(1, 5)], "product_id long, available long")
+    req = spark.createDataFrame([(1, 9, 1, 5), (2, 9, 1, 100), (3, 8, 1, 3), (4, 9, 1, 6), (5, 9, 1, 1), (6, 8, 1, 6),
+                                 (7, 9, None, 1), (8, 9, 1, None)],
+                                "seq long, event_id long, product_id long, new_quantity long")
+    d = allocation.reassign_quantity(req, assign, avail)
+    got = {r.seq: (r.accepted, r.current_quantity, r.available_after) for r in d.collect()}
+    # 5 left: 2->5 leaves 2; 5->100 no; 1->3 leaves 0; 5->6 no; 5->1 leaves 4; 3->6 leaves 1
+    assert got == {1: (True, 2, 2), 2: (False, 5, 2), 3: (True, 1, 0), 4: (False, 5, 0), 5: (True, 5, 4),
+                   6: (True, 3, 1), 7: (False, None, None), 8: (False, 2, None)}
+    new = {r.event_id: r.quantity_assigned for r in allocation.reassigned(d, assign).collect()}
+    assert new == {9: 1, 8: 6}
+
+
+def test_second_unassign_finds_nothing(spark):
+    assign = spark.createDataFrame([(5, 9, 2, 2)],
+                                   "id long, event_id long, product_id long, quantity_assigned long")
+    req = spark.createDataFrame([(1, 9, 2), (2, 9, 2)], "seq long, event_id long, product_id long")
+    got = {r.seq: (r.accepted, r.released, r.reason) for r in allocation.unassign_product(req, assign).collect()}
+    assert got == {1: (True, 2, None), 2: (False, None, "not_assigned")}

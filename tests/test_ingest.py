@@ -121,3 +121,53 @@ def test_read_event_sheet_f4(spark, scratch):
     assert (a.vitto_alloggio, a.spazio_varie, a.vendita_privati_agenti, a.incassi) == \
         (10.5, 2.0, 3.0, 1000.0)
     assert rows["Fiera B"].data == "15/04/2024" and rows["Fiera B"].incassi is None
+
+
+def _clean_rows(spark, rows):
+    fields = ["ean_upc", "sku", "name"]
+    data = [("f.csv", i, *r, list(fields)) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "file string, line_no long, ean_upc string, sku string, name string, "
+                                     "mapped array<string>")
+    for c in ("description", "status", "category", "supplier"):
+        df = df.withColumn(c, F.lit(None).cast("string"))
+    for c in ("purchase_price", "selling_price"):
+        df = df.withColumn(c, F.lit(None).cast("double"))
+    return df
+
+
+def test_long_chain_is_one_product(spark):
+    # row k shares its barcode with the row before it, or its sku, in turn
+    rows = [(f"E{(k + 1) // 2}", f"S{k // 2}", f"n{k}") for k in range(24)]
+    products = spark.createDataFrame([], "id long, supplier_id long, sku string, ean_upc string, name string, "
+                                         "description string, category string, purchase_price double, "
+                                         "selling_price double, status string")
+    r = _clean_rows(spark, rows)
+    out = ingest.upsert_products(products, r)
+    assert [p.name for p in out.collect()] == ["n23"]
+    stats = ingest.import_stats(products, r).collect()[0]
+    assert (stats.products_added, stats.products_updated) == (1, 23)
+
+
+def test_code_written_by_an_earlier_row_is_matched(spark):
+    _, products = _catalogue(spark)
+    r = _clean_rows(spark, [("E9", "SKU-ONLY", "a"), ("E9", None, "b"), ("E9", "NEWSKU", "c"), (None, "NEWSKU", "d")])
+    out = ingest.upsert_products(products, r).collect()
+    assert len(out) == 2
+    assert {p.id: (p.name, p.sku) for p in out}[2] == ("d", "NEWSKU")
+    stats = ingest.import_stats(products, r).collect()[0]
+    assert (stats.products_added, stats.products_updated) == (0, 4)
+
+
+def test_only_full_dates_are_rewritten(spark):
+    cells = ["2024", "2024-03", "12:30", "2024-03-05", "2024-03-05 10:00:00", "05/03/2024", "2024-13-40", "", None]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = [r.d for r in df.select(sheet_import.normalise_event_date(F.col("c")).alias("d")).collect()]
+    assert got == ["2024", "2024-03", "12:30", "2024-03-05", "2024-03-05", "05/03/2024", "2024-13-40", None, None]
+
+
+def test_keys_of_any_length_stay_distinct(spark):
+    from stockfair.sources.driver import padded
+
+    df = spark.createDataFrame([(7,), (999999,), (1000000,), (1000001,), (12345678,)], "k long")
+    assert [r.t for r in df.select(padded(F.col("k"), 6).alias("t")).collect()] == \
+        ["000007", "999999", "1000000", "1000001", "12345678"]

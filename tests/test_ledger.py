@@ -43,3 +43,11 @@ def test_stock_log_rows_text(spark):
                   for r in ledger.stock_log_rows(d).collect())
     assert rows == [("stock_in", "Added 5 units to stock", 1),
                     ("stock_out", "Removed 2 units from stock", 2)]
+
+
+def test_movements_without_product_or_seq_are_decided(spark):
+    m = _moves(spark, [(1, None, "in", 5), (2, None, "out", 1), (3, 1, "out", 9), (None, 1, "in", 1), (4, 1, "in", 2)])
+    opening = spark.createDataFrame([(1, 3)], "product_id long, opening long")
+    got = sorted(((r.seq or 0), r.product_id, r.accepted, r.reason) for r in ledger.apply_ledger(m, opening).collect())
+    assert got == [(0, 1, True, None), (1, None, True, None), (2, None, False, "unknown_product"),
+                   (3, 1, False, "insufficient_stock"), (4, 1, True, None)]

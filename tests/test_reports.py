@@ -100,3 +100,32 @@ def test_programme_without_sales_has_every_fair(spark):
     cols = [c for c in piv.columns if c[0].isdigit()]
     assert cols == ["1_Bike Expo 2025", "2_Summer Sports Fair", "3_Mountain Bike Festival"]
     assert all(r.TOTALI == 0 for r in piv.collect())
+
+
+def test_pivot_of_fairs_with_odd_names(spark):
+    products = spark.createDataFrame([(1, 1, "s", "n", "d", "c", 1.0, 2.0)],
+                                     "id long, supplier_id long, sku string, name string, description string, "
+                                     "category string, purchase_price double, selling_price double")
+    suppliers = spark.createDataFrame([(1, "S")], "id long, name string")
+    import datetime as dt
+
+    fairs = spark.createDataFrame([(1, "B.I.S. Expo", dt.date(2025, 1, 1), None, None, None),
+                                   (2, "a`b", dt.date(2025, 2, 1), None, None, None)],
+                                  "id long, name string, start_date date, end_date date, location string, "
+                                  "description string")
+    assignments = spark.createDataFrame([(1, 1, 1, 5, None), (2, 2, 1, 5, None)],
+                                        "id long, event_id long, product_id long, quantity_assigned long, "
+                                        "event_sale_price double")
+    sales = spark.createDataFrame([(1, 1, 2, 1.0), (2, 1, 3, 1.0)],
+                                  "event_id long, product_id long, quantity long, sale_price double")
+    row = reports.programme_pivot(products, assignments, fairs, suppliers, sales, 2025).collect()[0]
+    assert (row["1_B.I.S. Expo"], row["2_a`b"], row["TOTALI"]) == (2, 3, 5)
+    cells = reports.programme_cells(products, assignments, fairs, suppliers, sales, 2025).collect()
+    assert sorted((c.event_id, c.quantity_sold, c.totali) for c in cells) == [(1, 2, 5), (2, 3, 5)]
+
+
+def test_delete_event_keeps_rows_without_id(spark):
+    from stockfair.operators import fairs
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, nome string")
+    assert sorted(r.nome for r in fairs.delete_event(df, 1).collect()) == ["b", "c"]

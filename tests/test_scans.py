@@ -49,3 +49,10 @@ def test_batch_summary_adds_up(spark):
     s = scans.batch_scan_summary(t.scans(), t.products(), t.inventory()).collect()
     for r in s:
         assert r.total == r.found + r.not_found + r.invalid
+
+
+def test_scans_without_time_or_scanner_are_kept(spark):
+    rows = [("s1", T0, A, 0), ("s1", None, A, 1), ("s1", T0 + dt.timedelta(seconds=1), A, 2),
+            (None, T0, A, 3), (None, T0 + dt.timedelta(seconds=1), A, 4), ("s1", None, "x", 5)]
+    s = spark.createDataFrame(rows, "scanner_id string, ts timestamp_ntz, barcode string, scan_id long")
+    assert _flags(scans.scan_dedupe(s, 2.0)) == [False, False, True, False, True, None]

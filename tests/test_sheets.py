@@ -18,3 +18,11 @@ def test_lines_and_cells(spark, scratch):
 def test_spreadsheet_names():
     assert sheets.spreadsheet_names(["EXPO", "Nome", "EXPO", "", "EXPO"]) == \
         ["EXPO", "Nome", "EXPO.1", "Unnamed: 3", "EXPO.2"]
+
+
+def test_event_sheets_keep_their_own_headers(spark, scratch):
+    for name, body in (("a.csv", "Nome,Incassi\nX,1\n"), ("b.csv", "Incassi,Nome,Km\n2,Y,3\n")):
+        with open(os.path.join(scratch, name), "w") as fh:
+            fh.write(body)
+    rows = {r.Nome: (r.Incassi, r.Km) for r in sheets.read_event_sheet(spark, scratch).collect()}
+    assert rows == {"X": ("1", None), "Y": ("2", "3")}
