@@ -325,11 +325,9 @@ year_sales AS (
   GROUP BY es.event_id, f.name, es.product_id, p.sku)"""
 
 _YEAR_OF = "substr(data, 1, 4)"
-# fixed values: the nations of the driver's tables, by key; a fair is (year, nation)
-_NATIONS = ("ALGERIA ARGENTINA BRAZIL CANADA EGYPT ETHIOPIA FRANCE GERMANY INDIA INDONESIA IRAN IRAQ "
-            "JAPAN JORDAN KENYA MOROCCO MOZAMBIQUE PERU CHINA ROMANIA SAUDI_ARABIA VIETNAM RUSSIA "
-            "UNITED_KINGDOM UNITED_STATES").replace("_", " ").split(" ")
-_FAIR_COLUMNS: list[tuple[int, str]] = []
+# the year's fairs: one per nation of the driver's tables (keys 0 to 24)
+_FAIR_COLUMNS = [(P["year"] * 100 + k, f"{P['year'] * 100 + k}_NATION_{k} {P['year']}")
+                 for k in range(25)]
 
 ORACLE: dict[str, str] = {
     # catalogue reads
@@ -338,7 +336,7 @@ SELECT k.barcode, sp.* FROM
   (SELECT DISTINCT regexp_replace(barcode, '[^0-9]', '', 'g') AS barcode FROM scans) k
 JOIN {_STOCKED} sp ON k.barcode = sp.ean_upc""", ("products", "inventory", "scans")),
     "product_by_sku": sql(f"""
-SELECT k.sku, sp.* FROM
+SELECT sp.* FROM
   (SELECT DISTINCT 'SKU' || {sql_padded('product_id', 6)} AS sku FROM movements) k
 JOIN {_STOCKED} sp ON k.sku = sp.sku""", ("products", "inventory", "movements")),
     "search_products": sql(f"""
@@ -723,10 +721,10 @@ ORACLE.update({
     "allocate_batch": sql("SELECT * FROM batch_decisions", ("inventory", "allocation_requests"),
                           _BATCH_DECISIONS),
     "allocation_snapshot": sql("""
-SELECT COALESCE(a.id, (SELECT COALESCE(max(id), 0) FROM event_products)
+SELECT COALESCE(a.id, (SELECT COALESCE(max(id), 0) FROM event_products)::BIGINT
                       + sum(CASE WHEN a.id IS NULL THEN 1 END) OVER (
                             ORDER BY d.event_id, d.product_id
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS id,
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT) AS id,
        COALESCE(a.event_id, d.event_id) AS event_id,
        COALESCE(a.product_id, d.product_id) AS product_id,
        CAST(COALESCE(a.quantity_assigned, 0) + COALESCE(d.add_q, 0) AS BIGINT) AS quantity_assigned,
