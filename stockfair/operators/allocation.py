@@ -95,14 +95,12 @@ def allocate_in_turn(requests: DataFrame, available: DataFrame) -> DataFrame:
     r = cut_lineage(dense_ids(r.withColumn("_o", F.struct("_first", "batch_id", "seq", "product_id")),
                               "_o", "_n").drop("_o"))
     rejected = r.where("_bad")
-    cur = r.where(~F.col("_bad")).withColumn("_state", F.lit(0))  # 0 open, 1 accepted
+    cur = r.where(~F.col("_bad")).withColumn("_state", F.lit(0))  # 0 open, 1 accepted, 2 rejected
+    cur = sequential.running_sum(cur, ["batch_id", "product_id"], "_n", "quantity", "_own")
     done = []
     while True:
-        own = ["batch_id", "product_id"]
         both = cur.withColumn("_taken", F.when(F.col("_state") == 1, F.col("quantity")).otherwise(0))
-        both = sequential.running_sum(both, ["product_id"], "_n", "quantity", "_upper")
-        both = sequential.running_sum(both, ["product_id"], "_n", "_taken", "_lower")
-        both = sequential.running_sum(both, own, "_n", "quantity", "_own")
+        both = sequential.running_sums(both, ["product_id"], "_n", {"quantity": "_upper", "_taken": "_lower"})
         # an open row's own batch adds nothing to _lower: its rows are open too
         open_row = F.col("_state") == 0
         both = both.withColumn("_fits", F.col("_upper") <= F.col("available")) \
@@ -113,16 +111,19 @@ def allocate_in_turn(requests: DataFrame, available: DataFrame) -> DataFrame:
         both = both.withColumn("reason", F.when(open_row & F.col("_no") & F.col("_fails"), F.lit(INSUFFICIENT)))
         both = both.withColumn("_state", F.when(open_row & F.col("_no"), F.lit(2))
                                .when(open_row & F.col("_yes"), F.lit(1)).otherwise(F.col("_state")))
-        both = cut_lineage(both.drop("_taken", "_upper", "_lower", "_own", "_fits", "_fails", "_yes", "_no"))
+        # a product without open rows is settled: its rows leave with the rejected ones
+        both = cut_lineage(both.drop("_taken", "_upper", "_lower", "_fits", "_fails", "_yes", "_no"))
+        open_products = both.where("_state = 0").select("product_id").distinct()
         done.append(both.where("_state = 2"))
-        cur = both.where("_state < 2")
+        done.append(both.where("_state < 2").join(open_products, "product_id", "left_anti"))
+        cur = both.where("_state < 2").join(open_products, "product_id", "left_semi")
         if both.where("_state = 0").limit(1).count() == 0:
             break
-    out = [*requests.columns, "available", "reason"]
-    parts = [d.select(*out, F.lit(False).alias("batch_accepted")) for d in (rejected, *done)]
-    result = cur.select(*out, F.lit(True).alias("batch_accepted"))
-    for p in parts:
-        result = result.unionByName(p)
+    result = rejected.withColumn("_state", F.lit(2))
+    out = [*requests.columns, "available", "reason", (F.col("_state") == 1).alias("batch_accepted")]
+    result = result.select(*out)
+    for d in done:
+        result = result.unionByName(d.select(*out))
     return result
 
 

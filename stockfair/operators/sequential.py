@@ -42,20 +42,26 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` with
     ``(order, tie)`` up to and including the current row.  ``order`` must be
     an integral column."""
+    return running_sums(df, keys, order, {value: out}, bucket_width, tie)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, str],
+                 bucket_width: int = DEFAULT_BUCKET, tie: str | None = None) -> DataFrame:
+    """``running_sum`` of several columns ({value: out}) in one pass."""
     order_cols = [order] + ([tie] if tie else [])
     b = df.withColumn("_bucket", F.floor(F.col(order) / F.lit(bucket_width)).cast("long"))
-    totals = b.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_btotal"))
+    totals = b.groupBy(*keys, "_bucket").agg(*[F.sum(v).alias(f"_total_{o}") for v, o in values.items()])
     wb = (Window.partitionBy(*keys).orderBy("_bucket")
           .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, "_bucket",
-                            F.coalesce(F.sum("_btotal").over(wb), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*keys, "_bucket", *[
+        F.coalesce(F.sum(f"_total_{o}").over(wb), F.lit(0)).alias(f"_offset_{o}") for o in values.values()])
     wr = (Window.partitionBy(*keys, "_bucket").orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inner = b.withColumn("_inner", F.sum(value).over(wr))
+    inner = b.withColumns({f"_inner_{o}": F.sum(v).over(wr) for v, o in values.items()})
     # NULL keys are a key of their own: no row is lost
-    return (null_safe_join(inner, offsets, [*keys, "_bucket"], "inner")
-            .withColumn(out, F.col("_inner") + F.col("_offset"))
-            .drop("_bucket", "_inner", "_offset"))
+    joined = null_safe_join(inner, offsets, [*keys, "_bucket"], "inner")
+    return joined.withColumns({o: F.col(f"_inner_{o}") + F.col(f"_offset_{o}") for o in values.values()}) \
+        .drop("_bucket", *[f"_{k}_{o}" for k in ("inner", "offset") for o in values.values()])
 
 
 StepFn = Callable[[object, tuple], tuple[object, tuple]]
