@@ -140,7 +140,7 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, size.word_chars, size.symb
        NOT (len(w.w) < 50 OR 100 * coalesce(rep.n, 0) > 50 * len(w.w)) AND far.doc_id IS NULL AS kept
 FROM w JOIN size USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)
 LEFT JOIN far USING (doc_id)
-""".replace("MAX_CHAR", "0.25").replace("MAX_WORD", "0.6")
+""".replace("MAX_CHAR", "0.36").replace("MAX_WORD", "0.27")
 
 _ESCAPE = "replace(replace(replace({}, '\\', '\\\\'), '###', '\\#\\#\\#'), '</turn>', '\\<\\/turn>')"
 CHAT = f"""

@@ -29,7 +29,7 @@ MAX_REPEAT_PERCENT = 50
 #: Least code points and words for the two distances to count.
 MIN_CHARS_JS, MIN_WORDS_JS = 200, 100
 #: Largest distances of a document that is kept.
-MAX_CHAR_JS, MAX_WORD_JS = 0.25, 0.6
+MAX_CHAR_JS, MAX_WORD_JS = 0.36, 0.27
 
 #: fixed values: very common words per language
 COMMON_WORDS = {

@@ -234,6 +234,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got.sort(key=lambda r: str(r["id"]))
     rows = [(r["columns"], r["share"]) for r in got]
     y = np.array([r["y"] for r in got], bool)
+    if not 0 < y.sum() < len(y):  # labelled documents that are not there
+        return Chain({}, [], 2.0)
     many = np.array([len(c) >= SEVERE_TERMS for c, _ in rows])
     dense = np.array([s >= DENSE_SHARE for _, s in rows])
     return fit_chain(rows, np.stack([y & many, y & dense, y], 1), columns,
