@@ -153,6 +153,11 @@ def allocation_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFra
     )
 
 
+def rows_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFrame:
+    """New assignments after a row-by-row sheet import (``allocate_rows``)."""
+    return allocation_snapshot(decisions.withColumnRenamed("accepted", "batch_accepted"), assignments)
+
+
 def reserve(inventory_available: DataFrame, decisions: DataFrame) -> DataFrame:
     """Available stock after the accepted batches."""
     used = (decisions.where(F.col("batch_accepted")).groupBy("product_id")

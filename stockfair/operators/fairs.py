@@ -41,6 +41,30 @@ def create_events(annual_events: DataFrame, new_rows: DataFrame) -> DataFrame:
     return annual_events.unionByName(schemas.conform(rows, "annual_events"))
 
 
+def create_fairs(fairs: DataFrame, new_rows: DataFrame) -> DataFrame:
+    """M12 (create_event on the event calendar): append fairs with name, dates,
+    location and description; ids continue after the current maximum, in the
+    order of (start_date, name)."""
+    start = fairs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = new_rows.select("name", "start_date", "end_date", "location", "description")
+    numbered = dense_ids(rows.withColumn("_o", F.struct("start_date", "name")), "_o", "_n")
+    added = numbered.select((F.lit(start) + F.col("_n")).alias("id"), *rows.columns)
+    return fairs.select("id", *rows.columns).unionByName(added)
+
+
+def assign_products(assignments: DataFrame, requests: DataFrame) -> DataFrame:
+    """M12 (assign_product_to_event): append one assignment per request row
+    (event_id, product_id, quantity, sale_price); ids continue after the
+    current maximum, in (event, product) order.  Stock is not checked: that is
+    what the allocation jobs do."""
+    start = assignments.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = requests.select("event_id", "product_id", F.col("quantity").cast("long").alias("quantity_assigned"),
+                           F.col("sale_price").cast("double").alias("event_sale_price"))
+    numbered = dense_ids(rows.withColumn("_o", F.struct("event_id", "product_id")), "_o", "_n")
+    added = numbered.select((F.lit(start) + F.col("_n")).alias("id"), *rows.columns)
+    return assignments.select("id", *rows.columns).unionByName(added)
+
+
 def dense_ids(df: DataFrame, order: str, out: str) -> DataFrame:
     """1, 2, 3 ... in ``order`` without a single-partition window and without
     Python: range-partition and sort by ``order``, checkpoint (so partition

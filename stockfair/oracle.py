@@ -466,6 +466,10 @@ LEFT JOIN (SELECT product_id, sum(quantity_sold) AS totali,
            FROM year_sales GROUP BY product_id) pv ON yp.id = pv.product_id""",
                            ("products", "suppliers", "event_products", "fairs", "event_sales"),
                            _YEAR_PRODUCTS + "," + _YEAR_SALES),
+    "programme_no_sales": sql(f"""
+SELECT yp.*, {", ".join(f'CAST(0 AS BIGINT) AS "{n}"' for _, n in _FAIR_COLUMNS)},
+       CAST(0 AS BIGINT) AS TOTALI
+FROM year_products yp""", ("products", "suppliers", "event_products", "fairs"), _YEAR_PRODUCTS),
     "programme_cells": sql("""
 SELECT yp.id, ys.event_id, ys.event_name, COALESCE(ys.quantity_sold, 0) AS quantity_sold,
        CAST(COALESCE(sum(ys.quantity_sold) OVER (PARTITION BY yp.id), 0) AS BIGINT) AS totali
@@ -742,6 +746,56 @@ FROM event_products a FULL OUTER JOIN
 SELECT CAST(count_if(accepted) AS BIGINT) AS imported,
        CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM rows_out""",
                                  ("products", "inventory"), _ROWS, recursive=True),
+    "allocate_rows_assignments": sql("""
+SELECT COALESCE(a.id, (SELECT COALESCE(max(id), 0) FROM event_products)::BIGINT
+                      + sum(CASE WHEN a.id IS NULL THEN 1 END) OVER (
+                            ORDER BY d.event_id, d.product_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT) AS id,
+       COALESCE(a.event_id, d.event_id) AS event_id,
+       COALESCE(a.product_id, d.product_id) AS product_id,
+       CAST(COALESCE(a.quantity_assigned, 0) + COALESCE(d.add_q, 0) AS BIGINT) AS quantity_assigned,
+       COALESCE(d.price, a.event_sale_price) AS event_sale_price
+FROM event_products a FULL OUTER JOIN
+     (SELECT event_id, product_id, sum(quantity) AS add_q,
+             arg_max(sale_price, seq) FILTER (WHERE sale_price IS NOT NULL) AS price
+      FROM rows_out WHERE accepted GROUP BY event_id, product_id) d
+  ON a.event_id = d.event_id AND a.product_id = d.product_id""",
+                                     ("products", "inventory", "event_products"), _ROWS, recursive=True),
+    "reassigned_assignments": sql("""
+SELECT ep.* REPLACE (CASE WHEN d.accepted OR req.delta = 0 THEN req.new_quantity
+                          ELSE ep.quantity_assigned END AS quantity_assigned)
+FROM event_products ep
+LEFT JOIN req ON req.event_id = ep.event_id AND req.product_id = ep.product_id
+LEFT JOIN decisions d ON req.seq = d.seq""",
+                                  ("inventory", "event_sales", "event_products", "quantity_true_up"),
+                                  _REASSIGN, recursive=True),
+    "unassign_assignments": sql("""
+SELECT ep.* FROM event_products ep
+WHERE NOT EXISTS (SELECT 1 FROM ureq r WHERE r.event_id = ep.event_id AND r.product_id = ep.product_id)""",
+                                ("event_sales", "event_products"), _UNASSIGN),
+    "create_fairs": sql("""
+SELECT * FROM fairs
+UNION ALL
+SELECT (SELECT COALESCE(max(id), 0) FROM fairs) + row_number() OVER (ORDER BY start_date, name) AS id, *
+FROM (SELECT name || ' again' AS name, CAST(start_date + INTERVAL 12 MONTH AS DATE) AS start_date,
+             CAST(end_date + INTERVAL 12 MONTH AS DATE) AS end_date, location, description FROM fairs) f""",
+                        ("fairs",)),
+    "assign_products": sql("""
+SELECT id, event_id, product_id, quantity_assigned, event_sale_price FROM event_products
+UNION ALL
+SELECT (SELECT COALESCE(max(id), 0) FROM event_products) + row_number() OVER (ORDER BY event_id, product_id),
+       event_id, product_id, CAST(q AS BIGINT), CAST(NULL AS DOUBLE)
+FROM (SELECT event_id, product_id, sum(quantity) AS q FROM event_sales GROUP BY event_id, product_id) s
+WHERE NOT EXISTS (SELECT 1 FROM event_products ep
+                  WHERE ep.event_id = s.event_id AND ep.product_id = s.product_id)""",
+                           ("event_sales", "event_products")),
+    "append_sales": sql("""
+SELECT event_id, product_id, quantity, sale_price, sale_date FROM event_sales
+UNION ALL
+SELECT event_id, product_id, quantity, sale_price, sale_date FROM returned_sales r
+WHERE quantity > 0 AND EXISTS (SELECT 1 FROM event_products k
+                               WHERE k.event_id = r.event_id AND k.product_id = r.product_id)""",
+                        ("event_sales", "returned_sales", "event_products")),
     "reassign_quantity": sql("""
 SELECT req.seq, req.event_id, req.product_id, current_quantity, new_quantity, delta,
        CASE WHEN current_quantity IS NULL THEN FALSE WHEN delta = 0 THEN TRUE

@@ -252,6 +252,17 @@ def q_programme_pivot(spark, sf_dir):
                                    t.event_sales(), PARAMS["year"])
 
 
+@register("programme_no_sales")
+def q_programme_no_sales(spark, sf_dir):
+    """The pivot of a year none of whose fairs sold anything: every fair is a
+    column of zeros."""
+    t = _t(spark, sf_dir)
+    ids = catalog.fairs_in_year(t.fairs(), PARAMS["year"]).select(F.col("id").alias("event_id"))
+    other = t.event_sales().join(ids, "event_id", "left_anti")
+    return reports.programme_pivot(t.products(), t.event_products(), t.fairs(), t.suppliers(), other,
+                                   PARAMS["year"])
+
+
 @register("programme_cells")
 def q_programme_cells(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -422,6 +433,24 @@ def q_allocate_rows_summary(spark, sf_dir):
     return allocation.allocate_rows_summary(q_allocate_rows(spark, sf_dir))
 
 
+@register("allocate_rows_assignments")
+def q_allocate_rows_assignments(spark, sf_dir):
+    return allocation.rows_snapshot(q_allocate_rows(spark, sf_dir), _t(spark, sf_dir).event_products())
+
+
+@register("reassigned_assignments")
+def q_reassigned_assignments(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return allocation.reassigned(q_reassign_quantity(spark, sf_dir), t.event_products())
+
+
+@register("unassign_assignments")
+def q_unassign_assignments(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    kept, _ = allocation.unassign_snapshot(_unassign_requests(t), t.event_products(), _available(t))
+    return kept
+
+
 @register("reassign_quantity")
 def q_reassign_quantity(spark, sf_dir):
     t = _t(spark, sf_dir)
@@ -466,6 +495,31 @@ def q_create_events(spark, sf_dir):
     return fairs.create_events(t.annual_events(), rows)
 
 
+@register("create_fairs")
+def q_create_fairs(spark, sf_dir):
+    """Every fair is offered again for the year after."""
+    f = _t(spark, sf_dir).fairs()
+    again = f.select(F.concat_ws(" ", "name", F.lit("again")).alias("name"),
+                     F.add_months("start_date", 12).alias("start_date"),
+                     F.add_months("end_date", 12).alias("end_date"), "location", "description")
+    return fairs.create_fairs(f, again)
+
+
+@register("assign_products")
+def q_assign_products(spark, sf_dir):
+    """Products sold at a fair without an assignment get one."""
+    t = _t(spark, sf_dir)
+    sold = t.event_sales().groupBy("event_id", "product_id").agg(F.sum("quantity").alias("quantity"))
+    missing = sold.join(t.event_products(), ["event_id", "product_id"], "left_anti")
+    return fairs.assign_products(t.event_products(), missing.withColumn("sale_price", F.lit(None).cast("double")))
+
+
+@register("append_sales")
+def q_append_sales(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return fairs.append_sales(t.event_sales(), q_record_sales(spark, sf_dir))
+
+
 @register("record_sales")
 def q_record_sales(spark, sf_dir):
     t = _t(spark, sf_dir)

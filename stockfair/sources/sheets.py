@@ -3,27 +3,39 @@
 A workbook is decoded upstream into one CSV file per sheet; the jobs here
 read a whole folder of them at once.  Lines keep their position in the file
 (``line_no``), because header detection and "first n rows" rules depend on
-it.  A file is read by one task (``wholetext``), so files of any number are
-processed in parallel; a quoted cell spanning lines is not supported.
+it.  Files are read in splits, so neither their number nor their size meets in
+one task; a quoted cell spanning lines is not supported.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed value: commas outside double quotes separate cells.
 CSV_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
+def _split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, at, k, line): ``at`` is where the line's split of the file
+    begins, ``k`` grows by one from line to line of a split."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"),
+        F.regexp_replace("value", "\r$", "").alias("line"))
+
+
 def read_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
     """S1/S2.  (file, line_no, line) for every line of every file under
-    ``path``; ``file`` is the file name, ``line_no`` counts from 0."""
-    raw = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("file"), F.col("value"))
-    body = F.regexp_replace("value", r"\r?\n$", "")
-    return raw.select("file", F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line")) \
-        .select("file", F.col("line_no").cast("long"), "line")
+    ``path``; ``file`` is the file name, ``line_no`` counts from 0.  A large
+    file is read in splits: a line's number is its place in its split plus the
+    lines of the splits before it, of which there is one small row each."""
+    lines = _split_lines(spark, path)
+    splits = lines.groupBy("path", "at").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "at", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    return lines.join(splits, ["path", "at"]).select(
+        "file", (F.col("k") - F.col("first") + F.col("off")).cast("long").alias("line_no"), "line")
 
 
 def unquote(c) -> F.Column:
@@ -61,11 +73,8 @@ def header_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, header): the first line of every file under ``path``.  Lines of a
     file's first split are in order, so nothing is sorted and no file is read
     as a whole."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("k"), "value")
-    return lines.where("at = 0").groupBy("path").agg(
-        F.regexp_replace(F.min_by("value", "k"), "\r$", "").alias("header"))
+    lines = _split_lines(spark, path).where("at = 0")
+    return lines.groupBy("path").agg(F.min_by("line", "k").alias("header"))
 
 
 def read_event_sheet(spark: SparkSession, path: str, max_layouts: int = 200) -> DataFrame:

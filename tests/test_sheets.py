@@ -26,3 +26,16 @@ def test_event_sheets_keep_their_own_headers(spark, scratch):
             fh.write(body)
     rows = {r.Nome: (r.Incassi, r.Km) for r in sheets.read_event_sheet(spark, scratch).collect()}
     assert rows == {"X": ("1", None), "Y": ("2", "3")}
+
+
+def test_lines_of_a_file_in_many_splits(spark, scratch):
+    with open(os.path.join(scratch, "long.csv"), "w") as fh:
+        fh.write("".join(f"line {i},{'x' * (i % 90)}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = sheets.read_sheet_lines(spark, scratch).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.line_no, r.line.split(",")[0]) for r in rows) == [(i, f"line {i}") for i in range(3000)]
