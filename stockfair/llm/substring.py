@@ -20,8 +20,9 @@ batch.  An edge that a third of all documents hold is asked once per batch, not
 once per place.  Ranges hold about ``RANGE_EDGES`` edges at any size of input.
 Path rows, too, are one per path and batch.
 
-Edges are told apart by 64-bit hashes, neighbours by 40 bits of theirs; equal
-hashes of different words end at the digest of the words.
+Round 1 goes by 48 bits of an edge's hash and so lets a few single edges pass;
+round 2 by 64 bits, neighbours by 40 bits of theirs; equal hashes of different
+words end at the digest of the words.
 
 Defined cases: null or empty texts have no words and nothing is removed; texts
 shorter than a window are kept whole; a document may repeat itself; repeated
@@ -46,6 +47,9 @@ WORD_BYTES = 6
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 NONE, SEVERAL = np.uint64(1), np.uint64(0)
 LINK_BITS = np.uint64((1 << 40) - 1)
+#: Round 1 asks with the highest bits of a hash: a few more edges go on to round 2.
+COARSE_BITS = 48
+COARSE_SHIFT = np.uint64(64 - COARSE_BITS)
 
 
 def _words(raw: bytes | None) -> list[bytes]:
@@ -87,9 +91,9 @@ def _edges(docs: list[list[bytes]], window: int):
     return acc[inside], doc[inside], start[inside]
 
 
-def _range_starts(n: int) -> np.ndarray:
-    """Least hash of each of ``n`` ranges."""
-    return np.array([-(-(b << 64) // n) for b in range(n)], np.uint64)
+def _range_starts(n: int, bits: int = 64) -> np.ndarray:
+    """Least hash of ``bits`` bits of each of ``n`` ranges."""
+    return np.array([-(-(b << bits) // n) for b in range(n)], np.uint64)
 
 
 def _pack(v: np.ndarray) -> bytes:
@@ -157,9 +161,9 @@ def repeated_passages(docs: DataFrame, n_batches: int, n_ranges: int, window: in
 
     def ask_edges(table):
         b, batch = _Batch(table, window), table.column("batch")[0]
-        own, count = np.unique(b.edge, return_counts=True)
+        own, count = np.unique(b.edge >> COARSE_SHIFT, return_counts=True)
         rows = [(r, _pack_sorted(own[i:j]), np.packbits(count[i:j] > 1).tobytes())
-                for r, i, j in _slices(own, _range_starts(n_ranges))]
+                for r, i, j in _slices(own, _range_starts(n_ranges, COARSE_BITS))]
         r, keys, twice = zip(*rows) if rows else ((), (), ())
         return pa.table({"range": pa.array(r, pa.int32()), "batch": pa.array([batch.as_py()] * len(r), pa.int32()),
                          "keys": pa.array(keys, pa.binary()), "twice": pa.array(twice, pa.binary())})
@@ -179,30 +183,30 @@ def repeated_passages(docs: DataFrame, n_batches: int, n_ranges: int, window: in
         if not table.num_rows or not answers.num_rows:
             return _EMPTY_LINKS
         b, batch = _Batch(table, window), table.column("batch")[0].as_py()
-        own, inverse = np.unique(b.edge, return_inverse=True)
+        own, inverse = np.unique(b.edge >> COARSE_SHIFT, return_inverse=True)
         bits, many = _answers(answers, "bits"), np.zeros(len(own), bool)
-        starts = _range_starts(n_ranges)
-        for r, i, j in _slices(own, starts):
+        for r, i, j in _slices(own, _range_starts(n_ranges, COARSE_BITS)):
             many[i:j] = np.unpackbits(np.frombuffer(bits[r], np.uint8), count=j - i).astype(bool)
-        if not many.any():
+        at = np.flatnonzero(many[inverse])
+        if not len(at):
             return _EMPTY_LINKS
         same = b.doc[1:] == b.doc[:-1] if len(b.doc) else np.zeros(0, bool)
         link = np.maximum(b.edge & LINK_BITS, np.uint64(2))
         before, after = np.full(len(link), NONE), np.full(len(link), NONE)
         before[1:][same] = link[:-1][same]
         after[:-1][same] = link[1:][same]
-        at = np.flatnonzero(many[inverse])
-        at = at[np.argsort(inverse[at], kind="stable")]
-        new = np.flatnonzero(np.concatenate(([True], inverse[at][1:] != inverse[at][:-1])))
+        at = at[np.argsort(b.edge[at], kind="stable")]
+        keys = b.edge[at]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
 
         def one(v):
             v = v[at]
             low, high = np.minimum.reduceat(v, new), np.maximum.reduceat(v, new)
             return np.where(low == high, low, SEVERAL)
 
-        keys, before, after = own[many], one(before), one(after)
+        keys, before, after = keys[new], one(before), one(after)
         rows = [(r, _pack_sorted(keys[i:j]), _pack(before[i:j]), _pack(after[i:j]))
-                for r, i, j in _slices(keys, starts)]
+                for r, i, j in _slices(keys, _range_starts(n_ranges))]
         r, k, p, s = zip(*rows)
         return pa.table({"range": pa.array(r, pa.int32()), "batch": pa.array([batch] * len(r), pa.int32()),
                          "keys": pa.array(k, pa.binary()), "before": pa.array(p, pa.binary()),
