@@ -12,8 +12,8 @@ shorter one's n-grams.
 
 Main path (scoring): DataFrame functions only.  N-grams of function words alone
 are no features, so a paragraph without any of the templates' other words has
-none; the rest is intersected in the row with the templates' n-grams (a fixed
-set), and only paragraphs that share some are exploded.
+none.  Those are dropped by a look-up per word; n-grams of the rest are joined
+with the templates' n-grams, a fixed table that is broadcast.
 
 Defined cases: null or empty texts have no paragraphs; a paragraph without any
 template n-gram is of no family; equal paragraphs each count; repeated rows of
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockfair.llm.common import ascii_lower
+from stockfair.llm.common import ascii_lower, stored
 
 MAX_SAMPLE, MAX_OTHER = 400, 3000
 CONFIRM = 0.6
@@ -117,9 +117,19 @@ def _grams(text: str) -> set[str]:
     return {" ".join(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
 
 
-def _constant(values) -> Column:
-    """An array of strings without bars, as one literal."""
-    return F.split(F.lit("|".join(values)), "[|]")
+def _may_hold(text: Column, words: list[str], slots: int = 1 << 16) -> Column:
+    """Whether a text may hold one of ``words``: each of its words is looked up
+    in a table of hash slots, one byte each, so the cost does not grow with
+    ``words``; all texts that hold one pass, and few others."""
+    from xxhash import xxh64_intdigest
+
+    table = bytearray(slots)
+    for w in words:
+        table[xxh64_intdigest(w.encode(), 42) % slots] = 1  # xxhash64() is XXH64 with seed 42
+    # the lowest bits are the same for signed and unsigned hashes
+    at = lambda w: F.xxhash64(w).bitwiseAND(F.lit(slots - 1)).cast("int") + 1
+    return F.exists(F.split(text, _SEPARATORS),
+                    lambda w: F.substring(F.lit(table), at(w), F.lit(1)) == F.lit(bytearray(b"\x01")))
 
 
 def _gram_column() -> Column:
@@ -219,11 +229,9 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("paragraph", "line"))
     words = F.filter(F.split(ascii_lower(F.col("line")), _SEPARATORS), lambda w: w != "")
     marks = sorted({w for g in model.grams for w in g.split(" ")} - FUNCTION_WORDS)
-    rows = lines.select("id", "text_key", "paragraph", words.alias("w")) \
-        .where((F.size("w") >= 2) & F.arrays_overlap("w", _constant(marks)))
+    # lower() folds more than A-Z, so it lets through all that can match
+    rows = lines.where(_may_hold(F.lower("line"), marks)).select("id", "text_key", "paragraph", words.alias("w"))
     rows = rows.select("id", "text_key", "paragraph", F.array_distinct(_gram_column()).alias("g"))
-    rows = rows.select("id", "text_key", "paragraph", F.size("g").alias("n"),
-                       F.array_intersect("g", _constant(model.grams)).alias("hits")).where(F.size("hits") > 0)
     # fixed tables: the templates' n-grams
     weights = spark.createDataFrame(
         [(g, [float(v) for v in model.weights[i]]) for i, g in enumerate(model.grams)],
@@ -233,18 +241,22 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
            for g in sorted(_grams(t) & kept)]
     templates = spark.createDataFrame(own, "gram string, family string, template string, size int")
     key = ["id", "text_key", "paragraph"]
-    hits = rows.select(*key, "n", F.explode("hits").alias("gram"))
+    # outer: a filter inferred from a plain explode would be pushed into the lambdas above
+    hits = rows.select(*key, F.size("g").alias("n"), F.explode_outer("g").alias("gram"))
+    hits = stored(hits.join(F.broadcast(weights), "gram"))  # read twice below, and few
     n = len(model.families)
-    sums = hits.join(F.broadcast(weights), "gram").groupBy(*key).agg(
+    sums = hits.groupBy(*key).agg(
         F.first("n").alias("n"), *[F.sum(F.get("weight", F.lit(k))).alias(f"z{k}") for k in range(n)])
-    z = [F.col(f"z{k}") + float(model.weights[-1][k]) for k in range(n)]
-    top = F.greatest(*z)
-    total = sum((F.exp(c - top) for c in z), F.lit(0.0))
-    ranked = F.array_max(F.array(*[F.struct((F.exp(z[k] - top) / total).alias("p"), F.lit(f).alias("family"))
-                                   for k, f in enumerate(model.families) if f != OTHER]))
-    found = sums.select(*key, "n", ranked.alias("x")).where(F.col("x.p") > model.threshold) \
-        .select(*key, "n", "x.p", "x.family")
-    shared = hits.drop("n").join(F.broadcast(templates), "gram") \
+    z = F.array(*[F.col(f"z{k}") + float(model.weights[-1][k]) for k in range(n)])
+    top = sums.select(*key, "n", z.alias("z"))
+    top = top.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+    best = F.array_max(F.array(*[F.struct(F.get("e", F.lit(k)).alias("e"), F.lit(f).alias("family"))
+                                 for k, f in enumerate(model.families) if f != OTHER]))
+    top = top.select(*key, "n", total.alias("total"), best.alias("x"))
+    found = top.select(*key, "n", (F.col("x.e") / F.col("total")).alias("p"), "x.family") \
+        .where(F.col("p") > model.threshold)
+    shared = hits.select(*key, "gram").join(F.broadcast(templates), "gram") \
         .groupBy(*key, "family", "template").agg(F.count("*").alias("both"), F.first("size").alias("size"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*key, "family")]
     cond = same[0] & same[1] & same[2] & same[3]
