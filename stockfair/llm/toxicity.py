@@ -16,13 +16,15 @@ forms), selected by their association with the last category (log-likelihood
 ratio) over the training rows.  Training rows are the ``MAX_TRAIN`` labelled
 documents with the lowest hash of their id: a documented bound, all fits run on
 the driver on at most that many sparse rows of ``MAX_FEATURES`` columns.
-Scoring covers whole texts of all documents.  The decision threshold maximises
-the out-of-fold F1.
+Scoring covers whole texts of all documents.  The ratio that a feature must
+reach grows with the logarithm of the number of training rows, as the evidence
+they can give does.  The decision threshold maximises the out-of-fold F1 among
+the cuts between different scores whose precision is ``MIN_PRECISION`` or more.
 
 Defined cases: null or empty texts have no features; labels without a document,
 with a null flag or with contradicting flags are not used; without positive or
-without negative training rows nothing is toxic (probability zero); repeated rows are
-scored alike; ids may be null; empty tables give empty results; columns besides
+without negative training rows, without any selected feature and without a cut
+of that precision nothing is toxic; repeated rows are scored alike; ids may be null; empty tables give empty results; columns besides
 id and text are not read.
 """
 
@@ -38,8 +40,11 @@ from pyspark.sql import functions as F
 
 MAX_TRAIN = 8000
 MAX_FEATURES = 600
-#: Documents a feature must be in, and its least log-likelihood ratio.
+#: Documents a feature must be in, and its least log-likelihood ratio at
+#: ``MAX_TRAIN`` training rows (fewer: in proportion to the logarithm).
 MIN_DOCS, MIN_RATIO = 4, 24.0
+#: Least out-of-fold precision of a threshold, and a threshold nothing reaches.
+MIN_PRECISION, NEVER = 0.8, 2.0
 PREFIXES = (4, 5, 6, 7, 8)
 FOLDS = 5
 RIDGE = 1.0
@@ -167,18 +172,24 @@ def fit_chain(rows, labels: np.ndarray, columns: dict[str, int], folds: np.ndarr
                 w = _fit_linear(x.take(rest), earlier[rest], y[rest])
                 out_of_fold[~rest, k] = _sigmoid(x.take(~rest).dot(w, earlier[~rest]))
         weights.append(_fit_linear(x, earlier, y))
-    p, y = out_of_fold[:, -1], labels[:, -1].astype(bool)
+    threshold, scores = _cut(out_of_fold[:, -1], labels[:, -1].astype(bool))
+    return Chain(columns, weights, threshold, categories, scores)
+
+
+def _cut(p: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, float]]:
+    """The threshold of the best F1 under the precision floor.  Rows of one
+    score are taken or left together; where no cut is precise enough nothing
+    is taken."""
     order = np.argsort(-p, kind="stable")
-    good = np.cumsum(y[order])
-    f1 = 2 * good / (np.arange(1, len(y) + 1) + y.sum())
+    good, taken = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    after = np.append(p[order[1:]], 0.0)
+    f1 = np.where((p[order] > after) & (good >= MIN_PRECISION * taken), 2 * good / (taken + y.sum()), 0.0)
     best = int(np.argmax(f1))
+    if f1[best] == 0:
+        return NEVER, {"f1": 0.0, "precision": 0.0, "recall": 0.0}
     # halfway between the last row taken and the first left out
-    after = p[order[best + 1]] if best + 1 < len(order) else 0.0
-    threshold = float((p[order[best]] + after) / 2)
-    taken = p >= threshold
-    scores = {"f1": float(f1[best]), "precision": float((taken & y).sum() / max(1, taken.sum())),
-              "recall": float((taken & y).sum() / max(1, y.sum()))}
-    return Chain(columns, weights, threshold, categories, scores)
+    return float((p[order[best]] + after[best]) / 2), {
+        "f1": float(f1[best]), "precision": float(good[best] / taken[best]), "recall": float(good[best] / y.sum())}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -206,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     size = sample.agg(F.count("*"), F.sum("y")).first()
     n, pos = size[0], size[1] or 0
     if not 0 < pos < n:
-        return Chain({}, [], 2.0)
+        return Chain({}, [], NEVER)
     counts = has.select("y", F.explode("features").alias("feature")).groupBy("feature") \
         .agg(F.sum("y").alias("a"), F.count("*").alias("d")).where(F.col("d") >= MIN_DOCS)
 
@@ -216,10 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a, d = F.col("a"), F.col("d")
     ratio = 2 * (term(a, d * pos / n) + term(d - a, d * (n - pos) / n)
                  + term(pos - a, (n - d) * pos / n) + term(n - d - pos + a, (n - d) * (n - pos) / n))
-    best = counts.where(a * n > d * pos).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= MIN_RATIO) \
+    least = MIN_RATIO * min(1.0, float(np.log(n) / np.log(MAX_TRAIN)))
+    best = counts.where(a * n > d * pos).withColumn("g", F.round(ratio, 6)).where(F.col("g") >= least) \
         .orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+    if not best:
+        return Chain({}, [], NEVER)
     columns = {r["feature"]: k for k, r in enumerate(best)}
-    chain = Chain(columns, [], 2.0)
+    chain = Chain(columns, [], NEVER)
 
     def present(batches):
         for b in batches:
@@ -235,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = [(r["columns"], r["share"]) for r in got]
     y = np.array([r["y"] for r in got], bool)
     if not 0 < y.sum() < len(y):  # labelled documents that are not there
-        return Chain({}, [], 2.0)
+        return Chain({}, [], NEVER)
     many = np.array([len(c) >= SEVERE_TERMS for c, _ in rows])
     dense = np.array([s >= DENSE_SHARE for _, s in rows])
     return fit_chain(rows, np.stack([y & many, y & dense, y], 1), columns,

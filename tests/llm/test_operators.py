@@ -397,6 +397,35 @@ def test_toxicity_odd(spark):
     assert toxicity.score(df.limit(0), chain).count() == 0
 
 
+def test_toxicity_few_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    chain = toxicity.train(d, labels)
+    got = toxicity.score(d, chain).join(labels.withColumnRenamed("toxic", "y"), "doc_id", "left").collect()
+    taken = [r for r in got if r["toxic"]]
+    assert chain.columns and 0 < len(taken) < 0.3 * len(got)
+    assert sum(r["y"] == 1 for r in taken) >= 7 and sum(r["y"] == 0 for r in taken) <= 1
+
+
+def test_toxicity_without_evidence(spark):
+    t = [f"plain text {' '.join(words(random.Random(i), 30, 3000))}" for i in range(60)]
+    df = docs(spark, t)
+    y = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(60)], "doc_id long, toxic int")
+    chain = toxicity.train(df, y)
+    assert toxicity.score(df, chain).where("toxic").count() == 0
+    assert toxicity.without_toxic(df, chain).count() == 60
+
+
+def test_toxicity_threshold():
+    import numpy as np
+
+    y = np.array([1, 0, 0, 0, 0, 0, 0, 0], bool)
+    assert toxicity._cut(np.full(8, 0.1), y)[0] > 1  # one score for all: no cut
+    assert toxicity._cut(np.array([0.2, 0.3, 0.4, 0.1, 0.1, 0.1, 0.1, 0.1]), y)[0] > 1  # weak
+    threshold, scores = toxicity._cut(np.array([0.9, 0.5, 0.4, 0.1, 0.1, 0.1, 0.1, 0.1]), y)
+    assert 0.5 < threshold < 0.9 and scores == {"f1": 1.0, "precision": 1.0, "recall": 1.0}
+
+
 def test_licenses_odd(spark):
     notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
                "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",

@@ -61,3 +61,13 @@ def test_empty_tables(spark, tables, tmp_path):
     d = spark.read.parquet(f"{path}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, d, path).count() == 0
+
+
+def test_few_labels_drop_few_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = corpus_pipeline.reject_toxic(spark, d, sf)
+    assert kept.count() >= 0.7 * d.count()
+    assert kept.join(labels.where("toxic = 0"), "doc_id").count() >= labels.where("toxic = 0").count() - 1
+    assert corpus_pipeline.run(spark, sf).count() > 0
