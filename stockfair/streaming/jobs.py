@@ -2,9 +2,12 @@
 
 * ``scan_stream`` (R1): scans arrive on a stream; each is cleaned and
   validated, duplicate scans are dropped per scanner with the anchor rule of
-  ``operators.scans`` (state per scanner: last accepted code and its time,
-  expired by event-time timeout once no later scan can be its duplicate),
-  and the survivors are looked up in the (static) catalogue.
+  ``operators.scans`` (state per scanner: last accepted code and its time),
+  and the survivors are looked up in the (static) catalogue.  Every scan gets a
+  row: a valid one older than the watermark has status ``late`` and leaves the
+  state alone.  So there is no event-time timeout, under which Spark discards
+  rows behind the watermark before the fold sees them, and the state keeps two
+  values for each scanner ever seen.
 * ``ledger_stream`` (R2): stock movement requests arrive on a stream; the
   opening stock is joined on from the static stock table, and a per-product
   state holds the running balance, so a rejected 'out' does not consume.
@@ -37,33 +40,32 @@ BALANCE_STATE = T.StructType([T.StructField("balance", T.LongType()),
 
 def _dedupe_fn(timeout_us: int):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         code, anchor = (state.get if state.exists else (None, None))
+        watermark = state.getCurrentWatermarkMs()
         pdf = pd.concat(list(batches), ignore_index=True)
         pdf = pdf.sort_values(["_us", "scan_id"], kind="stable")
-        flags = []
-        anchor_ms = None
+        flags, lates = [], []
         for c, t, ms in zip(pdf["code"].tolist(), pdf["_us"].tolist(), pdf["_ms"].tolist()):
-            dup = code is not None and c == code and t - anchor < timeout_us
-            if not dup:
-                code, anchor, anchor_ms = c, t, ms
+            # a scan without a time is no duplicate and no anchor
+            late, dup = not pd.isna(ms) and ms < watermark, False
+            if not late and not pd.isna(t):
+                dup = code is not None and c == code and abs(t - anchor) < timeout_us
+                # a scan of an earlier time, from a later file, does not move the anchor back
+                if not dup and (anchor is None or t >= anchor):
+                    code, anchor = c, int(t)
             flags.append(dup)
-        state.update((code, int(anchor)))
-        # no later scan can duplicate the anchor once the watermark (event-time
-        # instants) passes it
-        if anchor_ms is not None:
-            expire = int(anchor_ms) + timeout_us // 1000 + 1
-            state.setTimeoutTimestamp(max(expire, state.getCurrentWatermarkMs() + 1))
-        yield pdf.drop(columns=["_us", "_ms"]).assign(duplicate=flags)
+            lates.append(late)
+        if anchor is not None:
+            state.update((code, anchor))
+        yield pdf.drop(columns=["_us", "_ms"]).assign(duplicate=flags, late=lates)
     return fn
 
 
 def scan_stream(scans: DataFrame, products: DataFrame, inventory: DataFrame,
                 timeout_s: float = 2.0, watermark: str = "1 hour") -> DataFrame:
     """R1.  ``scans`` is a streaming DataFrame (scanner_id, ts, barcode,
-    scan_id); returns the streaming outcome rows (append mode)."""
+    scan_id); returns the streaming outcome rows (append mode): invalid, late
+    (valid, older than the watermark), duplicate, found or not_found."""
     t_us = int(round(timeout_s * 1_000_000))
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     s = (scans.withColumn("_us", F.timestamp_diff("MICROSECOND", epoch,
@@ -75,16 +77,19 @@ def scan_stream(scans: DataFrame, products: DataFrame, inventory: DataFrame,
          .withColumn("valid", barcode.is_valid(F.col("code"))))
     valid = s.where(F.col("valid"))
     out_schema = T.StructType([f for f in valid.schema.fields if f.name not in ("_us", "_ms")]
-                              + [T.StructField("duplicate", T.BooleanType())])
+                              + [T.StructField("duplicate", T.BooleanType()),
+                                 T.StructField("late", T.BooleanType())])
     flagged = valid.groupBy("scanner_id").applyInPandasWithState(
-        _dedupe_fn(t_us), out_schema, SCAN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _dedupe_fn(t_us), out_schema, SCAN_STATE, "append", GroupStateTimeout.NoTimeout)
     invalid = (s.where(~F.col("valid")).drop("_us", "_ms")
-               .withColumn("duplicate", F.lit(None).cast("boolean")))
+               .withColumn("duplicate", F.lit(None).cast("boolean"))
+               .withColumn("late", F.lit(None).cast("boolean")))
     sp = catalog.stocked_products(products, inventory).select(
         F.col("ean_upc").alias("_ean"), F.col("id").alias("product_id"), "sku", "name", "quantity")
     both = flagged.unionByName(invalid)
     j = both.join(sp, both.code == sp._ean, "left")
     status = (F.when(~F.col("valid"), F.lit("invalid"))
+              .when(F.col("late"), F.lit("late"))
               .when(F.col("duplicate"), F.lit("duplicate"))
               .when(F.col("product_id").isNotNull(), F.lit("found"))
               .otherwise(F.lit("not_found")))

@@ -36,6 +36,32 @@ def test_scan_stream_equals_batch(spark, scratch):
                    5: "duplicate"}
 
 
+def test_scan_stream_decides_late_scans(spark, scratch):
+    schema = "scanner_id string, ts timestamp_ntz, barcode string, scan_id long"
+    hour, sec = dt.timedelta(hours=1), dt.timedelta(seconds=1)
+    files = [[("s1", T0 + 5 * hour, A, 1), ("s1", T0 + 5 * hour + sec, A, 2), ("s2", T0 + 5 * hour, "bad", 3)],
+             [("s1", T0, A, 4), ("s1", T0 + sec, A, 5), ("s3", T0, "bad", 6),  # hours behind
+              ("s1", T0 + 5 * hour - 600 * sec, A, 7), ("s4", T0 + 5 * hour - 600 * sec, A, 8),
+              ("s4", None, A, 9), ("s1", T0 + 5 * hour + 1.5 * sec, A, 10), ("s1", T0 + 5 * hour + 9 * sec, A, 11)]]
+    src = os.path.join(scratch, "scans")
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        for name in os.listdir(src):  # the stream reads files by their time
+            if name.endswith(".parquet") and os.path.getmtime(f"{src}/{name}") > 1e9 + 9:
+                os.utime(f"{src}/{name}", (1e9 + k, 1e9 + k))
+    spark.createDataFrame([(1, "SKU001", A, "Helmet")], "id long, sku string, ean_upc string, name string") \
+        .write.parquet(os.path.join(scratch, "p"))
+    spark.createDataFrame([(1, 1, 5, None)], "id long, product_id long, quantity long, last_updated timestamp_ntz") \
+        .write.parquet(os.path.join(scratch, "i"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = jobs.drain(jobs.scan_stream(stream, spark.read.parquet(os.path.join(scratch, "p")),
+                                      spark.read.parquet(os.path.join(scratch, "i")), 2.0), "t_late").collect()
+    assert {r.scan_id: r.status for r in out} == {
+        1: "found", 2: "duplicate", 3: "invalid", 4: "late", 5: "late", 6: "invalid", 7: "found", 8: "found",
+        9: "found", 10: "duplicate", 11: "found"}
+    assert len(out) == 11
+
+
 def test_ledger_stream_equals_batch(spark, scratch):
     rows = [(1, 1, "in", 5), (2, 1, "out", 7), (3, 1, "out", 5), (4, 2, "out", 1)]
     df = spark.createDataFrame(rows, "seq long, product_id long, transaction_type string, "
