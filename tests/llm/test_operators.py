@@ -281,6 +281,32 @@ def test_secrets_redacted(spark):
     assert sorted(len(r["spans"]) for r in f.collect()) == [0, 1, 1]
 
 
+def test_secrets_whole_private_keys(spark):
+    import base64
+
+    def key(kind, size, seed, end=True, nl="\n", head=""):
+        b = base64.b64encode(random.Random(seed).randbytes(size)).decode()
+        lines = [b[i:i + 64] for i in range(0, len(b), 64)]
+        return nl.join([f"-----BEGIN {kind}PRIVATE KEY-----", *([head] if head else []), *lines,
+                        *([f"-----END {kind}PRIVATE KEY-----"] if end else [])]), lines
+
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF00FF\n"
+    keys = [key("RSA ", 1190, 1), key("", 48, 2), key("EC ", 121, 3, nl="\r\n"), key("RSA ", 1190, 4, nl="\\n"),
+            key("RSA ", 1190, 5, head=enc), key("RSA ", 12000, 6), key("RSA ", 1190, 7, end=False),
+            key("", 1190, 8, end=False, nl="\\n"), key("RSA ", 600, 9, end=False, head=enc)]
+    t = [f"before é\n{k}\nafter it all" for k, _ in keys]
+    t.append(f"one {keys[0][0]} mid {keys[2][0]} two")
+    # many lines without an END line: no stack overflow
+    t.append("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(["QUJD" * 16] * 5000))
+    t.append("the line -----BEGIN RSA PRIVATE KEY----- opens a key\nplain words stay")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs(spark, t)).collect()}
+    for i, (_, lines) in enumerate(keys):
+        assert not any(x in got[i] for x in lines) and "PRIVATE KEY" not in got[i], got[i]
+        assert got[i] == "before é\n[SECRET]\nafter it all"
+    assert got[len(keys)] == "one [SECRET] mid [SECRET] two"
+    assert got[len(keys) + 2] == "the line [SECRET] opens a key\nplain words stay"
+
+
 def test_sharding_laws(spark, monkeypatch):
     monkeypatch.setattr(sharding, "LOT_ROWS", 50)
     rng = random.Random(4)
