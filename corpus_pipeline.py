@@ -7,8 +7,8 @@ returns a DataFrame that is written as Parquet and read again as the next one's
 
 Defined cases: null or empty texts are neither toxic nor contaminated and hold
 no secrets; texts whose fingerprints link (all empty ones do) keep the smallest
-id; rows with a null id are kept by the near-duplicate stage; extra columns pass
-through the first four stages; empty tables give empty results.
+id, null ids last, and of repeated rows one; extra columns pass through the first
+four stages; empty tables give empty results.
 """
 
 from __future__ import annotations

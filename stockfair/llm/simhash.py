@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockfair.llm.common import connected_components, stored
@@ -60,17 +60,19 @@ def _fingerprint(raw: bytes | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 width: int = SHINGLE_WORDS) -> DataFrame:
-    """(id, fp long) per row."""
+                 width: int = SHINGLE_WORDS, text_hash: Column | None = None) -> DataFrame:
+    """(id, fp long) per row, and ``text_hash`` as hash where given."""
+    more = [] if text_hash is None else [text_hash.alias("hash")]
+
     def run(batches):
         for b in batches:
             raw = b.column(1).cast(pa.binary()).to_pylist()
             fp = pa.array([_fingerprint(r, width) for r in raw], pa.int64())
-            yield pa.record_batch([b.column(0), fp], names=[id_col, "fp"])
+            yield pa.record_batch([b.column(0), fp, *b.columns[2:]], names=[id_col, "fp", "hash"][:b.num_columns])
 
-    cols = docs.select(F.col(id_col), F.col(text_col).cast("string"))
+    cols = docs.select(F.col(id_col), F.col(text_col).cast("string"), *more)
     kind = cols.schema[0].dataType.simpleString()
-    return cols.mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return cols.mapInArrow(run, f"`{id_col}` {kind}, fp long" + (", hash long" if more else ""))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -123,21 +125,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, fingerprint, component_id): component_id is the smallest id
     reachable through links, the row's own included."""
     fps = stored(fingerprints(docs, id_col, text_col, width))
-    classes = stored(fps.groupBy("fp").agg(F.min(id_col).alias("low")))
+    classes = _classes(fps, F.min(id_col), max_bits).withColumnRenamed("low", "component_id")
+    return fps.join(classes, "fp").select(
+        id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _classes(fps: DataFrame, least: Column, max_bits: int) -> DataFrame:
+    """(fp, low) per fingerprint: the minimum ``least`` over its component."""
+    classes = stored(fps.groupBy("fp").agg(least.alias("low")))
     roots = stored(connected_components(links(classes.select("fp"), max_bits)))
     named = roots.join(classes, roots.node == classes.fp) \
         .groupBy("root").agg(F.min("low").alias("component_low"))
     linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_low")
-    classes = classes.join(linked, "fp", "left") \
-        .select("fp", F.coalesce("component_low", "low").alias("component_id"))
-    return fps.join(classes, "fp").select(
-        id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("component_low", "low").alias("low"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's: one document of each
-    group.  Rows with a null id stay (nothing tells them apart)."""
-    marked = near_duplicates(docs, id_col, text_col, width, max_bits)
-    gone = marked.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of ``docs`` per component: the smallest (id, hash of the text),
+    null ids last.  Of rows equal in both any one stays."""
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    fps = stored(fingerprints(docs, id_col, text_col, width, text))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("hash"))
+    marked = fps.join(_classes(fps, F.min(key), max_bits), "fp") \
+        .groupBy(F.col(id_col).alias("__llm_id"), F.col("hash").alias("__llm_hash")) \
+        .agg(F.first(key == F.col("low")).alias("own"), F.count("*").alias("n"))
+    marked = stored(marked.where("not own or n > 1"))
+    here = F.col(id_col).eqNullSafe(F.col("__llm_id")) & (text == F.col("__llm_hash"))
+    out = docs.join(marked.select("__llm_id", "__llm_hash"), here, "left_anti")
+    again = marked.where("own").select("__llm_id", "__llm_hash")
+    if again.isEmpty():
+        return out
+    # repeated rows of the one that stays
+    twice = docs.join(again, here, "left_semi").withColumn("__llm_hash", text) \
+        .dropDuplicates([id_col, "__llm_hash"])
+    return out.unionByName(twice.drop("__llm_hash"))

@@ -102,6 +102,23 @@ def test_simhash_on_odd_documents(spark):
     assert len(twice) == 3
 
 
+def test_deduplicated_repeated_rows(spark):
+    a, b, c, d = ("alpha beta gamma delta one", "entirely other words stand here", "third text of its own", "fourth one")
+
+    def kept(rows):
+        df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+        out = simhash.deduplicated(df)
+        assert out.columns == df.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    prints = {i: brute_fingerprint(s) for i, s in enumerate([a, b, c, d])}
+    assert len(set(brute_components(prints).values())) == 4
+    assert kept([(5, a), (5, b), (3, b)]) == sorted([(5, a), (3, b)], key=str)
+    assert kept([(5, a), (5, a), (7, a), (None, a), (5, b)]) == [(5, a), (5, b)]
+    assert kept([(None, c), (None, c), (None, d), (2, d), (None, b)]) == sorted([(None, c), (2, d), (None, b)], key=str)
+    assert kept([(None, ""), (4, None), (4, ""), (9, " ")]) in ([(4, "")], [(4, None)])
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 4, 5])
 def test_simhash_links_lose_none(spark, bits):
     rng = random.Random(bits)
