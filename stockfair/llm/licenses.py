@@ -17,8 +17,8 @@ with the templates' n-grams, a fixed table that is broadcast.
 
 Defined cases: null or empty texts have no paragraphs; a paragraph without any
 template n-gram is of no family; equal paragraphs each count; repeated rows of
-equal id and text are told apart by nothing and give their rows once; ids may
-be null; an empty table gives an empty result; other columns are not read.
+equal id and text are told apart by nothing, are scored as one row and give its
+rows once; ids may be null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -243,6 +243,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     key = ["id", "text_key", "paragraph"]
     # outer: a filter inferred from a plain explode would be pushed into the lambdas above
     hits = rows.select(*key, F.size("g").alias("n"), F.explode_outer("g").alias("gram"))
+    # repeated rows meet in one key: each n-gram counts once for it
+    hits = hits.join(F.broadcast(weights.select("gram")), "gram", "left_semi").select(*key, "n", "gram").distinct()
     hits = stored(hits.join(F.broadcast(weights), "gram"))  # read twice below, and few
     n = len(model.families)
     sums = hits.groupBy(*key).agg(

@@ -483,3 +483,22 @@ def test_licenses_odd(spark):
         == {(first + k, 1, f) for k, f in enumerate(notices)}
     assert licenses.scan(df.limit(0), model).count() == 0
     assert licenses.scan(docs(spark, [None, "Released under the MIT License."], [None, None]), model).count() == 1
+
+
+def test_licenses_repeated_rows(spark):
+    notice = licenses.TEMPLATES["MIT"][2].split()
+    t = ["Released under the MIT License.", " ".join(notice[:12]) + " " + " ".join(words(random.Random(3), 40)),
+         " ".join(notice[:9] + words(random.Random(4), 30)) + "\nLicensed under CC BY 4.0."]
+    model = licenses.train(docs(spark, texts() + t))
+    model.threshold = 0.0  # every paragraph with an n-gram is scored
+
+    def found(ids, copies):
+        rows = licenses.scan(docs(spark, t * copies, ids * copies), model).collect()
+        return sorted((str(r["doc_id"]), r["paragraph"], r["family"], round(r["probability"], 9),
+                       r["containment"], r["confirmed"]) for r in rows)
+
+    one = found([1, 2, 3], 1)
+    assert len(one) == 4 and any(0 < r[4] < licenses.CONFIRM for r in one)
+    assert found([1, 2, 3], 3) == one
+    assert [r[1:] for r in found([None] * 3, 3)] == sorted(r[1:] for r in found([None] * 3, 1))
+    assert sorted(r[1:] for r in found([None] * 3, 3)) == sorted(r[1:] for r in one)
