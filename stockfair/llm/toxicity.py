@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stockfair.llm.common import stored
+
 MAX_TRAIN = 8000
 MAX_FEATURES = 600
 #: Documents a feature must be in, and its least log-likelihood ratio at
@@ -199,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .where("id is not null and y is not null").groupBy("id") \
         .agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z and y in (0, 1)")
     order = F.xxhash64(F.lit(7), "id")
-    sample = flags.select("id", "y").orderBy(order, "id").limit(max_train)
+    own = docs.select(F.col(id_col).alias("id"))
+    sample = stored(flags.select("id", "y").join(own, "id", "left_semi").orderBy(order, "id").limit(max_train))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most max_train ids: a broadcast of a set bound
     texts = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])

@@ -459,6 +459,18 @@ def test_toxicity_without_evidence(spark):
     assert toxicity.without_toxic(df, chain).count() == 60
 
 
+def test_toxicity_labels_without_documents(spark):
+    t = [f"{'you idiot moron' if i % 4 == 0 else 'plain text'} {' '.join(words(random.Random(i), 30, 3000))}"
+         for i in range(80)]
+    df, y = docs(spark, t), [(i, int(i % 4 == 0)) for i in range(80)]
+    schema = "doc_id long, toxic int"
+    want = toxicity.train(df, spark.createDataFrame(y, schema), max_train=80)
+    gone = [(i, i % 2) for i in range(1000, 3000)]  # labels of no document
+    chain = toxicity.train(df, spark.createDataFrame(y + gone, schema), max_train=80)
+    assert chain.columns == want.columns and chain.threshold == want.threshold < 1
+    assert toxicity.score(df, chain).where("toxic").count() == 20
+
+
 def test_toxicity_threshold():
     import numpy as np
 
