@@ -176,6 +176,25 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, len(w.w) - coalesce(kept.n
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
+_BLANK, _INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+FIM = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || doc_id) AS s,
+                  regexp_extract_all(coalesce(text, ''), '{_BLANK}*{_INK}+|{_BLANK}+') AS u FROM documents),
+h AS (SELECT *, len(u) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+             CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM t),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+               CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50
+                    THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+part AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+                array_to_string(u[b + 1:], '') AS z FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m
+              ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM part
+"""
+
 SQL = {"op2_quality": QUALITY, "op4_chat": CHAT, "op5_substring": SUBSTRING,
        "op8_decontamination": DECONTAMINATION,
-       "op9_secrets": SECRETS}
+       "op9_secrets": SECRETS, "op12_fim": FIM}
