@@ -24,8 +24,8 @@ On Spark:
 Lists are sorted, written as differences by byte planes, and answered without sending keys
 again.  Part tasks hold one part's merged list and one block's list at a time; beyond
 ``BLOCKS_PER_TASK`` blocks, the lists of a part are merged and answered by several tasks.  A
-block's task holds its texts and about 40 bytes for each byte of ``BYTES_AT_ONCE`` or of the
-longest text.
+block's task holds its texts, about 5 bytes for each of their bytes, and about 40 for each
+byte of ``BYTES_AT_ONCE`` or of the longest text.
 
 Defined cases: a null text is empty and has the end mark alone; a null id is a training
 text; without training texts every decision is even and no token is known; rows equal in id
@@ -58,6 +58,8 @@ BLOCKS_PER_TASK = 512
 END = 0xFF
 GRAM, WORD = 0, 1
 _U8 = np.uint64(8)
+#: No key: keys have at most seven bytes (``depth`` is 2 to 6).
+_NO_KEY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 # -- lists --------------------------------------------------------------------
@@ -87,7 +89,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray):
     """Sorted distinct keys with the sums of their counts."""
     order = np.argsort(keys)
     keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    first = _firsts(keys)
     return keys[first], (np.add.reduceat(counts[order], first) if len(keys) else counts)
 
 
@@ -95,17 +97,21 @@ def _summed(keys: np.ndarray, counts: np.ndarray):
 
 def _grams(texts: list[bytes], depth: int):
     """(key of every position, first position and length of every text): a key is
-    the ``depth`` bytes before, the latest highest, then the byte.  Positions between
-    the texts' ranges are filling."""
+    the ``depth`` bytes before, the latest highest, then the byte; ``_NO_KEY`` between
+    the texts.  Eight bytes read from each byte on hold the latest one highest."""
     gap = bytes([END]) * depth
-    data = np.frombuffer(gap + gap.join(texts) + gap[:1], np.uint8).astype(np.uint64)
-    keys = np.zeros(len(data) - depth, np.uint64)
-    for d in range(1, depth + 1):
-        keys = (keys << _U8) | data[depth - d:len(data) - d]
-    keys = (keys << _U8) | data[depth:]
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.append(0, np.cumsum(sizes + depth)[:-1])
-    return keys, starts, sizes + 1
+    data = np.frombuffer(bytes([END]) * 8 + gap.join(texts) + gap[:1], np.uint8)
+    before = np.ndarray((len(data) - 8,), "<u8", data, 0, (1,))
+    keys = ((before >> np.uint64(64 - 8 * depth)) << _U8) | data[8:]
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    starts = np.append(0, np.cumsum(sizes + (depth - 1))[:-1])
+    keys[((starts + sizes)[:-1, None] + np.arange(depth - 1)).ravel()] = _NO_KEY
+    return keys, starts, sizes
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array's runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[:len(x)])
 
 
 def _lots(texts: list[bytes]):
@@ -121,21 +127,15 @@ def _lots(texts: list[bytes]):
 def _distinct_grams(texts: list[bytes], train: np.ndarray, depth: int):
     """The block's distinct keys, sorted, with their counts in training texts."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for lo, hi in _lots(texts):
-        codes, starts, sizes = _grams(texts[lo:hi], depth)
-        real, learnt = np.zeros(len(codes) + 1, np.int8), np.zeros(len(codes) + 1, np.int8)
-        real[starts] += 1
-        real[starts + sizes] -= 1
-        use = train[lo:hi].astype(np.int8)
-        learnt[starts] += use
-        learnt[starts + sizes] -= use
-        real, learnt = np.cumsum(real[:-1], dtype=np.int8) > 0, np.cumsum(learnt[:-1], dtype=np.int8) > 0
-        known, other = np.sort(codes[learnt]), np.sort(codes[real & ~learnt])
-        first = np.flatnonzero(np.append(True, known[1:] != known[:-1])[:len(known)])
-        n = np.diff(np.append(first, len(known)))
-        other = other[np.append(True, other[1:] != other[:-1])[:len(other)]]
-        keys, counts = _summed(np.concatenate([keys, known[first], other]),
-                               np.concatenate([counts, n, np.zeros(len(other), np.int64)]))
+    for learnt in (True, False):
+        some = [t for t, use in zip(texts, train.tolist()) if use is learnt]
+        for lo, hi in _lots(some):
+            codes = np.sort(_grams(some[lo:hi], depth)[0])
+            first = _firsts(codes)
+            n = np.diff(np.append(first, len(codes)))
+            real = slice(0, len(first) - int(codes[-1] == _NO_KEY))
+            keys, counts = _summed(np.concatenate([keys, codes[first][real]]),
+                                   np.concatenate([counts, n[real] if learnt else np.zeros_like(n[real])]))
     return keys, counts
 
 
@@ -162,13 +162,13 @@ def _by_part(part: np.ndarray):
     """(part, places of its members in order) of every part that has some."""
     order = np.argsort(part, kind="stable")
     part = part[order]
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])[:len(part)])
+    cut = _firsts(part)
     for lo, hi in zip(cut, np.append(cut[1:], len(part))):
         yield int(part[lo]), order[lo:hi]
 
 
 def _texts(table: pa.Table):
-    return [t.encode().lower() for t in table.column("text").to_pylist()], np.array(
+    return [t.lower() for t in table.column("text").to_pylist()], np.array(
         table.column("train").to_pylist(), bool)
 
 
@@ -402,31 +402,52 @@ def _near_root(depth: int):
 
 # -- answers and scores --------------------------------------------------------------
 
+class _GramModel:
+    """A part's trees, with the values of its training grams worked out once."""
+
+    def __init__(self, keys, counts, depth: int, upper):
+        self.trees, self.upper, self.keys = Trees(keys, counts, depth), upper, keys
+        self.values = self.trees.log10(keys, upper).astype(np.float32)
+
+    def row(self, n, keys):
+        keys = _unpack_keys(keys, n)
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(n, bool)
+        out = np.empty(n, np.float32)
+        out[known] = self.values[at[known]]
+        out[~known] = self.trees.log10(keys[~known], self.upper)
+        return _packed(out)
+
+
+class _WordModel:
+    def __init__(self, words, counts):
+        self.counts = dict(zip(words, counts.tolist()))
+
+    def row(self, n, keys):
+        return _packed(np.fromiter((self.counts.get(w, 0) for w in _split(keys)), np.int64, n))
+
+
 def _answers(depth: int, upper):
+    """The answers to a part's lists, which come after the part's merged one (block
+    -1); without one, no training text has a gram or word of the part."""
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
     def run(batches):
         key, model = None, None
         for b in batches:
             for r in b.to_pylist():
-                now = r["part"], r["kind"], r["salt"]
-                gram = r["kind"] == GRAM
-                if now != key:
-                    key = now
-                    empty = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                    model = None if gram else {}
-                    if r["block"] != -1 and gram:              # no training text has a gram of this part
-                        model = Trees(*empty, depth)
+                now, gram = (r["part"], r["kind"], r["salt"]), r["kind"] == GRAM
                 if r["block"] == -1:
                     counts = _unpacked(r["counts"], r["n"], np.int64)
-                    model = Trees(_unpack_keys(r["keys"], r["n"]), counts, depth) if gram \
-                        else dict(zip(_split(r["keys"]), counts.tolist()))
+                    model = _GramModel(_unpack_keys(r["keys"], r["n"]), counts, depth, upper) if gram \
+                        else _WordModel(_split(r["keys"]), counts)
+                    key = now
                     continue
-                if gram:
-                    values = _packed(model.log10(_unpack_keys(r["keys"], r["n"]), upper).astype(np.float32))
-                else:
-                    values = _packed(np.fromiter((model.get(w, 0) for w in _split(r["keys"])), np.int64, r["n"]))
+                if now != key:
+                    key, model = now, _GramModel(*none, depth, upper) if gram else _WordModel([], none[1])
                 yield pa.record_batch([pa.array([x], t) for x, t in (
-                    (r["block"], pa.int64()), (r["part"], pa.int32()), (r["kind"], pa.int32()), (values, pa.binary()))],
-                    names=["block", "part", "kind", "answer"])
+                    (r["block"], pa.int64()), (r["part"], pa.int32()), (r["kind"], pa.int32()),
+                    (model.row(r["n"], r["keys"]), pa.binary()))], names=["block", "part", "kind", "answer"])
     return run
 
 
@@ -438,27 +459,37 @@ def _scores(depth: int, parts: int, id_col: str, tokens: int, distinct: int, end
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts, train = _texts(docs)
         given = {(r["part"], r["kind"]): r["answer"] for r in answers.to_pylist()}
-        keys, _ = _distinct_grams(texts, train, depth)
-        value = np.zeros(len(keys), np.float32)
+        lots = []
+        for lo, hi in _lots(texts):
+            codes, starts, sizes = _grams(texts[lo:hi], depth)
+            order = np.argsort(codes)
+            codes = codes[order]
+            first = _firsts(codes)
+            place = np.empty(len(codes), np.int32)
+            place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(codes))))
+            lots.append((lo, hi, codes[first], place, starts, sizes))
+        keys = np.sort(np.concatenate([x[2] for x in lots]))
+        keys = keys[_firsts(keys)]
+        keys = keys[:len(keys) - int(keys[-1] == _NO_KEY)]
+        value = np.zeros(len(keys) + 1, np.float32)              # the last one's for what is no key
         for p, at in _by_part(_gram_parts(keys, depth, parts)):
             value[at] = _unpacked(given[p, GRAM], len(at), np.float32)
-        words, _ = _distinct_words(texts, train)
-        times = np.zeros(len(words), np.int64)
-        for p, at in _by_part(_word_parts(words, parts)):
-            times[at] = _unpacked(given[p, WORD], len(at), np.int64)
-        share = dict(zip(words, np.log10(times + 1.0).tolist()))
         score = np.zeros(len(texts))
-        n_tokens, n_known, base = [], [], []
-        for lo, hi in _lots(texts):
-            codes, starts, sizes = _grams(texts[lo:hi], depth)
-            at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-            total = np.append(0, np.cumsum(value[at], dtype=np.float64))
+        for lo, hi, own, place, starts, sizes in lots:
+            total = np.append(0, np.cumsum(value[np.searchsorted(keys, own)][place], dtype=np.float64))
             score[lo:hi] = total[starts + sizes] - total[starts]
-            for t in texts[lo:hi]:
-                found = [share[w] for w in t.split()]
-                n_tokens.append(len(found) + 1)
-                n_known.append(len(found) - found.count(0.0) + (ends > 0))
-                base.append(math.fsum(found) + math.log10(ends + 1) - (len(found) + 1) * each)
+
+        ids: dict[bytes, int] = {}
+        found = [np.fromiter((ids.setdefault(w, len(ids)) for w in t.split()), np.int64) for t in texts]
+        words = sorted(ids)
+        times = np.zeros(len(words), np.int64)
+        place = np.fromiter((ids[w] for w in words), np.int64, len(words))
+        for p, at in _by_part(_word_parts(words, parts)):
+            times[place[at]] = _unpacked(given[p, WORD], len(at), np.int64)
+        share = np.log10(times + 1.0)
+        n_tokens = [len(x) + 1 for x in found]
+        n_known = [int(np.count_nonzero(times[x])) + (ends > 0) for x in found]
+        base = [float(share[x].sum()) + math.log10(ends + 1) - n * each for x, n in zip(found, n_tokens)]
         return pa.table([docs.column(id_col), pa.array(~train), pa.array(n_tokens, pa.int64()),
                          pa.array(n_known, pa.int64()), pa.array([tokens] * len(texts), pa.int64()),
                          pa.array(base, pa.float64()), pa.array(score, pa.float64())],
@@ -475,10 +506,10 @@ def score(docs: DataFrame, held_out: Column | None = None, depth: int = DEPTH, b
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row: the
     model learns from the rows that are not ``held_out`` and scores all.  ``base_score`` is
-    the add-one unigram model of words and end.  ``depth`` is 2 at least."""
+    the add-one unigram model of words and end.  ``depth`` is 2 to 6."""
     spark = docs.sparkSession
     held = held_out_ids(F.col(id_col)) if held_out is None else F.coalesce(held_out, F.lit(False))
-    cols = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+    cols = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
                        (~held).alias("train"))
     total = cols.agg(F.sum(F.octet_length("text").cast("long") + 1), F.count_if("train")).first()
     ends = total[1] or 0
