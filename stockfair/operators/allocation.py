@@ -21,11 +21,13 @@ new assignment / stock tables from the accepted requests.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockfair.operators import ledger, sequential
+from stockfair.operators.components import components
 from stockfair.operators.fairs import dense_ids
 from stockfair.session import cut_lineage
 
@@ -43,6 +45,9 @@ MSG_SHORTAGE = ("Error importing SKU '{sku}': Not enough stock for product ID {p
 MSG_MISSING_COLUMNS = "Missing required columns: {cols}"
 REQUIRED_SHEET_COLUMNS = ("SKU", "Quantity")
 
+#: (batch, product) totals of one component that a single task walks.
+WALK_ROWS = 5_000_000
+
 
 def available_stock(inventory: DataFrame) -> DataFrame:
     """(product_id, available) = sum(quantity) - sum(reserved) per product."""
@@ -57,9 +62,10 @@ def allocate_batch(requests: DataFrame, available: DataFrame) -> DataFrame:
     """Decide every request row and its batch.  ``requests`` has batch_id,
     seq, event_id, product_id, quantity (and optionally sale_price)."""
     r = requests.join(available, "product_id", "left")
-    # cumulative request per (batch, product) in seq order, spread over seq
-    # buckets so one huge batch on one product is not a single window task
-    r = sequential.running_sum(r, ["batch_id", "product_id"], "seq", "quantity", "cum_quantity")
+    # cumulative request per (batch, product) in seq order, spread over blocks of
+    # numbers so one huge batch on one product is not a single window task
+    r = sequential.numbered(r, ["batch_id", "product_id", "seq", "quantity"], "_n")
+    r = sequential.running_sum(r, ["batch_id", "product_id"], "_n", "quantity", "cum_quantity").drop("_n")
     reason = (F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), F.lit(INVALID_QUANTITY))
               .when(F.col("available").isNull(), F.lit(UNKNOWN_PRODUCT))
               .when(F.col("cum_quantity") > F.col("available"), F.lit(INSUFFICIENT)))
@@ -68,63 +74,136 @@ def allocate_batch(requests: DataFrame, available: DataFrame) -> DataFrame:
     return sequential.null_safe_join(r, ok, ["batch_id"], "inner")
 
 
-def allocate_in_turn(requests: DataFrame, available: DataFrame) -> DataFrame:
+def allocate_in_turn(requests: DataFrame, available: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
     """Decide the batches in the order of their first ``seq`` (then batch_id),
     each against what the accepted ones before it leave.
 
-    Set-based rounds instead of a walk: a batch is accepted if all its rows
-    fit even when every undecided earlier batch is counted as accepted, and
-    rejected if one fails counting accepted earlier batches alone.  The first
-    undecided batch is always decided, and so is every batch that shares no
-    product with an undecided earlier one.  Each round is a running sum per
-    product over blocks of rows, written to the checkpoint folder; batches
-    decided in a round leave it, accepted rows stay as what they took.
+    Two batches affect each other only through products that are short, directly
+    or through others.  So totals per (batch, product) are formed first; products
+    whose requests all fit and batches that alone ask for too much are settled
+    without order; the others fall into connected components of the graph of
+    batches and short products.  Components are decided side by side, each by one
+    streamed walk that keeps what is left of its products.  A component of more than
+    ``walk_rows`` totals is decided by rounds over all its rows instead
+    (``_decided_in_rounds``), with the same result.
 
     Returns the request columns, ``available`` (of the snapshot), ``reason`` of
-    the row (NULL when it fits in turn) and ``batch_accepted``.  Every request
-    row is returned, also those with a NULL product or batch."""
+    the row and ``batch_accepted``.  In a batch without invalid rows a row's reason is
+    a shortage when it does not fit, with the batch's earlier rows, in what is left
+    at the batch's turn.  Every request row is returned, also those with a NULL
+    product or batch."""
     first = requests.groupBy("batch_id").agg(F.min("seq").alias("_first"))
     r = sequential.null_safe_join(requests, first, ["batch_id"], "inner")
     r = r.join(available, "product_id", "left")
     static = (F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), F.lit(INVALID_QUANTITY))
               .when(F.col("available").isNull(), F.lit(UNKNOWN_PRODUCT)))
-    r = r.withColumn("reason", static)
-    bad = r.groupBy("batch_id").agg(F.max(F.col("reason").isNotNull()).alias("_bad"))
-    r = sequential.null_safe_join(r, bad, ["batch_id"], "inner")
-    # one dense order over all rows: (first seq, batch, seq), numbered without one big window
-    r = cut_lineage(dense_ids(r.withColumn("_o", F.struct("_first", "batch_id", "seq", "product_id")),
-                              "_o", "_n").drop("_o"))
-    rejected = r.where("_bad")
-    cur = r.where(~F.col("_bad")).withColumn("_state", F.lit(0))  # 0 open, 1 accepted, 2 rejected
-    cur = sequential.running_sum(cur, ["batch_id", "product_id"], "_n", "quantity", "_own")
-    done = []
+    # one order over all rows: (first seq, batch, seq), numbered without one big window;
+    # a batch's turn is the number of its first row
+    r = sequential.numbered(r.withColumn("_static", static),
+                            ["_first", "batch_id", "seq", "product_id", "quantity"], "_n")
+    turn = r.groupBy("batch_id").agg(F.min("_n").alias("_turn"), F.max(F.col("_static").isNotNull()).alias("_bad"))
+    r = cut_lineage(sequential.null_safe_join(r, turn, ["batch_id"], "inner"))
+    asked = cut_lineage(r.where(~F.col("_bad")).groupBy("_turn", "product_id").agg(
+        F.sum("quantity").alias("total"), F.first("available").alias("available")))
+    verdicts = _verdicts(asked, walk_rows)
+    # what accepted batches before it leave of a product, per (batch, product)
+    took = asked.join(verdicts, "_turn").withColumn("_took", F.when(F.col("accepted"), F.col("total")).otherwise(F.lit(0)))
+    took = sequential.running_sum(took, ["product_id"], "_turn", "_took", "_sum")
+    left = took.select("_turn", "product_id", (F.col("available") - F.col("_sum") + F.col("_took")).alias("_left"), "accepted")
+    own = sequential.running_sum(r.where(~F.col("_bad")), ["_turn", "product_id"], "_n", "quantity", "_own")
+    good = own.join(left, ["_turn", "product_id"]).select(
+        *requests.columns, "available", F.when(F.col("_own") > F.col("_left"), F.lit(INSUFFICIENT)).alias("reason"),
+        F.col("accepted").alias("batch_accepted"))
+    return good.unionByName(r.where("_bad").select(
+        *requests.columns, "available", F.col("_static").alias("reason"), F.lit(False).alias("batch_accepted")))
+
+
+def _verdicts(asked: DataFrame, walk_rows: int) -> DataFrame:
+    """(_turn, accepted) of every batch of ``asked`` (_turn, product_id, total,
+    available)."""
+    over = F.col("total") > F.col("available")
+    # what the batches that fit alone ask of a product; the others take nothing
+    alone = asked.groupBy("_turn").agg(F.max(over).alias("_over"))
+    asked = asked.join(alone, "_turn")
+    short = asked.where(~F.col("_over")).groupBy("product_id").agg(
+        F.sum("total").alias("_all"), F.first("available").alias("_av")).where("_all > _av").select("product_id")
+    open_rows = cut_lineage(asked.where(~F.col("_over")).join(short, "product_id", "left_semi").drop("_over"))
+    # batches and products as the nodes of one graph: even and odd numbers
+    edges = open_rows.select((F.col("_turn") * 2).alias("a"), (F.col("product_id") * 2 + 1).alias("b"))
+    roots = components(edges)
+    rows = open_rows.join(roots, F.col("_turn") * 2 == F.col("node")).drop("node")
+    large = cut_lineage(rows.groupBy("root").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > walk_rows).select("root"))
+    some_large = large.limit(1).count() > 0
+    small = rows.join(large, "root", "left_anti") if some_large else rows
+    decided = _decided_by_walk(small)
+    if some_large:
+        decided = decided.unionByName(_decided_in_rounds(rows.join(large, "root", "left_semi").drop("root")))
+    # batches without a short product are accepted, those that ask too much are not
+    return cut_lineage(alone.join(decided, "_turn", "left").select(
+        "_turn", (~F.col("_over") & F.coalesce("accepted", F.lit(True))).alias("accepted")))
+
+
+def _decided_by_walk(rows: DataFrame) -> DataFrame:
+    """(_turn, accepted) by one walk per component (``root``), batches by ``_turn``:
+    a batch is accepted if all its totals fit in what is left."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("root", "_turn", "product_id", "total", "available") \
+        .repartition(parts, "root").sortWithinPartitions("root", "_turn")
+
+    def run(batches):
+        root = turn = None
+        left: dict[int, int] = {}
+        wants: list[tuple[int, int]] = []
+
+        def verdict():
+            fits = all(q <= left[p] for p, q in wants)
+            for p, q in wants if fits else ():
+                left[p] -= q
+            return fits
+
+        for batch in batches:
+            turns, fits = [], []
+            for g, t, p, q, have in zip(*[batch[c].tolist() for c in ("root", "_turn", "product_id", "total", "available")]):
+                if t != turn:
+                    if turn is not None:
+                        turns.append(turn)
+                        fits.append(verdict())
+                    turn, wants = t, []
+                if g != root:
+                    root, left = g, {}
+                left.setdefault(p, have)
+                wants.append((p, q))
+            yield pd.DataFrame({"_turn": turns, "accepted": fits})
+        if turn is not None:
+            yield pd.DataFrame({"_turn": [turn], "accepted": [verdict()]})
+
+    return ordered.mapInPandas(run, "_turn long, accepted boolean")
+
+
+def _decided_in_rounds(rows: DataFrame) -> DataFrame:
+    """(_turn, accepted) for components too large to walk: a batch is accepted if
+    its totals fit even when every undecided earlier batch is counted as accepted, and
+    rejected if one fails counting accepted earlier batches alone.  The first undecided
+    batch is always decided.  Each round is a running sum per product over blocks,
+    written to the checkpoint folder; decided batches that took nothing leave."""
+    cur = cut_lineage(rows.withColumn("_state", F.lit(0)))      # 0 open, 1 accepted, 2 rejected
+    done = None
     while True:
-        both = cur.withColumn("_taken", F.when(F.col("_state") == 1, F.col("quantity")).otherwise(0))
-        both = sequential.running_sums(both, ["product_id"], "_n", {"quantity": "_upper", "_taken": "_lower"})
-        # an open row's own batch adds nothing to _lower: its rows are open too
+        both = cur.withColumn("_taken", F.when(F.col("_state") == 1, F.col("total")).otherwise(0))
+        both = sequential.running_sums(both, ["product_id"], "_turn", {"total": "_upper", "_taken": "_lower"})
         open_row = F.col("_state") == 0
+        # an open batch's own totals add nothing to _lower
         both = both.withColumn("_fits", F.col("_upper") <= F.col("available")) \
-            .withColumn("_fails", F.col("_lower") + F.col("_own") > F.col("available"))
-        verdict = both.where(open_row).groupBy("batch_id").agg(
-            F.bool_and("_fits").alias("_yes"), F.max("_fails").alias("_no"))
-        both = sequential.null_safe_join(both, verdict, ["batch_id"], "left")
-        both = both.withColumn("reason", F.when(open_row & F.col("_no") & F.col("_fails"), F.lit(INSUFFICIENT)))
-        both = both.withColumn("_state", F.when(open_row & F.col("_no"), F.lit(2))
-                               .when(open_row & F.col("_yes"), F.lit(1)).otherwise(F.col("_state")))
-        # a product without open rows is settled: its rows leave with the rejected ones
-        both = cut_lineage(both.drop("_taken", "_upper", "_lower", "_fits", "_fails", "_yes", "_no"))
-        open_products = both.where("_state = 0").select("product_id").distinct()
-        done.append(both.where("_state = 2"))
-        done.append(both.where("_state < 2").join(open_products, "product_id", "left_anti"))
-        cur = both.where("_state < 2").join(open_products, "product_id", "left_semi")
+            .withColumn("_fails", F.col("_lower") + F.col("total") > F.col("available"))
+        verdict = both.where(open_row).groupBy("_turn").agg(F.bool_and("_fits").alias("_yes"), F.max("_fails").alias("_no"))
+        both = both.join(verdict, "_turn", "left").withColumn("_state", F.when(open_row & F.col("_no"), F.lit(2))
+                                                              .when(open_row & F.col("_yes"), F.lit(1)).otherwise(F.col("_state")))
+        both = cut_lineage(both.select(*rows.columns, "_state"))
+        settled = both.where("_state > 0").groupBy("_turn").agg((F.first("_state") == 1).alias("accepted"))
+        done = settled if done is None else done.unionByName(settled)
         if both.where("_state = 0").limit(1).count() == 0:
-            break
-    result = rejected.withColumn("_state", F.lit(2))
-    out = [*requests.columns, "available", "reason", (F.col("_state") == 1).alias("batch_accepted")]
-    result = result.select(*out)
-    for d in done:
-        result = result.unionByName(d.select(*out))
-    return result
+            return done.groupBy("_turn").agg(F.first("accepted").alias("accepted"))
+        cur = both.where("_state < 2")
 
 
 def allocation_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -133,7 +212,7 @@ def allocation_snapshot(decisions: DataFrame, assignments: DataFrame) -> DataFra
     one, in (event, product) order); a supplied fair price
     overrides (the last non-NULL one in request order wins)."""
     acc = decisions.where(F.col("batch_accepted"))
-    price = (F.max_by(F.col("sale_price"), F.when(F.col("sale_price").isNotNull(), F.col("seq")))
+    price = (F.max_by("sale_price", F.when(F.col("sale_price").isNotNull(), F.struct("seq", "sale_price")))
              if "sale_price" in decisions.columns else F.lit(None).cast("double"))
     add = acc.groupBy("event_id", "product_id").agg(
         F.sum("quantity").alias("_add"), price.alias("_price"))
@@ -189,8 +268,9 @@ def allocate_rows(sheet: DataFrame, products: DataFrame, available: DataFrame,
                   event_id=None) -> DataFrame:
     """Sheet import into fairs, row by row: ``sheet`` has seq, SKU, Quantity
     (text), optionally 'Sale Price', and either an ``event_id`` column (the
-    sheets of many fairs, applied in seq order) or the ``event_id``
-    parameter.  A row is rejected for a bad quantity, an unknown sku (several
+    sheets of many fairs, one after the other by event_id) or the ``event_id``
+    parameter.  The rows of a sheet run by seq (those without one first), rows of
+    equal seq by sku and then their other cells.  A row is rejected for a bad quantity, an unknown sku (several
     products with one sku: the smallest id is used) or a shortage; accepted
     rows consume stock for later rows."""
     by_sku = products.where(F.col("sku").isNotNull()).groupBy("sku").agg(
@@ -202,6 +282,8 @@ def allocate_rows(sheet: DataFrame, products: DataFrame, available: DataFrame,
                      F.col("Quantity").alias("raw_quantity"), price.alias("sale_price"))
     s = s.withColumn("quantity", parse_quantity(F.col("raw_quantity")))
     s = s.join(by_sku, "sku", "left")
+    # sheets may all count from 1 and repeat a seq: one number per row decides and joins
+    s = sequential.numbered(s, ["event_id", "seq", "sku", "raw_quantity", "sale_price"], "_n")
     static = (F.when(F.col("quantity").isNull(), F.lit(INVALID_QUANTITY))
               .when(F.col("product_id").isNull(), F.lit(UNKNOWN_SKU))
               .when(F.col("quantity") <= 0, F.lit("not_positive")))
@@ -213,10 +295,10 @@ def allocate_rows(sheet: DataFrame, products: DataFrame, available: DataFrame,
                .select("product_id", F.coalesce("available", F.lit(0)).cast("long")
                        .alias("opening")))
     moves = s.where(F.col("_static").isNull()).select(
-        "seq", "product_id", F.lit("out").alias("transaction_type"), "quantity")
+        F.col("_n").alias("seq"), "product_id", F.lit("out").alias("transaction_type"), "quantity")
     d = ledger.apply_ledger(moves, opening).select(
-        "seq", "accepted", F.col("balance_after").alias("_after"))
-    j = s.join(d, "seq", "left")
+        F.col("seq").alias("_n"), "accepted", F.col("balance_after").alias("_after"))
+    j = s.join(d, "_n", "left")
     avail_before = F.when(F.col("accepted"), F.col("_after") + F.col("quantity")).otherwise(
         F.col("_after"))
     sku_txt = F.coalesce(F.col("sku"), F.lit("nan"))
@@ -267,7 +349,8 @@ def allocate_rows_summary(decisions: DataFrame) -> DataFrame:
 def reassign_quantity(requests: DataFrame, assignments: DataFrame,
                       available: DataFrame) -> DataFrame:
     """``requests``: seq, event_id, product_id, new_quantity.  Every request is
-    decided, those on one product in seq order: unknown assignment ->
+    decided, those on one product in seq order (without a seq first, equal ones by
+    event and quantity): unknown assignment ->
     ``not_assigned``; an increase over the assignment's quantity at that time
     needs that much available stock; a decrease releases stock.
 
@@ -279,20 +362,20 @@ def reassign_quantity(requests: DataFrame, assignments: DataFrame,
     r = requests.join(a, ["event_id", "product_id"], "left").join(available, "product_id", "left")
     open_row = F.col("_assigned").isNotNull() & F.col("new_quantity").isNotNull()
     closed = r.where(~open_row)
-    r = r.where(open_row)
-    own = Window.partitionBy("event_id", "product_id").orderBy("seq")
+    r = sequential.numbered(r.where(open_row), ["product_id", "seq", "event_id", "new_quantity"], "_n")
+    own = Window.partitionBy("event_id", "product_id").orderBy("_n")
     r = r.withColumn("current_quantity",
                      F.coalesce(F.lag("new_quantity").over(own), F.col("_assigned")).cast("long"))
     r = r.withColumn("delta", (F.col("new_quantity") - F.col("current_quantity")).cast("long"))
-    r = sequential.running_sum(r, ["product_id"], "seq", "delta", "_cum")
+    r = sequential.running_sum(r, ["product_id"], "_n", "delta", "_cum")
     r = r.withColumn("_left", F.col("available") - F.col("_cum"))
     fails = F.when(F.col("available").isNull(), F.col("delta") > 0).otherwise(F.col("_left") < 0)
     first = (r.where(fails & (F.col("delta") > 0)).groupBy("product_id")
-             .agg(F.min("seq").alias("_first"),
-                  F.min_by(F.col("_left") + F.col("delta"), F.col("seq")).alias("_start")))
+             .agg(F.min("_n").alias("_first"),
+                  F.min_by(F.col("_left") + F.col("delta"), F.col("_n")).alias("_start")))
     r = cut_lineage(r.join(first, "product_id", "left"))
     cols = ["seq", "event_id", "product_id", "current_quantity", "new_quantity", "delta"]
-    fast = r.where(F.col("_first").isNull() | F.col("seq").isNull() | (F.col("seq") < F.col("_first"))).select(
+    fast = r.where(F.col("_first").isNull() | (F.col("_n") < F.col("_first"))).select(
         *cols, F.lit(True).alias("accepted"), F.lit(None).cast("string").alias("reason"),
         F.when(F.col("delta") != 0, F.col("_left")).cast("long").alias("available_after"))
     types = {f.name: f.dataType for f in requests.schema.fields}
@@ -319,10 +402,10 @@ def reassign_quantity(requests: DataFrame, assignments: DataFrame,
         left = None if left is None else left - change
         return (left, held), (now, change, True, None, left if change else None)
 
-    slow = r.where(F.col("seq") >= F.col("_first")).withColumnRenamed("current_quantity", "_before")
+    slow = r.where(F.col("_n") >= F.col("_first")).withColumnRenamed("current_quantity", "_before")
     slow_out = sequential.sorted_fold(
         slow.withColumns({"current_quantity": F.col("_before"), "_event": F.col("event_id")}),
-        ["product_id"], ["seq"], init, step, schema, inputs=["_event", "_before", "new_quantity", "_start"],
+        ["product_id"], ["_n"], init, step, schema, inputs=["_event", "_before", "new_quantity", "_start"],
         outputs=["current_quantity", "delta", "accepted", "reason", "available_after"], skip_if_empty=True)
     rest = closed.select(
         "seq", "event_id", "product_id", F.col("_assigned").cast("long").alias("current_quantity"),
@@ -335,7 +418,7 @@ def reassign_quantity(requests: DataFrame, assignments: DataFrame,
 def reassigned(decisions: DataFrame, assignments: DataFrame) -> DataFrame:
     """The assignments with each one's last accepted quantity."""
     last = (decisions.where("accepted").groupBy("event_id", "product_id")
-            .agg(F.max_by("new_quantity", "seq").alias("_new")))
+            .agg(F.max_by("new_quantity", F.struct("seq", "new_quantity")).alias("_new")))
     return assignments.join(last, ["event_id", "product_id"], "left").select(
         *[F.coalesce(F.col("_new"), F.col(c)).cast("long").alias(c) if c == "quantity_assigned" else F.col(c)
           for c in assignments.columns])

@@ -7,13 +7,10 @@ aggregates grouped by file, so nothing is collected to the driver.
 
 Upsert semantics (rows run in file order, then line order):
 
-* a row updates the existing product with its barcode, else the one with its
-  sku (smallest id when several share it), else it creates a product;
-* a row that matches no product so far may hit the product of an earlier row
-  of the import (same barcode, or same sku when no earlier row has the
-  barcode), whether that row created its product or updated an existing one;
-  such chains are followed to their end by pointer jumping, a round doubling
-  the links followed, until no link changes;
+* a row updates the product that has its barcode when the row's turn comes,
+  else the one that has its sku then (smallest id when several do), else it
+  creates a product.  A code that an earlier row has changed no longer
+  matches, one that an earlier row has written does (``operators.ownership``);
 * only mapped columns are written; an empty cell in a mapped column writes
   NULL; the last row for a product wins per column; the supplier of the file
   is written when known;
@@ -224,45 +221,23 @@ def match_products(products: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def resolve_rows(products: DataFrame, rows: DataFrame) -> DataFrame:
-    """Target of every row: ``pid`` (existing product) or ``root`` (the row
-    that creates the new product it belongs to).
-
-    The matched rows and the (small) link table are checkpointed into the
-    shared checkpoint folder: each pointer-jumping round reads the previous
-    one twice, so without a cut the plan would double every round."""
-    m = cut_lineage(match_products(products, rows).withColumn("pos", _pos()))
-    new = m.where(F.col("pid").isNull())
-    # the first row of the import with a code, and the product it updates if any
-    def first(code: str, name: str) -> DataFrame:
-        return (m.where(F.col(code).isNotNull()).groupBy(code)
-                .agg(F.min(F.struct("pos", "pid")).alias("_f"))
-                .select(code, F.col("_f.pos").alias(f"_{name}_first"), F.col("_f.pid").alias(f"_{name}_pid")))
-
-    e_first, s_first = first("ean_upc", "e"), first("sku", "s")
-    n = new.join(e_first, "ean_upc", "left").join(s_first, "sku", "left")
-    parent = (F.when(F.col("_e_first") < F.col("pos"), F.col("_e_first"))
-              .when(F.col("_s_first") < F.col("pos"), F.col("_s_first"))
-              .otherwise(F.col("pos")))
-    # where the parent row updates an existing product, so does this one
-    owner = (F.when(F.col("_e_first") < F.col("pos"), F.col("_e_pid"))
-             .when(F.col("_s_first") < F.col("pos"), F.col("_s_pid")))
-    links = cut_lineage(n.select(F.col("pos").alias("_p"), parent.alias("_r"), owner.alias("_o")))
-    while True:
-        hop = links.select(F.col("_p").alias("_p2"), F.col("_r").alias("_r2"), F.col("_o").alias("_o2"))
-        # a root that updates an existing product is no link itself: it ends the chain
-        links = cut_lineage(links.join(hop, links._r == hop._p2, "left").select(
-            "_p", F.coalesce("_r2", "_r").alias("_r"), F.coalesce("_o", "_o2").alias("_o"),
-            F.coalesce((F.col("_r2") != F.col("_r")) | (F.col("_o").isNull() & F.col("_o2").isNotNull()),
-                       F.lit(False)).alias("_moved")))
-        if links.where("_moved").limit(1).count() == 0:
-            break
-        links = links.drop("_moved")
-    n = new.drop("pid").join(links.drop("_moved"), new.pos == links._p, "inner")
-    n = n.select(*[c for c in new.columns if c != "pid"], F.col("_o").alias("pid"),
-                 F.when(F.col("_o").isNull(), F.col("_r")).alias("root"))
-    old = m.where(F.col("pid").isNotNull()).withColumn(
-        "root", F.lit(None).cast(n.schema["root"].dataType))
-    return old.unionByName(n)
+    """Target of every row, in import order ``pos`` (1, 2, 3 ...): ``pid`` (existing
+    product) or ``root`` (the ``pos`` of the row that creates the new product it
+    belongs to)."""
+    from stockfair.operators import ownership
+    from stockfair.operators.fairs import dense_ids
+
+    def code(c):
+        return F.when(F.trim(c) == "", None).otherwise(F.col(c))
+
+    r = rows.withColumns({"ean_upc": code("ean_upc"), "sku": code("sku"), "_order": _pos()})
+    r = cut_lineage(dense_ids(r, "_order", "pos").drop("_order"))
+    own, top = ownership.targets(products, r.select(
+        F.col("pos").alias("n"), "ean_upc", "sku", F.array_contains("mapped", "ean_upc").alias("writes_ean"),
+        F.array_contains("mapped", "sku").alias("writes_sku")))
+    new = F.col("own") > F.lit(top)
+    return r.join(own.withColumnRenamed("n", "pos"), "pos").withColumns({
+        "pid": F.when(~new, F.col("own")), "root": F.when(new, F.col("own") - F.lit(top))}).drop("own")
 
 
 def _last_mapped(f: str) -> Column:

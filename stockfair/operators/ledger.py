@@ -1,6 +1,7 @@
 """Stock movements (stock in / stock out) applied as an ordered batch.
 
-Rules of a single movement, applied in ``seq`` order per product:
+Rules of a single movement, applied in ``seq`` order per product (rows without a
+seq first; rows of equal seq by their other columns, type and quantity first):
 
 * quantity NULL or <= 0 -> rejected (``invalid_quantity``), balance unchanged;
   a type other than 'in'/'out' -> rejected (``invalid_type``);
@@ -13,13 +14,15 @@ Rules of a single movement, applied in ``seq`` order per product:
 A rejection feeds back into later decisions, so this is not a plain running
 sum.  Plan:
 
-1. static checks per row (no order needed);
+1. static checks per row (no order needed), then one dense number per row by
+   (product, seq, other columns);
 2. an exact prefix sum of the signed quantities per product
-   (``sequential.running_sum``, spread over (product, seq-bucket) blocks);
+   (``sequential.running_sum``, spread over (product, number) blocks);
 3. rows of a product before its first would-be-negative balance are final
    (the running sum is the real balance there) - usually almost all rows;
-4. only the rows from that point on are folded in order
-   (``sequential.sorted_fold``), starting from the balance just before it.
+4. only the rows from that point on are walked in order, starting from the
+   balance just before it: blocks of rows in parallel from guessed balances
+   (``sequential.block_fold``), again where a block's start was wrong.
 """
 
 from __future__ import annotations
@@ -63,18 +66,17 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
     delta = F.when(F.col("_static").isNull() & F.col("_known"),
                    F.when(typ == "in", q).otherwise(-q)).otherwise(F.lit(0).cast("long"))
     m = m.withColumn("_delta", delta)
-    m = sequential.running_sum(m, ["product_id"], "seq", "_delta", "_cum", bucket_width)
+    m = sequential.numbered(m, ["product_id", "seq", "transaction_type", "quantity"], "_n")
+    m = sequential.running_sum(m, ["product_id"], "_n", "_delta", "_cum", bucket_width)
     m = m.withColumn("_bal", F.col("_open") + F.col("_cum"))
 
     first_neg = (m.where(F.col("_bal") < 0).groupBy("product_id")
-                 .agg(F.min("seq").alias("_first_neg"),
-                      F.min_by(F.col("_bal") - F.col("_delta"), F.col("seq")).alias("_start")))
+                 .agg(F.min("_n").alias("_first_neg"),
+                      F.min_by(F.col("_bal") - F.col("_delta"), F.col("_n")).alias("_start")))
     # read twice below (final rows, ordered walk): materialise once
     m = cut_lineage(m.join(first_neg, "product_id", "left"))
 
-    # rows without a seq come first in order, so they are settled too
-    fast = m.where(F.col("_first_neg").isNull() | F.col("seq").isNull()
-                   | (F.col("seq") < F.col("_first_neg")))
+    fast = m.where(F.col("_first_neg").isNull() | (F.col("_n") < F.col("_first_neg")))
     fast_out = fast.select(
         *in_cols,
         F.col("_static").isNull().alias("accepted"),
@@ -82,15 +84,13 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
         F.when(F.col("_known"), F.col("_bal")).alias("balance_after"),
     )
 
-    slow = m.where(F.col("seq") >= F.col("_first_neg")).select(
-        *in_cols, "_static", "_start")
+    slow = m.where(F.col("_n") >= F.col("_first_neg")).select(*in_cols, "_static", "_start", "_delta", "_n")
     out_schema = T.StructType(
         [f for f in movements.schema.fields]
         + [T.StructField("accepted", T.BooleanType()), T.StructField("reason", T.StringType()),
            T.StructField("balance_after", T.LongType())])
-
-    def init(v):
-        return int(v[3])                       # balance just before the first rejection
+    if slow.limit(1).count() == 0:
+        return fast_out
 
     def step(b, v):
         typ, qty, static = v[0], v[1], v[2]
@@ -104,10 +104,10 @@ def apply_ledger(movements: DataFrame, opening: DataFrame | None = None,
             return b, (False, INSUFFICIENT_STOCK, b)
         return b, (True, None, b)
 
-    slow_out = sequential.sorted_fold(
-        slow, ["product_id"], ["seq"], init, step, out_schema,
-        inputs=["transaction_type", "quantity", "_static", "_start"],
-        outputs=["accepted", "reason", "balance_after"], skip_if_empty=True)
+    slow_out = sequential.block_fold(
+        slow, "product_id", "_n", "_start", "_delta", step, out_schema,
+        inputs=["transaction_type", "quantity", "_static"],
+        outputs=["accepted", "reason", "balance_after"], end="balance_after", block_rows=bucket_width)
     return fast_out.unionByName(slow_out)
 
 

@@ -6,6 +6,17 @@
   each row adds its block's offset to a running sum inside its block.  A key
   holding a third of all rows is spread over many tasks.
 
+* ``numbered``: one dense total order (1, 2, 3 ...) over the rows, ties in the
+  given order broken by all other columns.  Blocks cut from it hold a bounded
+  number of rows whatever the order column's values are.
+
+* ``block_fold``: a sequential rule whose state is one number, over blocks of a
+  key's rows in parallel.  Every block is walked from a guessed start; a block
+  whose start turns out to differ from the end of the block before it is walked
+  again, until all starts and ends agree.  That is the walk's own result (the
+  first block's start is given, so blocks become right from the front), and a
+  key that holds a third of all rows is spread over many tasks.
+
 * ``sorted_fold``: the last resort for genuinely sequential rules (a rejected
   stock movement must not consume stock; a duplicate scan does not move the
   anchor).  Rows are hash-partitioned by key, sorted within partitions, and a
@@ -23,6 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stockfair.session import cut_lineage
+
 DEFAULT_BUCKET = 1 << 16
 
 
@@ -64,6 +77,65 @@ def running_sums(df: DataFrame, keys: list[str], order: str, values: dict[str, s
         .drop("_bucket", *[f"_{k}_{o}" for k in ("inner", "offset") for o in values.values()])
 
 
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with its rows numbered 1, 2, 3 ... by ``order`` (NULLs first), then by
+    its other columns: rows that tie are equal in every column, so any order of
+    them gives the same result."""
+    from stockfair.operators.fairs import dense_ids
+
+    rest = [f.name for f in df.schema.fields
+            if f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return dense_ids(df.withColumn("_order", F.struct(*order, *rest)), "_order", out).drop("_order")
+
+
+def block_fold(df: DataFrame, key: str, order: str, start: str, guess: str, step: StepFn,
+               out_schema: T.StructType, inputs: list[str], outputs: list[str], end: str,
+               block_rows: int = DEFAULT_BUCKET) -> DataFrame:
+    """Fold ``step`` over the rows of each ``key`` in the dense ``order`` (see
+    ``numbered``; equal keys numbered next to each other), ``block_rows`` numbers to
+    a block.  The state is one integer: ``start`` at a key's first row, the output
+    ``end`` of the row before elsewhere.  ``guess`` is a change of the state per row
+    that later blocks' first starts are guessed from.  ``df`` is read in every round, so
+    it should be stored.  Each round's rows are stored; only blocks whose start was
+    wrong are walked again.  Output rows are as in ``sorted_fold``."""
+    rows = df.withColumn("_block", F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+    blocks = rows.groupBy(key, "_block").agg(
+        F.min_by(start, order).alias("_first"), F.sum(guess).alias("_net"))
+    turn = Window.partitionBy(key).orderBy("_block")
+    before = F.sum("_net").over(turn.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = cut_lineage(blocks.select(
+        key, "_block", F.greatest(F.first("_first").over(turn) + F.coalesce(before, F.lit(0)), F.lit(0)).alias("_from"),
+        (F.row_number().over(turn) == 1).alias("_given"), F.lit(0).alias("_round"), F.lit(None).cast("long").alias("_end")))
+    walked_schema = T.StructType([*out_schema.fields, T.StructField("_block", T.LongType()),
+                                  T.StructField("_at", T.LongType())])
+    runs = []
+    while True:
+        now = len(runs)
+        open_blocks = blocks.where(F.col("_round") == now).select(key, "_block", "_from")
+        part = null_safe_join(rows.withColumn("_at", F.col(order)), open_blocks, [key, "_block"], "inner")
+        walked = cut_lineage(sorted_fold(
+            part, [key, "_block"], [order], lambda v: int(v[-1]), step, walked_schema,
+            inputs=[*inputs, "_from"], outputs=outputs))
+        runs.append(walked)
+        ends = walked.groupBy(key, "_block").agg(F.max_by(end, "_at").alias("_new_end"))
+        blocks = null_safe_join(blocks, ends, [key, "_block"], "left")
+        blocks = blocks.withColumn("_end", F.coalesce("_new_end", "_end")).drop("_new_end")
+        before = F.lag("_end").over(turn)
+        wrong = ~F.col("_given") & (before != F.col("_from"))
+        blocks = cut_lineage(blocks.withColumn("_was", before).select(
+            key, "_block", F.when(wrong, F.col("_was")).otherwise(F.col("_from")).alias("_from"), "_given",
+            F.when(wrong, F.lit(now + 1)).otherwise(F.col("_round")).alias("_round"), "_end"))
+        if blocks.where(F.col("_round") == now + 1).limit(1).count() == 0:
+            break
+    out = None
+    for k, walked in enumerate(runs):
+        last = blocks.where(F.col("_round") == k).select(key, "_block")
+        part = walked if len(runs) == 1 else null_safe_join(walked, last, [key, "_block"], "inner")
+        part = part.drop("_block", "_at")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 StepFn = Callable[[object, tuple], tuple[object, tuple]]
 
 

@@ -505,11 +505,13 @@ def _ledger_ctes(opening_sql: str | None, source: str = "movements",
     else:
         op = opening_sql
     carried = "".join(f", m.{c}" for c in carry)
+    ties = "".join(f", mv.{c} NULLS FIRST" for c in carry)
     return f"""
 op AS {op},
 m AS (
   SELECT mv.*, op.opening, op.opening IS NOT NULL AS known,
-         row_number() OVER (PARTITION BY mv.product_id ORDER BY mv.seq) AS rn,
+         row_number() OVER (PARTITION BY mv.product_id ORDER BY mv.seq NULLS FIRST,
+             mv.transaction_type NULLS FIRST, mv.quantity NULLS FIRST{ties}) AS rn,
          CASE WHEN mv.transaction_type IS NULL OR mv.transaction_type NOT IN ('in', 'out')
                    THEN 'invalid_type'
               WHEN mv.quantity IS NULL OR mv.quantity <= 0 THEN 'invalid_quantity'
@@ -663,6 +665,39 @@ bd2 AS (
 batch_decisions AS (
   SELECT *, bool_and(reason IS NULL) OVER (PARTITION BY batch_id) AS batch_accepted FROM bd2)"""
 
+#: Batches one after the other, in rounds: an open batch is taken (1) when it fits even
+#: if all open ones before it are, and refused (2) when one total fails counting taken ones.
+_IN_TURN = _AVAIL + """,
+q AS (SELECT r.*, a.available, CASE WHEN r.quantity IS NULL OR r.quantity <= 0 THEN 'invalid_quantity'
+                                    WHEN a.available IS NULL THEN 'unknown_product' END AS static
+      FROM allocation_requests r LEFT JOIN avail a ON r.product_id = a.product_id),
+b AS (SELECT batch_id, row_number() OVER (ORDER BY min(seq), batch_id) AS i,
+             bool_or(static IS NOT NULL) AS bad FROM q GROUP BY batch_id),
+tot AS (SELECT b.i, q.product_id AS p, any_value(q.available) AS have, CAST(sum(q.quantity) AS BIGINT) AS total
+        FROM q JOIN b ON q.batch_id = b.batch_id WHERE NOT b.bad GROUP BY b.i, q.product_id),
+turns AS (
+  SELECT 0 AS k, i, p, have, total, 0 AS st FROM tot
+  UNION ALL
+  SELECT k + 1, i, p, have, total,
+         CASE WHEN st = 0 AND bool_or(fails) OVER (PARTITION BY i) THEN 2
+              WHEN st = 0 AND bool_and(fits) OVER (PARTITION BY i) THEN 1 ELSE st END
+  FROM (SELECT *, min(st) OVER () AS least,
+               sum(CASE WHEN st < 2 THEN total ELSE 0 END) OVER (PARTITION BY p ORDER BY i) <= have AS fits,
+               sum(CASE WHEN st = 1 THEN total ELSE 0 END) OVER (PARTITION BY p ORDER BY i)
+                   + CASE WHEN st = 1 THEN 0 ELSE total END > have AS fails
+        FROM turns) WHERE least = 0),
+verdict AS (SELECT i, p, st = 1 AS ok,
+                   have - sum(CASE WHEN st = 1 THEN total ELSE 0 END) OVER (PARTITION BY p ORDER BY i)
+                        + CASE WHEN st = 1 THEN total ELSE 0 END AS lft
+            FROM turns WHERE k = (SELECT max(k) FROM turns)),
+in_turn AS (
+  SELECT q.* EXCLUDE (static),
+         CASE WHEN b.bad THEN q.static
+              WHEN sum(q.quantity) OVER (PARTITION BY q.batch_id, q.product_id ORDER BY q.seq
+                                         ROWS UNBOUNDED PRECEDING) > v.lft
+              THEN 'insufficient_stock' END AS reason, COALESCE(v.ok, FALSE) AS batch_accepted
+  FROM q JOIN b ON q.batch_id = b.batch_id LEFT JOIN verdict v ON v.i = b.i AND v.p = q.product_id)"""
+
 _PARSE_Q = r"""CASE WHEN regexp_full_match(trim(raw_quantity), '[+-]?[0-9]+')
                    THEN TRY_CAST(trim(raw_quantity) AS BIGINT)
               WHEN regexp_full_match(trim(raw_quantity),
@@ -676,11 +711,13 @@ by_sku AS (SELECT sku, min(id) AS product_id FROM products WHERE sku IS NOT NULL
 s0 AS (SELECT sh.event_id, sh.seq, sh."SKU" AS sku, sh."Quantity" AS raw_quantity,
               TRY_CAST(sh."Sale Price" AS DOUBLE) AS sale_price, b.product_id
        FROM sheet sh LEFT JOIN by_sku b ON sh."SKU" = b.sku),
-s1 AS (SELECT *, {_PARSE_Q} AS quantity FROM s0),
+s1 AS (SELECT *, {_PARSE_Q} AS quantity,
+              row_number() OVER (ORDER BY event_id NULLS FIRST, seq NULLS FIRST, sku NULLS FIRST,
+                                 raw_quantity NULLS FIRST, sale_price NULLS FIRST) AS n FROM s0),
 s2 AS (SELECT *, CASE WHEN quantity IS NULL THEN 'invalid_quantity'
                       WHEN product_id IS NULL THEN 'unknown_sku'
                       WHEN quantity <= 0 THEN 'not_positive' END AS static FROM s1),
-moves AS (SELECT seq, product_id, 'out' AS transaction_type, quantity FROM s2
+moves AS (SELECT n AS seq, product_id, 'out' AS transaction_type, quantity FROM s2
           WHERE static IS NULL),
 """ + _ledger_ctes("""(SELECT p.id AS product_id, CAST(COALESCE(a.available, 0) AS BIGINT) AS opening
                        FROM products p LEFT JOIN avail a ON p.id = a.product_id)""",
@@ -705,7 +742,7 @@ rows_out AS (
                         || '{_Q}{_Q}: Not enough stock for product ID ' || s2.product_id
                         || '. Available: ' || d.balance_after || ', Requested: ' || s2.quantity
          END AS error
-  FROM s2 LEFT JOIN decisions d ON s2.seq = d.seq)"""
+  FROM s2 LEFT JOIN decisions d ON s2.n = d.seq)"""
 
 _REASSIGN = _AVAIL + """,
 req AS (SELECT q.seq, q.event_id, q.product_id, ep.quantity_assigned AS current_quantity,
@@ -724,6 +761,8 @@ ureq AS (SELECT DISTINCT event_id, product_id FROM event_sales)"""
 ORACLE.update({
     "allocate_batch": sql("SELECT * FROM batch_decisions", ("inventory", "allocation_requests"),
                           _BATCH_DECISIONS),
+    "allocate_batches": sql("SELECT * FROM in_turn", ("inventory", "allocation_requests"), _IN_TURN,
+                            recursive=True),
     "allocation_snapshot": sql("""
 SELECT COALESCE(a.id, (SELECT COALESCE(max(id), 0) FROM event_products)::BIGINT
                       + sum(CASE WHEN a.id IS NULL THEN 1 END) OVER (
@@ -918,6 +957,41 @@ _MAPPING_UNION = "\n  UNION ALL\n".join(
   FROM (SELECT *, {_field_rank(ps)} * 1000000 + col AS rk FROM dcols) x
   WHERE rk IS NOT NULL GROUP BY file""" for f, ps in _ing.FIELD_PATTERNS)
 
+#: ``landed`` (n, own, top) from ``own_rows`` and ``own_products``: what rows and products
+#: are tied by codes is walked row by row, a list of (product, codes) being the state.
+OWNERSHIP = """
+holds AS (SELECT 'r' || n AS node, unnest(['e' || ean_upc, 's' || sku]) AS code FROM own_rows
+          UNION ALL SELECT 'p' || id, unnest(['e' || ean_upc, 's' || sku]) FROM own_products
+          WHERE ean_upc IN (SELECT ean_upc FROM own_rows) OR sku IN (SELECT sku FROM own_rows)),
+tied AS (SELECT node, code FROM holds WHERE code IS NOT NULL
+         UNION
+         SELECT t.node, b.code FROM tied t JOIN holds a ON t.code = a.code JOIN holds b ON a.node = b.node
+         WHERE b.code IS NOT NULL),
+tie AS (SELECT node, min(code) AS tie FROM tied GROUP BY node),
+at_top AS (SELECT COALESCE(max(id), 0) AS top FROM own_products),
+turn AS (SELECT r.*, COALESCE(t.tie, 'r' || r.n) AS tie,
+                row_number() OVER (PARTITION BY COALESCE(t.tie, 'r' || r.n) ORDER BY r.n) AS k
+         FROM own_rows r LEFT JOIN tie t ON t.node = 'r' || r.n),
+state AS (
+  SELECT c.tie, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS n, CAST(NULL AS BIGINT) AS own,
+         list({'own': CAST(p.id AS BIGINT), 'ean': p.ean_upc, 'sku': p.sku} ORDER BY p.id)
+             FILTER (p.id IS NOT NULL) AS st
+  FROM (SELECT DISTINCT tie FROM turn) c LEFT JOIN tie t ON t.tie = c.tie AND t.node LIKE 'p%'
+  LEFT JOIN own_products p ON t.node = 'p' || p.id GROUP BY c.tie
+  UNION ALL
+  SELECT tie, k, n, own,
+         CASE WHEN hit IS NULL
+              THEN list_append(COALESCE(st, []), {'own': own, 'ean': ean_upc, 'sku': sku})
+              ELSE list_transform(st, lambda x: CASE WHEN x.own = own THEN
+                  {'own': own, 'ean': CASE WHEN writes_ean THEN ean_upc ELSE x.ean END,
+                   'sku': CASE WHEN writes_sku THEN sku ELSE x.sku END} ELSE x END) END
+  FROM (SELECT *, CAST(COALESCE(hit, (SELECT top FROM at_top) + n) AS BIGINT) AS own FROM (
+          SELECT s.tie, t.k, t.n, t.ean_upc, t.sku, t.writes_ean, t.writes_sku, s.st,
+                 COALESCE(list_filter(s.st, lambda x: x.ean = t.ean_upc)[1].own,
+                          list_filter(s.st, lambda x: x.sku = t.sku)[1].own) AS hit
+          FROM state s JOIN turn t ON t.tie = s.tie AND t.k = s.k + 1))),
+landed AS (SELECT n, own, (SELECT top FROM at_top) AS top FROM state WHERE n IS NOT NULL)"""
+
 _IMPORT = f"""
 cells AS (
   SELECT file, line_no, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS col,
@@ -982,8 +1056,8 @@ all_suppliers AS (
   UNION ALL
   SELECT (SELECT COALESCE(max(id), 0) FROM suppliers) + row_number() OVER (ORDER BY name), name
   FROM new_sup),
-file_sup AS (SELECT g.file, s.id AS supplier_id FROM guess g JOIN all_suppliers s
-             ON g.supplier = s.name),
+file_sup AS (SELECT g.file, min(s.id) AS supplier_id FROM guess g JOIN all_suppliers s
+             ON g.supplier = s.name GROUP BY g.file),
 matched AS (
   SELECT c.*, COALESCE(e.pid_e, s.pid_s) AS pid,
          dense_rank() OVER (ORDER BY c.file, c.line_no) AS pos
@@ -993,22 +1067,14 @@ matched AS (
              GROUP BY ean_upc) e ON c.ean_upc = e.ean_upc
   LEFT JOIN (SELECT sku, min(id) AS pid_s FROM products WHERE sku IS NOT NULL GROUP BY sku) s
          ON c.sku = s.sku),
-newr AS (
-  SELECT n.*, CASE WHEN ef.e_first < n.pos THEN ef.e_first
-                   WHEN sf.s_first < n.pos THEN sf.s_first ELSE n.pos END AS parent
-  FROM matched n
-  LEFT JOIN (SELECT ean_upc, min(pos) AS e_first FROM matched
-             WHERE ean_upc IS NOT NULL GROUP BY ean_upc) ef ON n.ean_upc = ef.ean_upc
-  LEFT JOIN (SELECT sku, min(pos) AS s_first FROM matched
-             WHERE sku IS NOT NULL GROUP BY sku) sf ON n.sku = sf.sku),
-chain AS (
-  SELECT pos AS p, pos AS r, pid AS o FROM newr WHERE pid IS NOT NULL OR parent = pos
-  UNION ALL
-  SELECT n.pos, c.r, c.o FROM newr n JOIN chain c ON n.parent = c.p
-  WHERE n.pid IS NULL AND n.parent <> n.pos),
+own_rows AS (SELECT pos AS n, ean_upc, sku, list_contains(mapped, 'ean_upc') AS writes_ean,
+                    list_contains(mapped, 'sku') AS writes_sku FROM matched),
+own_products AS (SELECT id, ean_upc, sku FROM products),
+{OWNERSHIP},
 resolved AS (
-  SELECT m.* REPLACE (c.o AS pid), CASE WHEN c.o IS NULL THEN c.r END AS root
-  FROM matched m JOIN chain c ON m.pos = c.p),
+  SELECT m.* REPLACE (CASE WHEN l.own <= l.top THEN l.own END AS pid),
+         CASE WHEN l.own > l.top THEN l.own - l.top END AS root
+  FROM matched m JOIN landed l ON m.pos = l.n),
 resolved_s AS (SELECT r.*, fs.supplier_id FROM resolved r LEFT JOIN file_sup fs
                ON r.file = fs.file)"""
 

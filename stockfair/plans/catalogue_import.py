@@ -46,7 +46,7 @@ def plan_import(lines: DataFrame, suppliers: DataFrame) -> CatalogueImport:
     # materialise them once in the shared checkpoint folder
     rows = cut_lineage(ingest.clean_products(cells, header, mapping))
     all_suppliers = ingest.get_or_create_suppliers(suppliers, guessed)
-    file_suppliers = guessed.join(all_suppliers.select(F.col("name").alias("supplier"),
-                                                       F.col("id").alias("supplier_id")),
-                                  "supplier", "inner").select("file", "supplier_id")
+    # several suppliers of one name: the smallest id is the file's
+    by_name = all_suppliers.groupBy(F.col("name").alias("supplier")).agg(F.min("id").alias("supplier_id"))
+    file_suppliers = guessed.join(by_name, "supplier", "inner").select("file", "supplier_id")
     return CatalogueImport(header, mapping, guessed, rows, all_suppliers, file_suppliers)
