@@ -550,6 +550,9 @@ _INV_OPENING = """(SELECT product_id, CAST(sum(quantity) AS BIGINT) AS opening
 ORACLE.update({
     "apply_ledger": sql("SELECT * FROM decisions", ("movements", "inventory"),
                         _ledger_ctes(_INV_OPENING), recursive=True),
+    "ledger_by_day": sql("SELECT * FROM decisions", ("movements", "inventory"), """
+daily AS (SELECT * REPLACE (date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS seq) FROM movements),
+""" + _ledger_ctes(_INV_OPENING, source="daily").strip(), recursive=True),
     "stock_on_hand": sql("""
 SELECT op.product_id, CAST(op.opening + COALESCE(d.net, 0) AS BIGINT) AS quantity
 FROM op LEFT JOIN (SELECT product_id,
@@ -781,6 +784,9 @@ FROM event_products a FULL OUTER JOIN
                                _BATCH_DECISIONS),
     "allocate_rows": sql("SELECT * FROM rows_out", ("products", "inventory"), _ROWS,
                          recursive=True),
+    "allocate_sheets": sql("SELECT * FROM rows_out", ("products", "inventory"), _ROWS.replace(
+        "sheet AS (", "sheet AS (SELECT * REPLACE (seq // 10000000 % 100 AS seq) FROM (", 1).replace(
+        "),\nby_sku", ")),\nby_sku", 1), recursive=True),
     "allocate_rows_summary": sql("""
 SELECT CAST(count_if(accepted) AS BIGINT) AS imported,
        CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM rows_out""",
@@ -937,6 +943,15 @@ def _price_list_lines_sql() -> str:
 
 
 VIEWS["price_list_lines"] = _price_list_lines_sql()
+VIEWS["recoded_lines"] = f"""
+    {_price_list_lines_sql()}
+    UNION ALL SELECT DISTINCT 'zz_recoded.csv', CAST(0 AS BIGINT), 'SKU,EAN Code,Name' FROM part
+    UNION ALL SELECT 'zz_recoded.csv', CAST(p_partkey * 2 + 10 AS BIGINT),
+                     'SKU' || {sql_padded('p_partkey', 6)} || ',82' || {sql_padded('p_partkey', 11)} || ',' || p_name
+              FROM part WHERE p_partkey % 10 = 1
+    UNION ALL SELECT 'zz_recoded.csv', CAST(p_partkey * 2 + 11 AS BIGINT),
+                     'MOVED' || CAST(p_partkey AS VARCHAR) || ',' || {sql_ean_for_part('p_partkey')} || ',' || p_name || ' moved'
+              FROM part WHERE p_partkey % 10 = 1"""
 
 _KW = "|".join(_ing.HEADER_KEYWORDS)
 
@@ -1127,6 +1142,13 @@ WHERE EXISTS (SELECT 1 FROM data x WHERE x.file = d.file AND x.line_no = d.line_
 SELECT file, CAST(count_if(pid IS NULL AND root = pos) AS BIGINT) AS products_added,
        CAST(count_if(NOT (pid IS NULL AND root = pos)) AS BIGINT) AS products_updated
 FROM resolved GROUP BY file""", _IMPORT_VIEWS, _IMPORT, recursive=True),
+    "upsert_recoded": sql("SELECT * FROM new_products", ("recoded_lines", "suppliers", "products"),
+                          _UPSERT.replace("price_list_lines", "recoded_lines"), recursive=True),
+    "import_stats_recoded": sql("""
+SELECT file, CAST(count_if(pid IS NULL AND root = pos) AS BIGINT) AS products_added,
+       CAST(count_if(NOT (pid IS NULL AND root = pos)) AS BIGINT) AS products_updated
+FROM resolved GROUP BY file""", ("recoded_lines", "suppliers", "products"),
+                                _IMPORT.replace("price_list_lines", "recoded_lines"), recursive=True),
     "init_inventory": sql("""
 SELECT id AS product_id, CAST(0 AS BIGINT) AS quantity FROM new_products
 WHERE id NOT IN (SELECT id FROM products)""", _IMPORT_VIEWS, _UPSERT, recursive=True),

@@ -325,6 +325,13 @@ def q_ledger_from_zero(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("units"))
 
 
+@register("ledger_by_day")
+def q_ledger_by_day(spark, sf_dir):
+    """Movements that share a seq."""
+    t = _t(spark, sf_dir)
+    return ledger.apply_ledger(t.daily_movements(), ledger.opening_balances(t.inventory()))
+
+
 # -- barcodes and scans (B1-B6) -------------------------------------------------
 
 SCAN_TIMEOUT_S = 1800.0
@@ -428,6 +435,13 @@ def q_allocate_rows(spark, sf_dir):
     return allocation.allocate_rows(t.allocation_sheet(), t.products(), _available(t))
 
 
+@register("allocate_sheets")
+def q_allocate_sheets(spark, sf_dir):
+    """Sheets that each count from 1 and repeat their numbers."""
+    t = _t(spark, sf_dir)
+    return allocation.allocate_rows(t.line_sheets(), t.products(), _available(t))
+
+
 @register("allocate_rows_summary")
 def q_allocate_rows_summary(spark, sf_dir):
     return allocation.allocate_rows_summary(q_allocate_rows(spark, sf_dir))
@@ -581,6 +595,19 @@ def q_upsert_products(spark, sf_dir):
     return _import(t).products(t.products())
 
 
+@register("upsert_recoded")
+def q_upsert_recoded(spark, sf_dir):
+    """An import in which codes move from product to product."""
+    t = _t(spark, sf_dir)
+    return catalogue_import.plan_import(t.recoded_lines(), t.suppliers()).products(t.products())
+
+
+@register("import_stats_recoded")
+def q_import_stats_recoded(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return catalogue_import.plan_import(t.recoded_lines(), t.suppliers()).stats(t.products())
+
+
 @register("import_stats")
 def q_import_stats(spark, sf_dir):
     t = _t(spark, sf_dir)

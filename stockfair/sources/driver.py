@@ -25,6 +25,8 @@ from stockfair.functions import barcode
 # File names of the derived price lists.
 PRICE_LIST_FILES = ("ffwd_listino.csv", "listino_2025.csv", "catalogo_premium.csv", "prezzi.csv")
 
+RECODED_FILE = "zz_recoded.csv"
+
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -113,6 +115,11 @@ class DriverTables:
             F.col("ts"),
         )
 
+    def daily_movements(self) -> DataFrame:
+        """The movements as a log that knows the day only: ``seq`` is its number."""
+        day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date"))
+        return self.movements().withColumn("seq", day.cast("long"))
+
     def inventory_transactions(self) -> DataFrame:
         m = self.movements()
         return m.select(
@@ -277,6 +284,12 @@ class DriverTables:
         return j.select("event_id", "seq", sku.alias("SKU"), qty.alias("Quantity"),
                         F.col("l_extendedprice").cast("long").cast("string").alias("Sale Price"))
 
+    def line_sheets(self) -> DataFrame:
+        """The fairs' import sheets with the order lines' own numbers: every sheet
+        counts from 1 and repeats its numbers."""
+        return self.allocation_sheet().withColumn(
+            "seq", F.floor(F.col("seq") / 10_000_000) % 100)
+
     def quantity_true_up(self) -> DataFrame:
         """Requests to set each (fair, product) assignment to the quantity
         sold there."""
@@ -344,6 +357,21 @@ class DriverTables:
         heads = heads.select("file", "x.line_no", "x.line")
         return heads.unionByName(rows).unionByName(dups)
 
+    def recoded_lines(self) -> DataFrame:
+        """The price lists and, behind them, one that gives every tenth part a new
+        EAN and its old one to another article, two lines a part."""
+        p = self.raw("part").where(F.col("p_partkey") % 10 == 1)
+        k = F.col("p_partkey")
+        ks, file = k.cast("string"), F.lit(RECODED_FILE)
+        new = F.concat(F.lit("82"), padded(k, 11))
+        first = F.concat_ws(",", F.concat(F.lit("SKU"), padded(k, 6)), new, "p_name")
+        second = F.concat_ws(",", F.concat(F.lit("MOVED"), ks), ean_for_part(k), F.concat_ws(" ", "p_name", F.lit("moved")))
+        head = self.raw("part").select(file.alias("file"), F.lit(0).cast("long").alias("line_no"),
+                                       F.lit("SKU,EAN Code,Name").alias("line")).distinct()
+        return self.price_list_lines().unionByName(head).unionByName(
+            p.select(file.alias("file"), (k * 2 + 10).alias("line_no"), first.alias("line"))).unionByName(
+            p.select(file.alias("file"), (k * 2 + 11).alias("line_no"), second.alias("line")))
+
     def event_sheet(self) -> DataFrame:
         """The yearly event sheet as it arrives: raw headers, text cells,
         with a row id ``_row``; some cells do not fit their column."""
