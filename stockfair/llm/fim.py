@@ -7,14 +7,15 @@ in words of 64 bits: the UTF-8 of an Arrow batch is viewed as uint64, the bytes
 that end a unit are marked in all eight lanes arithmetically, ``bitwise_count``
 gives the marks of each word, a binary search in their running sum finds the word
 of the k-th mark, and the mark is resolved inside it by clearing lower ones.  No
-text is split, and both borders of all texts of a batch are found at once.
+text is split, and both borders of all texts of a lot (``BYTES_AT_ONCE``, or one text)
+are found at once.
 
 Hashing, rearranging and rebuilding are column functions of Spark; one
 ``mapInArrow`` over the scan finds the borders, nothing is shuffled.
 
 Defined cases: a null text is empty, an empty text is plain with n = 0; a text that
 holds a mark is plain; a null id hashes as the empty string; repeated rows give
-their rows each; a very long text is one more run of the batch's bytes; columns
+their rows each; a very long text is a lot of its own, ten times its bytes in memory; columns
 other than id and text play no part; an empty table gives an empty result.
 """
 
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SEED, FORMED, SUFFIX_FIRST = 42, 50, 80
 
+#: Bytes of text worked on at once.
+BYTES_AT_ONCE = 2 << 20
+
 _LANES = 0x0101010101010101
 _HIGH, _LOW7 = np.uint64(0x80 * _LANES), np.uint64(0x7F * _LANES)
 
@@ -88,14 +92,25 @@ def cuts(data: np.ndarray, offsets: np.ndarray, h1: np.ndarray, h2: np.ndarray):
     return n, byte_after(np.minimum(a, b)), byte_after(np.maximum(a, b))
 
 
+def _lots(offsets: np.ndarray):
+    """(first, last + 1) of consecutive texts of about ``BYTES_AT_ONCE``, or of one."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BYTES_AT_ONCE, side="right")) - 1)
+        yield first, last
+        first = last
+
+
 def _borders(batches):
     for batch in batches:
         texts = batch.column("text")
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)
-        data = data[:offsets[-1]] if len(offsets) else data
-        n, a, b = cuts(data, offsets, batch.column("_h1").to_numpy(), batch.column("_h2").to_numpy())
+        h1, h2 = batch.column("_h1").to_numpy(), batch.column("_h2").to_numpy()
+        found = [cuts(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], h1[lo:hi], h2[lo:hi])
+                 for lo, hi in _lots(offsets)]
+        n, a, b = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
         yield pa.record_batch([batch.column(0), texts, pa.array(n), pa.array(a), pa.array(b)],
                               names=[batch.schema.names[0], "text", "n", "_a", "_b"])
 

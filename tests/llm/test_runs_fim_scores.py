@@ -182,6 +182,25 @@ def test_fim_on_odd_documents(spark):
     assert sorted(r["output"] for r in rows) == sorted(brute_fim(i, "a b c d e")[4] for i in (None, 7, 7))
 
 
+@pytest.mark.parametrize("size", [1, 60, 1 << 20])
+def test_fim_borders_of_sliced_batches(monkeypatch, size):
+    """Lots of any size, in a batch that starts inside its buffers."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(fim, "BYTES_AT_ONCE", size)
+    rng = random.Random(size)
+    t = ["", *["".join(rng.choice(["a ", "b", " é", "\n", "日"]) for _ in range(rng.randrange(0, 30))) for _ in range(200)], ""]
+    h = [[rng.randrange(1 << 32) for _ in t] for _ in range(2)]
+    whole = pa.record_batch([pa.array(range(len(t))), pa.array(t), pa.array(h[0]), pa.array(h[1])],
+                            names=["doc_id", "text", "_h1", "_h2"])
+    for batch in (whole, whole.slice(5, 100), whole.slice(0, 0)):
+        out = next(fim._borders([batch])).to_pydict()
+        for i, s, n, a, b in zip(*out.values()):
+            u = UNIT.findall(s)
+            lo, hi = sorted(h[k][i] % (len(u) + 1) for k in range(2))
+            assert (n, a, b) == (len(u), len("".join(u[:lo]).encode()), len("".join(u[:hi]).encode()))
+
+
 def test_fim_rates(spark):
     df = docs(spark, ["a b c"] * 50)
     assert {r["form"] for r in fim.transform(df, formed=100, suffix_first=0).collect()} == {"psm"}
