@@ -20,7 +20,7 @@ pairs.  Every round is written to the checkpoint folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockfair.operators import sequential
@@ -32,32 +32,14 @@ HOLDERS_AS_PAIRS = 16
 LEVELS = 48
 
 
-def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str, after: bool = False,
-               block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
-    """Add ``prefix``+c for each of ``cols``: its value in the row of the same
-    ``keys`` before (``after``: behind) this one by the dense ``order``, as a struct
-    ``prefix`` that is NULL where there is none.  Found per block of numbers; only the
-    blocks' edge rows meet in one window per key."""
-    number = -F.col(order) if after else F.col(order)
-    b = df.withColumn("_turn", number).withColumn("_block", F.floor(number / F.lit(block_rows)).cast("long"))
-    inside = Window.partitionBy(*keys, "_block").orderBy("_turn")
-    row = F.struct(*cols)
-    b = b.withColumn("_near", F.lag(row).over(inside))
-    edges = b.groupBy(*keys, "_block").agg(F.max_by(row, "_turn").alias("_edge"))
-    carried = edges.select(*keys, "_block", F.lag("_edge").over(
-        Window.partitionBy(*keys).orderBy("_block")).alias("_carry"))
-    out = sequential.null_safe_join(b, carried, [*keys, "_block"], "inner")
-    return out.withColumn(prefix, F.coalesce("_near", "_carry")).drop("_turn", "_block", "_near", "_carry")
-
-
 def intervals(writes: DataFrame, last: int, block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
     """(kind, code, own, start, lo, hi): the row numbers lo <= n < hi at which the
     product ``own`` holds ``code``, from ``writes`` (kind, own, n, code); n = 0 is the
     state before the import, ``start`` the n of the write.  Writing the code that is
     there already starts nothing."""
-    w = neighbours(writes, ["own", "kind"], "n", ["code"], "_old", block_rows=block_rows)
+    w = sequential.neighbours(writes, ["own", "kind"], "n", ["code"], "_old", block_rows=block_rows)
     starts = w.where(F.col("_old").isNull() | ~F.col("_old.code").eqNullSafe(F.col("code"))).drop("_old")
-    s = neighbours(starts, ["own", "kind"], "n", ["n"], "_next", after=True, block_rows=block_rows)
+    s = sequential.neighbours(starts, ["own", "kind"], "n", ["n"], "_next", after=True, block_rows=block_rows)
     return s.where(F.col("code").isNotNull()).select(
         "kind", "code", "own", F.col("n").alias("start"), (F.col("n") + 1).alias("lo"),
         (F.coalesce("_next.n", F.lit(last)) + 1).alias("hi"))

@@ -7,24 +7,26 @@ came less than ``timeout`` seconds after it.  Duplicates do not move that
 anchor, so for one code scanned at 0, 1.5 and 2.5 s (timeout 2 s) the flags
 are no, yes, no -- a plain ``lag`` would call the third a duplicate too.
 
-Plan for the duplicate flags:
+Plan for the duplicate flags, without a walk:
 
-1. previous valid scan of the same scanner, found per (scanner, hour bucket)
-   with a window, and across bucket edges from a small per-bucket summary, so
-   a busy scanner is spread over many tasks;
+1. valid scans are numbered by (scanner, time, id); the previous scan of the
+   scanner comes from blocks of numbers, so a busy scanner-hour is spread over tasks;
 2. islands: a new island starts where the code changes or the gap to the
    previous scan is >= timeout (such a gap always exceeds the distance to the
    anchor, so the anchor resets there);
-3. an island shorter than the timeout is settled at once (first scan
-   accepted, the rest duplicates); only longer islands are walked in order
-   (``sequential.sorted_fold``) with the anchor time as the only state.
+3. a scan less than the timeout after its island's start is settled: the start is
+   an anchor, the others are its duplicates;
+4. in longer islands each remaining scan points at the first one at or after its time
+   plus the timeout, which is the anchor behind it if it is one itself.  The first
+   remaining scan of an island is an anchor; the anchors are what its pointers reach.
+   They are found by pointer doubling: every round doubles the reach, so rounds
+   grow with the logarithm of an island's anchors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stockfair.functions import barcode
 from stockfair.operators import catalog, sequential
@@ -33,9 +35,6 @@ from stockfair.session import cut_lineage
 # Scan outcomes.
 INVALID, DUPLICATE, FOUND, NOT_FOUND = "invalid", "duplicate", "found", "not_found"
 
-BUCKET_SECONDS = 3600
-
-
 def _micros(c: str) -> Column:
     """Microseconds since 1970-01-01 of a wall-clock timestamp, without any
     time zone (the session time zone and its DST changes play no part)."""
@@ -49,85 +48,59 @@ def with_code(scans: DataFrame, col: str = "barcode") -> DataFrame:
             .withColumn("valid", barcode.is_valid(F.col("code"))))
 
 
-def previous_in_order(df: DataFrame, key: str, ts: str, tie: str, cols: list[str],
-                      bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Add ``prev_<c>`` for each of ``cols``: the values of the previous row of
-    the same ``key`` in (ts, tie) order.  Computed per (key, time bucket) with
-    the last row of the nearest earlier bucket filling each bucket's first
-    row, so no window partition holds a whole key."""
-    b = df.withColumn("_b", F.floor(_micros(ts) / F.lit(bucket_seconds * 1_000_000)).cast("long"))
-    w = Window.partitionBy(key, "_b").orderBy(ts, tie)
-    for c in cols:
-        b = b.withColumn(f"_lag_{c}", F.lag(c).over(w))
-    b = b.withColumn("_rn", F.row_number().over(w))
-    last = b.groupBy(key, "_b").agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col(tie)))
-        .alias("_last"))
-    wb = Window.partitionBy(key).orderBy("_b")
-    carried = last.select(key, "_b", F.lag("_last").over(wb).alias("_carry"))
-    j = sequential.null_safe_join(b, carried, [key, "_b"], "left")
-    for c in cols:
-        j = j.withColumn(f"prev_{c}", F.when(F.col("_rn") == 1, F.col(f"_carry.{c}"))
-                         .otherwise(F.col(f"_lag_{c}")))
-    return j.drop("_b", "_rn", "_carry", *[f"_lag_{c}" for c in cols])
-
-
 def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "scanner_id",
-                    ts: str = "ts", tie: str = "scan_id") -> DataFrame:
-    """B4.  ``valid_scans`` (with ``code``) gets a boolean ``duplicate``.
-
-    With ``s`` the start of a row's island: a row less than ``timeout`` after
-    ``s`` is a duplicate of ``s`` (no anchor can come between), so only rows at
-    least ``timeout`` after their island start need the ordered walk.  The
-    first of those is always a new anchor, so the walk starts from no anchor.
-    """
+                    ts: str = "ts", tie: str = "scan_id",
+                    block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
+    """B4.  ``valid_scans`` (with ``code``) gets a boolean ``duplicate``."""
     t_us = int(round(timeout_s * 1_000_000))
-    p = previous_in_order(valid_scans, key, ts, tie, ["code", ts])
-    gap = _micros(ts) - _micros(f"prev_{ts}")
-    new_island = (F.col("prev_code").isNull() | (F.col("code") != F.col("prev_code"))
-                  | (gap >= t_us))
-    # island start = the latest start at or before the row, per (scanner,
-    # bucket) with the last start of earlier buckets carried in.
-    p = p.withColumn("_start", F.when(new_island, F.struct(F.col(ts).alias("t"),
-                                                           F.col(tie).alias("i"))))
-    p = p.withColumn("_b", F.floor(_micros(ts) / F.lit(BUCKET_SECONDS * 1_000_000)).cast("long"))
-    w = (Window.partitionBy(key, "_b").orderBy(ts, tie)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    p = p.withColumn("_in_bucket", F.last("_start", ignorenulls=True).over(w))
-    # every bucket of the scanner, NULL when no island starts in it
-    starts = p.groupBy(key, "_b").agg(F.max("_start").alias("_last_start"))
-    wb = (Window.partitionBy(key).orderBy("_b")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carried = starts.select(key, "_b", F.max("_last_start").over(wb).alias("_carry_start"))
-    p = sequential.null_safe_join(p, carried, [key, "_b"], "left")
-    # The first valid scan of a scanner always starts an island, so every row
-    # finds one.
-    p = p.withColumn("_island", F.coalesce("_in_bucket", "_carry_start"))
-    # read twice below (settled rows, ordered walk): materialise once
-    p = cut_lineage(p.drop("_start", "_in_bucket", "_carry_start", "_b"))
-    since_start = _micros(ts) - _micros("_island.t")
-    is_first = (F.col(ts) == F.col("_island.t")) & (F.col(tie) == F.col("_island.i"))
+    p = sequential.numbered(valid_scans.withColumn("_us", _micros(ts)), [key, "_us", tie], "_n")
+    p = sequential.neighbours(p, [key], "_n", ["code", "_us"], "_prev", block_rows=block_rows)
+    new_island = (F.col("_prev").isNull() | (F.col("code") != F.col("_prev.code"))
+                  | (F.col("_us") - F.col("_prev._us") >= t_us))
+    p = p.withColumn("_start", F.when(new_island, F.struct("_n", "_us")))
+    # the first valid scan of a scanner starts an island, so every row finds one;
+    # read twice below (settled rows, anchors of long islands): materialise once
+    p = cut_lineage(sequential.carried(p, [key], "_n", "_start", "_island", block_rows=block_rows).drop("_prev", "_start"))
+    near = F.col("_us") - F.col("_island._us") < t_us
     keep = list(valid_scans.columns)
-    fast = p.where(since_start < t_us).select(*keep, (~is_first).alias("duplicate"))
-
-    slow = p.where(since_start >= t_us).select(
-        *keep, F.col("_island.t").alias("_island_t"), F.col("_island.i").alias("_island_i"),
-        _micros(ts).alias("_us"))
-    out_schema = T.StructType(list(valid_scans.schema.fields)
-                              + [T.StructField("duplicate", T.BooleanType())])
-
-    def init(v):
-        return None                            # no anchor yet
-
-    def step(anchor, v):
-        if anchor is not None and v[0] - anchor < t_us:
-            return anchor, (True,)
-        return v[0], (False,)
-
-    slow_out = sequential.sorted_fold(
-        slow, [key, "_island_t", "_island_i"], [ts, tie], init, step, out_schema,
-        inputs=["_us"], outputs=["duplicate"], skip_if_empty=True)
-    return fast.unionByName(slow_out)
+    fast = p.where(near).select(*keep, (F.col("_n") != F.col("_island._n")).alias("duplicate"))
+    slow = p.where(~near).withColumn("_island", F.col("_island._n"))
+    if slow.limit(1).count() == 0:
+        return fast
+    anchors = reached(next_after(slow.select("_island", "_n", "_us"), t_us, block_rows)).withColumn("_anchor", F.lit(True))
+    slow = slow.join(anchors, "_n", "left").select(*keep, F.col("_anchor").isNull().alias("duplicate"))
+    return fast.unionByName(slow)
+
+
+def next_after(points: DataFrame, distance: int, block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
+    """(_n, to, first) of points (_island, _n, _us): ``to`` is the first point of the
+    island at or after ``_us`` + ``distance`` (NULL: none), ``first`` marks each island's
+    first point.  Points and the places they ask about are put in one order, and each
+    place takes the nearest point at or behind it."""
+    both = points.select("_island", "_us", F.lit(1).alias("_kind"), "_n").unionByName(
+        points.select("_island", (F.col("_us") + F.lit(distance)).alias("_us"), F.lit(0).alias("_kind"), "_n"))
+    both = sequential.numbered(both, ["_island", "_us", "_kind", "_n"], "_m") \
+        .withColumn("_point", F.when(F.col("_kind") == 1, F.col("_n")))
+    found = sequential.carried(both, ["_island"], "_m", "_point", "to", after=True, block_rows=block_rows)
+    first = points.groupBy("_island").agg(F.min("_n").alias("_n")).select("_n", F.lit(True).alias("first"))
+    return found.where(F.col("_kind") == 0).select("_n", "to").join(first, "_n", "left").select(
+        "_n", "to", F.coalesce("first", F.lit(False)).alias("first"))
+
+
+def reached(pointers: DataFrame) -> DataFrame:
+    """(_n) of what the ``first`` ones of (_n, to, first) reach by following ``to``,
+    themselves included.  A round goes as far from all that is reached as has
+    been gone so far, then doubles the pointers; it is written to the checkpoint folder."""
+    jump = cut_lineage(pointers)
+    while True:
+        hops = jump.where("first AND to IS NOT NULL").select(F.col("to").alias("_n"), F.lit(True).alias("_hit")).distinct()
+        far = jump.select(F.col("_n").alias("to"), F.col("to").alias("_far"))
+        jump = cut_lineage(jump.join(hops, "_n", "left").join(far, "to", "left").select(
+            "_n", F.col("_far").alias("to"), F.coalesce("_hit", "first").alias("first"),
+            (F.col("_hit").isNotNull() & ~F.col("first")).alias("_new")))
+        if jump.where("_new").limit(1).count() == 0:
+            return jump.where("first").select("_n")
+        jump = jump.drop("_new")
 
 
 def scan_dedupe(scans: DataFrame, timeout_s: float = 2.0, key: str = "scanner_id",

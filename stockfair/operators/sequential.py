@@ -10,6 +10,9 @@
   given order broken by all other columns.  Blocks cut from it hold a bounded
   number of rows whatever the order column's values are.
 
+* ``neighbours`` / ``carried``: the row before or behind, and the nearest known value,
+  over the same blocks.
+
 * ``block_fold``: a sequential rule whose state is one number, over blocks of a
   key's rows in parallel.  Every block is walked from a guessed start; a block
   whose start turns out to differ from the end of the block before it is walked
@@ -88,6 +91,39 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return dense_ids(df.withColumn("_order", F.struct(*order, *rest)), "_order", out).drop("_order")
 
 
+def neighbours(df: DataFrame, keys: list[str], order: str, cols: list[str], prefix: str, after: bool = False,
+               block_rows: int = DEFAULT_BUCKET) -> DataFrame:
+    """Add the struct ``prefix`` of ``cols`` of the row of the same ``keys`` before
+    (``after``: behind) this one by the dense ``order``; NULL where there is none.
+    Found per block of numbers; only the blocks' edge rows meet in one window per key."""
+    number = -F.col(order) if after else F.col(order)
+    b = df.withColumn("_turn", number).withColumn("_block", F.floor(number / F.lit(block_rows)).cast("long"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_turn")
+    row = F.struct(*cols)
+    b = b.withColumn("_near", F.lag(row).over(inside))
+    edges = b.groupBy(*keys, "_block").agg(F.max_by(row, "_turn").alias("_edge"))
+    carried = edges.select(*keys, "_block", F.lag("_edge").over(
+        Window.partitionBy(*keys).orderBy("_block")).alias("_carry"))
+    out = null_safe_join(b, carried, [*keys, "_block"], "inner")
+    return out.withColumn(prefix, F.coalesce("_near", "_carry")).drop("_turn", "_block", "_near", "_carry")
+
+
+def carried(df: DataFrame, keys: list[str], order: str, value: str, out: str, after: bool = False,
+            block_rows: int = DEFAULT_BUCKET) -> DataFrame:
+    """Add ``out``: the nearest non-NULL ``value`` of the same ``keys`` at or before
+    (``after``: at or behind) the row by the dense ``order``, found as in ``neighbours``."""
+    number = -F.col(order) if after else F.col(order)
+    b = df.withColumn("_turn", number).withColumn("_block", F.floor(number / F.lit(block_rows)).cast("long"))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_near", F.last(value, ignorenulls=True).over(inside))
+    edges = b.groupBy(*keys, "_block").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_turn"))).alias("_edge"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(*keys, "_block", F.last("_edge", ignorenulls=True).over(before).alias("_carry"))
+    joined = null_safe_join(b, edges, [*keys, "_block"], "inner")
+    return joined.withColumn(out, F.coalesce("_near", "_carry")).drop("_turn", "_block", "_near", "_carry")
+
+
 def block_fold(df: DataFrame, key: str, order: str, start: str, guess: str, step: StepFn,
                out_schema: T.StructType, inputs: list[str], outputs: list[str], end: str,
                block_rows: int = DEFAULT_BUCKET) -> DataFrame:
