@@ -52,8 +52,16 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
                     ts: str = "ts", tie: str = "scan_id",
                     block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
     """B4.  ``valid_scans`` (with ``code``) gets a boolean ``duplicate``."""
+    timed = valid_scans.withColumn("_time", _micros(ts))
+    return flags_in_order(timed, timeout_s, key, "_time", tie, block_rows).drop("_time")
+
+
+def flags_in_order(timed: DataFrame, timeout_s: float, key: str, time: str, tie: str,
+                   block_rows: int = sequential.DEFAULT_BUCKET) -> DataFrame:
+    """``duplicate_flags`` of scans whose time is the microseconds column ``time``."""
     t_us = int(round(timeout_s * 1_000_000))
-    p = sequential.numbered(valid_scans.withColumn("_us", _micros(ts)), [key, "_us", tie], "_n")
+    keep = list(timed.columns)
+    p = sequential.numbered(timed.withColumn("_us", F.col(time)), [key, "_us", tie], "_n")
     p = sequential.neighbours(p, [key], "_n", ["code", "_us"], "_prev", block_rows=block_rows)
     new_island = (F.col("_prev").isNull() | (F.col("code") != F.col("_prev.code"))
                   | (F.col("_us") - F.col("_prev._us") >= t_us))
@@ -62,7 +70,6 @@ def duplicate_flags(valid_scans: DataFrame, timeout_s: float = 2.0, key: str = "
     # read twice below (settled rows, anchors of long islands): materialise once
     p = cut_lineage(sequential.carried(p, [key], "_n", "_start", "_island", block_rows=block_rows).drop("_prev", "_start"))
     near = F.col("_us") - F.col("_island._us") < t_us
-    keep = list(valid_scans.columns)
     fast = p.where(near).select(*keep, (F.col("_n") != F.col("_island._n")).alias("duplicate"))
     slow = p.where(~near).withColumn("_island", F.col("_island._n"))
     if slow.limit(1).count() == 0:

@@ -1280,3 +1280,5 @@ UNION ALL SELECT 'not_null', 'stock_log', 'event_type',
 # The streams equal the batch jobs for in-order input, so they share their oracles.
 ORACLE["scan_stream"] = ORACLE["scan_lookup"]
 ORACLE["ledger_stream"] = ORACLE["apply_ledger"]
+ORACLE["scan_upkeep"] = ORACLE["scan_lookup"]
+ORACLE["ledger_upkeep"] = ORACLE["stock_on_hand"]

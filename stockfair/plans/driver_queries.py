@@ -18,7 +18,7 @@ from stockfair.functions import barcode
 from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, scans,
                                  sheet_import, stats)
 from stockfair.plans import catalogue_import
-from stockfair.streaming import jobs
+from stockfair.streaming import jobs, upkeep
 from stockfair.sources import sheets
 from stockfair.session import cut_lineage
 from stockfair.sources.driver import DriverTables, padded
@@ -680,3 +680,40 @@ def q_ledger_stream(spark, sf_dir):
     stream = jobs.ledger_stream(t.movements(t.raw_stream("events")),
                                 ledger.opening_balances(t.inventory()))
     return jobs.drain(stream, "ledger_stream")
+
+
+# -- streams kept as tables (R1 in event-time order, R2 with a stock table) -------------
+
+DELIVERIES, DELAY_S = 3, 2 * 86400.0
+
+
+@register("scan_upkeep")
+def q_scan_upkeep(spark, sf_dir):
+    """Deliveries that overlap in time by a day, decided in event-time order."""
+    t = _t(spark, sf_dir)
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + F.col("event_id") % 2
+    piece = F.least(F.greatest(F.floor(day / 11), F.lit(0)), F.lit(DELIVERIES - 1))
+    keeper = None
+    for stream, folder in t.landed_events(F.coalesce(piece, F.lit(0)), DELIVERIES):
+        keeper = keeper or upkeep.ScanUpkeep(upkeep.Versions(spark, f"{folder}/scans"), t.products(), t.inventory(),
+                                             SCAN_TIMEOUT_S, DELAY_S)
+        upkeep.run(t.scans(stream), keeper.process, f"{folder}/checkpoint")
+    return keeper.finish()
+
+
+def _kept_ledger(spark, sf_dir) -> upkeep.LedgerUpkeep:
+    t = _t(spark, sf_dir)
+    last = t.raw("events").agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    piece = F.floor(F.col("event_id") * DELIVERIES / F.lit(last + 1))
+    keeper = None
+    for stream, folder in t.landed_events(F.coalesce(piece, F.lit(0)), DELIVERIES):
+        keeper = keeper or upkeep.LedgerUpkeep(upkeep.Versions(spark, f"{folder}/ledger"),
+                                               ledger.opening_balances(t.inventory()))
+        upkeep.run(t.movements(stream), keeper.process, f"{folder}/checkpoint")
+    return keeper
+
+
+@register("ledger_upkeep")
+def q_ledger_upkeep(spark, sf_dir):
+    """The stock table after every delivery of movements."""
+    return _kept_ledger(spark, sf_dir).stock()

@@ -68,6 +68,21 @@ class DriverTables:
                 .option("maxFilesPerTrigger", max_files_per_trigger)
                 .parquet(f"{self.sf_dir}/[{name[0]}]{name[1:]}.parquet"))
 
+    def landed_events(self, piece: Column, pieces: int):
+        """The events arriving in ``pieces`` deliveries of files (``piece`` = 0, 1 ...) in
+        one folder of the checkpoint directory: yields the folder's stream after each."""
+        import uuid
+
+        from stockfair.session import ensure_checkpoint_dir
+
+        events = self.raw("events").withColumn("_piece", piece)
+        folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        for k in range(pieces):
+            events.where(F.col("_piece") == k).drop("_piece").write.mode("append").parquet(f"{folder}/events")
+            yield self.spark.readStream.schema(self.raw("events").schema).parquet(f"{folder}/events"), folder
+
     # -- catalogue -------------------------------------------------------
     def suppliers(self) -> DataFrame:
         s = self.raw("supplier")
