@@ -1282,3 +1282,16 @@ ORACLE["scan_stream"] = ORACLE["scan_lookup"]
 ORACLE["ledger_stream"] = ORACLE["apply_ledger"]
 ORACLE["scan_upkeep"] = ORACLE["scan_lookup"]
 ORACLE["ledger_upkeep"] = ORACLE["stock_on_hand"]
+ORACLE["src_event_sheet"] = ORACLE["ingest_annual_events"]
+ORACLE["src_allocation_sheet"] = ORACLE["allocate_rows"]
+ORACLE["written_report"] = ORACLE["category_breakdown"]
+ORACLE["written_transactions"] = sql("SELECT * FROM inventory_transactions", ("inventory_transactions",))
+ORACLE["src_price_list"] = f"""
+WITH r AS (SELECT 'bell_' || CAST(p_partkey % 10 AS VARCHAR) || '.csv' AS file,
+                  row_number() OVER (PARTITION BY p_partkey % 10 ORDER BY p_partkey) AS line_no,
+                  ['SKU' || {sql_padded('p_partkey', 6)}, p_name || chr(10) || p_brand,
+                   'say "' || p_type || '", ok', CAST(p_partkey AS VARCHAR)] AS c FROM part
+           UNION ALL SELECT DISTINCT 'bell_' || CAST(p_partkey % 10 AS VARCHAR) || '.csv', 0,
+                            ['SKU', 'Name', 'Type', 'Key'] FROM part)
+SELECT file, CAST(line_no AS BIGINT) AS line_no, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS col,
+       unnest(c) AS cell FROM r"""

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from stockfair.functions import barcode
 from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, scans,
                                  sheet_import, stats)
-from stockfair.plans import catalogue_import
+from stockfair.plans import catalogue_import, fair_reports
 from stockfair.streaming import jobs, upkeep
-from stockfair.sources import sheets
+from stockfair.sources import sheets, sinks
 from stockfair.session import cut_lineage
 from stockfair.sources.driver import DriverTables, padded
 
@@ -717,3 +717,49 @@ def _kept_ledger(spark, sf_dir) -> upkeep.LedgerUpkeep:
 def q_ledger_upkeep(spark, sf_dir):
     """The stock table after every delivery of movements."""
     return _kept_ledger(spark, sf_dir).stock()
+
+
+# -- files: sheets read from where they landed, tables and reports written and read back ----
+
+@register("src_price_list")
+def q_src_price_list(spark, sf_dir):
+    """S1, S2, S4: every cell of a folder of price lists, with cells over lines."""
+    return sheets.sheet_cells(sheets.read_sheet_lines(spark, _t(spark, sf_dir).landed_lists()))
+
+
+@register("src_event_sheet")
+def q_src_event_sheet(spark, sf_dir):
+    """S5: the event sheets of a folder, imported."""
+    t = _t(spark, sf_dir)
+    sheet = sheets.read_event_sheet(spark, t.landed_csv(t.event_sheet()))
+    return sheet_import.ingest_annual_events(sheet.withColumn("_row", F.col("_row").cast("long")), "_row")
+
+
+@register("src_allocation_sheet")
+def q_src_allocation_sheet(spark, sf_dir):
+    """S6, M8: landed allocation sheets, checked for their columns and decided."""
+    t = _t(spark, sf_dir)
+    sheet = sheets.read_event_sheet(spark, t.landed_csv(t.allocation_sheet()))
+    missing = allocation.missing_sheet_columns(sheet)
+    if missing:
+        raise ValueError(allocation.MSG_MISSING_COLUMNS.format(cols=", ".join(missing)))
+    return allocation.allocate_rows(sheet.withColumn("seq", F.col("seq").cast("long")), t.products(), _available(t))
+
+
+@register("written_transactions")
+def q_written_transactions(spark, sf_dir):
+    """K1: the transactions table after two appends."""
+    t = _t(spark, sf_dir)
+    path, moves = f"{t.landing()}/inventory_transactions", t.inventory_transactions()
+    for rest in (0, 1):
+        sinks.append_table(moves.where(F.col("id") % 2 == rest), path, "inventory_transactions")
+    return spark.read.parquet(path)
+
+
+@register("written_report")
+def q_written_report(spark, sf_dir):
+    """K2: the category section of the fair report, as written."""
+    t = _t(spark, sf_dir)
+    out = sinks.write_report(fair_reports.event_report(t.event_products(), t.products(), t.suppliers(), t.event_sales(),
+                                                       t.fairs()), f"{t.landing()}/report")
+    return spark.read.parquet(out["category_breakdown"])

@@ -68,17 +68,48 @@ class DriverTables:
                 .option("maxFilesPerTrigger", max_files_per_trigger)
                 .parquet(f"{self.sf_dir}/[{name[0]}]{name[1:]}.parquet"))
 
-    def landed_events(self, piece: Column, pieces: int):
-        """The events arriving in ``pieces`` deliveries of files (``piece`` = 0, 1 ...) in
-        one folder of the checkpoint directory: yields the folder's stream after each."""
+    def landing(self) -> str:
+        """A new folder below the checkpoint directory, removed when Spark ends."""
         import uuid
 
         from stockfair.session import ensure_checkpoint_dir
 
-        events = self.raw("events").withColumn("_piece", piece)
         folder = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return folder
+
+    def landed_lists(self) -> str:
+        """Price lists as files in a folder, one file for each of ten rests of the part
+        key, with names and types quoted: cells over two lines, quotes and commas in cells."""
+        p, k = self.raw("part"), F.col("p_partkey")
+        file = F.concat(F.lit("bell_"), (k % 10).cast("string"), F.lit(".csv"))
+        line = F.concat(F.lit("SKU"), padded(k, 6), F.lit(',"'), F.col("p_name"), F.lit("\n"), F.col("p_brand"),
+                        F.lit('","say ""'), F.col("p_type"), F.lit('"", ok",'), k.cast("string"))
+        rows = p.select(file.alias("file"), k.alias("k"), line.alias("line"))
+        heads = rows.select("file").distinct().select(
+            "file", F.lit(-1).cast("long").alias("k"), F.lit("SKU,Name,Type,Key").alias("line"))
+        folder = self.landing()
+        rows.unionByName(heads).repartition("file").sortWithinPartitions("file", "k").select("file", "line") \
+            .write.partitionBy("file").text(f"{folder}/parts")
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(folder).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs.mkdirs(fs_path(f"{folder}/lists"))
+        for f in fs.globStatus(fs_path(f"{folder}/parts/file=*/part-*")):            # ten files
+            name = f.getPath().getParent().getName().split("=", 1)[1]
+            fs.rename(f.getPath(), fs_path(f"{folder}/lists/{name}"))
+        return f"{folder}/lists"
+
+    def landed_csv(self, df: DataFrame) -> str:
+        """``df`` as CSV files with headers in a folder."""
+        folder = f"{self.landing()}/sheets"
+        df.write.option("header", True).option("escape", '"').csv(folder)
+        return folder
+
+    def landed_events(self, piece: Column, pieces: int):
+        """The events arriving in ``pieces`` deliveries of files (``piece`` = 0, 1 ...) in
+        one folder of the checkpoint directory: yields the folder's stream after each."""
+        events, folder = self.raw("events").withColumn("_piece", piece), self.landing()
         for k in range(pieces):
             events.where(F.col("_piece") == k).drop("_piece").write.mode("append").parquet(f"{folder}/events")
             yield self.spark.readStream.schema(self.raw("events").schema).parquet(f"{folder}/events"), folder
