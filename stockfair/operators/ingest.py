@@ -1,9 +1,13 @@
 """Price-list import: find the header row, map columns to product fields,
 guess the supplier, clean the rows and upsert them into the catalogue.
 
-All steps work on many files at once: a sheet is the (file, line_no, col,
-cell) rows of ``sources.sheets.sheet_cells``; per-file decisions are
-aggregates grouped by file, so nothing is collected to the driver.
+All steps work on many files at once.  ``file_facts`` decides per file from its
+first lines (header row, supplier) and one aggregate over all lines (columns that hold
+anything); the facts are one row per file.  The steps over all rows look the facts up
+in the row: the facts are broadcast while there are at most ``FACTS_AS_MAP`` of them
+(counted first) and joined by file beyond, and no cell is ever shuffled by file, so a
+price list of any length uses all tasks.  The functions on (file, line_no, col, cell)
+rows of ``sources.sheets.sheet_cells`` do the same step by step.
 
 Upsert semantics (rows run in file order, then line order):
 
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockfair.session import cut_lineage
+from stockfair.sources import sheets
 
 # Header keywords and window, field patterns (in priority
 # order), supplier patterns (in order) and the content window.
@@ -45,6 +50,9 @@ SUPPLIER_PATTERNS = [("bolle", "Bollé"), ("ffwd", "FFWD"), ("bis", "B.I.S. Srl"
                      ("premium", "Premium")]
 SUPPLIER_WINDOW = 10
 
+#: Files up to which their facts are broadcast to the rows.
+FACTS_AS_MAP = 20_000
+
 FIELDS = [f for f, _ in FIELD_PATTERNS]
 PRICE_FIELDS = ("purchase_price", "selling_price")
 PRODUCT_FIELDS = ["ean_upc", "sku", "name", "description", "purchase_price", "selling_price",
@@ -100,7 +108,10 @@ def data_columns(cells: DataFrame, header: DataFrame) -> DataFrame:
     at least one value below the header.  An empty header cell is named
     'Unnamed: <col>'; repeated names get '.1', '.2' ... in column order."""
     head, data = _split(cells, header)
-    filled = data.where(F.col("cell").isNotNull()).select("file", "col").distinct()
+    return _named(head, data.where(F.col("cell").isNotNull()).select("file", "col").distinct())
+
+
+def _named(head: DataFrame, filled: DataFrame) -> DataFrame:
     label = F.coalesce(F.col("cell"), F.concat(F.lit("Unnamed: "), F.col("col").cast("string")))
     h = head.select("file", "col", label.alias("label"))
     w = Window.partitionBy("file", "label").orderBy("col")
@@ -126,7 +137,10 @@ def detect_columns(cells: DataFrame, header: DataFrame) -> DataFrame:
     """I2.  (file, field, column, col): for each field, the first pattern (in
     order) found as a substring of a lower-cased column name, first such
     column in sheet order.  One column may feed several fields."""
-    cols = data_columns(cells, header)
+    return _mapped(data_columns(cells, header))
+
+
+def _mapped(cols: DataFrame) -> DataFrame:
     low = F.lower(F.col("column"))
     ranks = []
     for field, patterns in FIELD_PATTERNS:
@@ -172,6 +186,66 @@ def guess_supplier(cells: DataFrame) -> DataFrame:
         "file", F.coalesce(first_pattern(low_file), F.col("_content"), stem).alias("supplier"))
 
 
+def _looked_up(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with their file's facts: no shuffle of the rows up to the bound."""
+    few = facts.limit(FACTS_AS_MAP + 1).count() <= FACTS_AS_MAP
+    return rows.join(F.broadcast(facts) if few else facts, "file")
+
+
+def file_facts(lines: DataFrame) -> DataFrame:
+    """One row per file of (file, line_no, line): header_row, header_line, supplier,
+    ``columns`` (col, column) that hold anything below the header, and ``mapping`` (field,
+    column, col).  Only the first lines of a file are cut into cells and meet by file; of
+    the others each task reports which columns it saw filled."""
+    turn = Window.partitionBy("file").orderBy("line_no")
+    top = lines.withColumn("_rn", F.row_number().over(turn)).where(F.col("_rn") <= HEADER_WINDOW).drop("_rn")
+    cells = cut_lineage(sheets.sheet_cells(top))
+    header = cut_lineage(detect_header_row(cells))
+    below = _looked_up(lines, header.select("file", "header_line")).where(F.col("line_no") > F.col("header_line"))
+    filled = sheets.sheet_cells(below).where(F.col("cell").isNotNull()).select("file", "col").distinct()
+    head = cells.join(header.select("file", F.col("header_line").alias("line_no")), ["file", "line_no"], "left_semi")
+    cols = cut_lineage(_named(head, filled))
+
+    def listed(df, *names):
+        return df.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("x"))
+
+    columns = listed(cols, "col", "column").withColumnRenamed("x", "columns")
+    mapping = listed(_mapped(cols), "field", "column", "col").withColumnRenamed("x", "mapping")
+    facts = header.join(guess_supplier(cells), "file").join(columns, "file", "left").join(mapping, "file", "left")
+    return cut_lineage(facts.select("file", "header_row", "header_line", "supplier", "columns", "mapping"))
+
+
+def mapping_of(facts: DataFrame) -> DataFrame:
+    """I2.  (file, field, column, col), as ``detect_columns``."""
+    return facts.select("file", F.explode("mapping").alias("m")).select("file", "m.field", "m.column", "m.col")
+
+
+def filled_cells(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """S7.  As ``drop_empty``, in the row: (file, line_no, col, column, cell)."""
+    data = _looked_up(lines, facts.select("file", "header_line", "columns")).where(F.col("line_no") > F.col("header_line"))
+    cells = F.transform(sheets.csv_cells(F.col("line")), lambda c: F.nullif(c, F.lit("")))
+    data = data.withColumn("_cells", cells).where(F.exists("_cells", lambda c: c.isNotNull()))
+    return data.select("file", "line_no", "_cells", F.explode("columns").alias("c")).where(
+        F.col("c.col") < F.size("_cells")).select(
+        "file", "line_no", "c.col", "c.column", F.get("_cells", F.col("c.col").cast("int")).alias("cell"))
+
+
+def clean_rows(lines: DataFrame, facts: DataFrame) -> DataFrame:
+    """I3-I5.  As ``clean_products``, in the row: every data line's mapped fields,
+    lines without a name dropped."""
+    data = _looked_up(lines, facts.select("file", "header_line", "mapping").where("mapping IS NOT NULL")) \
+        .where(F.col("line_no") > F.col("header_line"))
+    at = F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["field"], m["col"].cast("int"))))
+    data = data.select("file", "line_no", sheets.csv_cells(F.col("line")).alias("_cells"), at.alias("_at"))
+    fields = []
+    for f in FIELDS:
+        cell = F.nullif(F.get("_cells", F.element_at("_at", f)), F.lit(""))
+        num = cell.try_cast("double")
+        fields.append((F.when(~F.isnan(num), num) if f in PRICE_FIELDS else cell).alias(f))
+    return data.select("file", "line_no", *fields, F.array_sort(F.map_keys("_at")).alias("mapped")) \
+        .where(F.col("name").isNotNull())
+
+
 def clean_products(cells: DataFrame, header: DataFrame, mapping: DataFrame) -> DataFrame:
     """I3-I5.  One row per data row with the mapped fields (unmapped ones
     NULL and absent from ``mapped``), rows without a name dropped (all rows

@@ -4,7 +4,7 @@ report of the stored tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,6 +129,58 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return counts.select(rows.alias("x")).select("x.column", "x.type", "x.nulls")
 
 
+# The types a text cell can have, and the patterns that decide.
+INTEGER, FLOAT, DATE, TEXT, EMPTY = "integer", "float", "date", "text", "empty"
+INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+FLOAT_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?)?$"
+
+
+def cell_type(cell: Column) -> Column:
+    """The least type of a text cell: integer, float, date (a full date that
+    exists, perhaps with a time) or text; NULL for an empty or blank cell."""
+    t = F.trim(cell)
+    return (F.when(t.isNull() | (t == ""), F.lit(None).cast("string")).when(t.rlike(INTEGER_PATTERN), INTEGER)
+            .when(t.rlike(FLOAT_PATTERN), FLOAT)
+            .when(t.rlike(DATE_PATTERN) & F.substring(t, 1, 10).try_cast("date").isNotNull(), DATE).otherwise(TEXT))
+
+
+def _joined_type(n: dict[str, Column]) -> Column:
+    """The least type that holds all cells, from their numbers by type: integers
+    are floats, everything is text, nothing else contains another."""
+    numbers = n[INTEGER] + n[FLOAT]
+    return (F.when((n[TEXT] > 0) | ((n[DATE] > 0) & (numbers > 0)), TEXT).when(n[DATE] > 0, DATE)
+            .when(n[FLOAT] > 0, FLOAT).when(n[INTEGER] > 0, INTEGER).otherwise(EMPTY))
+
+
+def infer_column_types(df: DataFrame) -> DataFrame:
+    """I18.  Per column of a table of text cells: (column, type, n_integer, n_float,
+    n_date, n_text, nulls).  One aggregate over all columns; empty cells say nothing."""
+    kinds = (INTEGER, FLOAT, DATE, TEXT)
+    typed = df.select(*[cell_type(F.col(f"`{c}`").cast("string")).alias(f"t{i}") for i, c in enumerate(df.columns)])
+    counts = typed.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.col(f"t{i}") == k).alias(f"{k}{i}") for i in range(len(df.columns)) for k in kinds])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{k}{i}").alias(k) for k in kinds])
+                               for i, c in enumerate(df.columns)]))
+    return _typed(counts.select("rows", rows.alias("x")).select("x.*", "rows"), ["column"])
+
+
+def infer_sheet_types(cells: DataFrame) -> DataFrame:
+    """I18 over many files in one pass: ``infer_column_types`` per file and column
+    of (file, line_no, col, column, cell); ``nulls`` are the column's empty cells."""
+    typed = cells.select("file", "col", "column", cell_type(F.col("cell")).alias("t"))
+    counts = typed.groupBy("file", "col", "column").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.col("t") == k).alias(k) for k in (INTEGER, FLOAT, DATE, TEXT)])
+    return _typed(counts, ["file", "col", "column"])
+
+
+def _typed(counts: DataFrame, keys: list[str]) -> DataFrame:
+    kinds = (INTEGER, FLOAT, DATE, TEXT)
+    return counts.select(*keys, _joined_type({k: F.col(k) for k in kinds}).alias("type"),
+                         *[F.col(k).alias(f"n_{k}") for k in kinds],
+                         (F.col("rows") - sum((F.col(k) for k in kinds), F.lit(0))).alias("nulls"))
+
+
 def sample_rows(df: DataFrame, group: str, order: str, n: int = 3) -> DataFrame:
     """I18.  First ``n`` rows of every group (per-partition group limit)."""
     from pyspark.sql import Window

@@ -1295,3 +1295,32 @@ WITH r AS (SELECT 'bell_' || CAST(p_partkey % 10 AS VARCHAR) || '.csv' AS file,
                             ['SKU', 'Name', 'Type', 'Key'] FROM part)
 SELECT file, CAST(line_no AS BIGINT) AS line_no, CAST(generate_subscripts(c, 1) - 1 AS BIGINT) AS col,
        unnest(c) AS cell FROM r"""
+
+
+def _types_sql(source: str, keys: str) -> str:
+    """Types of text cells by ``keys`` from ``source`` (keys, cell)."""
+    return f"""
+k AS (SELECT {keys}, CASE WHEN x IS NULL OR x = '' THEN NULL
+             WHEN regexp_full_match(x, '[+-]?[0-9]+') THEN 'integer'
+             WHEN regexp_full_match(x, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 'float'
+             WHEN regexp_full_match(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([ T][0-9]{{2}}:[0-9]{{2}}(:[0-9]{{2}}([.][0-9]+)?)?)?')
+                  AND TRY_CAST(x[1:10] AS DATE) IS NOT NULL THEN 'date' ELSE 'text' END AS t
+      FROM (SELECT *, trim(cell) AS x FROM {source})),
+n AS (SELECT {keys}, count(*) AS c, count_if(t = 'integer') AS i, count_if(t = 'float') AS f, count_if(t = 'date') AS d,
+             count_if(t = 'text') AS s FROM k GROUP BY {keys})
+SELECT {keys}, CASE WHEN s > 0 OR d > 0 AND i + f > 0 THEN 'text' WHEN d > 0 THEN 'date' WHEN f > 0 THEN 'float'
+                    WHEN i > 0 THEN 'integer' ELSE 'empty' END AS type,
+       CAST(i AS BIGINT) AS n_integer, CAST(f AS BIGINT) AS n_float, CAST(d AS BIGINT) AS n_date, CAST(s AS BIGINT) AS n_text,
+       CAST(c - i - f - d - s AS BIGINT) AS nulls FROM n"""
+
+
+_SHEET_COLUMNS = ("Periodo", "N° Eventi", "Data", "Nome", "EXPO.1", "Località", "Incassi", "Costi Reali",
+                  "Vitto & Alloggio", "Colonna Extra")
+ORACLE["profile_types"] = f"WITH event_sheet AS ({VIEWS['event_sheet']}), cells AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST("{c}" AS VARCHAR) AS cell FROM event_sheet""" for c in _SHEET_COLUMNS) \
+    + ")," + _types_sql("cells", '"column"')
+ORACLE["profile_sheet_types"] = sql("SELECT * FROM typed", _IMPORT_VIEWS, _IMPORT + """,
+kept AS (SELECT d.file, d.line_no, d.col, c."column", d.cell FROM data d
+         JOIN dcols c ON d.file = c.file AND d.col = c.col
+         WHERE EXISTS (SELECT 1 FROM data x WHERE x.file = d.file AND x.line_no = d.line_no AND x.cell IS NOT NULL)),
+typed AS (WITH """ + _types_sql("kept", 'file, col, "column"').strip() + ")", recursive=True)

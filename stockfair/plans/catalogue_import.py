@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from stockfair.operators import ingest
 from stockfair.session import cut_lineage
-from stockfair.sources import sheets
 
 
 @dataclass
@@ -37,16 +36,14 @@ def with_status(products: DataFrame) -> DataFrame:
 
 
 def plan_import(lines: DataFrame, suppliers: DataFrame) -> CatalogueImport:
-    # every step reads the cells: parse the lines once
-    cells = cut_lineage(sheets.sheet_cells(lines))
-    header = ingest.detect_header_row(cells)
-    mapping = ingest.detect_columns(cells, header)
-    guessed = ingest.guess_supplier(cells)
+    lines = cut_lineage(lines)
+    facts = ingest.file_facts(lines)
+    header, guessed = facts.select("file", "header_row", "header_line"), facts.select("file", "supplier")
     # the cleaned rows feed the upsert, the counters and the inventory rows:
     # materialise them once in the shared checkpoint folder
-    rows = cut_lineage(ingest.clean_products(cells, header, mapping))
+    rows = cut_lineage(ingest.clean_rows(lines, facts))
     all_suppliers = ingest.get_or_create_suppliers(suppliers, guessed)
     # several suppliers of one name: the smallest id is the file's
     by_name = all_suppliers.groupBy(F.col("name").alias("supplier")).agg(F.min("id").alias("supplier_id"))
     file_suppliers = guessed.join(by_name, "supplier", "inner").select("file", "supplier_id")
-    return CatalogueImport(header, mapping, guessed, rows, all_suppliers, file_suppliers)
+    return CatalogueImport(header, ingest.mapping_of(facts), guessed, rows, all_suppliers, file_suppliers)

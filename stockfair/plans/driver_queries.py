@@ -546,29 +546,29 @@ def _import(t: DriverTables):
     return catalogue_import.plan_import(t.price_list_lines(), t.suppliers())
 
 
-def _cells(t: DriverTables) -> DataFrame:
-    return sheets.sheet_cells(t.price_list_lines())
+def _facts(t: DriverTables) -> DataFrame:
+    return ingest.file_facts(t.price_list_lines())
 
 
 @register("detect_header_row")
 def q_detect_header_row(spark, sf_dir):
-    return ingest.detect_header_row(_cells(_t(spark, sf_dir)))
+    return _facts(_t(spark, sf_dir)).select("file", "header_row", "header_line")
 
 
 @register("guess_supplier")
 def q_guess_supplier(spark, sf_dir):
-    return ingest.guess_supplier(_cells(_t(spark, sf_dir)))
+    return _facts(_t(spark, sf_dir)).select("file", "supplier")
 
 
 @register("detect_columns")
 def q_detect_columns(spark, sf_dir):
-    return _import(_t(spark, sf_dir)).mapping
+    return ingest.mapping_of(_facts(_t(spark, sf_dir)))
 
 
 @register("drop_empty")
 def q_drop_empty(spark, sf_dir):
-    cells = _cells(_t(spark, sf_dir))
-    return ingest.drop_empty(cells, ingest.detect_header_row(cells))
+    t = _t(spark, sf_dir)
+    return ingest.filled_cells(t.price_list_lines(), _facts(t))
 
 
 @register("clean_products")
@@ -647,6 +647,17 @@ def q_profile_columns(spark, sf_dir):
     return sheet_import.profile_columns(_t(spark, sf_dir).event_sheet().drop("_row"))
 
 
+@register("profile_types")
+def q_profile_types(spark, sf_dir):
+    return sheet_import.infer_column_types(_t(spark, sf_dir).event_sheet().drop("_row"))
+
+
+@register("profile_sheet_types")
+def q_profile_sheet_types(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return sheet_import.infer_sheet_types(ingest.filled_cells(t.price_list_lines(), _facts(t)))
+
+
 @register("sample_rows")
 def q_sample_rows(spark, sf_dir):
     return sheet_import.sample_rows(_t(spark, sf_dir).event_sheet(), "Periodo", "_row")

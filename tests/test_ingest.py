@@ -171,3 +171,48 @@ def test_keys_of_any_length_stay_distinct(spark):
     df = spark.createDataFrame([(7,), (999999,), (1000000,), (1000001,), (12345678,)], "k long")
     assert [r.t for r in df.select(padded(F.col("k"), 6).alias("t")).collect()] == \
         ["000007", "999999", "1000000", "1000001", "12345678"]
+
+
+def test_facts_equal_the_steps(spark, scratch):
+    """File facts, filled cells and clean rows equal the steps over all cells, also
+    when the files are too many for a map; no cell is shuffled by file."""
+    _write(scratch, "a_ffwd.csv", ["List 2025", "", "SKU,EAN Code,Model Name,Notes,Dealer Price,,Price", "S1,80,Helm,,n/a,,5",
+                                   ",,,,,,", "S2,,\"Two, 2\",,7.5,,", "S3,81"])
+    _write(scratch, "plain.csv", ["x,y", "1,2", "Premium,3"])
+    _write(scratch, "empty.csv", ["a"])
+    lines = sheets.read_sheet_lines(spark, scratch)
+    cells = sheets.sheet_cells(lines)
+    header = ingest.detect_header_row(cells)
+    mapping = ingest.detect_columns(cells, header)
+
+    def rows(df):
+        return sorted(map(repr, (tuple(r) for r in df.collect())))
+
+    for bound in (ingest.FACTS_AS_MAP, 0):
+        old, ingest.FACTS_AS_MAP = ingest.FACTS_AS_MAP, bound
+        try:
+            facts = ingest.file_facts(lines)
+            assert rows(facts.select("file", "header_row", "header_line")) == rows(header)
+            assert rows(facts.select("file", "supplier")) == rows(ingest.guess_supplier(cells))
+            assert rows(ingest.mapping_of(facts)) == rows(mapping)
+            filled, clean = ingest.filled_cells(lines, facts), ingest.clean_rows(lines, facts)
+            assert rows(filled) == rows(ingest.drop_empty(cells, header))
+            assert rows(clean) == rows(ingest.clean_products(cells, header, mapping))
+        finally:
+            ingest.FACTS_AS_MAP = old
+    plain = spark.createDataFrame([("f.csv", k, f"a,b,{k}") for k in range(50)], "file string, line_no long, line string")
+    plan = ingest.clean_rows(plain, ingest.file_facts(plain))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(file" not in plan
+
+
+def test_cell_types(spark):
+    cells = {"12": "integer", "-3": "integer", "1.5": "float", ".5": "float", "1e3": "float", "2024-02-29": "date",
+             "2024-02-30": "text", "2024-01-01 10:00": "date", "x": "text", "": None, "  ": None, None: None, "1,5": "text"}
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r.c: r.t for r in df.select("c", sheet_import.cell_type(F.col("c")).alias("t")).collect()} == cells
+    table = spark.createDataFrame([("1", "1", "2024-01-01", None, "1"), ("2", "2.5", "5", "", "x"), (None, None, None, None, None)],
+                                  "a string, b string, c string, d string, `e.f` string")
+    got = {r.column: (r.type, r.n_integer, r.n_float, r.n_date, r.n_text, r.nulls)
+           for r in sheet_import.infer_column_types(table).collect()}
+    assert got == {"a": ("integer", 2, 0, 0, 0, 1), "b": ("float", 1, 1, 0, 0, 1), "c": ("text", 1, 0, 1, 0, 1),
+                   "d": ("empty", 0, 0, 0, 0, 3), "e.f": ("text", 1, 0, 0, 1, 1)}
