@@ -1324,3 +1324,44 @@ kept AS (SELECT d.file, d.line_no, d.col, c."column", d.cell FROM data d
          JOIN dcols c ON d.file = c.file AND d.col = c.col
          WHERE EXISTS (SELECT 1 FROM data x WHERE x.file = d.file AND x.line_no = d.line_no AND x.cell IS NOT NULL)),
 typed AS (WITH """ + _types_sql("kept", 'file, col, "column"').strip() + ")", recursive=True)
+
+#: Calls of a product one after the other: the state is what is left of it and a list of
+#: its assignments (event, quantity).
+_CALLS = _AVAIL + f""",
+log AS (SELECT seq, CASE l_linenumber % 3 WHEN 0 THEN 'remove' WHEN 2 THEN 'change' ELSE 'allocate' END AS action,
+               event_id, l_partkey AS product_id,
+               CAST(CASE l_linenumber % 3 WHEN 1 THEN ceil(l_quantity / 10) WHEN 2 THEN l_quantity END AS BIGINT) AS quantity
+        FROM ({_REQUEST_LINES}) j),
+c AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seq, event_id, action, quantity) AS k FROM log),
+ev AS (SELECT product_id, list({{'e': event_id, 'q': quantity_assigned}}) AS h FROM event_products GROUP BY product_id),
+st AS (
+  SELECT p.product_id, CAST(0 AS BIGINT) AS k, a.available AS lft, COALESCE(ev.h, []) AS h,
+         CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS held, CAST(NULL AS BIGINT) AS delta
+  FROM (SELECT DISTINCT product_id FROM log) p LEFT JOIN avail a ON p.product_id = a.product_id
+  LEFT JOIN ev ON p.product_id = ev.product_id
+  UNION ALL
+  SELECT product_id, k, CASE WHEN reason IS NULL THEN lft - want ELSE lft END,
+         CASE WHEN reason IS NOT NULL THEN h
+              ELSE list_concat(list_filter(h, lambda x: x.e <> event_id),
+                               CASE WHEN action = 'remove' THEN [] ELSE [{{'e': event_id, 'q': COALESCE(held, 0) + want}}] END) END,
+         reason, held, CASE WHEN reason IS NULL THEN want END
+  FROM (SELECT *, CASE WHEN action = 'allocate' AND (quantity IS NULL OR quantity <= 0) THEN 'invalid_quantity'
+                       WHEN action = 'allocate' AND lft IS NULL THEN 'unknown_product'
+                       WHEN action <> 'allocate' AND held IS NULL THEN 'not_assigned'
+                       WHEN action = 'change' AND (quantity IS NULL OR quantity < 0) THEN 'invalid_quantity'
+                       WHEN want > 0 AND lft IS NULL THEN 'unknown_product'
+                       WHEN want > 0 AND want > lft THEN 'insufficient_stock' END AS reason
+        FROM (SELECT *, CASE action WHEN 'allocate' THEN quantity WHEN 'change' THEN quantity - held ELSE -held END AS want
+              FROM (SELECT c.product_id, c.k, c.action, c.event_id, c.quantity, st.lft, st.h,
+                           list_filter(st.h, lambda x: x.e = c.event_id)[1].q AS held
+                    FROM st JOIN c ON st.product_id = c.product_id AND c.k = st.k + 1)))),
+called AS (SELECT c.seq, c.action, c.event_id, c.product_id, c.quantity, s.reason IS NULL AS accepted, s.reason,
+                  s.held, s.delta, s.lft AS available_after
+           FROM c JOIN st s ON s.product_id = c.product_id AND s.k = c.k)"""
+ORACLE["request_log"] = sql("SELECT * FROM called", ("inventory", "event_products"), _CALLS, recursive=True)
+ORACLE["request_log_assignments"] = sql("""
+SELECT x.e AS event_id, product_id, CAST(x.q AS BIGINT) AS quantity_assigned
+FROM (SELECT product_id, unnest(h) AS x FROM st JOIN (SELECT product_id, max(k) AS k FROM st GROUP BY product_id) m
+      USING (product_id, k))
+UNION ALL SELECT event_id, product_id, quantity_assigned FROM event_products
+WHERE product_id NOT IN (SELECT product_id FROM log)""", ("inventory", "event_products"), _CALLS, recursive=True)

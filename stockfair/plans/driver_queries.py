@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockfair.functions import barcode
-from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, scans,
-                                 sheet_import, stats)
+from stockfair.operators import (allocation, catalog, fairs, ingest, ledger, reports, request_log,
+                                 scans, sheet_import, stats)
 from stockfair.plans import catalogue_import, fair_reports
 from stockfair.streaming import jobs, upkeep
 from stockfair.sources import sheets, sinks
@@ -489,6 +489,22 @@ def q_unassign_available(spark, sf_dir):
     return avail
 
 
+def _calls(spark, sf_dir) -> DataFrame:
+    t = _t(spark, sf_dir)
+    return request_log.decide(t.request_log(), t.event_products(), _available(t))
+
+
+@register("request_log")
+def q_request_log(spark, sf_dir):
+    """Allocations, changes and removals on one stock, one after the other."""
+    return _calls(spark, sf_dir)
+
+
+@register("request_log_assignments")
+def q_request_log_assignments(spark, sf_dir):
+    return request_log.assignments_after(cut_lineage(_calls(spark, sf_dir)), _t(spark, sf_dir).event_products())
+
+
 @register("update_event")
 def q_update_event(spark, sf_dir):
     return fairs.update_event(_t(spark, sf_dir).annual_events(), PARAMS["edit_event_id"],

@@ -315,6 +315,17 @@ class DriverTables:
                    F.try_divide(F.col("l_extendedprice"), F.col("l_quantity"))).alias("sale_price"),
         )
 
+    def request_log(self) -> DataFrame:
+        """Order lines as calls on the assignments of their fair: allocations, changes
+        and removals in turn by line number."""
+        j = self._request_lines()
+        ln = F.col("l_linenumber")
+        return j.select(
+            "seq", F.when(ln % 3 == 0, "remove").when(ln % 3 == 2, "change").otherwise("allocate").alias("action"),
+            "event_id", F.col("l_partkey").alias("product_id"),
+            F.when(ln % 3 == 1, F.ceil(F.col("l_quantity") / 10)).when(ln % 3 == 2, F.col("l_quantity"))
+            .cast("long").alias("quantity"))
+
     def allocation_sheet(self, event_id: int | None = None) -> DataFrame:
         """Import sheets of the fairs (one fair when ``event_id`` is given):
         their order lines as SKU / Quantity text rows, with unknown skus
