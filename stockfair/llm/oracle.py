@@ -45,12 +45,18 @@ def _either_case(word: str) -> str:
 
 _KEYS = "|".join(map(_either_case, ("password", "passwd", "secret", "token"))) \
     + "|" + _either_case("api") + "_?" + _either_case("key")
+_BREAK = r"(?:\s|\\[rn]){1,4}"
+#: header, then all up to END, or else the whole lines of base64 (the last one before \\n or
+#: the text's end: there is no lookahead here for a last line before \\r or a written \\n)
+_PEM = (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?s:.*?)-----END [A-Z ]{0,30}PRIVATE KEY-----"
+        rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info): ?[^\n\\]{{0,200}}){{0,4}}(?:{_BREAK}[A-Za-z0-9+/=]{{16,}})+"
+        rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}})?(?m:$))?")
 #: kind, place among kinds, pattern, group of the least length, least length
 _RULES = (
     ("assign", 0, f"(?:{_KEYS})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 6),
     ("access", 1, "AKIA[A-Z0-9]+", 0, 20),
     ("hex", 2, "[0-9a-f]+", 0, 24),
-    ("pem", 3, "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 1),
+    ("pem", 3, _PEM, 0, 1),
     ("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 )
 

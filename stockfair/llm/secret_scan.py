@@ -48,16 +48,17 @@ class Rule:
 
 
 #: A private key: the header line, then all up to the next END line.  Where no
-#: END line follows, the key body's own lines: after a line break (also a written
-#: \\n) the optional key headers, lines of base64, and a short last one.  Their
-#: number is bounded, as Java matches the group by recursion; 1000 lines of 64
-#: characters are several times the longest keys in use.
+#: END line follows, the key body's own lines, as many as there are: after a line break
+#: (also a written \\n) the optional key headers, whole lines of base64 (16 characters or
+#: more), and a last shorter one.  The group over
+#: lines is possessive, which Java matches in a loop.
 _BREAK = r"(?:\s|\\[rn]){1,4}"
+_LINE_END = r"\r|\\[rn]|(?md:$)"
 PEM = (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
        r"(?:(?s:.*?)-----END [A-Z ]{0,30}PRIVATE KEY-----"
        rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info): ?[^\n\\]{{0,200}}){{0,4}}"
-       rf"(?:{_BREAK}[A-Za-z0-9+/=]{{32,}}+){{1,1000}}+"
-       rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,76}}+={{0,2}}(?=\s*(?:[\r\n\\]|\z)))?)?")
+       rf"(?:{_BREAK}[A-Za-z0-9+/=]{{16,}}+(?={_LINE_END}))++"
+       rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_LINE_END}))?)?")
 
 #: In listed order: the order of kinds among spans with one start.
 RULES = (
@@ -66,7 +67,7 @@ RULES = (
     # a match takes all of its run, so the least lengths can stand in the patterns
     Rule("access", r"AKIA[A-Z0-9]{16,}+", least=20, base=True),
     Rule("hex", r"[0-9a-f]{24,}+", least=24, base=True),
-    Rule("pem", PEM, version=2),
+    Rule("pem", PEM, version=3),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 
