@@ -8,7 +8,8 @@ words around them, and on a bounded sample of the corpus's own paragraphs
 Its temperature is calibrated on held-out rows, and a family is predicted only
 above the probability that keeps held-out other paragraphs out.  A prediction
 is confirmed if the paragraph and one template of the family share most of the
-shorter one's n-grams.
+shorter one's n-grams, and the paragraph says what tells the family from its
+neighbours (``TELLING``): the version, and no word of another family or denial.
 
 Main path (scoring): DataFrame functions only.  N-grams of function words alone
 are no features, so a paragraph without any of the templates' other words has
@@ -26,6 +27,8 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -95,6 +98,25 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
 }
+#: fixed values: phrases (lower-case words) of which a confirmed paragraph of the family
+#: has one, and those of which it has none
+TELLING = {
+    "MIT": ((), ()),
+    "Apache-2.0": ((), ("version 1 0", "version 1 1", "apache license 1")),
+    "GPL-3.0": (("version 3", "v3", "gpl 3", "gplv3", "gpl 3 0"),
+                ("lesser", "library general", "affero", "version 1", "version 2", "gpl 2", "gplv2")),
+    "LGPL-3.0": (("version 3", "v3", "lgpl 3", "lgplv3", "lgpl 3 0"), ("affero", "version 2", "version 2 1", "lgpl 2", "lgplv2")),
+    "BSD": ((), ()),
+    "MPL-2.0": ((), ("version 1", "v 1", "mpl 1")),
+    "CC-BY-4.0": (("cc by 4 0", "attribution 4 0"),
+                  ("sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives", "noderivs")),
+    "CC-BY-SA-4.0": (("cc by sa 4 0", "attribution sharealike 4 0"), ("nc", "nd", "noncommercial")),
+    "CC-BY-NC-4.0": (("cc by nc 4 0", "attribution noncommercial 4 0"),
+                     ("sa", "nd", "sharealike", "noderivatives", "noderivs")),
+}
+#: fixed values: phrases that deny a licence
+DENIALS = ("not licensed", "not released", "not covered", "not distributed under", "isn t licensed", "no longer licensed",
+           "not available under", "not governed by")
 #: fixed values: paragraphs that speak of licences and are none
 OTHERS = (
     "A driving licence is required for this position.",
@@ -141,6 +163,15 @@ def _gram_column() -> Column:
     return F.concat(pairs, triples)
 
 
+def _telling() -> Column:
+    """Per family of ``TELLING``, whether the words in column ``w`` allow it."""
+    text = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    has = lambda phrase: text.contains(f" {phrase} ")
+    denied = reduce(or_, map(has, DENIALS))
+    return F.create_map(*[x for f, (some, none) in TELLING.items() for x in (F.lit(f), (
+        reduce(or_, map(has, some), F.lit(not some)) & ~reduce(or_, map(has, none), denied)))])
+
+
 @dataclass
 class Model:
     grams: list[str]
@@ -231,7 +262,8 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     marks = sorted({w for g in model.grams for w in g.split(" ")} - FUNCTION_WORDS)
     # lower() folds more than A-Z, so it lets through all that can match
     rows = lines.where(_may_hold(F.lower("line"), marks)).select("id", "text_key", "paragraph", words.alias("w"))
-    rows = rows.select("id", "text_key", "paragraph", F.array_distinct(_gram_column()).alias("g"))
+    rows = rows.select("id", "text_key", "paragraph", F.array_distinct(_gram_column()).alias("g"),
+                       F.map_keys(F.map_filter(_telling(), lambda f, ok: ok)).alias("fits"))
     # fixed tables: the templates' n-grams
     weights = spark.createDataFrame(
         [(g, [float(v) for v in model.weights[i]]) for i, g in enumerate(model.grams)],
@@ -242,28 +274,29 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     templates = spark.createDataFrame(own, "gram string, family string, template string, size int")
     key = ["id", "text_key", "paragraph"]
     # outer: a filter inferred from a plain explode would be pushed into the lambdas above
-    hits = rows.select(*key, F.size("g").alias("n"), F.explode_outer("g").alias("gram"))
+    hits = rows.select(*key, F.size("g").alias("n"), "fits", F.explode_outer("g").alias("gram"))
     # repeated rows meet in one key: each n-gram counts once for it
-    hits = hits.join(F.broadcast(weights.select("gram")), "gram", "left_semi").select(*key, "n", "gram").distinct()
+    hits = hits.join(F.broadcast(weights.select("gram")), "gram", "left_semi").select(*key, "n", "fits", "gram").distinct()
     hits = stored(hits.join(F.broadcast(weights), "gram"))  # read twice below, and few
     n = len(model.families)
     sums = hits.groupBy(*key).agg(
-        F.first("n").alias("n"), *[F.sum(F.get("weight", F.lit(k))).alias(f"z{k}") for k in range(n)])
+        F.first("n").alias("n"), F.first("fits").alias("fits"), *[F.sum(F.get("weight", F.lit(k))).alias(f"z{k}") for k in range(n)])
     z = F.array(*[F.col(f"z{k}") + float(model.weights[-1][k]) for k in range(n)])
-    top = sums.select(*key, "n", z.alias("z"))
+    top = sums.select(*key, "n", "fits", z.alias("z"))
     top = top.withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     best = F.array_max(F.array(*[F.struct(F.get("e", F.lit(k)).alias("e"), F.lit(f).alias("family"))
                                  for k, f in enumerate(model.families) if f != OTHER]))
-    top = top.select(*key, "n", total.alias("total"), best.alias("x"))
-    found = top.select(*key, "n", (F.col("x.e") / F.col("total")).alias("p"), "x.family") \
+    top = top.select(*key, "n", "fits", total.alias("total"), best.alias("x"))
+    found = top.select(*key, "n", (F.col("x.e") / F.col("total")).alias("p"), "x.family",
+                       F.array_contains("fits", F.col("x.family")).alias("told")) \
         .where(F.col("p") > model.threshold)
     shared = hits.select(*key, "gram").join(F.broadcast(templates), "gram") \
         .groupBy(*key, "family", "template").agg(F.count("*").alias("both"), F.first("size").alias("size"))
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in (*key, "family")]
     cond = same[0] & same[1] & same[2] & same[3]
     best = found.alias("a").join(shared.alias("b"), cond, "left") \
-        .groupBy("a.id", "a.text_key", "a.paragraph", "a.family", "a.p") \
+        .groupBy("a.id", "a.text_key", "a.paragraph", "a.family", "a.p", "a.told") \
         .agg(F.max(F.coalesce(F.col("b.both") / F.least("a.n", "b.size"), F.lit(0.0))).alias("containment"))
     return best.select(F.col("id").alias(id_col), "paragraph", "family", F.col("p").alias("probability"),
-                       "containment", (F.col("containment") >= CONFIRM).alias("confirmed"))
+                       "containment", ((F.col("containment") >= CONFIRM) & F.col("told")).alias("confirmed"))

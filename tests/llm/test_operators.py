@@ -536,6 +536,38 @@ def test_licenses_odd(spark):
     assert licenses.scan(docs(spark, [None, "Released under the MIT License."], [None, None]), model).count() == 1
 
 
+def test_licenses_confirm_only_their_own(spark):
+    """Notices of other versions and families, wrapped ones and denials are not
+    confirmed as a family they are not; held-out wordings of the families are."""
+    wrong = [
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+        "later version.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+        "This work is licensed under a Creative Commons Attribution-\nNonCommercial 4.0 International License.",
+        "# This work is licensed under a Creative Commons\n# Attribution-ShareAlike 4.0 International License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "This work is not licensed under CC BY 4.0.",
+        "Licensed under the Apache License, Version 1.1.",
+    ]
+    right = [("GPL-3.0", "This file is part of it. This program is free software: you can redistribute it and/or modify it under "
+              "the terms of the GNU General Public License as published by the Free Software Foundation, either version 3."),
+             ("CC-BY-SA-4.0", "All texts: licensed under CC BY-SA 4.0, see there."),
+             ("CC-BY-4.0", "Unless stated otherwise this work is licensed under a Creative Commons Attribution 4.0 "
+              "International License."),
+             ("MIT", "The code is released under the MIT License.")]
+    df = docs(spark, wrong + [t for _, t in right])
+    got = licenses.scan(df, licenses.train(docs(spark, texts()))).where("confirmed").collect()
+    # the second line of the wrapped one (5) says it all
+    assert {(r["doc_id"], r["family"]) for r in got} == {
+        (5, "CC-BY-SA-4.0"), *((len(wrong) + k, f) for k, (f, _) in enumerate(right))}
+
+
 def test_licenses_repeated_rows(spark):
     notice = licenses.TEMPLATES["MIT"][2].split()
     t = ["Released under the MIT License.", " ".join(notice[:12]) + " " + " ".join(words(random.Random(3), 40)),
