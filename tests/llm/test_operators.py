@@ -209,7 +209,10 @@ def brute_hits(all_texts, items, window=10):
     return out
 
 
-def test_decontamination_on_odd_documents(spark):
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_ROWS, 0])
+def test_decontamination_on_odd_documents(spark, monkeypatch, bound):
+    """With the benchmark's shingles broadcast, and joined by a shuffle beyond the bound."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", bound)
     rng = random.Random(5)
     items = [(i, " ".join(words(rng, rng.randint(8, 30), 3000))) for i in range(12)]
     items += [(90, items[0][1]), (91, "Lone"), (92, "two Words"), (93, ""), (94, None), (95, "É É É"),
