@@ -33,7 +33,7 @@ SCAN_LIMIT = 400
 #: Bytes of a word up to which words of one length are merged side by side.
 ROW_LIMIT = 40
 #: Characters of text whose new stretches are merged side by side.
-CHARS_AT_ONCE = 6_000_000
+CHARS_AT_ONCE = 3_000_000
 #: Stretches of text (a word with what touches it) kept by each Python worker,
 #: and the longest that is kept.
 CACHE_RUNS = 500_000
@@ -297,6 +297,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
             ids = pa.array([np.fromiter((i for _, w in p for i in w), np.int32)
                             for part in _by_size(texts) for p in c.pieces(part)],
                            pa.list_(pa.int32()))
+            c.cache.clear()                  # an idle worker keeps its memory
             yield pa.record_batch([b.column(0), ids], names=[id_col, out_col])
 
     cols = docs.select(F.col(id_col), F.col(text_col).cast("string"))
@@ -338,6 +339,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     ids_hex.append(sha(",".join([s for s, _ in pieces]).encode()).hexdigest())
                     text_hex.append(sha(back.encode("utf-8", "surrogatepass")).hexdigest())
                     same.append(back == t)
+            c.cache.clear()                  # an idle worker keeps its memory
             yield pa.record_batch(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()),
                  pa.array(text_hex, pa.string()), pa.array(same, pa.bool_())],

@@ -66,8 +66,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            raw = b.column(1).cast(pa.binary()).to_pylist()
-            fp = pa.array([_fingerprint(r, width) for r in raw], pa.int64())
+            raw = b.column(1).cast(pa.binary())
+            fp = pa.array([_fingerprint(r.as_py(), width) for r in raw], pa.int64())
             yield pa.record_batch([b.column(0), fp, *b.columns[2:]], names=[id_col, "fp", "hash"][:b.num_columns])
 
     cols = docs.select(F.col(id_col), F.col(text_col).cast("string"), *more)

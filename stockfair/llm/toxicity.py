@@ -52,7 +52,7 @@ FOLDS = 5
 RIDGE = 1.0
 SEVERE_TERMS, DENSE_SHARE = 4, 0.01
 CATEGORIES = ("severe", "dense", "toxic")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -240,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def present(batches):
         for b in batches:
-            rows = [chain.row(t or "") for t in b.column(2).to_pylist()]
+            rows = [chain.row(t.as_py() or "") for t in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array([r for r, _ in rows], pa.list_(pa.int32())),
                                    pa.array([s for _, s in rows], pa.float64())],
                                   names=["id", "y", "columns", "share"])
@@ -265,7 +265,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for b in batches:
-            p = chain.probabilities([chain.row(t or "") for t in b.column(1).to_pylist()])
+            p = chain.probabilities([chain.row(t.as_py() or "") for t in b.column(1)])
             if not p.shape[1]:
                 p = np.zeros((b.num_rows, len(names)))
             yield pa.record_batch([b.column(0), *[pa.array(p[:, k]) for k in range(len(names))],
@@ -283,7 +283,7 @@ def without_toxic(docs: DataFrame, chain: Chain, text_col: str = "text") -> Data
 
     @arrow_udf("boolean")
     def is_toxic(texts: pa.Array) -> pa.Array:
-        p = chain.probabilities([chain.row(t or "") for t in texts.to_pylist()])
+        p = chain.probabilities([chain.row(t.as_py() or "") for t in texts])
         if not p.shape[1]:
             return pa.array(np.zeros(len(texts), bool))
         return pa.array(p[:, -1] >= chain.threshold)
