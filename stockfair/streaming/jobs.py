@@ -100,7 +100,9 @@ def scan_stream(scans: DataFrame, products: DataFrame, inventory: DataFrame,
 
 
 def _ledger_fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+    # the batch job's order: without a seq first, equal ones by type and quantity
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values(
+        ["seq", "transaction_type", "quantity"], kind="stable", na_position="first")
     if state.exists:
         bal, known = state.get
     else:

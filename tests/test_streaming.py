@@ -63,7 +63,8 @@ def test_scan_stream_decides_late_scans(spark, scratch):
 
 
 def test_ledger_stream_equals_batch(spark, scratch):
-    rows = [(1, 1, "in", 5), (2, 1, "out", 7), (3, 1, "out", 5), (4, 2, "out", 1)]
+    rows = [(1, 1, "in", 5), (2, 1, "out", 7), (3, 1, "out", 5), (4, 2, "out", 1), (5, 1, "out", 3), (5, 1, "in", 4),
+            (5, 1, "out", 2), (None, 2, "in", 1), (None, 2, "out", 1), (5, 1, None, 2)]
     df = spark.createDataFrame(rows, "seq long, product_id long, transaction_type string, "
                                      "quantity long")
     src = os.path.join(scratch, "moves")
@@ -72,8 +73,8 @@ def test_ledger_stream_equals_batch(spark, scratch):
     opening.write.parquet(os.path.join(scratch, "o"))
     opening = spark.read.parquet(os.path.join(scratch, "o"))
     stream = spark.readStream.schema(df.schema).parquet(src)
-    got = sorted(tuple(r) for r in jobs.drain(jobs.ledger_stream(stream, opening), "t_ledger")
+    got = sorted(repr(tuple(r)) for r in jobs.drain(jobs.ledger_stream(stream, opening), "t_ledger")
                  .select("seq", "accepted", "reason", "balance_after").collect())
-    batch = sorted(tuple(r) for r in ledger.apply_ledger(df, opening)
+    batch = sorted(repr(tuple(r)) for r in ledger.apply_ledger(df, opening)
                    .select("seq", "accepted", "reason", "balance_after").collect())
     assert got == batch
