@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import sys
+import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -26,8 +27,8 @@ def audit(df) -> dict:
         "broadcast_joins": plan.count("BroadcastHashJoin"),
         "sort_merge_joins": plan.count("SortMergeJoin"),
         "group_limit": "WindowGroupLimit" in plan,
-        "python": any(k in plan for k in ("MapInPandas", "FlatMapGroupsInPandas",
-                                          "PythonMapInArrow", "ArrowEvalPython")),
+        "python": any(k in plan for k in ("MapInPandas", "FlatMapGroupsInPandas", "MapInArrow",
+                                          "GroupsInArrow", "ArrowEvalPython")),
         "pushed": len(pushed),
     }
 
@@ -40,8 +41,10 @@ def main(argv):
     spark = get_session(shuffle_partitions=8)
     rows = []
     for name, fn in entry.queries().items():
+        began = time.perf_counter()
         try:
             a = audit(fn(spark, sf_dir))
+            a["sec"] = round(time.perf_counter() - began, 1)
         except Exception as e:  # streams read back from their sink, etc.
             a = {"error": type(e).__name__}
         rows.append((name, a))
@@ -51,16 +54,17 @@ def main(argv):
            "written by `tests/plan_audit.py`.  Columns: shuffle exchanges, broadcast hash "
            "joins, sort-merge joins, per-group limit before the shuffle, Python stage in the "
            "plan, parquet scans with pushed (non-null-check) filters.  Checkpointed inputs "
-           "show only the plan after the checkpoint; stream queries show the read-back.", "",
-           "| query | shuffles | broadcast | sort-merge | group limit | python | pushed |",
-           "| --- | --- | --- | --- | --- | --- | --- |"]
+           "show only the plan after the checkpoint; stream queries show the read-back.  "
+           "Seconds include the jobs run while the plan is built.", "",
+           "| query | shuffles | broadcast | sort-merge | group limit | python | pushed | seconds |",
+           "| --- | --- | --- | --- | --- | --- | --- | --- |"]
     for name, a in rows:
         if "error" in a:
-            out.append(f"| {name} | {a['error']} | | | | | |")
+            out.append(f"| {name} | {a['error']} | | | | | | |")
             continue
         out.append(f"| {name} | {a['shuffles']} | {a['broadcast_joins']} | "
                    f"{a['sort_merge_joins']} | {'yes' if a['group_limit'] else ''} | "
-                   f"{'yes' if a['python'] else ''} | {a['pushed']} |")
+                   f"{'yes' if a['python'] else ''} | {a['pushed']} | {a['sec']} |")
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(path, "w") as fh:
         fh.write("\n".join(out) + "\n")
