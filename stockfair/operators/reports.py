@@ -47,8 +47,19 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
     for printing; with ``exact`` they are not, which is what the summary and
     the breakdowns sum."""
     ep = assignments if event_id is None else assignments.where(F.col("event_id") == F.lit(event_id))
+    sold = event_product_sales(
+        sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id)),
+        products, exact=True).select(F.col("event_id").alias("s_event_id"),
+                         F.col("product_id").alias("s_product_id"),
+                         "quantity_sold", "total_revenue")
+    # what was sold goes to the narrow assignments: names and texts are joined last, so
+    # that the shuffles by (fair, product) do not carry them
+    ep = ep.select("event_id", "product_id", "event_sale_price", "quantity_assigned") \
+        .withColumnRenamed("event_id", "a_event_id")
+    ep = ep.join(sold, (F.col("a_event_id") == F.col("s_event_id"))
+                 & (F.col("product_id") == F.col("s_product_id")), "left").withColumnRenamed("a_event_id", "event_id")
     ep, p, s = ep.alias("ep"), products.alias("p"), suppliers.alias("s")
-    assigned = (ep.join(p, F.col("ep.product_id") == F.col("p.id"))
+    j = (ep.join(p, F.col("ep.product_id") == F.col("p.id"))
                 .join(s, F.col("p.supplier_id") == F.col("s.id"))
                 .select(
                     F.col("ep.event_id"), F.col("p.id"), F.col("p.sku"), F.col("p.name"),
@@ -56,14 +67,7 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
                     F.col("s.name").alias("supplier"), F.col("p.purchase_price"),
                     F.coalesce(F.col("ep.event_sale_price"), F.col("p.selling_price"))
                     .alias("sale_price"),
-                    F.col("ep.quantity_assigned")))
-    sold = event_product_sales(
-        sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id)),
-        products, exact=True).select(F.col("event_id").alias("s_event_id"),
-                         F.col("product_id").alias("s_product_id"),
-                         "quantity_sold", "total_revenue")
-    j = assigned.join(sold, (assigned.event_id == sold.s_event_id)
-                      & (assigned.id == sold.s_product_id), "left")
+                    F.col("ep.quantity_assigned"), "quantity_sold", "total_revenue"))
     q_sold = F.coalesce(F.col("quantity_sold"), F.lit(0).cast("long"))
     revenue = F.coalesce(F.col("total_revenue"), F.lit(0.0))
     return j.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockfair.operators import catalog, reports
-from stockfair.session import cut_lineage
+from stockfair.session import stored
 
 
 def event_report(assignments: DataFrame, products: DataFrame, suppliers: DataFrame,
@@ -17,7 +17,7 @@ def event_report(assignments: DataFrame, products: DataFrame, suppliers: DataFra
     """Sections of the per-fair report (all fairs when ``event_id`` is None):
     products & sales, summary, category and supplier breakdowns, top products
     by quantity and by revenue."""
-    exact = cut_lineage(reports.event_performance(assignments, products, suppliers, sales,
+    exact = stored(reports.event_performance(assignments, products, suppliers, sales,
                                                   event_id, exact=True))
     perf = exact.withColumns({c: F.round(c, 2) for c in ("total_revenue", "profit")})
     return {
