@@ -27,17 +27,20 @@ def event_product_sales(sales: DataFrame, products: DataFrame, event_id=None,
                         exact: bool = False) -> DataFrame:
     """A8.  Quantity and revenue per (fair, product); sales of unknown
     products drop out.  A partial (map-side) aggregate before the shuffle."""
-    s = sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id))
-    g = s.groupBy("event_id", "product_id").agg(
-        F.sum("quantity").alias("quantity_sold"),
-        F.sum(F.col("quantity") * F.col("sale_price")).alias("_revenue"),
-    )
+    g = _sold(sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id)))
     p = products.select(F.col("id").alias("pid"), "sku")
     return g.join(p, g.product_id == p.pid, "inner").select(
         "event_id", "product_id", "sku", "quantity_sold",
         _cents(F.col("_revenue"), exact).alias("total_revenue"))
 
 
+def _sold(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("event_id", "product_id").agg(
+        F.sum("quantity").alias("quantity_sold"),
+        F.sum(F.col("quantity") * F.col("sale_price")).alias("_revenue"),
+    )
+
+
 def event_performance(assignments: DataFrame, products: DataFrame, suppliers: DataFrame,
                       sales: DataFrame, event_id=None, exact: bool = False) -> DataFrame:
     """A9.  Assigned products of each fair with what was sold: sold and
@@ -47,18 +50,18 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
     for printing; with ``exact`` they are not, which is what the summary and
     the breakdowns sum."""
     ep = assignments if event_id is None else assignments.where(F.col("event_id") == F.lit(event_id))
-    sold = event_product_sales(
-        sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id)),
-        products, exact=True).select(F.col("event_id").alias("s_event_id"),
-                         F.col("product_id").alias("s_product_id"),
-                         "quantity_sold", "total_revenue")
+    sold = _sold(sales if event_id is None else sales.where(F.col("event_id") == F.lit(event_id))).select(
+        F.col("event_id").alias("s_event_id"), F.col("product_id").alias("s_product_id"),
+        "quantity_sold", F.col("_revenue").alias("total_revenue"))
     # what was sold goes to the narrow assignments: names and texts are joined last, so
     # that the shuffles by (fair, product) do not carry them
     ep = ep.select("event_id", "product_id", "event_sale_price", "quantity_assigned") \
         .withColumnRenamed("event_id", "a_event_id")
     ep = ep.join(sold, (F.col("a_event_id") == F.col("s_event_id"))
                  & (F.col("product_id") == F.col("s_product_id")), "left").withColumnRenamed("a_event_id", "event_id")
-    ep, p, s = ep.alias("ep"), products.alias("p"), suppliers.alias("s")
+    # a product listed k times has its sales k times, as in ``event_product_sales``
+    times = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    ep, p, s = ep.alias("ep"), products.withColumn("_times", times).alias("p"), suppliers.alias("s")
     j = (ep.join(p, F.col("ep.product_id") == F.col("p.id"))
                 .join(s, F.col("p.supplier_id") == F.col("s.id"))
                 .select(
@@ -67,7 +70,9 @@ def event_performance(assignments: DataFrame, products: DataFrame, suppliers: Da
                     F.col("s.name").alias("supplier"), F.col("p.purchase_price"),
                     F.coalesce(F.col("ep.event_sale_price"), F.col("p.selling_price"))
                     .alias("sale_price"),
-                    F.col("ep.quantity_assigned"), "quantity_sold", "total_revenue"))
+                    F.col("ep.quantity_assigned"), "quantity_sold", "total_revenue",
+                    F.explode(F.array_repeat(F.lit(0), F.when(F.col("s_product_id").isNull(), F.lit(1))
+                                             .otherwise(F.col("_times")).cast("int"))).alias("_copy")))
     q_sold = F.coalesce(F.col("quantity_sold"), F.lit(0).cast("long"))
     revenue = F.coalesce(F.col("total_revenue"), F.lit(0.0))
     return j.select(
