@@ -85,3 +85,14 @@ def test_performance_of_products_listed_twice(spark):
     sales = spark.createDataFrame([(7, 1, 2, 3.0)], "event_id long, product_id long, quantity long, sale_price double")
     got = sorted((r.sku, r.quantity_sold, r.remaining) for r in reports.event_performance(a, p, s, sales).collect())
     assert got == [("A", 2, 3), ("A", 2, 3), ("B", 2, 3), ("B", 2, 3), ("C", 0, 4)]
+
+
+def test_rounds_then_components(spark):
+    """Bounds decide a part of the batches, a walk or further rounds the rest."""
+    from test_in_turn import decided, walk
+
+    rng = random.Random(8)
+    rows = [(b, 10 * b + k, 1, rng.randrange(12), rng.randint(1, 3)) for b in range(60) for k in range(2)]
+    available = {p: rng.randint(4, 9) for p in range(12)}
+    want = walk(rows, available)
+    assert decided(spark, rows, available, walk_rows=40) == want
