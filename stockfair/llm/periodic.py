@@ -20,7 +20,9 @@ is chosen in any t others.
 A proposed stretch is extended both ways over hashes of 2^k words, the largest k
 first.  All texts of a lot (``WORDS_AT_ONCE`` words, or one text) are one sequence
 with a different separator after each, worked on as arrays, in one ``mapInArrow`` over
-the scan without a shuffle: about 8 log2(n) bytes a word of the longest text.
+the scan without a shuffle: about 8 log2(n) bytes a word of the longest text.  Rows are
+read and given ``BYTES_AT_ONCE`` at a time, so a worker never holds the words or runs of
+a whole Arrow batch.
 
 Defined cases: a null, empty or blank text has no words and no runs; runs of the same
 text may overlap and all are given; ties of the strongest run go to the smallest start,
@@ -30,16 +32,19 @@ no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Least length of a run in words.
 LEAST = 24
-WORDS_AT_ONCE = 1 << 17
+WORDS_AT_ONCE = 1 << 15
+#: Bytes of text of the rows that are read and given at once.
+BYTES_AT_ONCE = 1 << 19
 SMALL_PERIODS = range(1, 6)
 FIRST_SCALE = 4
 
@@ -181,6 +186,17 @@ def _lots(texts):
         yield lot
 
 
+def _slices(batch: pa.RecordBatch):
+    """Consecutive rows of about ``BYTES_AT_ONCE`` bytes of text, or one row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        n = max(int(np.searchsorted(sizes, before + BYTES_AT_ONCE, "right")) - at, 1)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _of_texts(texts, least: int):
     """(number of words, runs, collapsed text) of every text."""
     out = [None] * len(texts)
@@ -210,7 +226,7 @@ def find(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     runs by start, then period, in words from 0; ``collapsed`` has the words that no run
     holds behind its first period, joined by a space."""
     def run(batches):
-        for b in batches:
+        for b in chain.from_iterable(map(_slices, batches)):
             rows = _of_texts(b.column(1).to_pylist(), least)
             yield pa.record_batch(
                 [b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], RUNS),
