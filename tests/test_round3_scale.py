@@ -96,3 +96,16 @@ def test_rounds_then_components(spark):
     available = {p: rng.randint(4, 9) for p in range(12)}
     want = walk(rows, available)
     assert decided(spark, rows, available, walk_rows=40) == want
+
+
+def test_sheet_rows_are_written_once_before_the_ledger(spark, monkeypatch):
+    """The sheet is stored when its skus are looked up; the ledger reads those rows."""
+    kept = []
+    monkeypatch.setattr(ledger, "stored", lambda df, real=ledger.stored: kept.append(df.columns) or real(df))
+    sheet = spark.createDataFrame([(1, k, "A" if k % 2 else "B", str(k)) for k in range(6)],
+                                  "event_id long, seq long, SKU string, Quantity string")
+    products = spark.createDataFrame([(1, "A"), (2, "B")], "id long, sku string")
+    stock = spark.createDataFrame([(1, 4), (2, 3)], "product_id long, available long")
+    got = {r["seq"]: r["reason"] for r in allocation.allocate_rows(sheet, products, stock).collect()}
+    assert got == {0: "not_positive", 1: None, 2: None, 3: None, 4: "insufficient_stock", 5: "insufficient_stock"}
+    assert len(kept) == 1 and "_bal" in kept[0]
