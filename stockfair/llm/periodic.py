@@ -77,7 +77,8 @@ def _extended(levels, a, b):
     for k in range(len(levels) - 1, -1, -1):
         h, size = levels[k], 1 << k
         at = np.minimum(b + right, n - size)
-        right += np.where((b + right <= n - size) & (h[a + right - (b + right - at)] == h[at]), size, 0)
+        near = np.maximum(a + at - b, 0)             # a + right wherever the window ends in the sequence
+        right += np.where((b + right <= n - size) & (h[near] == h[at]), size, 0)
         at = np.maximum(a - left - size, 0)
         left += np.where((a - left >= size) & (h[at] == h[np.maximum(b - left - size, 0)]), size, 0)
     return left, right

@@ -52,3 +52,10 @@ def test_runs_are_found_few_rows_at_a_time(monkeypatch):
     parts = list(periodic._slices(batch))
     assert len(parts) > 4 and max(p.num_rows for p in parts) < 20
     assert [r for p in parts for r in periodic._of_texts(p.column(1).to_pylist(), 24)] == whole
+
+
+def test_period_longer_than_what_the_longest_window_leaves():
+    """A text alone in its lot: windows of 1,024 of 1,101 words, a period of 300."""
+    (n, runs, rest), = periodic._of_texts([" ".join(f"w{i % 300}" for i in range(1100))], 24)
+    assert n == 1100 and [tuple(r.values()) for r in runs] == [(0, 1100, 300)]
+    assert rest == " ".join(f"w{i}" for i in range(300))
