@@ -16,12 +16,18 @@ Both use ``applyInPandasWithState``.  Within a micro-batch the rows of a key
 are sorted by event order before the fold; across micro-batches the order is
 arrival order, so the stream equals the batch job for in-order input.  The
 rows of one key in one micro-batch are bounded by the source's
-``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
+``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.  A scanner's are sorted in
+runs, which are merged from a temporary file of the task when there are several.
 """
 
 from __future__ import annotations
 
+import os
+import pickle
+import tempfile
+from bisect import bisect_left
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,27 +43,94 @@ SCAN_STATE = T.StructType([T.StructField("code", T.StringType()),
 BALANCE_STATE = T.StructType([T.StructField("balance", T.LongType()),
                               T.StructField("known", T.BooleanType())])
 
+#: Rows of a key that a task sorts in memory at a time, and rows of a piece of such a sorted run on disk.
+RUN_ROWS, PIECE_ROWS = 100_000, 1_000
+
+
+def _place(pdf: pd.DataFrame, order: list[str], row: int) -> tuple:
+    """What the rows of sorted frames are compared by (NULLs last)."""
+    values = [pdf[c].iat[row] for c in order]
+    return tuple((True, None) if pd.isna(v) else (False, v) for v in values)
+
+
+def _runs(batches: Iterator[pd.DataFrame], order: list[str], run_rows: int) -> Iterator[pd.DataFrame]:
+    """Sorted frames of ``run_rows`` rows and up to a batch more; ``_turn`` numbers the rows as they came."""
+    held, rows, turn = [], 0, 0
+    for pdf in batches:
+        held.append(pdf.assign(_turn=range(turn, turn + len(pdf))))
+        rows, turn = rows + len(pdf), turn + len(pdf)
+        if rows >= run_rows:
+            run, held, rows = pd.concat(held), [], 0
+            yield run.sort_values(order, ignore_index=True)
+    if held:
+        yield pd.concat(held).sort_values(order, ignore_index=True)
+
+
+def _written(run: pd.DataFrame, order: list[str], piece_rows: int, file: BinaryIO) -> list[tuple]:
+    """Appends a sorted run to ``file`` in pieces: (place of its first row, offset) of each."""
+    pieces = []
+    for k in range(0, len(run), piece_rows):
+        pieces.append((_place(run, order, k), file.tell()))
+        pickle.dump(run.iloc[k:k + piece_rows], file, pickle.HIGHEST_PROTOCOL)
+    return pieces
+
+
+def _read(file: BinaryIO, offset: int) -> pd.DataFrame:
+    file.seek(offset)
+    return pickle.load(file)
+
+
+def in_order(batches: Iterator[pd.DataFrame], order: list[str], run_rows: int = RUN_ROWS,
+             piece_rows: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` by ``order`` (NULLs last, ties as they came) in consecutive
+    frames.  Runs of ``run_rows`` are sorted in memory; when there are several, they go to a
+    temporary file in pieces.  Pieces come back in the order of their first rows, and what
+    lies before the next piece's first row is complete.  A few runs are held at a time, and
+    of each run on disk at most one piece that is not yet given out."""
+    order, last, pieces, rest = [*order, "_turn"], None, [], None
+    folders = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")
+    with tempfile.TemporaryFile(dir=folders[os.getpid() % len(folders)]) as file:
+        for run in _runs(batches, order, run_rows):
+            if last is not None:
+                pieces += _written(last, order, piece_rows, file)
+            last = run
+        if not pieces:
+            if last is not None:
+                yield last.drop(columns="_turn")
+            return
+        pieces += _written(last, order, piece_rows, file)
+        last = run = None
+        pieces.sort()
+        step = -(-run_rows // piece_rows)
+        for k in range(0, len(pieces), step):
+            rest = pd.concat([rest, *(_read(file, at) for _, at in pieces[k:k + step])]).sort_values(order, ignore_index=True)
+            whole = len(rest)
+            if k + step < len(pieces):
+                whole = bisect_left(range(len(rest)), pieces[k + step][0], key=lambda i: _place(rest, order, i))
+            if whole:
+                yield rest.iloc[:whole].drop(columns="_turn")
+            rest = rest.iloc[whole:]
+
 
 def _dedupe_fn(timeout_us: int):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         code, anchor = (state.get if state.exists else (None, None))
         watermark = state.getCurrentWatermarkMs()
-        pdf = pd.concat(list(batches), ignore_index=True)
-        pdf = pdf.sort_values(["_us", "scan_id"], kind="stable")
-        flags, lates = [], []
-        for c, t, ms in zip(pdf["code"].tolist(), pdf["_us"].tolist(), pdf["_ms"].tolist()):
-            # a scan without a time is no duplicate and no anchor
-            late, dup = not pd.isna(ms) and ms < watermark, False
-            if not late and not pd.isna(t):
-                dup = code is not None and c == code and abs(t - anchor) < timeout_us
-                # a scan of an earlier time, from a later file, does not move the anchor back
-                if not dup and (anchor is None or t >= anchor):
-                    code, anchor = c, int(t)
-            flags.append(dup)
-            lates.append(late)
+        for pdf in in_order(batches, ["_us", "scan_id"]):
+            flags, lates = [], []
+            for c, t, ms in zip(pdf["code"].tolist(), pdf["_us"].tolist(), pdf["_ms"].tolist()):
+                # a scan without a time is no duplicate and no anchor
+                late, dup = not pd.isna(ms) and ms < watermark, False
+                if not late and not pd.isna(t):
+                    dup = code is not None and c == code and abs(t - anchor) < timeout_us
+                    # a scan of an earlier time, from a later file, does not move the anchor back
+                    if not dup and (anchor is None or t >= anchor):
+                        code, anchor = c, int(t)
+                flags.append(dup)
+                lates.append(late)
+            yield pdf.drop(columns=["_us", "_ms"]).assign(duplicate=flags, late=lates)
         if anchor is not None:
             state.update((code, anchor))
-        yield pdf.drop(columns=["_us", "_ms"]).assign(duplicate=flags, late=lates)
     return fn
 
 
@@ -75,24 +148,29 @@ def scan_stream(scans: DataFrame, products: DataFrame, inventory: DataFrame,
          .withWatermark("ts", watermark)
          .withColumn("code", barcode.clean("barcode"))
          .withColumn("valid", barcode.is_valid(F.col("code"))))
-    valid = s.where(F.col("valid"))
+    # a group's rows wait in the JVM until all are there, so only what is needed, and a barcode
+    # that is its code is not sent twice
+    valid = s.where(F.col("valid")).select(
+        "scanner_id", "ts", F.when(F.col("barcode") != F.col("code"), F.col("barcode")).alias("barcode"),
+        "scan_id", "code", "_us", "_ms")
     out_schema = T.StructType([f for f in valid.schema.fields if f.name not in ("_us", "_ms")]
                               + [T.StructField("duplicate", T.BooleanType()),
                                  T.StructField("late", T.BooleanType())])
     flagged = valid.groupBy("scanner_id").applyInPandasWithState(
         _dedupe_fn(t_us), out_schema, SCAN_STATE, "append", GroupStateTimeout.NoTimeout)
-    invalid = (s.where(~F.col("valid")).drop("_us", "_ms")
-               .withColumn("duplicate", F.lit(None).cast("boolean"))
-               .withColumn("late", F.lit(None).cast("boolean")))
+    # the operator gives rows of an Arrow batch, which a shuffle (a join that is no broadcast)
+    # cannot write; a projection makes them rows that it can
+    flagged = flagged.select(
+        "scanner_id", "ts", F.coalesce("barcode", "code").alias("barcode"), "scan_id", "code", F.lit(True).alias("valid"),
+        F.when(F.col("late"), F.lit("late")).when(F.col("duplicate"), F.lit("duplicate")).alias("_outcome"))
+    invalid = s.where(~F.col("valid")).select("scanner_id", "ts", "barcode", "scan_id", "code", "valid",
+                                              F.lit("invalid").alias("_outcome"))
     sp = catalog.stocked_products(products, inventory).select(
         F.col("ean_upc").alias("_ean"), F.col("id").alias("product_id"), "sku", "name", "quantity")
     both = flagged.unionByName(invalid)
     j = both.join(sp, both.code == sp._ean, "left")
-    status = (F.when(~F.col("valid"), F.lit("invalid"))
-              .when(F.col("late"), F.lit("late"))
-              .when(F.col("duplicate"), F.lit("duplicate"))
-              .when(F.col("product_id").isNotNull(), F.lit("found"))
-              .otherwise(F.lit("not_found")))
+    status = F.coalesce("_outcome", F.when(F.col("product_id").isNotNull(), F.lit("found"))
+                        .otherwise(F.lit("not_found")))
     return j.select("scanner_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "barcode",
                     "scan_id", "code", status.alias("status"),
                     *[F.when(F.col("valid"), F.col(c)).alias(c)

@@ -1,5 +1,8 @@
 import datetime as dt
 import os
+import random
+
+import pandas as pd
 
 from stockfair.operators import ledger, scans
 from stockfair.streaming import jobs
@@ -78,3 +81,72 @@ def test_ledger_stream_equals_batch(spark, scratch):
     batch = sorted(repr(tuple(r)) for r in ledger.apply_ledger(df, opening)
                    .select("seq", "accepted", "reason", "balance_after").collect())
     assert got == batch
+
+
+def _tables(spark, scratch):
+    products = spark.createDataFrame([(1, "SKU001", A, "Helmet")], "id long, sku string, ean_upc string, name string")
+    products.write.parquet(os.path.join(scratch, "p"))
+    spark.createDataFrame([(1, 1, 5, None)], "id long, product_id long, quantity long, last_updated timestamp_ntz") \
+        .write.parquet(os.path.join(scratch, "i"))
+    return spark.read.parquet(os.path.join(scratch, "p")), spark.read.parquet(os.path.join(scratch, "i"))
+
+
+def test_scan_stream_meets_a_catalogue_too_large_to_broadcast(spark, scratch):
+    """The join is one by shuffle, which has to write the stateful operator's rows."""
+    rows = [("s1", T0, A, 1), ("s1", T0 + dt.timedelta(seconds=1), "590-1234123457", 2), ("s2", T0, "bad", 3),
+            (None, T0, "96385074", 4), ("s2", None, A, 5), ("s2", T0, None, 6)]
+    df = spark.createDataFrame(rows, "scanner_id string, ts timestamp_ntz, barcode string, scan_id long")
+    df.write.parquet(os.path.join(scratch, "scans"))
+    products, inventory = _tables(spark, scratch)
+    stream = spark.readStream.schema(df.schema).parquet(os.path.join(scratch, "scans"))
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jobs.drain(jobs.scan_stream(stream, products, inventory, 2.0), "t_shuffled").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert sorted((r.scan_id, r.scanner_id, r.ts, r.barcode, r.code, r.status, r.sku) for r in out) == [
+        (1, "s1", T0, A, A, "found", "SKU001"),
+        (2, "s1", T0 + dt.timedelta(seconds=1), "590-1234123457", A, "duplicate", "SKU001"),
+        (3, "s2", T0, "bad", "", "invalid", None), (4, None, T0, "96385074", "96385074", "not_found", None),
+        (5, "s2", None, A, A, "found", "SKU001"), (6, "s2", T0, None, None, "invalid", None)]
+
+
+def test_rows_of_a_key_come_in_order_from_runs_on_disk():
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *range(40)]), rng.choice([None, *range(30)]), str(k)) for k in range(1000)]
+    whole = pd.DataFrame(rows, columns=["_us", "scan_id", "code"])
+    wanted = whole.sort_values(["_us", "scan_id"], kind="stable").reset_index(drop=True)
+    for size, run_rows, piece_rows in ((37, 100, 7), (1, 10, 3), (250, 40, 100), (100, 5000, 10), (1000, 1000, 1)):
+        batches = (whole.iloc[k:k + size] for k in range(0, len(whole), size))
+        frames = list(jobs.in_order(batches, ["_us", "scan_id"], run_rows, piece_rows))
+        pd.testing.assert_frame_equal(pd.concat(frames, ignore_index=True), wanted)
+    assert list(jobs.in_order(iter([]), ["_us"])) == []
+
+
+def test_a_busy_scanner_is_never_in_one_frame():
+    class State:
+        exists, value = False, None
+
+        def getCurrentWatermarkMs(self):
+            return 1_000
+
+        def update(self, value):
+            self.value = value
+
+    n = 400_000
+    order = [*range(n)]
+    random.Random(6).shuffle(order)
+
+    def batches():
+        for k in range(0, n, 10_000):
+            us = pd.Series(order[k:k + 10_000]) * 600_000
+            yield pd.DataFrame({"scanner_id": "s1", "scan_id": us, "code": A, "_us": us, "_ms": us // 1000})
+
+    state, rows = State(), []
+    for pdf in jobs._dedupe_fn(2_000_000)(("s1",), batches(), state):
+        assert len(pdf) <= 250_000
+        rows += zip(pdf["scan_id"].tolist(), pdf["duplicate"].tolist(), pdf["late"].tolist())
+    # two scans before the watermark, then a scan every 0.6 s: each fourth one counts
+    assert rows == [(k * 600_000, k >= 2 and (k - 2) % 4 > 0, k < 2) for k in range(n)]
+    assert state.value == (A, max(k for k in range(n - 4, n) if (k - 2) % 4 == 0) * 600_000)
