@@ -95,14 +95,16 @@ def event_summary(performance: DataFrame, fairs: DataFrame | None = None) -> Dat
         F.sum("total_revenue").alias("_rev"),
         F.coalesce(F.sum("profit"), F.lit(0.0)).alias("_profit"),
     )
+    # sums of doubles differ in their last digits by the order of the rows, which would decide ties
+    rev, profit = F.round("_rev", 6), F.round("_profit", 6)
     out = g.select(
         "event_id", "total_products", "total_assigned", "total_sold",
         F.round(_ratio(F.col("total_sold"), F.col("total_assigned"), 100.0), 2)
         .alias("sell_through_pct"),
         F.round("_rev", 2).alias("total_revenue"),
         F.round("_profit", 2).alias("total_profit"),
-        F.round(_ratio(F.col("_rev"), F.col("total_sold")), 2).alias("average_price"),
-        F.round(_ratio(F.col("_profit"), F.col("_rev"), 100.0), 2).alias("profit_margin_pct"),
+        F.round(_ratio(rev, F.col("total_sold")), 2).alias("average_price"),
+        F.round(_ratio(profit, rev, 100.0), 2).alias("profit_margin_pct"),
     )
     if fairs is None:
         return out

@@ -129,3 +129,12 @@ def test_delete_event_keeps_rows_without_id(spark):
 
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, nome string")
     assert sorted(r.nome for r in fairs.delete_event(df, 1).collect()) == ["b", "c"]
+
+
+def test_summary_ratio_is_not_decided_by_the_last_digits_of_a_sum(spark):
+    """0.01, 0.03 and 0.29 add up to less than 0.33 in doubles; half of 0.33 is 0.165, which rounds up."""
+    perf = spark.createDataFrame([(1, 1, 1, 0.01, 0.01), (1, 1, 1, 0.03, 0.03), (1, 1, 0, 0.29, 0.29)],
+                                 "event_id long, quantity_assigned long, quantity_sold long, total_revenue double, "
+                                 "profit double").coalesce(1)
+    row = reports.event_summary(perf).first()
+    assert (row.total_revenue, row.average_price, row.profit_margin_pct) == (0.33, 0.17, 100.0)
